@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .packing import op2_best_fit_packing
+from .simhash import op4_simhash_near_dedup
 from .suffix_dedup import op1_suffix_array_dedup
 
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
