@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import op5_embedding_near_dedup
 from .packing import op2_best_fit_packing
 from .simhash import op4_simhash_near_dedup
 from .suffix_dedup import op1_suffix_array_dedup
+from .warc import op10_warc_revisits
 
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op10_warc_revisits": op10_warc_revisits,
 }
 ORACLE_SQL: dict[str, str] = {}
