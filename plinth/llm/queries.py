@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .embedding_dedup import op5_embedding_near_dedup
 from .packing import op2_best_fit_packing
+from .quality_rules import op9_quality_rules
 from .simhash import op4_simhash_near_dedup
 from .suffix_dedup import op1_suffix_array_dedup
 from .warc import op10_warc_revisits
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op9_quality_rules": op9_quality_rules,
     "op10_warc_revisits": op10_warc_revisits,
 }
 ORACLE_SQL: dict[str, str] = {}
