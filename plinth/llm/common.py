@@ -46,7 +46,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, which cuts its lineage; lost executors don't lose it."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._plinth_path = path
     return out
@@ -75,8 +75,8 @@ def utf8_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
 
 
 def doc_key(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Adds _id (id, 0 for null) and _th (a hash of id and text): equal for equal rows alone, so that joins on them keep repeated rows apart from others."""
-    return df.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), "_th": F.xxhash64(F.col(id_col), F.col(text_col))})
+    """Adds _id (id, 0 for null) and _th (a 32-bit hash of id and text), which tells apart the rows that share an id: joins on both keep repeated rows with their equals."""
+    return df.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), "_th": F.hash(F.col(id_col), F.col(text_col))})
 
 
 def batches_of(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:

@@ -26,12 +26,12 @@ from .sais import permuted_lcp, suffix_array
 GRAM = 32
 #: Bytes of text that are hashed at once and (SHARD) sorted at once.
 PIECE = 1 << 19
-SHARD = 1_500_000
+SHARD = 600_000
 #: Segments with one owner that still go to one task.
 HOT = 8192
 
 _BASE = 0x9E3779B97F4A7C15
-_SEGMENTS = pa.schema([("_id", pa.int64()), ("_th", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("owner", pa.int64()), ("seg", pa.int64())])
+_SEGMENTS = pa.schema([("_id", pa.int64()), ("_th", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("owner", pa.int64()), ("seg", pa.int64())])
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -136,16 +136,20 @@ def _rehash(text: np.ndarray, cut: list[tuple[int, ...]], min_len: int) -> tuple
 
 def _cut_texts(min_len: int):
     """Texts of the segments that represent their equals."""
-    schema = pa.schema([("owner", pa.int64()), ("seg", pa.int64()), ("many", pa.int64()), ("text", pa.binary())])
+    schema = pa.schema([("owner", pa.int64()), ("seg", pa.int64()), ("many", pa.int64()), ("hot", pa.bool_()), ("text", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                text = b.column(0)[i].as_buffer()
-                data = memoryview(text) if text is not None else memoryview(b"")
-                reps = b.column(1)[i].values
-                start, n = (reps.field(k).to_numpy() for k in ("start", "n"))
-                yield pa.RecordBatch.from_arrays([reps.field("owner"), reps.field("seg"), reps.field("many"), pa.array([bytes(data[s : s + k + min_len - 1]) for s, k in zip(start, n, strict=True)], pa.binary())], schema=schema)
+            column = b.column("reps")
+            lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+            reps = column.flatten()
+            start, n = (reps.field(k).to_numpy(zero_copy_only=False) for k in ("start", "n"))
+            texts, at = [], 0
+            for data, k in zip(b.column("_data"), lengths, strict=True):
+                data = data.as_py() or b""
+                texts += [data[s : s + m + min_len - 1] for s, m in zip(start[at : at + k].tolist(), n[at : at + k].tolist(), strict=True)]
+                at += k
+            yield pa.RecordBatch.from_arrays([*(reps.field(k) for k in ("owner", "seg", "many", "hot")), pa.array(texts, pa.binary())], schema=schema)
 
     return run
 
@@ -225,30 +229,25 @@ def _hot_spans(hot: DataFrame, min_len: int) -> DataFrame:
     return windows.select("owner", "seg", "window", "hash").join(found, ["owner", "hash"]).groupBy("owner", "seg").agg(F.flatten(F.transform(F.collect_list("window"), lambda w: F.array(w, F.lit(1)))).alias("spans"))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 200, hot: int = HOT) -> DataFrame:
-    """(_id, _th, starts): for each document (see common.doc_key) with repeats, runs [first window, windows, ...] of its windows that repeat.
-
-    Nulls count as empty. Rows that are repeated whole are documents like others, so each is a repeat of the other.
-    """
-    spark = docs.sparkSession
-    if min_len < 2 * GRAM or min_len > 4096:
-        raise ValueError(f"min_len must be from {2 * GRAM} to 4096")
-    keyed = C.doc_key(docs, id_col, text_col).select("_id", "_th", F.col(text_col).cast("binary").alias("text"))
-    ready = keyed.filter(F.length("text") >= min_len)
-    segments = C.materialize(ready.mapInArrow(_find_segments(min_len), "_id long, _th long, start int, n int, owner long, seg long"), "segments")
+def _repeated(keyed: DataFrame, min_len: int, hot: int) -> DataFrame:
+    """(_id, _th, starts) of the documents in keyed (_id, _th, _data and others) that have repeats."""
+    spark = keyed.sparkSession
+    ready = keyed.filter(F.length("_data") >= min_len).select("_id", "_th", "_data")
+    segments = C.materialize(ready.mapInArrow(_find_segments(min_len), "_id long, _th int, start int, n int, owner long, seg long"), "segments")
     folded = segments.groupBy("owner", "seg").agg(F.count("*").alias("many"), F.min(F.struct("_id", "_th", "start", "n")).alias("rep"))
     owners = folded.groupBy("owner").agg(F.sum("many").alias("total"), F.count("*").alias("differ")).filter("total > 1")
-    reps = folded.join(owners, "owner").groupBy("rep._id", "rep._th").agg(F.collect_list(F.struct(F.col("rep.start").alias("start"), F.col("rep.n").alias("n"), "owner", "seg", "many")).alias("reps"))
-
-    cut = keyed.join(reps, ["_id", "_th"]).select("text", "reps").mapInArrow(_cut_texts(min_len), "owner long, seg long, many long, text binary")
-    cut = C.materialize(cut, "cut")
-    sizes = cut.groupBy("owner").agg(F.countDistinct("seg").alias("differ")).filter(F.col("differ") > hot)
-    hot_owners = C.materialize(sizes.select("owner"), "hot")
-    any_hot = not hot_owners.isEmpty()
-    cold = cut.join(hot_owners, "owner", "left_anti") if any_hot else cut
-    spans = cold.repartition("owner").sortWithinPartitions("owner").mapInArrow(_sort_shards(min_len), "owner long, seg long, spans array<int>").filter("size(spans) > 0")
-    if any_hot:
-        spans = spans.unionByName(_hot_spans(cut.join(hot_owners, "owner", "left_semi"), min_len))
+    reps = C.materialize(folded.join(owners, "owner").select("rep.*", "owner", "seg", "many", (F.col("differ") > hot).alias("hot")), "representatives")
+    per_doc = reps.groupBy("_id", "_th").agg(F.collect_list(F.struct("start", "n", "owner", "seg", "many", "hot")).alias("reps"))
+    # All columns of keyed go along, so that this exchange of the texts is the one that the last step uses too.
+    cut = keyed.join(per_doc, ["_id", "_th"]).mapInArrow(_cut_texts(min_len), "owner long, seg long, many long, hot boolean, text binary")
+
+    def sort(rows: DataFrame) -> DataFrame:
+        return rows.select("owner", "seg", "many", "text").repartition("owner").sortWithinPartitions("owner").mapInArrow(_sort_shards(min_len), "owner long, seg long, spans array<int>").filter("size(spans) > 0")
+
+    if reps.filter("hot").isEmpty():
+        spans = sort(cut)
+    else:
+        spans = sort(cut.filter("not hot")).unionByName(_hot_spans(cut.filter("hot").select("owner", "seg", "many", "text"), min_len))
     # A repeated row gives its segment more than once.
     spans = spans.groupBy("owner", "seg").agg(F.first("spans").alias("spans"))
     moved = F.transform("spans", lambda v, i: F.when(i % 2 == 0, v + F.col("start")).otherwise(v))
@@ -289,10 +288,12 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null texts are empty and stay (kept: empty). Repeated rows repeat each other. Columns of docs keep their names; one
     named like an output of this operator is replaced.
     """
-    found = repeated_spans(docs, id_col, text_col, min_len, hot)
-    keyed = C.doc_key(docs, id_col, text_col).withColumn("_data", F.col(text_col).cast("binary")).drop("removed", "kept")
-    joined = keyed.join(found, ["_id", "_th"], "left")
-    rest = [c for c in joined.columns if c not in ("_id", "_th", "_data", "starts", "removed", "kept")]
+    if min_len < 2 * GRAM or min_len > 4096:
+        raise ValueError(f"min_len must be from {2 * GRAM} to 4096")
+    rest = [c for c in docs.columns if c not in ("removed", "kept", text_col)]
+    # The text goes as bytes alone.
+    keyed = C.doc_key(docs, id_col, text_col).select(*rest, "_id", "_th", F.col(text_col).cast("binary").alias("_data"))
+    joined = keyed.join(_repeated(keyed, min_len, hot), ["_id", "_th"], "left").select(*rest, "_data", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -307,10 +308,11 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     at = e
                 removed.append([{"start": s, "end": e} for s, e in spans])
                 kept.append(b"".join(parts) + data[at:])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=[*rest, "removed", "kept"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), b.column("_data"), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=[*rest, "_data", "removed", "kept"])
 
-    fields = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in rest)
-    return joined.select(*rest, "_data", "starts").mapInArrow(run, f"{fields}, removed array<struct<start:long,end:long>>, kept binary")
+    fields = "".join(f"`{c}` {joined.schema[c].dataType.simpleString()}, " for c in rest)
+    out = joined.mapInArrow(run, f"{fields}_data binary, removed array<struct<start:long,end:long>>, kept binary")
+    return out.withColumn(text_col, F.col("_data").cast("string")).select(*(c for c in docs.columns if c not in ("removed", "kept")), "removed", "kept")
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
