@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .embedding_dedup import op5_embedding_near_dedup
 from .packing import op2_best_fit_packing
+from .quality_classifier import op8_quality_classifier
 from .quality_rules import op9_quality_rules
 from .simhash import op4_simhash_near_dedup
 from .suffix_dedup import op1_suffix_array_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc_revisits": op10_warc_revisits,
 }
