@@ -1,6 +1,6 @@
 """WARC archives without repeated payloads: revisit resolution by payload digest.
 
-Only headers (id, digest, length) are shuffled to find each digest's first page; revisits are joined to it. The archives
+Only headers (id, digest, length) are shuffled by digest, to find its first page, to which revisits are joined. The archives
 are written by Spark's text writer, whose line separator is the record's end, so any file system that Spark knows will do;
 they are read back as files and parsed by Content-Length.
 """
@@ -11,7 +11,6 @@ import base64
 import binascii
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,16 +27,20 @@ def base32_of_hex(hexed: str) -> str:
     return base64.b32encode(binascii.unhexlify(hexed)).decode()
 
 
-def resolve_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """pages with _digest (SHA-1, hex), _bytes and _first: the smallest id with an equal payload of at least least_bytes.
+def _headed(pages: DataFrame, payload_col: str) -> DataFrame:
+    payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
+    return pages.withColumns({"_digest": F.sha1(payload), "_bytes": F.octet_length(payload).cast("long")})
+
+
+def revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
+    """(id_col, _digest, _first), once each: pages whose payload, of at least least_bytes, a page with a smaller id has too; _first is the smallest.
 
-    Null payloads are empty. A row with a null id is never a first while its payload has another. Of repeated rows with
-    the smallest id all are responses.
+    Null payloads are empty. A null id counts as larger than others, and is no first while there is another. Rows that
+    repeat the smallest id are no revisits.
     """
-    payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    headed = pages.withColumns({"_digest": F.sha1(payload), "_bytes": F.octet_length(payload).cast("long")})
-    heads = headed.filter(F.col("_bytes") >= least_bytes).groupBy("_digest", "_bytes").agg(F.count("*").alias("_many"), F.min(id_col).alias("_first")).filter("_many > 1").drop("_many")
-    return headed.join(heads, ["_digest", "_bytes"], "left")
+    heads = _headed(pages, payload_col).select(id_col, "_digest", "_bytes").filter(F.col("_bytes") >= least_bytes)
+    firsts = heads.groupBy("_digest").agg(F.count("*").alias("_many"), F.min(id_col).alias("_first")).filter("_many > 1 and _first is not null").drop("_many")
+    return heads.join(firsts, "_digest").filter(~F.col(id_col).eqNullSafe(F.col("_first"))).select(id_col, "_digest", "_first").distinct()
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
@@ -45,9 +48,15 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     Ids and addresses may be null. Characters that would end a header line are percent-encoded in addresses.
     """
-    resolved = resolve_revisits(pages, id_col, payload_col, least_bytes)
-    revisit = F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(F.col(id_col))
-    shaped = resolved.select(F.col(id_col).cast("string").alias("id"), F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"[\x00-\x20]", "%20").alias("url"), "_digest", "_bytes", F.col("_first").cast("string").alias("first"), revisit.alias("revisit"), F.when(~revisit, F.coalesce(F.col(payload_col).cast("string"), F.lit(""))).alias("payload"))
+    total = pages.agg(F.sum(F.octet_length(payload_col))).first()[0] or 0
+    files = max(1, -(-total // ARCHIVE_BYTES), min(C.shuffle_partitions(pages.sparkSession), total // (4 << 20)))
+    keyed = {"_k": F.coalesce(F.col(id_col).cast("string"), F.lit(""))}
+    key = ["_k", "_digest"]
+    again = revisits(pages, id_col, payload_col, least_bytes).withColumns(keyed).select(*key, F.col("_first").cast("string").alias("first"))
+    # Payloads go by their page, so that a payload with many copies is spread; a revisit's isn't written.
+    resolved = _headed(pages, payload_col).withColumns(keyed).repartition(files, *key).join(again, key, "left")
+    revisit = F.col("first").isNotNull()
+    shaped = resolved.select(F.col(id_col).cast("string").alias("id"), F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"[\x00-\x20]", "%20").alias("url"), "_digest", "_bytes", "first", revisit.alias("revisit"), F.when(~revisit, F.coalesce(F.col(payload_col).cast("string"), F.lit(""))).alias("payload"))
     names = ["id", "url", "_digest", "_bytes", "first", "revisit", "payload"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,9 +73,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             yield pa.RecordBatch.from_arrays([pa.array(records, pa.string())], names=["value"])
 
     records = shaped.mapInArrow(run, "value string")
-    total = pages.agg(F.sum(F.octet_length(payload_col))).first()[0] or 0
-    files = max(1, int(np.ceil(total / ARCHIVE_BYTES)), min(C.shuffle_partitions(pages.sparkSession), int(total // (4 << 20))))
-    records.repartition(files).write.option("lineSep", EOL + EOL).option("compression", "gzip").text(path)
+    records.write.option("lineSep", EOL + EOL).option("compression", "gzip").text(path)
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
