@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from .embedding_dedup import op5_embedding_near_dedup
+from .language_id import op3_language_id
+from .lm import op7_lm_scoring
+from .mixing import op6_source_mixing
 from .packing import op2_best_fit_packing
 from .quality_classifier import op8_quality_classifier
 from .quality_rules import op9_quality_rules
@@ -13,8 +16,11 @@ from .warc import op10_warc_revisits
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_language_id": op3_language_id,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_source_mixing": op6_source_mixing,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc_revisits": op10_warc_revisits,
