@@ -31,7 +31,7 @@ SHARD = 600_000
 HOT = 8192
 
 _BASE = 0x9E3779B97F4A7C15
-_SEGMENTS = pa.schema([("_id", pa.int64()), ("_th", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("owner", pa.int64()), ("seg", pa.int64())])
+_SEGMENTS = pa.schema([("_id", pa.int64()), ("_th", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("times", pa.int32()), ("owner", pa.int64()), ("seg", pa.int64())])
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -115,7 +115,12 @@ def _find_segments(min_len: int):
                         start, count, owner, seg, doc = (np.r_[a[whole], b] for a, b in zip((first, count, owner, seg, doc), extra, strict=True))
                     else:
                         start, doc = start + piece, np.full(len(start), at)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(hashes[doc]), pa.array((start - offsets[doc]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(owner), pa.array(seg)], schema=_SEGMENTS)
+                    # Periodic text gives one segment again and again; these rows are one with their number.
+                    new = np.r_[True, (owner[1:] != owner[:-1]) | (seg[1:] != seg[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + count[:-1])][: len(start)]
+                    at_row = np.flatnonzero(new)
+                    times = np.diff(np.r_[at_row, len(start)])
+                    start, doc, count, owner, seg = (x[at_row] for x in (start, doc, count, owner, seg))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(hashes[doc]), pa.array((start - offsets[doc]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(times.astype(np.int32)), pa.array(owner), pa.array(seg)], schema=_SEGMENTS)
                 at = upto
 
     return run
@@ -233,8 +238,8 @@ def _repeated(keyed: DataFrame, min_len: int, hot: int) -> DataFrame:
     """(_id, _th, starts) of the documents in keyed (_id, _th, _data and others) that have repeats."""
     spark = keyed.sparkSession
     ready = keyed.filter(F.length("_data") >= min_len).select("_id", "_th", "_data")
-    segments = C.materialize(ready.mapInArrow(_find_segments(min_len), "_id long, _th int, start int, n int, owner long, seg long"), "segments")
-    folded = segments.groupBy("owner", "seg").agg(F.count("*").alias("many"), F.min(F.struct("_id", "_th", "start", "n")).alias("rep"))
+    segments = C.materialize(ready.mapInArrow(_find_segments(min_len), "_id long, _th int, start int, n int, times int, owner long, seg long"), "segments")
+    folded = segments.groupBy("owner", "seg").agg(F.sum("times").alias("many"), F.min(F.struct("_id", "_th", "start", "n")).alias("rep"))
     owners = folded.groupBy("owner").agg(F.sum("many").alias("total"), F.count("*").alias("differ")).filter("total > 1")
     reps = C.materialize(folded.join(owners, "owner").select("rep.*", "owner", "seg", "many", (F.col("differ") > hot).alias("hot")), "representatives")
     per_doc = reps.groupBy("_id", "_th").agg(F.collect_list(F.struct("start", "n", "owner", "seg", "many", "hot")).alias("reps"))
@@ -250,7 +255,7 @@ def _repeated(keyed: DataFrame, min_len: int, hot: int) -> DataFrame:
         spans = sort(cut.filter("not hot")).unionByName(_hot_spans(cut.filter("hot").select("owner", "seg", "many", "text"), min_len))
     # A repeated row gives its segment more than once.
     spans = spans.groupBy("owner", "seg").agg(F.first("spans").alias("spans"))
-    moved = F.transform("spans", lambda v, i: F.when(i % 2 == 0, v + F.col("start")).otherwise(v))
+    moved = F.when(F.col("times") > 1, F.array(F.col("start"), F.col("n") * F.col("times"))).otherwise(F.transform("spans", lambda v, i: F.when(i % 2 == 0, v + F.col("start")).otherwise(v)))
     return segments.join(spans, ["owner", "seg"]).select("_id", "_th", moved.alias("spans")).groupBy("_id", "_th").agg(F.flatten(F.collect_list("spans")).alias("starts"))
 
 
