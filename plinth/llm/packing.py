@@ -169,8 +169,7 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataF
     table = _places(combinations(histogram, capacity), capacity)
     before = counts.select("length", "_bucket", (F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(*order)).cast("long")
-    # before has at most capacity x buckets rows
-    ranked = dealt.withColumn("_own", own).join(F.broadcast(before), ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_own") - 1)
+    ranked = dealt.withColumn("_own", own).join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_own") - 1)
     rest = pieces.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
