@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("scalar", "retrieval")
+MODULES: tuple[str, ...] = ("scalar", "retrieval", "tables", "operations")
 
 
 def queries() -> dict:
