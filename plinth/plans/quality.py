@@ -78,7 +78,7 @@ def split(spark, sf_dir):
             for text in b.column(1).to_pylist():
                 pieces = K.split_text(text or "", 512)
                 at = K.offsets_of(text or "", pieces)
-                gaps = "".join((text or "")[x + len(p) : y] for x, p, y in zip(at, pieces, [*at[1:], len(text or "")], strict=True))
+                gaps = "".join((text or "")[x + len(p) : y] for x, p, y in zip(at, pieces, [*at[1:], len(text or "")], strict=bool(text)))
                 chars.append(len(text or ""))
                 whole.append(all(len(p) <= 512 for p in pieces) and not gaps.strip())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(chars, pa.int64()), pa.array(whole)], names=["doc_id", "chars", "whole"])
