@@ -116,3 +116,11 @@ def window_size(k: int, reranked: bool, globs: bool = False, code: bool = False)
 
 def candidate_limit(k: int, legacy: int) -> int:
     return max(legacy, min(64, max(legacy, 6 * k, 32)))
+
+
+def grown_window(base: int, found, wanted: int, there: int) -> int:
+    """The rows that a doubling search has when its page is full, the table ends, or the window reaches max(4 * base, 500). found: rows left of a window."""
+    window, most = base, max(4 * base, 500)
+    while found(window) < wanted and window < min(there, most):
+        window = min(2 * window, most, there)
+    return window

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("scalar", "retrieval", "tables", "operations", "quality", "streams")
+MODULES: tuple[str, ...] = ("scalar", "retrieval", "tables", "operations", "quality", "streams", "surface")
 
 
 def queries() -> dict:

@@ -136,3 +136,50 @@ def extract(files: DataFrame, rules: list[Rule], digests: set[str], cache: DataF
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
     return keyed.select("path", "content", "rule", "output").mapInArrow(run, "path string, state string, ordinal int, text string, title string, section string, cause string")
+
+
+def run_batch(rule: Rule, paths: list[str], contents: list[bytes], most: int = MAX_EMITTED) -> list[tuple[str, dict | None, str]]:
+    """One run for several files: the command gets a manifest [{"path", "text"}] and prints an array of outputs with their path.
+
+    If the array can't be read all files fail, else each one whose element is missing or breaks the contract; of several
+    elements for a path the last counts.
+    """
+    failed = {"skip": "skipped", "passthrough": "passthrough", "fail": "failed"}[rule.on_error]
+    manifest = json.dumps([{"path": p, "text": c.decode("utf-8", "replace")} for p, c in zip(paths, contents, strict=True)])
+    try:
+        done = subprocess.run(list(rule.command), input=manifest.encode(), capture_output=True, timeout=rule.timeout, check=False)
+        if len(done.stdout) > most or done.returncode:
+            raise OutputError("output over the limit" if not done.returncode else f"exit {done.returncode}")
+        got = json.loads(done.stdout)
+        if not isinstance(got, list):
+            raise OutputError("no array")
+    except (OutputError, OSError, subprocess.TimeoutExpired, ValueError) as e:
+        return [(failed, None, str(e)[:200]) for _ in paths]
+    last = {x["path"]: x for x in got if isinstance(x, dict) and isinstance(x.get("path"), str)}
+    out = []
+    for p in paths:
+        try:
+            out.append(("ok", checked_output(last.get(p)), ""))
+        except OutputError as e:
+            out.append((failed, None, str(e)))
+    return out
+
+
+def extract_batches(files: DataFrame, rules: list[Rule], digests: set[str]) -> DataFrame:
+    """(path, state, ordinal, text, cause) of files (path, content, rule, batch): one run a batch (see files.batches), batches on the executors."""
+    if not approved(digests, rules):
+        raise PermissionError("these extractor rules aren't approved")
+    by_name = {r.name: r for r in rules}
+
+    def run(table: pa.Table) -> pa.Table:
+        paths = table["path"].to_pylist()
+        rows = [(p, state, i, u.get("text"), cause) for p, (state, out, cause) in zip(paths, run_batch(by_name[table["rule"][0].as_py()], paths, table["content"].to_pylist()), strict=True) for i, u in enumerate(out["units"] if out else [{}])]
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["path", "state", "ordinal", "text", "cause"])
+
+    return files.groupBy("rule", "batch").applyInArrow(run, "path string, state string, ordinal int, text string, cause string")
+
+
+def headroom(new_points: int, free_bytes: int, per_point: int = 16 << 10, reserve: int = 1 << 30) -> bool:
+    """Whether a write of so many points leaves the reserve free."""
+    return new_points * per_point + reserve <= free_bytes
