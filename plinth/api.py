@@ -163,7 +163,7 @@ class Engine:
         queries = self.spark.createDataFrame([(0, qv)], "qid int, query array<double>")
         terms = V.term_weights(self.spark.createDataFrame([(0, text)], "id int, text string")).select(F.col("id").alias("qid"), "term", F.col("weight").alias("q"))
         base = rows.select("id", F.col("dense").alias("vector"), "content")
-        leg = V.hybrid(base.select("id", "vector"), queries, V.term_weights(base.select("id", F.col("content").alias("text"))), terms, window)
+        leg = V.hybrid(base.select("id", "vector"), queries, V.term_weights(base.select("id", F.col("content").alias("text")), wanted=terms), terms, window)
         page = rows.join(V.checked_broadcast(leg), "id").withColumn("pos", F.col("rank"))
         scores = R.lexical_score(terms, page.select("qid", "id", F.col("content").alias("text")))
         page = R.rerank(page.join(scores, ["qid", "id"], "left").withColumn("score", F.coalesce("rerank", F.lit(0.0))).drop("rerank"), F.col("score"), window)

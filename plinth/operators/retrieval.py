@@ -49,9 +49,11 @@ def dense_leg(table: DataFrame, queries: DataFrame, limit: int, places: int | No
     return ranked(pairs.select("qid", "id", (F.round(score, places) if places is not None else score).alias("score")).filter("score is not null and not isnan(score)"), limit)
 
 
-def term_weights(texts: DataFrame, pattern: str = r"[a-z0-9]+") -> DataFrame:
-    """(id, term, weight): 1 + ln(count) of each term of (id, text)."""
+def term_weights(texts: DataFrame, pattern: str = r"[a-z0-9]+", wanted: DataFrame | None = None) -> DataFrame:
+    """(id, term, weight): 1 + ln(count) of each term of (id, text). wanted: (term); others are left out before they are counted and shuffled."""
     terms = texts.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({pattern})"), 1)).alias("term"))
+    if wanted is not None:
+        terms = terms.join(checked_broadcast(wanted.select("term").distinct()), "term", "left_semi")
     return terms.groupBy("id", "term").agg((1 + F.log(F.count("*"))).alias("weight"))
 
 

@@ -62,7 +62,7 @@ def needles(spark, sf_dir):
     from plinth.operators import retrieval as O
 
     q = d.filter("id < 24").select(F.col("id").alias("qid"), F.concat(F.lit("needle"), F.col("id").cast("string")).alias("term"), F.lit(1.0).alias("q"))
-    top = O.sparse_leg(O.term_weights(d), q, 5)
+    top = O.sparse_leg(O.term_weights(d, wanted=q), q, 5)
     return q.join(top, "qid", "left").groupBy("qid").agg(F.max(F.coalesce(F.col("id") == F.col("qid"), F.lit(False))).alias("hit")).agg(F.count("*").alias("needles"), F.count_if("hit").alias("found"), F.avg(F.col("hit").cast("double")).alias("precision"))
 
 

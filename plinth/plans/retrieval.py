@@ -31,6 +31,11 @@ def query_terms(spark, sf_dir):
     return R.term_weights(b).select(F.col("id").alias("qid"), "term", F.col("weight").alias("q"))
 
 
+def postings(spark, sf_dir, where="true"):
+    """The postings that the queries can meet."""
+    return R.term_weights(texts(spark, sf_dir).filter(where), wanted=query_terms(spark, sf_dir))
+
+
 _COS = "round(list_dot_product(v.embedding::double[], q.embedding::double[]) / (sqrt(list_dot_product(v.embedding::double[], v.embedding::double[])) * sqrt(list_dot_product(q.embedding::double[], q.embedding::double[]))), 6)"
 
 
@@ -49,7 +54,7 @@ def sparse_sql(limit: int, where: str = "true") -> str:
 
 @plans.add("retrieve_sparse_topk", f"select qid, id, score, rank from {sparse_sql(10)}")
 def sparse_topk(spark, sf_dir):
-    return R.sparse_leg(R.term_weights(texts(spark, sf_dir)), query_terms(spark, sf_dir), 10, 6)
+    return R.sparse_leg(postings(spark, sf_dir), query_terms(spark, sf_dir), 10, 6)
 
 
 @plans.add("i06_dense_knn", f"select qid, id, score, rank from {dense_sql(20)}")
@@ -59,7 +64,7 @@ def dense(spark, sf_dir):
 
 @plans.add("i07_sparse_dot_filtered", f"select qid, id, score, rank from {sparse_sql(20, chr(39) + 'fr' + chr(39) + ' = lang')}")
 def sparse(spark, sf_dir):
-    return R.sparse_leg(R.term_weights(texts(spark, sf_dir).filter("lang = 'fr'")), query_terms(spark, sf_dir), 20, 6)
+    return R.sparse_leg(postings(spark, sf_dir, "lang = 'fr'"), query_terms(spark, sf_dir), 20, 6)
 
 
 def fused_sql(limit: int, dense_where: str = "true", sparse_where: str = "true") -> str:
@@ -69,12 +74,12 @@ def fused_sql(limit: int, dense_where: str = "true", sparse_where: str = "true")
 
 @plans.add("c01_d01_i08_hybrid_rrf", f"select qid, id, score, rank from {fused_sql(10)}")
 def fused(spark, sf_dir):
-    return R.hybrid(vectors(spark, sf_dir), query_vectors(spark, sf_dir), R.term_weights(texts(spark, sf_dir)), query_terms(spark, sf_dir), 10, places=6)
+    return R.hybrid(vectors(spark, sf_dir), query_vectors(spark, sf_dir), postings(spark, sf_dir), query_terms(spark, sf_dir), 10, places=6)
 
 
 @plans.add("b02_i12_i13_filtered_hybrid", f"select qid, id, score, rank from {fused_sql(8, 'v.label in (1, 3)', 'doc_id in (select vec_id from embeddings where label in (1, 3))')}")
 def filtered(spark, sf_dir):
-    return R.hybrid(vectors(spark, sf_dir), query_vectors(spark, sf_dir), R.term_weights(texts(spark, sf_dir)), query_terms(spark, sf_dir), 8, keep=F.col("label").isin(1, 3), places=6)
+    return R.hybrid(vectors(spark, sf_dir), query_vectors(spark, sf_dir), postings(spark, sf_dir), query_terms(spark, sf_dir), 8, keep=F.col("label").isin(1, 3), places=6)
 
 
 @plans.add("d01_single_leg", f"select qid, id, score, rank from {dense_sql(5, 'v.label = 2')}")
@@ -128,7 +133,7 @@ def vault_page(spark, sf_dir, limit: int = 40):
 
 
 def sparse_leg_of(spark, sf_dir, limit):
-    return R.sparse_leg(R.term_weights(texts(spark, sf_dir)), query_terms(spark, sf_dir), limit, 6)
+    return R.sparse_leg(postings(spark, sf_dir), query_terms(spark, sf_dir), limit, 6)
 
 
 PAGE_SQL = f"""(select l.qid, v.id, v.id // 2 as doc, round(l.score / 100, 4) as score, l.rank as pos, v.doc_type, v.status, v.path, v.tags, substr(v.content, 1, 20) as snippet,

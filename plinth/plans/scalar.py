@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions import paths as P
 from plinth.functions import text as T
+from plinth.operators.retrieval import checked_broadcast
 from plinth.plans.base import VAULT_SQL, Plans, literal, literal_sql, table, vault
 
 plans = Plans()
@@ -202,7 +203,7 @@ def evidence(spark, sf_dir):
     """Passages within documents. The benchmark is a query set of bounded size, met in blocks of all documents."""
     d = table(spark, sf_dir, "documents").select("doc_id", T.evidence_text(F.col("text")).alias("t"))
     b = table(spark, sf_dir, "benchmark").select("item_id", T.evidence_text(F.col("text")).alias("e"))
-    return d.join(F.broadcast(b), F.contains(F.col("t"), F.col("e"))).select("doc_id", "item_id")
+    return d.join(checked_broadcast(b), F.contains(F.col("t"), F.col("e"))).select("doc_id", "item_id")
 
 
 @plans.add("b27_classify_delta", f"""select kind, count(*) as n from (select case id % 6 when 0 then 'body' when 1 then 'unchanged' when 2 then 'body' when 3 then 'metadata' when 4 then 'unchanged' else 'body' end as kind from {VAULT_SQL}) group by kind""")

@@ -310,7 +310,8 @@ def engine(spark, sf_dir):
     units = literal(spark, "path string, ordinal int, text string, title string, section string", [("m.pdf", i, f"gamma {i}", "M", None) for i in range(3)])
     out = e.index_all(vault=corpus.select("key", "content"), codebase=files, document=units)
     t = e.table("vault")
-    hits = R.sparse_leg(R.term_weights(t.select("id", F.col("content").alias("text")), r"[a-z0-9_]+"), corpus.select(F.col("key").alias("qid"), F.lower("needle").alias("term"), F.lit(1.0).alias("q")), 1)
+    wanted = corpus.select(F.col("key").alias("qid"), F.lower("needle").alias("term"), F.lit(1.0).alias("q"))
+    hits = R.sparse_leg(R.term_weights(t.select("id", F.col("content").alias("text")), r"[a-z0-9_]+", wanted), wanted, 1)
     found = hits.filter(F.col("id").startswith(F.col("qid"))).count()
     e.clean()
     return literal(spark, "vault long, codebase long, document long, found long, after_clean long", [(out["vault"]["chunks"], out["codebase"]["chunks"], out["document"]["chunks"], found, sum(e.status().values()))])
