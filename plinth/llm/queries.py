@@ -25,4 +25,28 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_warc_revisits": op10_warc_revisits,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Bits of the hex digest, five by five, are the letters of base32.
+_BITS = "array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(strpos('0123456789abcdef', substr(hexed, i, 1)) - 1), 4, '0')), '')"
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(0, 5), lambda k: (substr(bits, j * 5 + k + 1, 1) = '1')::int * (1 << (4 - k)))))::int, 1)), '')".replace(")))))::int, 1)", "))))::int, 1)")
+
+_USABLE = "label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0"
+_COSINE = "list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))"
+
+ORACLE_SQL: dict[str, str] = {
+    # Bytes as pairs of hex digits; each window of 200 by its MD5.
+    "op1_suffix_array_dedup": """with docs as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
+  windows as (select doc_id, i, md5(substr(h, 2 * i + 1, 400)) as k from (select doc_id, h, unnest(range(0, n - 199)) as i from docs)),
+  hits as (select doc_id, i from windows where k in (select k from windows group by k having count(*) > 1)),
+  islands as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as g from (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 200 then 0 else 1 end as fresh from hits)),
+  spans as (select doc_id, min(i) as a, max(i) + 200 as b from islands group by doc_id, g),
+  edges as (select doc_id, a, b from spans union all select doc_id, n, n from docs),
+  parts as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a, b), 0) as lo from edges)
+  select d.doc_id, any_value(d.n) as n_bytes, sum(p.b - p.a)::bigint as n_removed, count(*) filter (where p.b > p.a) as n_spans, sha256(unhex(string_agg(substr(d.h, 2 * p.lo + 1, 2 * (p.a - p.lo)), '' order by p.a, p.b))) as kept_sha256
+  from docs d join parts p on p.doc_id = d.doc_id group by d.doc_id""",
+    "op5_embedding_near_dedup": f"""with recursive usable as (select vec_id, label, embedding::double[] as v from embeddings where {_USABLE}),
+  links as (select a.vec_id as a, b.vec_id as b from usable a join usable b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v) where {_COSINE} >= 0.98),
+  reach as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reach r join links l on l.a = r.b)
+  select e.vec_id, coalesce(n.n, 0) as n_links, c.c as component_id, e.vec_id = c.c as kept from embeddings e join (select a, min(b) as c from reach group by a) c on c.a = e.vec_id left join (select a, count(*) as n from links group by a) n on n.a = e.vec_id""",
+    "op10_warc_revisits": f"""select page_id, payload_bytes, {_BASE32} as payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+  from (select *, {_BITS} as bits from (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as hexed, min(page_id) over (partition by coalesce(html, '')) as first from pages))""",
+}
