@@ -22,7 +22,7 @@ from . import common as C
 from .hashed import row_sums, sampled_features
 
 #: Labelled rows that the classifier is fitted on, and domains that it tells apart, at most.
-SAMPLE = 6_000
+SAMPLE = 3_000
 DOMAINS = 16
 BITS = 15
 STEPS = 60
@@ -50,7 +50,7 @@ class DomainModel:
         return e / e.sum()
 
 
-def fit_domains(docs: DataFrame, labelled: DataFrame, domain: str = "domain", sample: int = SAMPLE, rounds: int = 150, rate: float = 0.1, ridge: float = 1e-4) -> DomainModel:
+def fit_domains(docs: DataFrame, labelled: DataFrame, domain: str = "domain", sample: int = SAMPLE, rounds: int = 100, rate: float = 0.15, ridge: float = 1e-4) -> DomainModel:
     """Multinomial logistic regression on at most sample labelled rows (doc_id, domain). The most frequent DOMAINS - 1 domains keep their names; others are "other"."""
     names, ids, starts = sampled_features(docs, labelled, domain, sample, features=text_features)
     if not len(names):
@@ -107,7 +107,7 @@ def _rates(x: np.ndarray, steps: list[np.ndarray], least: float) -> np.ndarray:
     return r
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, least: float = 0.0, steps: int = STEPS, tolerance: float = 1e-3) -> tuple[list[np.ndarray], float]:
+def fit_rates(members: DataFrame, targets: np.ndarray, least: float = 0.0, steps: int = STEPS, tolerance: float = 1e-3, gain: float = 1e-3) -> tuple[list[np.ndarray], float]:
     """(steps, mean tokens): gradient steps by domain, scaled so that a row's rate falls by x @ step, x being its tokens * posterior over the mean tokens.
 
     members: n_tokens and posterior; it is read once a step. targets: expected tokens by domain.
@@ -117,6 +117,7 @@ def fit_rates(members: DataFrame, targets: np.ndarray, least: float = 0.0, steps
     n, mean = whole["n"], max((whole["t"] or 0) / max(whole["n"], 1), 1e-9)
     goal = targets / mean
     done: list[np.ndarray] = []
+    before = np.inf
     curve: np.ndarray | None = None
 
     def totals(steps: list[np.ndarray], square: bool) -> np.ndarray:
@@ -139,8 +140,12 @@ def fit_rates(members: DataFrame, targets: np.ndarray, least: float = 0.0, steps
     for step in range(steps if n else 0):
         v = totals(done, step % 10 == 0)
         miss = v[:k] - goal
+        size = float(np.sqrt((miss**2).sum()))
         if np.abs(miss).max() <= tolerance * max(goal.max(), 1e-9):
             break
+        if size > before * (1 - gain):  # rates at their least keep it from coming nearer
+            break
+        before = size
         if step % 10 == 0:
             curve = v[k:].reshape(k, k)
         # The objective's curvature over domains' totals; the step is the gradient's, in the metric that evens its eigenvalues out.
