@@ -180,8 +180,172 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# Similar texts: wider fingerprints, cells of fewer segments, and shingle sets as the exact check.
+
+WORDS = 3
+GRIDS, SEGMENTS = 60, 10
+#: Differing bits of the wide fingerprints up to which a pair is verified: texts of similarity 0.8 differ in 29 on average, and in 5 more or less.
+WIDE_BITS = 42
+
+
+def shingle_set(text: bytes, words_per_shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles (fewer words: of all of them; none: none)."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    k = min(words_per_shingle, len(words))
+    joined = b" ".join(words)
+    edges = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=edges[1:])
+    digest = xxhash.xxh64_digest
+    return np.unique(np.frombuffer(b"".join([digest(joined[s:e], seed) for s, e in zip(edges[: len(words) - k + 1].tolist(), (edges[k:] - 1).tolist(), strict=True)]), ">u8").astype(np.uint64))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WORDS 64-bit fingerprints of a set, each from hashes that are mixed anew."""
+    out = np.zeros(WORDS, np.uint64)
+    for w in range(WORDS if len(hashes) else 0):
+        x = hashes + np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        bits = (x ^ (x >> np.uint64(31))).view(np.uint8).reshape(-1, 8)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(bits), 255):
+            ones += np.add.reduce(np.unpackbits(bits[at : at + 255], axis=1), axis=0, dtype=np.uint8)
+        out[w] = np.packbits(2 * ones > len(bits)).view(np.uint64)[0]
+    return out
+
+
+def _each_text(names: list[str], types: list[pa.DataType], of):
+    """An Arrow step over (id, text): the id and of(text)'s values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in C.batches_of(batches, 8 << 20):
+            offsets, data = C.utf8_column(b.column(1))
+            view, at = memoryview(data), offsets.tolist()
+            rows = [of(bytes(view[s:e])) for s, e in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names=names)
+
+    return run
+
+
+def _wide_links(most: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        near = np.bitwise_count(_unary(x) ^ _unary(y)).sum(axis=-1, dtype=np.int64) <= most
+        at = np.flatnonzero(near)
+        near[at] = np.bitwise_count((x[at] if x.ndim > 1 else x) ^ y[at]).sum(axis=-1, dtype=np.int64) <= most
+        return near
+
+    def forest(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that are near and span the linked sets of a cell, as places."""
+        left = np.arange(len(points))
+        ends, from_ = [], []
+        while len(left):
+            wave, left = [left[0]], left[1:]
+            while wave and len(left):
+                p = wave.pop()
+                near = distance(points[p], points[left])
+                hit, left = left[near], left[~near]
+                ends.append(hit)
+                from_.append(np.full(len(hit), p))
+                wave += hit.tolist()
+        return (np.concatenate(ends), np.concatenate(from_)) if ends else (left, left)
+
+    def batch(keys: np.ndarray, nodes: np.ndarray, points: np.ndarray) -> pa.RecordBatch:
+        starts, lengths = C.runs(keys)
+        many = lengths > 1
+        starts, lengths = starts[many], lengths[many]
+        small = lengths <= 2 * SMALL_CELL
+        at = C.ranges(starts[small], lengths[small])
+        end = np.repeat(starts[small] + lengths[small], lengths[small])
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lag in range(1, 2 * SMALL_CELL):
+            i = at[at + lag < end]
+            i = i[distance(points[i], points[i + lag])]
+            left.append(nodes[i])
+            right.append(nodes[i + lag])
+        for s, n in zip(starts[~small], lengths[~small], strict=True):
+            a, b = forest(points[s : s + n])
+            left.append(nodes[s + a])
+            right.append(nodes[s + b])
+        a, b = np.concatenate(left), np.concatenate(right)
+        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by cell; a cell that a batch may not hold whole waits for the next."""
+        held = np.zeros((0, 2 + WORDS), np.int64)
+        for b in batches:
+            held = np.r_[held, np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(2 + WORDS)], axis=1)]
+            whole = int(np.searchsorted(held[:, 0], held[-1, 0])) if len(held) else 0
+            if whole > 20_000:
+                yield batch(held[:whole, 0], held[:whole, 1], np.ascontiguousarray(held[:whole, 2:]).view(np.uint64))
+                held = held[whole:]
+        if len(held):
+            yield batch(held[:, 0], held[:, 1], np.ascontiguousarray(held[:, 2:]).view(np.uint64))
+
+    return run
+
+
+def _similar(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(x) + len(y) - len(np.union1d(x, y)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
+                keep.append(both >= least * (len(x) + len(y) - both))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
+
+    return run
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, least: float = 0.8, grids: int = GRIDS, segments: int = SEGMENTS, most_bits: int = WIDE_BITS, seed: int = 7) -> DataFrame:
+    """(node, component): of texts that another one resembles, the smallest ids of equal ones, and the smallest id that links reach.
+
+    Linked are texts whose sets of shingles have a similarity (shared over all) of least or more: pairs that share the counts
+    of segments of one of grids random choices, differ in most_bits of 192 bits or fewer, and pass the exact check. Equal
+    sets are one point; wordless texts are equal. More documents want more segments in a grid, and so more grids. Rows of
+    a null id are left out.
+    """
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    words = [f"f{i}" for i in range(WORDS)]
+    prints = rows.mapInArrow(_each_text(["id", *words], [pa.int64()] * WORDS, lambda t: wide_fingerprint(shingle_set(t, words_per_shingle)).view(np.int64).tolist()), "id long, " + ", ".join(f"{w} long" for w in words))
+    points = C.materialize(prints.groupBy(*words).agg(F.min("id").alias("node")), "points")
+    rng = np.random.default_rng(seed)
+    masks = []
+    for _ in range(grids):
+        chosen = rng.choice(32 * WORDS, segments, replace=False)
+        m = [sum(3 << (2 * int(c % 32)) for c in chosen if c // 32 == w) for w in range(WORDS)]
+        masks.append(F.array(*(F.lit(x - (1 << 64) if x >> 63 else x) for x in m)))
+
+    def unary(name: str) -> F.Column:
+        fp, half = F.col(name), F.shiftrightunsigned(name, 1)
+        return fp.bitwiseOR(half).bitwiseAND(F.lit(ODD)).bitwiseOR(F.shiftleft(fp.bitwiseAND(half).bitwiseAND(F.lit(ODD)), 1))
+
+    counted = points.select("node", *words, *(unary(w).alias(f"c{i}") for i, w in enumerate(words)))
+    cells = counted.select("*", F.posexplode(F.array(*masks)).alias("grid", "mask"))
+    cells = cells.select(F.xxhash64("grid", *(F.col(f"c{i}").bitwiseAND(F.col("mask")[i]) for i in range(WORDS))).alias("cell"), "node", *words)
+    pairs = C.materialize(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_wide_links(most_bits), "a long, b long").distinct(), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = rows.join(ends, "id", "left_semi").mapInArrow(_each_text(["node", "shingles"], [pa.binary()], lambda t: (shingle_set(t, words_per_shingle).tobytes(),)), "node long, shingles binary")
+    # A repeated row gives its set twice; equal ones are one.
+    sets = C.materialize(sets.groupBy("node").agg(F.min("shingles").alias("shingles")), "sets")
+    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    return components(met.mapInArrow(_similar(least), "a long, b long"))
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each linked set stays, that with the smallest doc_id, and of repeated rows one. Rows without a doc_id can't be named and stay."""
-    first = simhash_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each set stays, that with the smallest doc_id, and of repeated rows one. Rows without a doc_id can't be named and stay.
+
+    Sets are those of op4's links (four words, four bits) and of texts whose five-word shingles have a similarity of 0.8 or more.
+    """
+    exact = simhash_components(docs).filter("doc_id is not null").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    like = similar_components(docs).select(F.col("node").alias("a"), F.col("component").alias("b"))
+    sets = components(exact.unionByName(like))
+    gone = sets.filter("node <> component").select(F.col("node").alias("doc_id"))
+    kept = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     return kept.select(docs.columns).unionByName(docs.filter("doc_id is null"))

@@ -299,3 +299,43 @@ def test_empty_tables(empty):
     assert suffix_dedup.suffix_array_dedup(empty).count() == 0
     assert simhash.simhash_components(empty).count() == 0
     assert packing.packed_documents(empty).count() == 0
+
+
+def test_similar_texts(spark):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(30):
+        base = words(rng, 120).split()
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 6, 12):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = f"new{rng.random()}"
+            texts.append(" ".join(copy))
+    texts += [texts[0], texts[0].upper(), None, "", " \n", "a b", "A  B", words(rng, 3000)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[3], (None, texts[3])], "doc_id long, text string").repartition(3)
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+
+    def near(i, j):
+        return len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+
+    root = sets_by_hand(len(texts), near)
+    found = {r["node"]: r["component"] for r in simhash.similar_components(docs).collect()}
+    equal = {}
+    for i, s in enumerate(sets):
+        equal.setdefault(frozenset(s), i)
+    mine = [found.get(equal[frozenset(s)], equal[frozenset(s)]) for s in sets]
+    wrong = [i for i in range(len(texts)) if mine[i] != root[i]]
+    assert all(root[mine[i]] == root[i] for i in range(len(texts)))  # no link below the similarity
+    assert len(wrong) <= 0.05 * len(texts)
+    kept = [r["doc_id"] for r in simhash.near_dedup_stage(spark, docs, "").select("doc_id").collect()]
+    named = [i for i in kept if i is not None]
+    assert len(kept) == len(named) + 1 and len(named) == len(set(named)) and 0 in named
+    assert 30 <= len(named) <= len(set(root)) + len(wrong)  # links by bits may join more
+    assert simhash.similar_components(docs.limit(0)).count() == 0
