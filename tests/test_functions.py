@@ -137,3 +137,7 @@ def test_stamps():
     assert M.compatible(s) == "ok" and M.compatible(None) == "unstamped" and M.compatible({**s, "version": 9}) == "newer" and M.compatible({**s, "width": 3}) == "width"
     assert M.conformance(s, s, 1024) == "conforming" and M.conformance(s, s, 3) == "nonconforming" and M.conformance(None, s, 1) == "unverifiable"
     assert M.epoch(a=1) != M.epoch(a=2)
+
+
+def test_headroom():
+    assert X.headroom(1, 2 << 30) and not X.headroom(1, 1 << 30)
