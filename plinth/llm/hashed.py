@@ -79,7 +79,7 @@ def sampled_features(docs: DataFrame, labels: DataFrame, label: str, rows: int,
     width = ids.value_lengths().to_numpy(zero_copy_only=False)
     order = np.lexsort((width, np.array(got.column("_label").to_pylist(), object).astype(str)))  # rows come in any order
     starts = np.r_[0, np.cumsum(width)]
-    flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = ids.flatten().to_numpy(zero_copy_only=False)
     return np.array(got.column("_label").to_pylist(), object)[order], flat[C.ranges(starts[:-1][order], width[order])], np.r_[0, np.cumsum(width[order])]
 
 

@@ -39,7 +39,7 @@ def fit_ordinal(grades: np.ndarray, ids: np.ndarray, starts: np.ndarray, levels:
     """
     n = len(grades)
     share = np.bincount(grades, minlength=levels) / n
-    found, lifts = telling(ids, np.repeat(grades, np.diff(starts)), share, bits)
+    found, lifts = telling(ids, np.repeat(grades.astype(np.int8), np.diff(starts)), share, bits)
     shapes = shape_ids(bits)
     keep = (found >= evidence) & (lifts[:-1].max(axis=0) >= lift)
     keep[shapes] = np.bincount(ids, minlength=1 << bits)[shapes] >= 5
