@@ -11,6 +11,7 @@ Copies share a fingerprint and are one point. A cell's links are returned as a f
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -183,11 +184,18 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Similar texts: wider fingerprints, cells of fewer segments, and shingle sets as the exact check.
 
 WORDS = 3
-GRIDS, SEGMENTS = 60, 10
+#: Texts in a cell, about; shares of segments that agree by chance and at a similarity of 0.8; and how often a pair of that similarity meets.
+CELL, CHANCE, AGREE, MEETINGS = 12, 0.375, 0.73, 3.0
 #: Differing bits of the wide fingerprints up to which a pair is verified: texts of similarity 0.8 differ in 29 on average, and in 5 more or less.
 WIDE_BITS = 42
 
 
+def grid_shape(points: int) -> tuple[int, int]:
+    """(segments, grids): cells keep their size however many points there are, and a pair of similarity 0.8 meets in MEETINGS cells on average."""
+    segments = max(6, math.ceil(math.log(max(points / CELL, 1)) / -math.log(CHANCE)))
+    return segments, math.ceil(MEETINGS / AGREE**segments)
+
+
 def shingle_set(text: bytes, words_per_shingle: int = 5, seed: int = 42) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles (fewer words: of all of them; none: none)."""
     words = text.lower().split()
@@ -303,18 +311,18 @@ def _similar(least: float):
     return run
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, least: float = 0.8, grids: int = GRIDS, segments: int = SEGMENTS, most_bits: int = WIDE_BITS, seed: int = 7) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, least: float = 0.8, most_bits: int = WIDE_BITS, seed: int = 7) -> DataFrame:
     """(node, component): of texts that another one resembles, the smallest ids of equal ones, and the smallest id that links reach.
 
     Linked are texts whose sets of shingles have a similarity (shared over all) of least or more: pairs that share the counts
-    of segments of one of grids random choices, differ in most_bits of 192 bits or fewer, and pass the exact check. Equal
-    sets are one point; wordless texts are equal. More documents want more segments in a grid, and so more grids. Rows of
-    a null id are left out.
+    of the segments of one of grid_shape()'s random choices, differ in most_bits of 192 bits or fewer, and pass the exact check. Equal
+    sets are one point; wordless texts are equal. Rows of a null id are left out.
     """
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     words = [f"f{i}" for i in range(WORDS)]
     prints = rows.mapInArrow(_each_text(["id", *words], [pa.int64()] * WORDS, lambda t: wide_fingerprint(shingle_set(t, words_per_shingle)).view(np.int64).tolist()), "id long, " + ", ".join(f"{w} long" for w in words))
     points = C.materialize(prints.groupBy(*words).agg(F.min("id").alias("node")), "points")
+    segments, grids = grid_shape(points.count())
     rng = np.random.default_rng(seed)
     masks = []
     for _ in range(grids):
