@@ -181,19 +181,14 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Similar texts: wider fingerprints, cells of fewer segments, and shingle sets as the exact check.
+# Similar texts: sets of shingles that share one of their rarest members, found without loss.
 
-WORDS = 3
-#: Texts in a cell, about; shares of segments that agree by chance and at a similarity of 0.8; and how often a pair of that similarity meets.
-CELL, CHANCE, AGREE, MEETINGS = 12, 0.375, 0.73, 3.0
-#: Differing bits of the wide fingerprints up to which a pair is verified: texts of similarity 0.8 differ in 29 on average, and in 5 more or less.
-WIDE_BITS = 42
-
-
-def grid_shape(points: int) -> tuple[int, int]:
-    """(segments, grids): cells keep their size however many points there are, and a pair of similarity 0.8 meets in MEETINGS cells on average."""
-    segments = max(6, math.ceil(math.log(max(points / CELL, 1)) / -math.log(CHANCE)))
-    return segments, math.ceil(MEETINGS / AGREE**segments)
+#: Buckets with more texts are linked to a few hubs first; pairs are made only of texts that this leaves apart.
+SMALL_BUCKET, HUBS = 16, 4
+#: Shingles of COMMON texts or more in a sample (one text of SAMPLE), the LISTED most frequent ones, come last in the order of shingles. The order decides the work, not the result.
+SAMPLE, COMMON, LISTED = 16, 3, 200_000
+#: Bounds are lowered by so much, so that rounding loses no pair.
+SLACK = 1e-6
 
 
 def shingle_set(text: bytes, words_per_shingle: int = 5, seed: int = 42) -> np.ndarray:
@@ -209,94 +204,162 @@ def shingle_set(text: bytes, words_per_shingle: int = 5, seed: int = 42) -> np.n
     return np.unique(np.frombuffer(b"".join([digest(joined[s:e], seed) for s, e in zip(edges[: len(words) - k + 1].tolist(), (edges[k:] - 1).tolist(), strict=True)]), ">u8").astype(np.uint64))
 
 
-def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """WORDS 64-bit fingerprints of a set, each from hashes that are mixed anew."""
-    out = np.zeros(WORDS, np.uint64)
-    for w in range(WORDS if len(hashes) else 0):
-        x = hashes + np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        bits = (x ^ (x >> np.uint64(31))).view(np.uint8).reshape(-1, 8)
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(bits), 255):
-            ones += np.add.reduce(np.unpackbits(bits[at : at + 255], axis=1), axis=0, dtype=np.uint8)
-        out[w] = np.packbits(2 * ones > len(bits)).view(np.uint64)[0]
-    return out
+def set_key(hashes: np.ndarray) -> int:
+    """A set's name: a signed 64-bit hash of its members."""
+    return int.from_bytes(xxhash.xxh64_digest(hashes.tobytes(), 1), "big", signed=True)
+
 
+def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, Iterator[bytes]]]:
+    for b in C.batches_of(batches, 8 << 20):
+        offsets, data = C.utf8_column(b.column(column))
+        view, at = memoryview(data), offsets.tolist()
+        yield b, (bytes(view[s:e]) for s, e in zip(at[:-1], at[1:], strict=True))
 
-def _each_text(names: list[str], types: list[pa.DataType], of):
-    """An Arrow step over (id, text): the id and of(text)'s values."""
 
+def _keys(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.batches_of(batches, 8 << 20):
-            offsets, data = C.utf8_column(b.column(1))
-            view, at = memoryview(data), offsets.tolist()
-            rows = [of(bytes(view[s:e])) for s, e in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names=names)
+        for b, texts in _texts(batches, 1):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_key(shingle_set(t, k)) for t in texts], pa.int64())], names=["id", "key"])
 
     return run
 
 
-def _wide_links(most: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _shingles(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _texts(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *(shingle_set(t, k) for t in texts)]).view(np.int64))], names=["shingle"])
 
-    def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        near = np.bitwise_count(_unary(x) ^ _unary(y)).sum(axis=-1, dtype=np.int64) <= most
-        at = np.flatnonzero(near)
-        near[at] = np.bitwise_count((x[at] if x.ndim > 1 else x) ^ y[at]).sum(axis=-1, dtype=np.int64) <= most
-        return near
-
-    def forest(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs that are near and span the linked sets of a cell, as places."""
-        left = np.arange(len(points))
-        ends, from_ = [], []
-        while len(left):
-            wave, left = [left[0]], left[1:]
-            while wave and len(left):
-                p = wave.pop()
-                near = distance(points[p], points[left])
-                hit, left = left[near], left[~near]
-                ends.append(hit)
-                from_.append(np.full(len(hit), p))
-                wave += hit.tolist()
-        return (np.concatenate(ends), np.concatenate(from_)) if ends else (left, left)
-
-    def batch(keys: np.ndarray, nodes: np.ndarray, points: np.ndarray) -> pa.RecordBatch:
-        starts, lengths = C.runs(keys)
-        many = lengths > 1
-        starts, lengths = starts[many], lengths[many]
-        small = lengths <= 2 * SMALL_CELL
-        at = C.ranges(starts[small], lengths[small])
-        end = np.repeat(starts[small] + lengths[small], lengths[small])
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for lag in range(1, 2 * SMALL_CELL):
-            i = at[at + lag < end]
-            i = i[distance(points[i], points[i + lag])]
-            left.append(nodes[i])
-            right.append(nodes[i + lag])
-        for s, n in zip(starts[~small], lengths[~small], strict=True):
-            a, b = forest(points[s : s + n])
-            left.append(nodes[s + a])
-            right.append(nodes[s + b])
-        a, b = np.concatenate(left), np.concatenate(right)
-        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
+    return run
+
+
+def _sets(k: int):
+    """(key, shingles) of (key, text). A repeated id may bring another text than the key's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, texts in _texts(batches, 1):
+            own = [(key, s.tobytes()) for key, t in zip(b.column(0).to_pylist(), texts, strict=True) if set_key(s := shingle_set(t, k)) == key]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in own], pa.int64()), pa.array([r[1] for r in own], pa.binary())], names=["key", "shingles"])
+
+    return run
+
+
+def _prefixes(k: int, least: float, common: np.ndarray, level: np.ndarray):
+    """The first shingles of each set: two sets of a similarity of least or more have their first shared one among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by cell; a cell that a batch may not hold whole waits for the next."""
-        held = np.zeros((0, 2 + WORDS), np.int64)
+        for b, texts in _texts(batches, 1):
+            first, keys, sizes = [np.zeros(0, np.uint64)], [], []
+            for key, t in zip(b.column(0).to_pylist(), texts, strict=True):
+                s = shingle_set(t, k)
+                if not len(s) or set_key(s) != key:
+                    continue
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    s = s[np.argsort(np.where(common[at] == s, level[at], 0), kind="stable")]
+                keys.append(key)
+                sizes.append(len(s))
+                first.append(s[: len(s) - math.ceil(least * len(s) - SLACK) + 1])
+            n = np.array([len(f) for f in first[1:]], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(first).view(np.int64)),
+                    pa.array(np.repeat(np.array(keys, np.int64), n)),
+                    pa.array(np.repeat(np.array(sizes, np.int32), n)),
+                    pa.array(C.ranges(np.zeros(len(n), np.int64), n).astype(np.int32)),
+                ],
+                names=["shingle", "key", "size", "place"],
+            )
+
+    return run
+
+
+def _buckets(of):
+    """An Arrow step: of(rows) for rows sorted by their first column; a bucket that a batch may not hold whole waits for the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, new, waiting = None, [], 0
         for b in batches:
-            held = np.r_[held, np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(2 + WORDS)], axis=1)]
-            whole = int(np.searchsorted(held[:, 0], held[-1, 0])) if len(held) else 0
-            if whole > 20_000:
-                yield batch(held[:whole, 0], held[:whole, 1], np.ascontiguousarray(held[:whole, 2:]).view(np.uint64))
-                held = held[whole:]
-        if len(held):
-            yield batch(held[:, 0], held[:, 1], np.ascontiguousarray(held[:, 2:]).view(np.uint64))
+            new.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]))
+            waiting += b.num_rows
+            if waiting < 20_000:
+                continue
+            held = np.concatenate(([held] if held is not None else []) + new, axis=1)
+            new, waiting = [], 0
+            if whole := int(np.searchsorted(held[0], held[0, -1])):
+                yield from of(held[:, :whole])
+                held = held[:, whole:]
+        if held is not None or new:
+            yield from of(np.concatenate(([held] if held is not None else []) + new, axis=1))
 
     return run
 
 
+def _may(size: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets can be similar whose first shared shingle is the bucket's: all that they share comes from there on."""
+    x, y = size[i], size[j]
+    rest = np.minimum(x - place[i], y - place[j])
+    return (np.minimum(x, y) >= least * np.maximum(x, y) - SLACK) & (rest >= least / (1 + least) * (x + y) - SLACK)
+
+
+def _meetings(least: float):
+    """(shingle, a, b, size, place): pairs (size 0) of small buckets and of large ones with their hub; and the rows of large buckets."""
+    names = ["shingle", "a", "b", "size", "place"]
+
+    def of(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        shingle, key, size, place = rows
+        starts, lengths = C.runs(shingle)
+        small = lengths <= SMALL_BUCKET
+        at = C.ranges(starts[small], lengths[small])
+        end = np.repeat(starts[small] + lengths[small], lengths[small])
+        pairs = [np.zeros((2, 0), np.int64)]
+        for lag in range(1, SMALL_BUCKET):
+            i = at[at + lag < end]
+            i = i[_may(size, place, i, i + lag, least)]
+            pairs.append(np.stack([key[i], key[i + lag]]))
+        for s, n in zip(starts[~small], lengths[~small], strict=True):
+            i = np.arange(s, s + n)
+            mixed = (key[i] ^ (shingle[s] % HUBS)).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            hub = np.full(n, s + np.argmin(mixed ^ (mixed >> np.uint64(29))))
+            ok = _may(size, place, i, hub, least)
+            pairs.append(np.stack([key[i[ok]], key[hub[ok]]]))
+        two = np.concatenate(pairs, axis=1)
+        two = np.unique(np.sort(two[:, two[0] != two[1]], axis=0), axis=1)
+        large = C.ranges(starts[~small], lengths[~small])
+        none = np.zeros(two.shape[1], np.int64)
+        out = np.concatenate([np.stack([none, two[1], two[0], none, none]), np.stack([shingle[large], key[large], key[large], size[large], place[large]])], axis=1)
+        yield pa.RecordBatch.from_arrays([*map(pa.array, out[:3]), *(pa.array(c.astype(np.int32)) for c in out[3:])], names=names)
+
+    return _buckets(of)
+
+
+def _apart(least: float):
+    """(a, b): all pairs of a bucket that can be similar and are of different components."""
+
+    def of(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        shingle, key, size, place, component = rows
+        found, held = [], 0
+        for s, n in zip(*C.runs(shingle), strict=True):
+            part = component[s : s + n]
+            if (part == part[0]).all():
+                continue
+            # Sizes come sorted, so the sets that are not too long for one follow it.
+            until = np.searchsorted(size[s : s + n], size[s : s + n] / least + SLACK, side="right") + s
+            for i in range(s, s + n - 1):
+                j = np.arange(i + 1, until[i - s])
+                j = j[component[j] != component[i]]
+                j = j[_may(size, place, np.full(len(j), i), j, least)]
+                if len(j):
+                    found.append(np.stack([np.maximum(key[j], key[i]), np.minimum(key[j], key[i])]))
+                    held += len(j)
+                if held > 500_000:
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, np.unique(np.concatenate(found, axis=1), axis=1))], names=["a", "b"])
+                    found, held = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, np.unique(np.concatenate(found, axis=1), axis=1))], names=["a", "b"])
+
+    return _buckets(of)
+
+
 def _similar(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -311,39 +374,55 @@ def _similar(least: float):
     return run
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, least: float = 0.8, most_bits: int = WIDE_BITS, seed: int = 7) -> DataFrame:
-    """(node, component): of texts that another one resembles, the smallest ids of equal ones, and the smallest id that links reach.
+def common_shingles(texts: DataFrame, count: int, words_per_shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, levels): the most frequent shingles of a sample of texts, sorted, and the logarithms of their counts."""
+    share = max(1, min(SAMPLE, count // 5000))
+    some = texts.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).distinct()
+    counts = some.mapInArrow(_shingles(words_per_shingle), "shingle long").groupBy("shingle").count().filter(F.col("count") >= COMMON)
+    top = counts.orderBy(F.desc("count"), "shingle").limit(LISTED).toArrow()
+    hashes = top.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], (1 + np.log2(np.maximum(top.column(1).to_numpy(), 1))).astype(np.uint8)[order]
+
+
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(a, b): links of ids whose linked sets are those of all pairs of texts with a similarity of shingle sets (shared over all) of least or more.
 
-    Linked are texts whose sets of shingles have a similarity (shared over all) of least or more: pairs that share the counts
-    of the segments of one of grid_shape()'s random choices, differ in most_bits of 192 bits or fewer, and pass the exact check. Equal
-    sets are one point; wordless texts are equal. Rows of a null id are left out.
+    Shingles have one order, common ones last. Sets that are similar have their first shared shingle among the first
+    (1 - least) of each, so all that share one of these meet in its bucket; sizes and places there rule pairs out, and the
+    rest is checked on the sets. Large buckets are linked to hubs first, and then only pairs of different components are
+    checked. Equal sets are one point; wordless texts are equal. Rows of a null id are left out.
     """
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    words = [f"f{i}" for i in range(WORDS)]
-    prints = rows.mapInArrow(_each_text(["id", *words], [pa.int64()] * WORDS, lambda t: wide_fingerprint(shingle_set(t, words_per_shingle)).view(np.int64).tolist()), "id long, " + ", ".join(f"{w} long" for w in words))
-    points = C.materialize(prints.groupBy(*words).agg(F.min("id").alias("node")), "points")
-    segments, grids = grid_shape(points.count())
-    rng = np.random.default_rng(seed)
-    masks = []
-    for _ in range(grids):
-        chosen = rng.choice(32 * WORDS, segments, replace=False)
-        m = [sum(3 << (2 * int(c % 32)) for c in chosen if c // 32 == w) for w in range(WORDS)]
-        masks.append(F.array(*(F.lit(x - (1 << 64) if x >> 63 else x) for x in m)))
-
-    def unary(name: str) -> F.Column:
-        fp, half = F.col(name), F.shiftrightunsigned(name, 1)
-        return fp.bitwiseOR(half).bitwiseAND(F.lit(ODD)).bitwiseOR(F.shiftleft(fp.bitwiseAND(half).bitwiseAND(F.lit(ODD)), 1))
-
-    counted = points.select("node", *words, *(unary(w).alias(f"c{i}") for i, w in enumerate(words)))
-    cells = counted.select("*", F.posexplode(F.array(*masks)).alias("grid", "mask"))
-    cells = cells.select(F.xxhash64("grid", *(F.col(f"c{i}").bitwiseAND(F.col("mask")[i]) for i in range(WORDS))).alias("cell"), "node", *words)
-    pairs = C.materialize(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_wide_links(most_bits), "a long, b long").distinct(), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = rows.join(ends, "id", "left_semi").mapInArrow(_each_text(["node", "shingles"], [pa.binary()], lambda t: (shingle_set(t, words_per_shingle).tobytes(),)), "node long, shingles binary")
-    # A repeated row gives its set twice; equal ones are one.
-    sets = C.materialize(sets.groupBy("node").agg(F.min("shingles").alias("shingles")), "sets")
-    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    return components(met.mapInArrow(_similar(least), "a long, b long"))
+    prints = C.materialize(rows.mapInArrow(_keys(words_per_shingle), "id long, key long"), "keys")
+    points = C.materialize(prints.groupBy("key").agg(F.min("id").alias("id")), "points")
+    common, level = common_shingles(rows, points.count(), words_per_shingle)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        sets = rows.join(points.join(ends, "key"), "id").select("key", "text").mapInArrow(_sets(words_per_shingle), "key long, shingles binary")
+        sets = C.materialize(sets.dropDuplicates(["key"]), "sets")
+        met = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+        out = C.materialize(met.mapInArrow(_similar(least), "a long, b long"), "similar")
+        C.release(sets)
+        return out
+
+    first = rows.join(points, "id").select("key", "text").mapInArrow(_prefixes(words_per_shingle, least, common, level), "shingle long, key long, size int, place int")
+    met = C.materialize(first.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_meetings(least), "shingle long, a long, b long, size int, place int"), "meetings")
+    links = verified(C.materialize(met.filter("size = 0").select("a", "b").distinct(), "pairs"))
+    large = met.filter("size > 0").select("shingle", F.col("a").alias("key"), "size", "place")
+    if not large.isEmpty():
+        found = components(links).withColumnRenamed("node", "key")
+        apart = large.join(found, "key", "left").select("shingle", "key", "size", "place", F.coalesce("component", "key").alias("component"))
+        pairs = apart.repartition("shingle").sortWithinPartitions("shingle", "size").mapInArrow(_apart(least), "a long, b long").distinct()
+        links = links.unionByName(verified(C.materialize(pairs, "pairs")))
+    a, b = (points.select(F.col("key").alias(e), F.col("id").alias(f"{e}_id")) for e in "ab")
+    return links.join(a, "a").join(b, "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(node, component): of ids that similar_links() links to another one, the smallest id that links reach."""
+    return components(similar_links(docs, id_col, text_col, words_per_shingle, least))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -352,8 +431,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Sets are those of op4's links (four words, four bits) and of texts whose five-word shingles have a similarity of 0.8 or more.
     """
     exact = simhash_components(docs).filter("doc_id is not null").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    like = similar_components(docs).select(F.col("node").alias("a"), F.col("component").alias("b"))
-    sets = components(exact.unionByName(like))
+    sets = components(exact.unionByName(similar_links(docs)))
     gone = sets.filter("node <> component").select(F.col("node").alias("doc_id"))
     kept = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     return kept.select(docs.columns).unionByName(docs.filter("doc_id is null"))
