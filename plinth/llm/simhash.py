@@ -391,7 +391,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Shingles have one order, common ones last. Sets that are similar have their first shared shingle among the first
     (1 - least) of each, so all that share one of these meet in its bucket; sizes and places there rule pairs out, and the
     rest is checked on the sets. Large buckets are linked to hubs first, and then only pairs of different components are
-    checked. Equal sets are one point; wordless texts are equal. Rows of a null id are left out.
+    checked. Equal sets are one point, to which each of their ids is linked; wordless texts are equal. Rows of a null id are left out.
     """
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     prints = C.materialize(rows.mapInArrow(_keys(words_per_shingle), "id long, key long"), "keys")
@@ -417,7 +417,9 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         pairs = apart.repartition("shingle").sortWithinPartitions("shingle", "size").mapInArrow(_apart(least), "a long, b long").distinct()
         links = links.unionByName(verified(C.materialize(pairs, "pairs")))
     a, b = (points.select(F.col("key").alias(e), F.col("id").alias(f"{e}_id")) for e in "ab")
-    return links.join(a, "a").join(b, "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    named = links.join(a, "a").join(b, "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    equal = prints.withColumnRenamed("id", "a").join(points.withColumnRenamed("id", "b"), "key").filter("a > b").select("a", "b")
+    return named.unionByName(equal)
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, least: float = 0.8) -> DataFrame:

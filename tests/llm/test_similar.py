@@ -36,3 +36,24 @@ def test_pairs_inside_a_template_family(spark):
     got = found(spark, own + copies)
     lost = [i for i in range(400) if i not in got or got[i] != got.get(i + 400)]
     assert not lost
+
+
+def test_equal_sets_of_other_counts(spark):
+    """Texts that repeat the same passages in other numbers have equal sets; each has its row, and one of them stays."""
+    rng = random.Random(5)
+    texts = []
+    for i in range(20):
+        p, q = ([f"w{i}-{rng.random()}" for _ in range(rng.randrange(30, 120))] for _ in range(2))
+        texts += [p * 3 + q * 2, p * 2 + q * 3]
+    got = found(spark, texts)
+    assert got == {i: i - i % 2 for i in range(40)}
+    docs = spark.createDataFrame(list(enumerate(map(" ".join, texts))), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.near_dedup_stage(spark, docs, "").collect()) == list(range(0, 40, 2))
+
+
+def test_all_copies_of_similar_texts(spark):
+    """Each copy is linked, not only the one with the smallest id."""
+    rng = random.Random(8)
+    a = [f"a{i}" for i in range(100)]
+    b = edited(rng, a, 2)
+    assert found(spark, [a, b, a, b, a]) == dict.fromkeys(range(5), 0)
