@@ -57,3 +57,21 @@ def test_all_copies_of_similar_texts(spark):
     a = [f"a{i}" for i in range(100)]
     b = edited(rng, a, 2)
     assert found(spark, [a, b, a, b, a]) == dict.fromkeys(range(5), 0)
+
+
+def test_pairs_just_over_the_similarity(spark):
+    """Pairs at 0.8 to 0.85, of short and long texts, are all linked, and pairs just below aren't."""
+    rng = random.Random(11)
+    texts, over, under = [], [], []
+    while len(over) < 300 or len(under) < 100:
+        a = [f"w{rng.random()}" for _ in range(rng.choice((12, 40, 150, 400)))]
+        b = edited(rng, a, rng.randrange(1, max(2, len(a) // 30)))
+        if 0.8 <= (s := similarity(a, b)) <= 0.85 and len(over) < 300:
+            over.append(len(texts))
+        elif 0.7 <= s < 0.8 and len(under) < 100:
+            under.append(len(texts))
+        else:
+            continue
+        texts += [a, b]
+    got = found(spark, texts)
+    assert got == {j: i for i in over for j in (i, i + 1)}
