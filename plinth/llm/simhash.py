@@ -183,8 +183,8 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Similar texts: sets of shingles that share one of their rarest members, found without loss.
 
-#: Buckets with more texts are linked to a few hubs first; pairs are made only of texts that this leaves apart.
-SMALL_BUCKET, HUBS = 16, 4
+#: Buckets with more texts are linked to a hub first; pairs are made only of texts that this leaves apart.
+SMALL_BUCKET = 16
 #: Shingles of COMMON texts or more in a sample (one text of SAMPLE), the LISTED most frequent ones, come last in the order of shingles. The order decides the work, not the result.
 SAMPLE, COMMON, LISTED = 16, 3, 200_000
 #: Bounds are lowered by so much, so that rounding loses no pair.
@@ -317,9 +317,9 @@ def _meetings(least: float):
             i = i[_may(size, place, i, i + lag, least)]
             pairs.append(np.stack([key[i], key[i + lag]]))
         for s, n in zip(starts[~small], lengths[~small], strict=True):
+            # The set in which fewest members are rarer than the shared one: of a family of copies, the one with the fewest edits.
             i = np.arange(s, s + n)
-            mixed = (key[i] ^ (shingle[s] % HUBS)).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            hub = np.full(n, s + np.argmin(mixed ^ (mixed >> np.uint64(29))))
+            hub = np.full(n, s + np.lexsort((key[i], size[i], place[i]))[0])
             ok = _may(size, place, i, hub, least)
             pairs.append(np.stack([key[i[ok]], key[hub[ok]]]))
         two = np.concatenate(pairs, axis=1)
