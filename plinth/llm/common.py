@@ -9,8 +9,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 WORD = r"[^\x20\x09-\x0D]+"
 _SERIAL = itertools.count()
@@ -74,9 +75,11 @@ def utf8_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return offsets, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
-def doc_key(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Adds _id (id, 0 for null) and _th (a 32-bit hash of id and text), which tells apart the rows that share an id: joins on both keep repeated rows with their equals."""
-    return df.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), "_th": F.hash(F.col(id_col), F.col(text_col))})
+def doc_key(df: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """_id and _th, by which rows join with their equals: the id (its hash where it is no integer, the text's where it is null) and a 32-bit hash of id and text, which tells apart the rows that share an id."""
+    own = F.col(id_col)
+    whole = own.cast("long") if isinstance(df.schema[id_col].dataType, IntegralType) else F.when(own.isNotNull(), F.xxhash64(own))
+    return F.coalesce(whole, F.xxhash64(F.lit("null"), F.col(text_col))).alias("_id"), F.hash(own, F.col(text_col)).alias("_th")
 
 
 def batches_of(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:

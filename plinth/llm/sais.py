@@ -1,15 +1,21 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in numpy.
 
-The induction scans of the linear algorithm are sequential by entry; here they go bucket by bucket: all entries of a
-symbol's bucket that are known are taken at once, and entries that they induce into the same bucket form the next wave.
+The induction scans of the linear algorithm are sequential by entry; here they go by runs of neighbouring buckets. A bucket
+with many entries is a run of its own: all its entries that are known are taken at once, and entries that they induce into
+it form the next wave. Small buckets share a run: the few entries that induce another one of the same run are taken in the
+scan's order from a heap, and then all entries that the run induces elsewhere are placed at once.
 """
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 
-#: Reduced strings with more names than this are sorted by doubling, as buckets with a few entries each gain nothing.
-MOST_BUCKETS = 1024
+from .common import ranges
+
+#: A run of buckets has one such share of the entries, or LEAST_RUN, at most, unless it is one bucket.
+RUNS, LEAST_RUN = 64, 1024
 
 
 def _place(sa: np.ndarray, into: np.ndarray, symbols: np.ndarray, entries: np.ndarray, step: int) -> None:
@@ -24,6 +30,36 @@ def _place(sa: np.ndarray, into: np.ndarray, symbols: np.ndarray, entries: np.nd
     into[heads] += step * counts
 
 
+def _bucket_runs(count: np.ndarray) -> list[tuple[int, int]]:
+    """[from, to) in symbols, of buckets that are scanned together."""
+    most = max(LEAST_RUN, int(count.sum()) // RUNS)
+    out: list[tuple[int, int]] = []
+    held = most + 1
+    for c in np.flatnonzero(count).tolist():
+        n = int(count[c])
+        if held + n > most:
+            out.append((c, c + 1))
+            held = n
+        else:
+            out[-1] = (out[-1][0], c + 1)
+            held += n
+    return out
+
+
+def _within(t: np.ndarray, sa: np.ndarray, into: np.ndarray, inside, places: np.ndarray, step: int) -> None:
+    """Places the entries that entries of a run induce into it, in the scan's order, which goes by step. inside(symbol, symbol before): whether it does."""
+    waiting = (places * step).tolist()
+    heapify(waiting)
+    while waiting:
+        i = int(sa[heappop(waiting) * step]) - 1
+        c = int(t[i])
+        at = int(into[c])
+        sa[at] = i
+        into[c] = at + step
+        if i and inside(c, int(t[i - 1])):
+            heappush(waiting, at * step)
+
+
 def _induce(t: np.ndarray, sigma: int, lms: np.ndarray) -> np.ndarray:
     """The order of all suffixes from that of the leftmost-smaller ones (those of equal first symbols in their order)."""
     n = len(t)
@@ -31,46 +67,70 @@ def _induce(t: np.ndarray, sigma: int, lms: np.ndarray) -> np.ndarray:
     first = np.r_[0, np.cumsum(count)].astype(np.int64)
     sa = np.full(n, -1, np.int32)
     head, tail = first[:-1].copy(), first[1:] - 1
-    lms_by, lms_symbols = lms, t[lms]
-    at = np.searchsorted(lms_symbols, np.arange(sigma + 1))
-    used = np.flatnonzero(count)
-    for c in used:
-        lo = first[c]
-        while lo < head[c]:
-            hi = head[c]
-            before = sa[lo:hi] - 1
-            before = before[before >= 0]
-            symbols = t[before]
-            larger = symbols >= c
-            if larger.any():
-                _place(sa, head, symbols[larger], before[larger], 1)
-            lo = hi
-        if at[c] < at[c + 1]:
-            before = lms_by[at[c] : at[c + 1]] - 1
-            before = before[before >= 0]
-            if len(before):
-                _place(sa, head, t[before], before, 1)
-    for c in used[::-1]:
-        hi = first[c + 1] - 1
-        while hi > tail[c]:
-            lo = tail[c]
-            before = sa[lo + 1 : hi + 1][::-1] - 1
-            before = before[before >= 0]
-            symbols = t[before]
-            smaller = symbols <= c
-            if smaller.any():
-                _place(sa, tail, symbols[smaller], before[smaller], -1)
-            hi = lo
-        before = sa[first[c] : head[c]][::-1] - 1
-        before = before[before >= 0]
-        symbols = t[before]
-        smaller = symbols < c
-        if smaller.any():
-            _place(sa, tail, symbols[smaller], before[smaller], -1)
+    # For the first scan the leftmost-smaller entries wait at the ends of their buckets.
+    ends = first[1:].copy()
+    by, many = np.unique(t[lms], return_counts=True)
+    ends[by] -= many
+    sa[ranges(ends[by], many)] = lms
+    runs = _bucket_runs(count)
+    for c, to in runs:
+        lo, hi = first[c], first[to]
+        if to == c + 1:
+            at = lo
+            while at < head[c]:
+                upto = head[c]
+                _larger(t, sa, head, sa[at:upto], c)
+                at = upto
+            _larger(t, sa, head, sa[ends[c] : hi], c)
+            continue
+        places = np.flatnonzero(sa[lo:hi] > 0) + lo
+        own, before = t[sa[places]], t[sa[places] - 1]
+        _within(t, sa, head, lambda own, x, to=to: own <= x < to, places[(before >= own) & (before < to)], 1)
+        entries = sa[lo:hi]
+        entries = entries[entries > 0] - 1
+        beyond = entries[t[entries] >= to]
+        if len(beyond):
+            _place(sa, head, t[beyond], beyond, 1)
+    sa[np.arange(n) >= np.repeat(head, count)] = -1
+    for c, to in runs[::-1]:
+        lo, hi = first[c], first[to]
+        if to == c + 1:
+            at = hi - 1
+            while at > tail[c]:
+                upto = tail[c]
+                _smaller(t, sa, tail, sa[upto + 1 : at + 1][::-1], c + 1)
+                at = upto
+            _smaller(t, sa, tail, sa[lo : head[c]][::-1], c)
+            continue
+        places = np.flatnonzero(sa[lo:hi] > 0) + lo
+        own, before = t[sa[places]], t[sa[places] - 1]
+        same = (before == own) & (places >= head[own])
+        _within(t, sa, tail, lambda own, x, least=c: least <= x <= own, places[(before >= c) & ((before < own) | same)], -1)
+        entries = sa[lo:hi][::-1]
+        entries = entries[entries > 0] - 1
+        beyond = entries[t[entries] < c]
+        if len(beyond):
+            _place(sa, tail, t[beyond], beyond, -1)
     sa[0] = n - 1
     return sa
 
 
+def _larger(t: np.ndarray, sa: np.ndarray, head: np.ndarray, entries: np.ndarray, least: int) -> None:
+    """Places what entries induce into buckets of least or larger symbols."""
+    before = entries[entries > 0] - 1
+    before = before[t[before] >= least]
+    if len(before):
+        _place(sa, head, t[before], before, 1)
+
+
+def _smaller(t: np.ndarray, sa: np.ndarray, tail: np.ndarray, entries: np.ndarray, under: int) -> None:
+    """Places what entries induce into buckets of symbols under a bound."""
+    before = entries[entries > 0] - 1
+    before = before[t[before] < under]
+    if len(before):
+        _place(sa, tail, t[before], before, -1)
+
+
 def _types(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the one after it; the last, of the sentinel, is."""
     n = len(t)
@@ -95,32 +155,6 @@ def _equal_pieces(t: np.ndarray, a: np.ndarray, b: np.ndarray, na: np.ndarray, n
     return same
 
 
-def _by_doubling(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of names; only those that aren't told apart yet are sorted again."""
-    n = len(names)
-    order = np.argsort(names, kind="stable")
-    s = names[order]
-    new = np.r_[True, s[1:] != s[:-1]]
-    rank = np.empty(n + 1, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank[n] = -1
-    width = 1
-    while True:
-        alone = np.r_[new, True]
-        places = np.flatnonzero(~(alone[:-1] & alone[1:]))
-        if not len(places):
-            return order
-        entries = order[places]
-        key = rank[entries] * (n + 2) + rank[np.minimum(entries + width, n)] + 1
-        by = np.argsort(key, kind="stable")
-        entries, key = entries[by], key[by]
-        order[places] = entries
-        fresh = np.r_[True, key[1:] != key[:-1]]
-        new[places] |= fresh
-        rank[entries] = places[np.maximum.accumulate(np.where(fresh, np.arange(len(places)), 0))]
-        width *= 2
-
-
 def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     """t: symbols from 0 to sigma - 1, the last 0, which is nowhere else. By induced sorting."""
     n = len(t)
@@ -144,8 +178,7 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     most = int(names.max()) + 1
     if most == len(lms):
         return _induce(t, sigma, sorted_lms)
-    ranked = suffix_array(names, most) if most <= MOST_BUCKETS else _by_doubling(names)
-    return _induce(t, sigma, lms[ranked])
+    return _induce(t, sigma, lms[suffix_array(names, most)])
 
 
 def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> np.ndarray:

@@ -3,7 +3,7 @@
 Shards. A window is a string of min_len bytes. Among the hashes of the GRAM-byte strings in a window the smallest one (the
 rightmost of equals) owns it, so equal windows have equal owners at equal places. Consecutive windows with one owner make a
 segment; segments go to the shard of their owner. Owners that occur once can't hold repeats. Segments that are equal
-(by two 64-bit hashes) are sorted once, with their number; so a passage or document with any number of copies is one row.
+(by the owner's 64-bit hash and one of all bytes, made of a sum modulo 2^64 and one modulo a prime) are sorted once, with their number; so a passage or document with any number of copies is one row.
 Each shard's text is sorted by induced sorting (sais.py); windows whose permuted common prefix reaches min_len repeat.
 
 An owner with more than HOT segments that differ (the edge of a very common passage) is dealt out again by window: its
@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 from .sais import permuted_lcp, suffix_array
@@ -31,16 +32,24 @@ SHARD = 600_000
 HOT = 8192
 
 _BASE = 0x9E3779B97F4A7C15
+#: The second hash's modulus and base: sums modulo a power of two have known collisions, those modulo a prime other ones.
+_PRIME, _PRIME_BASE = (1 << 31) - 1, 1_103_515_245
 _SEGMENTS = pa.schema([("_id", pa.int64()), ("_th", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("times", pa.int32()), ("owner", pa.int64()), ("seg", pa.int64())])
 _tables: dict[str, np.ndarray] = {}
 
 
 def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if not _tables:
-        n = PIECE + 1
+    n = PIECE + 1
+    if len(_tables.get("up", ())) != n:
         inverse = pow(_BASE, -1, 1 << 64)
         _tables["up"], _tables["down"] = (np.r_[np.ones(1, np.uint64), np.multiply.accumulate(np.full(n, b, np.uint64))] for b in (_BASE, inverse))
         _tables["byte"] = _mix(np.arange(1, 257, dtype=np.uint64))
+        for name, base in (("prime_up", _PRIME_BASE), ("prime_down", pow(_PRIME_BASE, -1, _PRIME))):
+            powers = np.ones(1, np.uint64)
+            while len(powers) < n:
+                powers = np.r_[powers, powers * np.uint64(pow(base, len(powers), _PRIME)) % np.uint64(_PRIME)]
+            _tables[name] = powers[:n]
+        _tables["prime_byte"] = _tables["byte"] % np.uint64(_PRIME)
     return _tables["up"], _tables["down"], _tables["byte"]
 
 
@@ -76,7 +85,12 @@ def _segments(data: np.ndarray, min_len: int) -> tuple[np.ndarray, ...]:
     start, count = C.runs(owner)
     owner = owner[start]
     length = count + min_len - 1
-    seg = _mix((prefix[start + length] - prefix[start]) * up[start] + ((owner - start) * 4096 + length).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    prime = np.uint64(_PRIME)
+    second = np.zeros(n + 1, np.uint64)
+    np.cumsum(_tables["prime_byte"][data] * _tables["prime_down"][:n] % prime, out=second[1:])
+    second = (second[start + length] - second[start]) % prime * _tables["prime_up"][start] % prime
+    place = ((owner - start) * 4096 + length).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    seg = _mix((prefix[start + length] - prefix[start]) * up[start] + place + _mix(second))
     return start, count, gram[owner].view(np.int64), seg.view(np.int64)
 
 
@@ -290,15 +304,15 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Every byte that a min_len-byte string covers which also starts anywhere else, in this document or another, is removed;
     all strings are judged on the input. characters: spans are shrunk to whole characters, so that kept is UTF-8.
-    Null texts are empty and stay (kept: empty). Repeated rows repeat each other. Columns of docs keep their names; one
-    named like an output of this operator is replaced.
+    Null texts are empty and stay (kept: empty). Repeated rows repeat each other. Ids may be null or of any type that hashes.
+    Columns of docs keep their names; one named like an output of this operator (removed, kept) is replaced.
     """
     if min_len < 2 * GRAM or min_len > 4096:
         raise ValueError(f"min_len must be from {2 * GRAM} to 4096")
     rest = [c for c in docs.columns if c not in ("removed", "kept", text_col)]
-    # The text goes as bytes alone.
-    keyed = C.doc_key(docs, id_col, text_col).select(*rest, "_id", "_th", F.col(text_col).cast("binary").alias("_data"))
-    joined = keyed.join(_repeated(keyed, min_len, hot), ["_id", "_th"], "left").select(*rest, "_data", "starts")
+    # The text goes as bytes alone, the other columns as one, so that their names can't clash.
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(0).alias("_any")).alias("_row"), *C.doc_key(docs, id_col, text_col), F.col(text_col).cast("binary").alias("_data"))
+    joined = keyed.join(_repeated(keyed, min_len, hot), ["_id", "_th"], "left").select("_row", "_data", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.batches_of(batches, 8 << 20):
@@ -313,11 +327,12 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     at = e
                 removed.append([{"start": s, "end": e} for s, e in spans])
                 kept.append(b"".join(parts) + data[at:])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), b.column("_data"), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=[*rest, "_data", "removed", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("_data"), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["_row", "_data", "removed", "kept"])
 
-    fields = "".join(f"`{c}` {joined.schema[c].dataType.simpleString()}, " for c in rest)
-    out = joined.mapInArrow(run, f"{fields}_data binary, removed array<struct<start:long,end:long>>, kept binary")
-    return out.withColumn(text_col, F.col("_data").cast("string")).select(*(c for c in docs.columns if c not in ("removed", "kept")), "removed", "kept")
+    schema = T.StructType([joined.schema["_row"], joined.schema["_data"]]).add("removed", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("kept", "binary")
+    out = joined.mapInArrow(run, schema)
+    own = (F.col("_data").cast(docs.schema[text_col].dataType).alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("removed", "kept"))
+    return out.select(*own, "removed", "kept")
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,10 +41,10 @@ def empty(spark):
     return spark.createDataFrame([], "doc_id long, text string, fp string, removed int")
 
 
-def test_suffix_arrays():
+def test_suffix_arrays(monkeypatch):
     rng = random.Random(1)
-    for _ in range(150):
-        sais.MOST_BUCKETS = rng.choice([2, 1024])
+    for _ in range(300):
+        monkeypatch.setattr(sais, "LEAST_RUN", rng.choice([2, 6, 1024]))
         s = rng.choice([1, 2, 3, 20])
         t = np.array([rng.randint(1, s) for _ in range(rng.randint(1, 80))] + [0], np.uint16)
         sa = sais.suffix_array(t, s + 1)
@@ -55,7 +55,27 @@ def test_suffix_arrays():
             while max(i, j) + k < len(t) and t[i + k] == t[j + k]:
                 k += 1
             assert p[i] == k
-    sais.MOST_BUCKETS = 1024
+
+
+def test_suffix_array_of_a_whole_shard_recurses(monkeypatch):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}x" for i in range(3000)]
+    text = " ".join(rng.choice(vocabulary) for _ in range(suffix_dedup.SHARD // 6)).encode()[: suffix_dedup.SHARD]
+    t = np.r_[np.frombuffer(text, np.uint8).astype(np.uint16) - 31, 0].astype(np.uint16)
+    levels = []
+    whole = sais.suffix_array
+
+    def counted(t, sigma):
+        levels.append((len(t), sigma))
+        return whole(t, sigma)
+
+    monkeypatch.setattr(sais, "suffix_array", counted)
+    sa = counted(t, int(t.max()) + 1)
+    assert len(levels) >= 3 and levels[1][1] > 1024  # by recursion, also over many names
+    assert (np.sort(sa) == np.arange(len(t))).all()
+    at = np.sort(rng.sample(range(1, len(t)), 3000))
+    data = bytes(text)
+    assert all(data[i:] < data[j:] for i, j in zip(sa[at - 1].tolist(), sa[at].tolist(), strict=True) if i < len(data))
 
 
 def removed_by_hand(texts, n):
@@ -92,6 +112,31 @@ def test_repeated_strings_in_pieces(docs, rows, monkeypatch):
                 assert start[0] == s and count.sum() == len(data) - 199
 
 
+def test_repeated_strings_beside_clashing_names(spark, rows):
+    clashing = spark.createDataFrame([(f"k{r[0]}" if r[0] is not None else None, r[1], i, i, i, i) for i, r in enumerate(rows)], "doc_id string, text string, starts int, _id int, _th int, _row int")
+    want = collections.Counter()
+    for i, (r, mask) in enumerate(zip(rows, removed_by_hand([(r[1] or "").encode() for r in rows], 200), strict=True)):
+        want[(f"k{r[0]}" if r[0] is not None else None, sum(mask), i, i, i, i)] += 1
+    got = suffix_dedup.suffix_array_dedup(clashing)
+    assert got.columns == [*clashing.columns, "removed", "kept"]
+    assert collections.Counter((r["doc_id"], sum(s["end"] - s["start"] for s in r["removed"]), r["starts"], r["_id"], r["_th"], r["_row"]) for r in got.collect()) == want
+
+
+def test_second_hash_tells_apart_what_the_first_confuses():
+    # Strings of Thue and Morse: sums modulo a power of two of a few such bytes are equal for any base.
+    def thue(n):
+        return bytes(97 + (i.bit_count() & 1) for i in range(n))
+
+    a = thue(2048)
+    b = bytes(195 - x for x in a)
+    seen = {}
+    for text in (a, b):
+        start, count, owner, seg = suffix_dedup._segments(np.frombuffer(text, np.uint8), 1024)
+        for s, n, o, h in zip(start.tolist(), count.tolist(), owner.tolist(), seg.tolist(), strict=True):
+            piece = text[s : s + n + 1023]
+            assert seen.setdefault((o, h, n), piece) == piece
+
+
 def test_kept_characters_stay_whole(docs):
     out = suffix_dedup.suffix_array_dedup(docs, characters=True)
     for r in out.collect():
