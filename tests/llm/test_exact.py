@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from plinth.llm import embedding_dedup, lm, packing, quality_rules, sais, simhash, suffix_dedup, warc
 
@@ -284,19 +285,77 @@ def test_text_counts(rows):
         assert quality_rules.text_counts((text or "").encode())[:5] == counts_by_hand(text)
 
 
+def least_determinant(x, core, floor, starts=150):
+    """(determinant, distances) of the least of many starts, with an exact core."""
+    rng, h, best = np.random.default_rng(0), math.ceil(core * len(x)), (math.inf, None)
+    for _ in range(starts):
+        own = x[rng.choice(len(x), min(8, len(x)), replace=False)]
+        before = math.inf
+        while True:
+            cov = np.cov(own.T, bias=True) + np.diag(floor)
+            det = np.linalg.slogdet(cov)[1]
+            d2 = np.einsum("ij,jk,ik->i", x - own.mean(axis=0), np.linalg.inv(cov), x - own.mean(axis=0))
+            if det >= before - 1e-9:
+                break
+            before, own = det, x[np.argsort(d2, kind="stable")[:h]]
+        if det < best[0]:
+            best = (det, d2 / np.sort(d2)[h - 1] * quality_rules.chi_squared(core))
+    return best
+
+
+def test_robust_distances_against_brute_force(spark):
+    """Three tenths of a group lie in a far cluster; a small group is judged by itself, smaller ones by their language."""
+    rng, floor = np.random.default_rng(4), (1e-3,) * 7
+    pools = []
+    for n, out in ((600, 180), (2500, 750), (40, 8), (9, 0), (9, 0)):
+        mix = rng.standard_normal((7, 7)) * 0.3 + np.eye(7)
+        x = rng.standard_normal((n, 7)) @ mix
+        x[:out] = 1.5 * rng.standard_normal((out, 7)) @ mix + 12
+        pools.append((x, out))
+    rows = [(g, "a" if g < 3 else "b", i, *map(float, v)) for g, (x, _) in enumerate(pools) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "g long, lang string, i int, " + ", ".join(f"{c} double" for c in quality_rules.NAMES)).repartition(3)
+    keyed = df.withColumns({"_group": F.xxhash64("g"), "_upper": F.xxhash64("lang")})
+    got = quality_rules.robust_distances(keyed, floor=floor).collect()
+    assert len(got) == len(rows)
+    mine = {(r["g"], r["i"]): r["d2"] for r in got}
+    for members in ((0,), (1,), (2,), (3, 4)):
+        x = np.concatenate([pools[g][0] for g in members])
+        want = least_determinant(x, quality_rules.CORE, floor)[1]
+        have = np.array([mine[g, i] for g in members for i in range(len(pools[g][0]))])
+        assert np.median(np.abs(have / want - 1)) < 0.06, members
+        out = pools[members[0]][1]
+        if out:
+            assert have[:out].min() > quality_rules.chi_squared(0.999) and have[:out].min() > 3 * np.quantile(have[out:], 0.9)
+
+
+def test_start_estimates_reach_the_least_determinant():
+    rng, floor = np.random.default_rng(9), (1e-3,) * 7
+    x = rng.standard_normal((300, 7))
+    x[:100] = 8 + rng.standard_normal((100, 7))
+    best = quality_rules.start_estimates(x, quality_rules.CORE, floor)
+    assert best[0][2] <= least_determinant(x, quality_rules.CORE, floor)[0] + 0.02
+    assert all(a[2] <= b[2] for a, b in zip(best, best[1:], strict=False))
+
+
 def test_quality_rules(spark, docs, rows, empty):
     groups = ("fp",)
-    got = quality_rules.quality_rules(docs, groups=groups, least=5).collect()
+    got = quality_rules.quality_rules(docs, groups=groups).collect()
     assert len(got) == len(rows)
     for r in got:
         assert r["kept"] is not None and not (r["base_failed"] and r["kept"])
     assert quality_rules.quality_rules(empty, groups=groups).count() == 0
     rng = random.Random(8)
-    clean = [(i, " ".join(rng.choice("of the cat sat mat dog ran far hill tree".split()) + rng.choice("abcdefgh") for _ in range(120)) + ".", "en") for i in range(300)]
-    junk = [(1000 + i, " ".join(w.upper() + "###" for w in clean[i][1].split()), "en") for i in range(10)]
-    df = spark.createDataFrame(clean + junk, "doc_id long, text string, lang string")
-    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(df, groups=("lang",), least=50).collect()}
-    assert not any(kept[i] for i in range(1000, 1010)) and sum(kept[i] for i in range(300)) == 300
+    clean = [(i, " ".join(rng.choice("of the cat sat mat dog ran far hill tree".split()) + rng.choice("abcdefgh") for _ in range(120)) + ".", "en", i, i, i, i) for i in range(300)]
+    junk = [(1000 + i, " ".join(w.upper() + "###" for w in clean[i][1].split()), "en", i, i, i, i) for i in range(10)]
+    df = spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, pool int, mean int, x0 int, _row int")
+    out = quality_rules.quality_rules(df, groups=("lang",))
+    assert out.columns[:6] == ["doc_id", "lang", "pool", "mean", "x0", "_row"]
+    found = out.collect()
+    kept = {r["doc_id"]: r["kept"] for r in found}
+    assert all(r["pool"] == r["mean"] == r["x0"] == r["_row"] == r["doc_id"] % 1000 for r in found)
+    assert not any(kept[i] for i in range(1000, 1010)) and sum(kept[i] for i in range(300)) >= 294
+    few = quality_rules.quality_rules(df.limit(5), groups=("lang",)).collect()
+    assert all(r["d2"] is None and r["kept"] for r in few)
 
 
 def test_language_model_counts(docs, rows, empty):
