@@ -58,29 +58,36 @@ def all_features(text: bytes, bits: int = BITS) -> np.ndarray:
     return np.r_[word_features(text, bits), shape_features(text, bits)]
 
 
-def sampled_features(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text", features=all_features) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(labels, features, row starts) of a sample of at most rows labelled rows: those of the smallest hashes of their ids.
+#: Feature ids that a sample has at most.
+MOST_IDS = 24_000_000
 
-    Only the sample's ids are broadcast, and only its features come to the driver; rows is the bound of both.
+
+def sampled_features(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text", features=all_features, most_ids: int = MOST_IDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(labels, features, row starts) of a sample of at most rows labelled rows, and of at most most_ids features: those of the smallest hashes of their ids.
+
+    Only the sample's ids are broadcast, and only its features come to the driver; rows and most_ids bound both.
     """
     chosen = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label).alias(label)).orderBy(F.xxhash64(F.col(id_col)), id_col).limit(rows)
-    texts = docs.select(id_col, text_col).join(F.broadcast(chosen.select(F.col(id_col), F.col(label).cast("string").alias("_label"))), id_col).select("_label", text_col)
+    texts = docs.select(id_col, text_col).join(F.broadcast(chosen.select(F.col(id_col), F.col(label).cast("string").alias("_label"))), id_col).select("_label", F.xxhash64(id_col).alias("_order"), text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            offsets, data = C.utf8_column(b.column(1))
+        for b in C.batches_of(batches, 16 << 20):
+            offsets, data = C.utf8_column(b.column(2))
             view, at = memoryview(data), offsets.tolist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(features(bytes(view[s:e]))) for s, e in zip(at[:-1], at[1:], strict=True)], pa.list_(pa.int32()))], names=["_label", "ids"])
-
-    got = texts.mapInArrow(run, "_label string, ids array<int>").toArrow()
-    if not got.num_rows:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.unique(features(bytes(view[s:e]))) for s, e in zip(at[:-1], at[1:], strict=True)], pa.list_(pa.int32()))], names=["_label", "_order", "ids"])
+
+    # An id that several rows of docs share counts once.
+    found = texts.mapInArrow(run, "_label string, _order long, ids array<int>").groupBy("_order").agg(F.min(F.struct(F.xxhash64("_label", "ids"), "_label", "ids")).alias("e"))
+    found = C.materialize(found.select("_order", "e._label", "e.ids"), "features")
+    sizes = found.select("_order", F.size("ids").alias("n")).orderBy("_order").toArrow()  # rows at most
+    upto = np.cumsum(sizes["n"].to_numpy()) <= most_ids
+    if not upto.any():
         return np.zeros(0, object), np.zeros(0, np.int64), np.zeros(1, np.int64)
+    got = found.filter(F.col("_order") <= int(sizes["_order"].to_numpy()[upto][-1])).orderBy("_order").toArrow()
+    C.release(found)
     ids = got.column("ids").combine_chunks()
     width = ids.value_lengths().to_numpy(zero_copy_only=False)
-    order = np.lexsort((width, np.array(got.column("_label").to_pylist(), object).astype(str)))  # rows come in any order
-    starts = np.r_[0, np.cumsum(width)]
-    flat = ids.flatten().to_numpy(zero_copy_only=False)
-    return np.array(got.column("_label").to_pylist(), object)[order], flat[C.ranges(starts[:-1][order], width[order])], np.r_[0, np.cumsum(width[order])]
+    return np.array(got.column("_label").to_pylist(), object), ids.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(width)]
 
 
 def telling(ids: np.ndarray, classes: np.ndarray, share: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,10 +1,17 @@
 """Mixing sources to target weights by soft membership.
 
-A classifier fitted on a labelled table gives each document's posterior over domains. Document rates r >= 0 are fitted so
-that the expected tokens of each domain, sum of r * tokens * posterior, match targets in the least-squares sense, by
-projected gradient steps from r = 1. A step needs the domains' totals only, one aggregation with map-side sums; a
-document's rate follows from the steps so far and its own row, so rates are never stored between steps, and a lost
-executor's rows are computed again from the same numbers.
+A classifier fitted on a labelled table gives each document's posterior over domains. Document rates r >= least are fitted so
+that the expected tokens of each domain, the sum of r * tokens * posterior, match targets in the least-squares sense, with a
+small ridge that keeps rates near 1 where targets leave a choice:
+
+    (1/2) |sum r x - goal|^2 + (ridge / 2) sum of tokens * (r - 1)^2,   x = tokens * posterior.
+
+Projected gradient steps, lazily projected: a step moves a row's rate by its posterior times the domains' misses (its
+gradient over its tokens), all steps so far add up to one vector s of the size of the domains, and the rate is the
+projection, r = max(least, 1 - posterior . s). So rates are never stored, a pass costs the same at each step, and a lost
+executor's rows are computed again from the same numbers. A pass is one aggregation of a few numbers a domain with map-side
+sums. Steps are scaled by the curvature of the rows that can move; a pass tries several lengths and a step that makes
+the (dual) objective worse is not taken. The ridge starts large and falls by tenths, which keeps steps safe.
 """
 
 from __future__ import annotations
@@ -17,17 +24,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
-from .hashed import row_sums, sampled_features
+from .hashed import sampled_features
 
-#: Labelled rows that the classifier is fitted on, and domains that it tells apart, at most.
+#: Labelled rows that the classifier is fitted on, at most.
 SAMPLE = 3_000
-DOMAINS = 16
 BITS = 15
-STEPS = 60
+#: Passes at most, and the lengths of a step that each tries.
+STEPS, LENGTHS = 80, (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 1e-3)
+#: The ridge as a share of the largest curvature, at first and at last. A smaller one comes nearer to targets that can't be met, by larger rates of a few documents.
+RIDGE_FROM, RIDGE = 1e-3, 1e-6
 #: Shares of tokens that the mixture is to have; domains without one share what is left.
-TARGETS = {"en": 0.55, "fr": 0.15, "de": 0.15, "es": 0.15}
+TARGETS = {"en": 0.50, "fr": 0.15, "de": 0.15, "es": 0.15, "poor": 0.03, "toxic": 0.02}
+#: Where rates can't fall below 1, the shares of the domains that are wanted.
+WANTED = {"en": 0.55, "fr": 0.15, "de": 0.15, "es": 0.15, "poor": 0.0, "toxic": 0.0}
 
 
 def text_features(text: bytes, bits: int = BITS) -> np.ndarray:
@@ -51,41 +63,47 @@ class DomainModel:
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, domain: str = "domain", sample: int = SAMPLE, rounds: int = 100, rate: float = 0.15, ridge: float = 1e-4) -> DomainModel:
-    """Multinomial logistic regression on at most sample labelled rows (doc_id, domain). The most frequent DOMAINS - 1 domains keep their names; others are "other"."""
+    """Multinomial logistic regression on at most sample labelled rows (doc_id, domain), over all domains that these have; without any, one domain, "other"."""
     names, ids, starts = sampled_features(docs, labelled, domain, sample, features=text_features)
     if not len(names):
         return DomainModel(["other"], np.zeros((1 << BITS, 1)), np.zeros(1))
-    found, many = np.unique(names.astype(str), return_counts=True)
-    domains = sorted(found[np.lexsort((found, -many))][: DOMAINS - 1])
-    if len(domains) < len(found):
-        domains.append("other")
-    at = {d: i for i, d in enumerate(domains)}
-    y = np.array([at.get(str(x), len(domains) - 1) for x in names])
+    domains, y = np.unique(names.astype(str), return_inverse=True)
     n, k = len(y), len(domains)
-    wide = np.diff(starts)
-    scale = 1 / np.sqrt(np.maximum(wide, 1))
-    rows = np.repeat(np.arange(n), wide)
-    w, b = np.zeros((1 << BITS, k)), np.log((np.bincount(y, minlength=k) + 1) / (n + k))
+    scale = (1 / np.sqrt(np.maximum(np.diff(starts), 1)))[:, None]
+    rows = np.repeat(np.arange(n), np.diff(starts))
+    # Sums by row and by feature run over entries that are sorted by these; features of one row tell nothing.
+    seen = np.bincount(ids, minlength=1 << BITS)
+    kept = seen[ids] > 1
+    rows, ids = rows[kept], ids[kept]
+    by = np.argsort(ids, kind="stable")
+    feature, feature_at = np.unique(ids[by], return_index=True)
+    row, row_at = np.unique(rows, return_index=True)
+    column, rows_by = np.searchsorted(feature, ids), rows[by]
+    w, b = np.zeros((len(feature), k)), np.log((np.bincount(y, minlength=k) + 1) / (n + k))
     m, v = np.zeros_like(w), np.zeros_like(w)
     truth = np.eye(k)[y]
     for t in range(1, rounds + 1):
-        x = b + row_sums(w[ids], starts) * scale[:, None]
+        x = np.tile(b, (n, 1))
+        if len(feature):
+            x[row] += np.add.reduceat(w[column], row_at) * scale[row]
         p = np.exp(x - x.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         err = (p - truth) / n
-        part = (err * scale[:, None])[rows]
-        g = np.stack([np.bincount(ids, part[:, j], minlength=1 << BITS) for j in range(k)], axis=1) + ridge * w
-        m += 0.1 * (g - m)
-        v += 0.01 * (g * g - v)
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
+        if len(feature):
+            g = np.add.reduceat((err * scale)[rows_by], feature_at) + ridge * w
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
         b -= rate * err.sum(axis=0)
-    return DomainModel([str(d) for d in domains], w.astype(np.float32), b)
+    weights = np.zeros((1 << BITS, k), np.float32)
+    weights[feature] = w
+    return DomainModel([str(d) for d in domains], weights, b)
 
 
 def with_posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text") -> DataFrame:
     """docs with n_tokens (words between ASCII space, long) and posterior (array, in model.domains' order). Null texts are empty; the posterior of an empty text is the classifier's prior."""
     rest = [c for c in docs.columns if c not in ("n_tokens", "posterior")]
-    docs = docs.select(rest)
+    docs = docs.select(*(F.col(f"`{c}`") for c in rest))
     at = rest.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,111 +113,128 @@ def with_posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text")
             texts = [bytes(view[s:e]) for s, e in zip(edges[:-1], edges[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(x.split()) for x in texts], pa.int64()), pa.array([model.posterior(x) for x in texts], pa.list_(pa.float64()))], names=[*rest, "n_tokens", "posterior"])
 
-    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in rest)
-    return docs.mapInArrow(run, f"{fields}n_tokens long, posterior array<double>")
+    schema = T.StructType(list(docs.schema.fields)).add("n_tokens", "long").add("posterior", T.ArrayType(T.DoubleType()))
+    return docs.mapInArrow(run, schema)
 
 
-def _rates(x: np.ndarray, steps: list[np.ndarray], least: float) -> np.ndarray:
-    """Rates after steps, projected to least or more each time: x is tokens * posterior by row, over the mean."""
-    r = np.full(len(x), max(1.0, least))
-    for s in steps:
-        r = np.maximum(r - x @ s, least)
-    return r
+def _rates(p: np.ndarray, s: np.ndarray, least: float) -> np.ndarray:
+    return np.maximum(least, 1 - p @ s)
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, least: float = 0.0, steps: int = STEPS, tolerance: float = 1e-3, gain: float = 1e-3) -> tuple[list[np.ndarray], float]:
-    """(steps, mean tokens): gradient steps by domain, scaled so that a row's rate falls by x @ step, x being its tokens * posterior over the mean tokens.
-
-    members: n_tokens and posterior; it is read once a step. targets: expected tokens by domain.
-    """
+def fit_rates(members: DataFrame, targets: np.ndarray, least: float = 0.0, ridge: float = RIDGE, tolerance: float = 1e-4) -> np.ndarray:
+    """s, by which a row's rate is max(least, 1 - posterior . s). members: n_tokens and posterior, read once a pass. targets: expected tokens by domain. least: at most 1."""
+    if not 0 <= least <= 1:
+        raise ValueError("least must be from 0 to 1")
     k = len(targets)
-    whole = members.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).first()
-    n, mean = whole["n"], max((whole["t"] or 0) / max(whole["n"], 1), 1e-9)
-    goal = targets / mean
-    done: list[np.ndarray] = []
-    before = np.inf
-    curve: np.ndarray | None = None
-
-    def totals(steps: list[np.ndarray], square: bool) -> np.ndarray:
+    width = 1 + k + k * k
+
+    def passed(tries: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """For each try: the sum over rows of what the dual objective takes, the domains' totals and the curvature of rows that can move."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums, squares = np.zeros(k), np.zeros((k, k))
+            sums = np.zeros((len(tries), width))
             for b in batches:
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k) * (b.column(0).to_numpy(zero_copy_only=False) / mean)[:, None]
-                r = _rates(x, steps, least)
-                sums += r @ x
-                if square:  # rows at their least don't move, but for the first step
-                    live = x[r > least] if steps else x
-                    squares += live.T @ live
-            yield pa.RecordBatch.from_arrays([pa.array([np.r_[sums, squares.ravel()]], pa.list_(pa.float64()))], names=["v"])
+                p = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+                tokens = b.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
+                for at, s in enumerate(tries):
+                    u = p @ s
+                    moves = 1 - u >= least
+                    value = np.where(moves, u * u / 2 - u, -least * u - (1 - least) ** 2 / 2)
+                    live = p[moves] * tokens[moves, None]
+                    sums[at] += np.r_[tokens @ value, (np.maximum(least, 1 - u) * tokens) @ p, (live.T @ p[moves]).ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array([sums.ravel()], pa.list_(pa.float64()))], names=["v"])
 
         parts = members.select("n_tokens", "posterior").mapInArrow(run, "v array<double>")
-        size = k + k * k
-        got = parts.agg(*(F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(size))).first()
-        return np.array([got[i] or 0.0 for i in range(size)])
-
-    for step in range(steps if n else 0):
-        v = totals(done, step % 10 == 0)
-        miss = v[:k] - goal
-        size = float(np.sqrt((miss**2).sum()))
-        if np.abs(miss).max() <= tolerance * max(goal.max(), 1e-9):
-            break
-        if size > before * (1 - gain):  # rates at their least keep it from coming nearer
+        got = parts.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()  # a few numbers for each pair of domains
+        flat = np.zeros(len(tries) * width)
+        for r in got:
+            flat[r["i"]] = r["x"]
+        return [(float(v[0]), v[1 : 1 + k], v[1 + k :].reshape(k, k)) for v in flat.reshape(len(tries), width)]
+
+    s = np.zeros(k)
+    value, totals, curve = passed([s])[0]
+    top = float(np.linalg.eigvalsh(curve)[-1]) if curve.any() else 0.0
+    if top <= 0:
+        return s
+    best, nearest = s, float(np.linalg.norm(totals - targets))
+    weight = RIDGE_FROM * top
+    for _ in range(STEPS):
+        objective = value + targets @ s + weight / 2 * s @ s
+        step = np.linalg.solve(curve + weight * np.eye(k), totals - targets - weight * s)
+        tries = [s + length * step for length in LENGTHS]
+        found = passed(tries)
+        after = [v + targets @ x + weight / 2 * x @ x for x, (v, _, _) in zip(tries, found, strict=True)]
+        i = int(np.argmin(after))
+        size = abs(objective) + abs(targets @ s)
+        if after[i] < objective - 1e-9 * size:
+            s, (value, totals, curve) = tries[i], found[i]
+            miss = totals - targets
+            if (now := float(np.linalg.norm(miss))) < nearest:
+                best, nearest = s, now
+            if np.abs(miss).max() <= tolerance * max(targets.max(), 1e-9):
+                break
+            if objective - after[i] > 1e-5 * size:
+                continue
+        if weight <= ridge * top * 1.0001:
             break
-        before = size
-        if step % 10 == 0:
-            curve = v[k:].reshape(k, k)
-        # The objective's curvature over domains' totals; the step is the gradient's, in the metric that evens its eigenvalues out.
-        done.append(np.linalg.solve(curve + 1e-6 * np.trace(curve) / k * np.eye(k), miss))
-    return done, mean
+        weight = max(weight / 10, ridge * top)
+    return best
 
 
-def target_tokens(domains: list[str], weights: dict[str, float], totals: np.ndarray) -> np.ndarray:
-    """Expected tokens by domain: shares by weights, of the fewest tokens for which no domain has to shrink. Domains without a weight share evenly what the others leave."""
+def target_tokens(domains: list[str], weights: dict[str, float], totals: np.ndarray, least: float = 0.0) -> np.ndarray:
+    """Expected tokens by domain: shares by weights. Of all tokens that there are; where least keeps rates from falling, of the fewest for which no domain with a share has to shrink. Domains without a weight share evenly what the others leave."""
     known = np.array([weights.get(d, -1.0) for d in domains])
     left = max(1 - known[known > 0].sum(), 0.0)
     share = np.where(known >= 0, known, left / max((known < 0).sum(), 1))
     share = share / share.sum() if share.sum() > 0 else np.full(len(domains), 1 / len(domains))
-    return share * max(float((totals / np.maximum(share, 1e-12))[totals > 0].max()), 0.0) if (totals > 0).any() else share * 0
+    size = totals.sum() if least < 1 else (totals / np.maximum(share, 1e-12))[share > 0].max()
+    return share * float(size)
 
 
-def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float] | None = None, least: float = 0.0, seed: int = 5) -> DataFrame:
+def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float] | None = None, least: float = 0.0, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", ridge: float = RIDGE) -> DataFrame:
     """docs with n_tokens, posterior, rate and copies (int: rate, rounded up or down by a hash of the row's id, its text and seed).
 
-    The sum over domains of squared misses of the targets is least among rates of least or more. The targets ask no domain
-    to shrink, so that rates are near 1 or over it. Repeated rows have equal rates and copies. An empty table gives an empty one.
+    The sum over domains of squared misses of the targets is least among rates of least or more, up to the ridge. Repeated
+    rows have equal rates and copies; null texts are empty and have the prior's rate; an empty table gives an empty one.
+    Columns of docs may have any name; those named like an output are replaced.
     """
-    members = C.materialize(with_posteriors(docs.drop("rate", "copies"), model), "posteriors")
+    members = C.materialize(with_posteriors(docs.drop("rate", "copies"), model, text_col), "posteriors")
     k = len(model.domains)
-    sums = members.agg(*(F.sum(F.col("n_tokens") * F.col("posterior")[i]).alias(f"v{i}") for i in range(k))).first()
+    sums = members.agg(*(F.sum(F.col("n_tokens") * F.col("posterior")[i]).alias(f"v{i}") for i in range(k)), F.count("*").alias("n")).first()
     totals = np.array([sums[i] or 0.0 for i in range(k)])
-    steps, mean = fit_rates(members, target_tokens(model.domains, weights or TARGETS, totals), least)
+    # What the passes read is written apart, in few and larger files.
+    small = C.materialize(members.select("n_tokens", "posterior").coalesce(max(1, sums["n"] // 50_000)), "memberships")
+    s = fit_rates(small, target_tokens(model.domains, weights or TARGETS, totals, least), least, ridge)
+    C.release(small)
     names = members.columns
-    i_tokens, i_posterior = names.index("n_tokens"), names.index("posterior")
+    at = names.index("posterior")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column(i_posterior).flatten().to_numpy(zero_copy_only=False).reshape(-1, k) * (b.column(i_tokens).to_numpy(zero_copy_only=False) / mean)[:, None]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_rates(x, steps, least))], names=[*names, "rate"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_rates(b.column(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, k), s, least))], names=[*names, "rate"])
 
-    fields = "".join(f"`{c}` {members.schema[c].dataType.simpleString()}, " for c in names)
-    rated = members.mapInArrow(run, f"{fields}rate double")
-    uniform = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    rated = members.mapInArrow(run, T.StructType(list(members.schema.fields)).add("rate", "double"))
+    uniform = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     return rated.withColumn("copies", F.floor(F.col("rate") + uniform).cast("int"))
 
 
-def language_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, domain): documents that the labels table names, with their language as the domain."""
-    return docs.select("doc_id", F.lower(F.trim("lang")).alias("domain")).join(labels.select("doc_id").filter("doc_id is not null").distinct(), "doc_id", "left_semi").filter("domain is not null and domain != ''")
+def label_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of the documents that the labels table rates: "poor" or "toxic" where it says so, else the document's language (none: not labelled)."""
+    rated = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    lang = F.lower(F.trim("lang")) if "lang" in docs.columns else F.lit("clean")
+    named = docs.select("doc_id", lang.alias("lang")).join(rated, "doc_id")
+    domain = F.when(F.col("quality") == 0, "poor").when(F.col("toxic") == 1, "toxic").when((F.col("quality") == 1) & (F.col("lang") != ""), F.col("lang"))
+    return named.select("doc_id", domain.alias("domain")).filter("domain is not null")
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_tokens, posterior, rate, copies."""
     docs = C.table(spark, sf_dir, "documents")
-    model = fit_domains(docs, language_labels(docs, C.table(spark, sf_dir, "labels")))
+    model = fit_domains(docs, label_domains(docs, C.table(spark, sf_dir, "labels")))
     return mix(docs.select("doc_id", "text"), model).select("doc_id", "n_tokens", "posterior", "rate", "copies")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its copies say, and once at least; the columns are those of docs."""
-    model = fit_domains(docs, language_labels(docs, C.table(spark, sf_dir, "labels")))
-    return mix(docs, model, least=1.0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    """Each document as often as its copies say, and once at least; the columns are those of docs. A larger ridge keeps copies few."""
+    model = fit_domains(docs, label_domains(docs, C.table(spark, sf_dir, "labels")))
+    return mix(docs, model, WANTED, least=1.0, ridge=1e-4).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plinth.llm import language_id, mixing, quality_classifier
 
@@ -87,7 +88,7 @@ def test_language_id(spark, corpus):
 @pytest.mark.parametrize("least", [0.0, 1.0])
 def test_mixing(spark, corpus, least):
     docs, labels = corpus
-    model = mixing.fit_domains(docs, mixing.language_labels(docs, labels.filter("doc_id < 200")))
+    model = mixing.fit_domains(docs, mixing.label_domains(docs, labels.filter("doc_id < 200").withColumns({"quality": F.lit(1), "toxic": F.lit(0)})))
     assert model.domains == ["en", "fr"]
     rows = mixing.mix(docs, model, {"en": 0.4, "fr": 0.6}, least=least).collect()
     right = np.mean([model.domains[int(np.argmax(r["posterior"]))] == r["lang"] for r in rows if r["doc_id"] >= 200])
@@ -99,7 +100,65 @@ def test_mixing(spark, corpus, least):
     many = mixing.mix(odd(spark, docs), model, least=1.0)
     assert many.count() == 405 and many.filter("copies < 1").count() == 0
     assert mixing.mix(docs.limit(0), model).count() == 0
-    assert mixing.fit_domains(docs, mixing.language_labels(docs, labels.limit(0))).domains == ["other"]
+    assert mixing.fit_domains(docs, mixing.label_domains(docs, labels.limit(0))).domains == ["other"]
+    clashing = docs.withColumnsRenamed({"doc_id": "id", "text": "body"}).withColumns({"v0": F.lit(1), "_row": F.lit(2), "i": F.lit(3), "x": F.lit(4)})
+    assert mixing.mix(clashing, model, id_col="id", text_col="body").columns == [*clashing.columns, "n_tokens", "posterior", "rate", "copies"]
+
+
+def test_domains_by_labels(spark, corpus):
+    docs, labels = corpus
+    model = mixing.fit_domains(docs, mixing.label_domains(docs, labels.filter("doc_id < 250")))
+    assert model.domains == ["en", "fr", "poor", "toxic"]
+    right = []
+    for r in mixing.with_posteriors(docs, model).collect():
+        if r["doc_id"] >= 250:
+            rated = {3: "poor", 7: "toxic"}.get(r["doc_id"] % 10, r["lang"])
+            right.append(r["posterior"][model.domains.index(rated)] >= 0.5)
+    assert np.mean(right) >= 0.88  # a toxic text differs by one word
+
+
+def least_squares(p, tokens, goal, least, ridge):
+    """The optimum over rates themselves, by many projected gradient steps with momentum and restarts, each scaled by its row."""
+    rates = before = np.ones(len(p))
+    x = p * tokens[:, None]
+    scaled = p / (p @ x.sum(axis=0))[:, None]
+    top = np.linalg.eigvalsh(p.T @ x)[-1]
+    weight, k, value = ridge * top, 1.0, np.inf
+    most = np.linalg.eigvalsh((scaled.T @ x + x.T @ scaled) / 2)[-1] + weight * (tokens / (p @ x.sum(axis=0)))[tokens > 0].max()
+
+    def objective(r):
+        return ((r @ x - goal) ** 2).sum() / 2 + weight / 2 * (tokens * (r - 1) ** 2).sum()
+
+    for _ in range(60_000):
+        ahead = rates + (k - 1) / (k + 2) * (rates - before)
+        gradient = scaled @ (ahead @ x - goal) + weight * (tokens / (p @ x.sum(axis=0))) * (ahead - 1)
+        after = np.maximum(least, ahead - gradient / most)
+        if (now := objective(after)) > value:
+            k, before, value = 1.0, rates, objective(rates) * (1 + 1e-12)
+            continue
+        before, rates, value, k = rates, after, now, k + 1
+    return objective(rates), float(np.linalg.norm(rates @ x - goal) / np.linalg.norm(goal))
+
+
+@pytest.mark.parametrize("least", [0.0, 1.0])
+@pytest.mark.parametrize("weights", [{"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.05, "b": 0.9, "c": 0.05}, {"a": 0.6, "b": 0.4, "c": 0.0}])
+@pytest.mark.parametrize("scale", [1.0, 0.4])
+def test_rates_reach_the_optimum(spark, least, weights, scale):
+    """Feasible and infeasible targets, against steps over the rates themselves."""
+    rng = np.random.default_rng(3)
+    n, ridge = 600, 1e-4
+    tokens = np.maximum(1, np.exp(rng.normal(4, 1, n))).astype(int)
+    p = rng.dirichlet((0.5, 0.15, 0.1), n)
+    members = spark.createDataFrame([(int(t), [float(v) for v in q]) for t, q in zip(tokens, p, strict=True)], "n_tokens long, posterior array<double>").repartition(3)
+    goal = scale * mixing.target_tokens(["a", "b", "c"], weights, tokens @ p, least)
+    s = mixing.fit_rates(members, goal, least, ridge)
+    rates = np.maximum(least, 1 - p @ s)
+    miss = float(np.linalg.norm((rates * tokens) @ p - goal) / np.linalg.norm(goal))
+    want, want_miss = least_squares(p, tokens.astype(float), goal, least, ridge)
+    assert miss <= want_miss + 0.002
+    weight = ridge * np.linalg.eigvalsh(p.T @ (p * tokens[:, None]))[-1]
+    mine = (((rates * tokens) @ p - goal) ** 2).sum() / 2 + weight / 2 * (tokens * (rates - 1) ** 2).sum()
+    assert mine <= 1.01 * want + 1e-7 * (goal**2).sum()
 
 
 def test_pipeline(spark, sf_dir):
