@@ -1,18 +1,25 @@
 """LM scoring by a hashed maximum-entropy model with class-factored softmax.
 
-P(word | history) = P(class | history) P(word | class). Classes are bins of a word's count, apart by the language in which
-it is most frequent; words that training lacks are one class, the end of a text another. P(class | history) is a softmax
-over hashed features of the history: the last class, the last two (an n-gram) and the one before the last alone (a skip).
-P(word | class) is by the words' counts. When training, a token's class is that of its word's count without the token
-itself, so that new words are met as they will be.
-
-Texts are coded once, in blocks of some MB, each with its own dictionary; only dictionaries (by 64-bit hashes of the words)
-are shuffled to count words over the corpus, and the counts of words that other blocks have too come back to their blocks. The histories' counts are aggregated over all training texts; each gradient step
-runs over that table's parts on the executors, and scoring is table look-ups on arrays of codes.
+A word is reached in three choices of WAYS: its class (a bin of its count; words that training lacks are one class, the end
+of a text another), then two steps inside the class: its topic, which is the bucket of the most frequent word of the texts
+in which it is found most, and a hash of the word, or for rare words of its last letters. Each choice is a softmax over
+hashed features of the history: the last word, the last two (n-grams), the one before the last alone (a skip), the last two
+words' classes or topics; those inside the class are hashed together with the way so far.
+What shares all three choices is told apart by counts, which are exact, by 64-bit hashes, and grow with the corpus:
+
+    P(word | history) = P(class | history) P(step | class, history) P(step | steps, history) count(word) / count(cell).
+
+When training, a token's class is that of its word's count without the token itself, so that new words are met as they will be.
+
+Texts are coded once, in blocks of some MB, each with its own dictionary; only dictionaries are shuffled to count words over
+the corpus, summed by group of blocks and then over groups, so that no word has more rows in a task than blocks in a group
+or groups. Each gradient step runs over the blocks of all training texts on the executors; what leaves a task is one table
+of sums of features (9 MB at most), summed on executors before it comes to the driver. Scoring is look-ups on arrays.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -20,23 +27,28 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_digest
 
 from . import common as C
 
-#: Text of a block, in bytes, about.
-BLOCK = 5 << 20
-LANGS, BINS = 6, 10
-NEW, END = LANGS * BINS, LANGS * BINS + 1
-CLASSES = LANGS * BINS + 2
-FEATURES = 4096
-STEPS = 12
-#: Parts of the history table, which has at most CLASSES ** 2 rows.
-PARTS = 4
-
-_BLOCKS = "block long, ids array<long>, held array<boolean>, lengths array<int>, codes binary, counts binary, langs binary, word long, code int, n int, lang int"
+#: Text of a block, in bytes, about, and blocks of a group.
+BLOCK, GROUP = 5 << 20, 128
+WAYS = 16
+NEW, END = WAYS - 2, WAYS - 1
+BINS = WAYS - 2
+#: Words of fewer occurrences are told apart by how they end.
+FREQUENT = 256
+#: Rows of the weights for each kind of feature, by choice.
+KINDS = (("last", 0, 14), ("last two", 0, 15), ("skip", 0, 14), ("classes", 0, 8), ("last", 1, 15), ("skip", 1, 14), ("topics", 1, 12), ("last", 2, 15))
+ROWS = sum(1 << bits for _, _, bits in KINDS)
+STEPS = 4
+#: Tokens that are worked on at once, rows of a piece of the weights that travels, blocks of a task (more where that leaves fewer tasks than cores).
+SLICE, PIECE, TASK_BLOCKS = 1 << 14, 1024, 16
+#: Pseudo-counts of a step, the share of it that is taken at first, and the largest weight, by which sums of four stay in single precision's range.
+SMOOTH, RATE, LARGEST = 2.0, 0.6, 14.0
 
 
 def _planes(codes: np.ndarray) -> bytes:
@@ -48,36 +60,52 @@ def _from_planes(data) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
 
 
-def _code_blocks(langs: dict[str, int], modulus: int, rest: int):
-    names = [f.split()[0] for f in _BLOCKS.split(", ")]
-    types = dict(zip(names, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True))
-    schema = pa.schema(list(types.items()))
+def spelling(word: bytes) -> int:
+    return crc32(word[-2:]) % WAYS
+
 
-    def rows(size: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], types[c]) if c in columns else pa.nulls(size, types[c]) for c in names], schema=schema)
+def _coded_schema(id_type: T.DataType) -> T.StructType:
+    schema = T.StructType().add("block", "long").add("ids", T.ArrayType(id_type)).add("held", T.ArrayType(T.BooleanType())).add("lengths", T.ArrayType(T.IntegerType()))
+    for c in ("codes", "counts", "steps", "marks"):
+        schema = schema.add(c, "binary")
+    return schema.add("word", "long").add("code", "integer").add("n", "integer").add("topic", "integer").add("ending", "integer")
+
+
+def _code_blocks(modulus: int, rest: int):
+    """Rows of texts (block, ids, held, lengths, codes, and by code: counts here, steps, marks of 16 bits) and of dictionaries (block, word, code, n, topic, ending)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
         known: dict[bytes, int] = {}
-        ids, held, lengths, codes, votes, size = [], [], [], [], [], 0
+        ids, held, lengths, codes, size = [], [], [], [], 0
+        types: dict[str, pa.DataType] = {}
+
+        def rows(many: int, **columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(many, t) for c, t in types.items()], names=list(types))
 
         def block() -> Iterator[pa.RecordBatch]:
             many = len(known)
-            keys = np.concatenate(votes) if votes else np.zeros(0, np.int64)
-            by_lang = np.bincount(keys, minlength=many * LANGS).reshape(many, LANGS) if many else np.zeros((0, LANGS), np.int64)
             flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-            n, best = by_lang.sum(axis=1), by_lang.argmax(axis=1)
-            yield rows(1, block=[number], ids=[ids], held=[held], lengths=[lengths], codes=[_planes(flat)], counts=[n.astype("<i4").tobytes()], langs=[best.astype(np.uint8).tobytes()])
-            if many:
-                named = np.frombuffer(b"".join(map(xxh64_digest, known)), ">i8").astype(np.int64)
-                for at in range(0, many, 100_000):
-                    to = min(at + 100_000, many)
-                    yield rows(to - at, block=np.full(to - at, number), word=named[at:to], code=np.arange(at, to, dtype=np.int32), n=n[at:to].astype(np.int32), lang=best[at:to].astype(np.int32))
+            named = np.frombuffer(b"".join(map(xxh64_digest, known)), ">i8").astype(np.int64)
+            # Votes of training texts for their words' topics: the bucket of a text's most frequent word.
+            votes = np.zeros((many, WAYS), np.int64)
+            for own, out in zip(codes, held, strict=True):
+                if len(own) and not out:
+                    seen, times = np.unique(own, return_counts=True)
+                    most = seen[times == times.max()]
+                    votes[seen, named[most].min() & 15] += times
+            n, topic = votes.sum(axis=1), votes.argmax(axis=1)
+            ends = np.fromiter(map(spelling, known), np.uint8, many)
+            yield rows(1, block=[number], ids=[ids], held=[held], lengths=[lengths], codes=[_planes(flat)], counts=[n.astype("<i4").tobytes()], steps=[(topic * WAYS + ends).astype(np.uint8).tobytes()], marks=[(named & 0xFFFF).astype("<u2").tobytes()])
+            for at in range(0, many, 100_000):
+                to = min(at + 100_000, many)
+                yield rows(to - at, block=np.full(to - at, number), word=named[at:to], code=np.arange(at, to, dtype=np.int32), n=n[at:to].astype(np.int32), topic=topic[at:to].astype(np.int32), ending=ends[at:to].astype(np.int32))
 
         for b in C.batches_of(batches, BLOCK):
+            types = types or {"block": pa.int64(), "ids": pa.list_(b.column(0).type), "held": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int32()), "codes": pa.binary(), "counts": pa.binary(), "steps": pa.binary(), "marks": pa.binary(), "word": pa.int64(), "code": pa.int32(), "n": pa.int32(), "topic": pa.int32(), "ending": pa.int32()}
             offsets, data = C.utf8_column(b.column(1))
             view, at = memoryview(data), offsets.tolist()
-            for doc, lang, s, e in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), at[:-1], at[1:], strict=True):
+            for doc, s, e in zip(b.column(0).to_pylist(), at[:-1], at[1:], strict=True):
                 add = known.setdefault
                 own = np.array([add(w, len(known)) for w in bytes(view[s:e]).lower().split()], np.int32)
                 out = doc is not None and crc32(str(doc).encode()) % modulus == rest
@@ -85,14 +113,12 @@ def _code_blocks(langs: dict[str, int], modulus: int, rest: int):
                 held.append(out)
                 lengths.append(len(own))
                 codes.append(own)
-                if not out:
-                    votes.append(own.astype(np.int64) * LANGS + langs.get(lang, LANGS - 1))
                 size += e - s
                 if size >= BLOCK:
                     yield from block()
                     number += 1
                     known = {}
-                    ids, held, lengths, codes, votes, size = [], [], [], [], [], 0
+                    ids, held, lengths, codes, size = [], [], [], [], 0
         if ids:
             yield from block()
 
@@ -105,12 +131,17 @@ class Vocabulary:
     distinct: int  # V
     ends: int
     bin_of_log: list[int]  # bin of floor(log2(count))
-    mass: np.ndarray  # tokens by class
-
-    def classes(self, count: np.ndarray, lang: np.ndarray) -> np.ndarray:
-        logs = np.floor(np.log2(np.maximum(count, 1))).astype(np.int64)
+    mass: np.ndarray  # tokens by cell
+    first: np.ndarray  # logarithms of the shares of classes, of steps by class, and of steps by class and step
+    second: np.ndarray
+    third: np.ndarray
+
+    def ways(self, count: np.ndarray, steps: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Cell of each word: class * WAYS ** 2 + its two steps."""
+        logs = np.frexp(np.maximum(count, 1).astype(np.float64))[1] - 1
         bins = np.array(self.bin_of_log)[np.minimum(logs, len(self.bin_of_log) - 1)]
-        return np.where(count > 0, lang * BINS + bins, NEW)
+        steps = np.where(count < FREQUENT, steps, steps // WAYS * WAYS + marks % WAYS)
+        return np.where(count > 0, bins * WAYS**2 + steps, NEW * WAYS**2)
 
 
 def _bins(by_log: dict[int, int]) -> list[int]:
@@ -125,181 +156,277 @@ def _bins(by_log: dict[int, int]) -> list[int]:
     return out
 
 
-def _sequences(lengths: np.ndarray, codes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(class of each token with the texts' ends, history, places of words, start of each text)."""
+def _shares(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logarithms of the shares of each choice, from tokens by cell. A choice that has none is all but ruled out."""
+
+    def logs(n: np.ndarray) -> np.ndarray:
+        whole = n.sum(axis=-1, keepdims=True)
+        share = np.where(whole > 0, n / np.maximum(whole, 1), np.eye(1, n.shape[-1])[0])
+        return np.maximum(np.log(np.maximum(share, 1e-300)), -30.0).astype(np.float32)
+
+    cube = cells.reshape(WAYS, WAYS, WAYS).astype(float)
+    return logs(cube.sum(axis=(1, 2))), logs(cube.sum(axis=2)), logs(cube).reshape(WAYS**2, WAYS)
+
+
+def history_features(marks: np.ndarray, before: np.ndarray, cells: np.ndarray) -> list[np.ndarray]:
+    """Row of each token's features, by kind, within the kind. marks, before: of the last word and the one before it (0: none); cells: of the token and, by them, of the last two."""
+    last, skip, own = (x.astype(np.uint64) for x in (marks, before, cells))
+    classes, topics = cells // WAYS**2, cells // WAYS % WAYS
+    out = []
+    for number, (kind, choice, bits) in enumerate(KINDS):
+        if kind == "classes":
+            one = np.r_[END, classes[:-1]]
+            two = np.r_[END, one[:-1]]
+            two[one == END] = END
+            out.append((one * WAYS + two).astype(np.uint16))
+            continue
+        if kind == "topics":
+            one = np.r_[0, topics[:-1]]
+            out.append(((classes * WAYS + one) * WAYS + np.r_[0, one[:-1]]).astype(np.uint16))
+            continue
+        key = {"last": last, "skip": skip + np.uint64(1 << 20), "last two": last + (skip << np.uint64(24)) + np.uint64(1 << 50)}[kind]
+        if choice:
+            key = key + ((own >> np.uint64(8 if choice == 1 else 4)) << np.uint64(28))
+        key = (key + np.uint64(number << 56)) * np.uint64(0x9E3779B97F4A7C15)
+        out.append(((key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.uint16))
+    return out
+
+
+_BASES = np.r_[0, np.cumsum([1 << bits for _, _, bits in KINDS])]
+
+
+def _choices(vocabulary: Vocabulary, weights: np.ndarray, features: list[np.ndarray], cells: np.ndarray, part: slice) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(choice, probabilities, taken way) of a part of the tokens."""
+    own = cells[part]
+    ways = (own // WAYS**2, own // WAYS % WAYS, own % WAYS)
+    starts = (vocabulary.first[None, :], vocabulary.second[ways[0]], vocabulary.third[own // WAYS])
+    ones = np.ones(WAYS, np.float32)
+    for choice in range(3):
+        x = np.repeat(starts[0], len(own), axis=0) if not choice else starts[choice]
+        for f, (_, at, _) in enumerate(KINDS):
+            if at == choice:
+                x += np.take(weights, _BASES[f] + features[f][part], axis=0)
+        np.exp(x, out=x)  # LARGEST keeps it in range
+        x /= (x @ ones)[:, None]
+        yield choice, x, ways[choice]
+
+
+def _token_arrays(lengths: np.ndarray, codes: np.ndarray, cells: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(cell of each token with the texts' ends, mark of the last word, of the one before, places of words, start of each text)."""
     ends = np.cumsum(lengths + 1) - 1
-    own = np.full(int((lengths + 1).sum()), END, np.int64)
-    words = np.ones(len(own), bool)
+    n = int((lengths + 1).sum())
+    words = np.ones(n, bool)
     words[ends] = False
-    own[words] = classes[codes]
-    last = np.r_[END, own[:-1]]
-    before = np.r_[END, last[:-1]]
-    before[last == END] = END
-    return own, last * CLASSES + before, words, ends - lengths
+    own, mark = np.full(n, END * WAYS**2, np.int32), np.zeros(n, np.int32)
+    own[words] = cells[codes]
+    mark[words] = marks[codes].astype(np.int32) + 1
+    last = np.r_[0, mark[:-1]]
+    before = np.r_[0, last[:-1]]
+    before[last == 0] = 0
+    return own, last, before, words, ends - lengths
 
 
 def _block_columns(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
-    def values(name: str) -> np.ndarray:
-        return b.column(b.schema.get_field_index(name))[i].values.to_numpy(zero_copy_only=False)
+    def column(name: str) -> pa.Array:
+        return b.column(b.schema.get_field_index(name))
 
-    lengths = values("lengths").astype(np.int64)
     def raw(name: str, kind: str) -> np.ndarray:
-        return np.frombuffer(b.column(b.schema.get_field_index(name))[i].as_buffer(), kind)
+        return np.frombuffer(column(name)[i].as_buffer(), kind)
 
-    codes = _from_planes(raw("codes", np.uint8))
-    count, lang = raw("counts", "<i4").astype(np.int64), raw("langs", np.uint8).astype(np.int64)
-    words = b.column(b.schema.get_field_index("words"))[i]
+    held = column("held")[i].values.to_numpy(zero_copy_only=False).astype(bool)
+    lengths = column("lengths")[i].values.to_numpy(zero_copy_only=False).astype(np.int64)
+    count, steps = raw("counts", "<i4").astype(np.int64), raw("steps", np.uint8).astype(np.int64)
+    words = column("words")[i]
     if words.is_valid:  # words that other blocks have too
         entries = words.values
         at = entries.field("code").to_numpy(zero_copy_only=False)
         count[at] = entries.field("c").to_numpy(zero_copy_only=False)
-        lang[at] = entries.field("lang").to_numpy(zero_copy_only=False)
-    return values("held").astype(bool), lengths, codes, count, lang
-
+        steps[at] = entries.field("topic").to_numpy(zero_copy_only=False) * WAYS + steps[at] % WAYS
+    return held, lengths, _from_planes(raw("codes", np.uint8)), count, steps, raw("marks", "<u2").astype(np.int64)
+
+
+def expected(vocabulary: Vocabulary, weights: np.ndarray, own: np.ndarray, last: np.ndarray, before: np.ndarray, sums: np.ndarray, seen: np.ndarray | None) -> float:
+    """Adds each feature's expected ways to sums, and the ways taken to seen; the log likelihood of the choices."""
+    features = history_features(last, before, own)
+    gain = 0.0
+    for at in range(0, len(own), SLICE):
+        part = slice(at, at + SLICE)
+        for choice, p, way in _choices(vocabulary, weights, features, own, part):
+            gain += float(np.log(np.maximum(p[np.arange(len(way)), way], 1e-30)).sum(dtype=np.float64))
+            for f, (_, own_choice, _) in enumerate(KINDS):
+                if own_choice == choice:
+                    order = np.argsort(features[f][part], kind="stable")  # 16 bits: by radix
+                    row = features[f][part][order]
+                    starts = np.r_[0, np.flatnonzero(row[1:] != row[:-1]) + 1]
+                    sums[_BASES[f] + row[starts]] += np.add.reduceat(np.take(p, order, axis=0), starts, axis=0)
+    if seen is not None:
+        ways = (own // WAYS**2, own // WAYS % WAYS, own % WAYS)
+        for f, (_, choice, bits) in enumerate(KINDS):
+            seen[_BASES[f] : _BASES[f + 1]] += np.bincount(features[f].astype(np.int64) * WAYS + ways[choice], minlength=WAYS << bits).reshape(-1, WAYS)
+    return gain
+
+
+def _sums(vocabulary: Vocabulary, weights: np.ndarray, first: bool):
+    """(piece, values, gain): sums over the training texts of a task's blocks, by pieces of the table; after the last piece come those of what was seen."""
 
-def _history_counts(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES**3, np.int64)
+        sums, seen, gain = np.zeros((ROWS, WAYS), np.float32), np.zeros((ROWS, WAYS), np.float32) if first else None, 0.0
         for b in batches:
             for i in range(b.num_rows):
-                held, lengths, codes, count, lang = _block_columns(b, i)
-                kept = codes[np.repeat(~held, lengths)]
-                if not (~held).any():
+                held, lengths, codes, count, steps, marks = _block_columns(b, i)
+                if held.all():
                     continue
-                own, history, _, _ = _sequences(lengths[~held], kept, vocabulary.classes(count - 1, lang))
-                total += np.bincount(history * CLASSES + own, minlength=CLASSES**3)
-        key = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array((key // CLASSES).astype(np.int32)), pa.array((key % CLASSES).astype(np.int32)), pa.array(total[key])], names=["history", "class", "n"])
-
-    return run
-
-
-def feature_ids(history: np.ndarray) -> np.ndarray:
-    """Hashed ids of a history's features: last class, last two, the one before the last."""
-    last, before = history // CLASSES, history % CLASSES
-    mixed = np.stack([last, (1 << 12) + history, (1 << 13) + before]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(64 - 12)).astype(np.int64) % FEATURES
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
-def _gradient(weights: np.ndarray):
-    """Gradient and diagonal curvature of the log likelihood, and that, over a part of the histories."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slope, curve, gain = np.zeros((FEATURES, CLASSES)), np.zeros((FEATURES, CLASSES)), 0.0
-        for b in batches:
-            history = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            classes = b.column(1)
-            width = classes.value_lengths().to_numpy(zero_copy_only=False)
-            n = np.zeros((len(history), CLASSES))
-            entries = classes.flatten()
-            n[np.repeat(np.arange(len(history)), width), entries.field("class").to_numpy(zero_copy_only=False)] = entries.field("n").to_numpy(zero_copy_only=False)
-            ids = feature_ids(history)
-            log_p = _log_softmax(weights[ids].sum(axis=0))
-            p, all_n = np.exp(log_p), n.sum(axis=1, keepdims=True)
-            gain += float((n * log_p).sum())
-            for f in ids:
-                np.add.at(slope, f, n - all_n * p)
-                np.add.at(curve, f, all_n * p * (1 - p))
-        used = np.flatnonzero(curve.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(list(slope[used]), pa.list_(pa.float64())), pa.array(list(curve[used]), pa.list_(pa.float64())), pa.array(np.r_[gain, np.zeros(max(len(used) - 1, 0))][: len(used)])], names=["feature", "slope", "curve", "gain"])
+                kept = codes[np.repeat(~held, lengths)]
+                own, last, before, _, _ = _token_arrays(lengths[~held], kept, vocabulary.ways(count - 1, steps, marks), marks)
+                gain += expected(vocabulary, weights, own, last, before, sums, seen)
+        whole = sums if seen is None else np.concatenate([sums, seen])
+        for piece, at in enumerate(range(0, len(whole), PIECE)):
+            values = whole[at : at + PIECE]
+            if piece == 0 or values.any():
+                yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([values.tobytes()], pa.binary()), pa.array([gain if not piece else 0.0])], names=["piece", "v", "gain"])
 
     return run
 
 
-def train(histories: DataFrame, steps: int = STEPS, ridge: float = 1.0) -> np.ndarray:
-    """Weights by feature and class. histories: (history, classes: array of (class, n)), at most CLASSES ** 2 rows, read once a step."""
-    weights = np.zeros((FEATURES, CLASSES))
-    best, kept, rate = -np.inf, weights, 0.5
-    for step in range(steps):
-        got = histories.mapInArrow(_gradient(weights), "feature int, slope array<double>, curve array<double>, gain double").toArrow()
+def _add_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    gains: dict[int, float] = {}
+    for b in batches:
+        for piece, v, gain in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            values = np.frombuffer(v.as_buffer(), np.float32)
+            held[piece] = held[piece] + values if piece in held else values.astype(np.float64)
+            gains[piece] = gains.get(piece, 0.0) + gain
+    for piece, values in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([values.astype(np.float32).tobytes()], pa.binary()), pa.array([gains[piece]])], names=["piece", "v", "gain"])
+
+
+def task_number(spark: SparkSession, many: int) -> int:
+    return max(1, min(many, max(2 * spark.sparkContext.defaultParallelism, many // TASK_BLOCKS)))
+
+
+def train(blocks: DataFrame, many: int, vocabulary: Vocabulary, steps: int = STEPS) -> np.ndarray:
+    """Weights by feature and way, after steps over all training texts. A step is that of iterative scaling: the logarithm of seen over expected; one that loses likelihood is halved."""
+    spark = blocks.sparkSession
+    weights = np.zeros((ROWS, WAYS), np.float32)
+    seen: np.ndarray | None = None
+    best, kept, rate = -np.inf, weights, RATE
+    move = weights
+    salts = max(1, task_number(spark, many) // 256)
+    fields = "piece int, v binary, gain double"
+    for _ in range(steps + 1):
+        parts = blocks.mapInArrow(_sums(vocabulary, weights, seen is None), fields)
+        if salts > 1:
+            parts = parts.repartition(F.col("piece"), F.pmod(F.xxhash64("v"), F.lit(salts))).mapInArrow(_add_pieces, fields)
+        got = parts.repartition("piece").mapInArrow(_add_pieces, fields).toArrow()  # the table of weights, twice at most
         if not got.num_rows:
             break
-        at = got["feature"].to_numpy()
-        slope, curve = (np.zeros((FEATURES, CLASSES)) for _ in range(2))
-        np.add.at(slope, at, got["slope"].combine_chunks().flatten().to_numpy().reshape(-1, CLASSES))
-        np.add.at(curve, at, got["curve"].combine_chunks().flatten().to_numpy().reshape(-1, CLASSES))
-        value = float(np.sum(got["gain"].to_numpy())) - ridge / 2 * float((weights**2).sum())
-        if value < best:  # too far: back, and on by half
+        whole = np.zeros(((1 if seen is not None else 2) * ROWS, WAYS))
+        for piece, v in zip(got["piece"].to_pylist(), got["v"].combine_chunks(), strict=True):
+            values = np.frombuffer(v.as_buffer(), np.float32).reshape(-1, WAYS)
+            whole[piece * PIECE : piece * PIECE + len(values)] = values
+        if seen is None:
+            seen = whole[ROWS:]
+        value = float(np.sum(got["gain"].to_numpy()))
+        if value < best:
             rate /= 2
-            weights = kept + rate * move
+            weights = np.clip(kept + rate * move, -LARGEST, LARGEST).astype(np.float32)
             continue
         best, kept = value, weights
-        move = np.clip((slope - ridge * weights) / (curve + ridge), -4, 4)
-        weights = weights + rate * move
+        move = np.log((seen + SMOOTH) / (whole[:ROWS] + SMOOTH))
+        weights = np.clip(kept + rate * move, -LARGEST, LARGEST).astype(np.float32)
     return kept
 
 
-def _score(vocabulary: Vocabulary, table: np.ndarray):
-    log10 = 1 / np.log(10)
+def _score(vocabulary: Vocabulary, weights: np.ndarray):
+    log10 = 1 / math.log(10)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = vocabulary.tokens + vocabulary.distinct + 1
         for b in batches:
             for i in range(b.num_rows):
-                held, lengths, codes, count, lang = _block_columns(b, i)
-                classes = vocabulary.classes(count, lang)
-                own, history, words, starts = _sequences(lengths, codes, classes)
-                within = np.where(count > 0, np.log(np.maximum(count, 1) / np.maximum(vocabulary.mass[classes], 1)), 0.0)
-                logs = table[history, own]
-                logs[words] += within[codes]
-                base = np.full(len(own), np.log10((vocabulary.ends + 1) / total))
+                held, lengths, codes, count, steps, marks = _block_columns(b, i)
+                cells = vocabulary.ways(count, steps, marks)
+                own, last, before, words, starts = _token_arrays(lengths, codes, cells, marks)
+                features = history_features(last, before, own)
+                logs = np.zeros(len(own))
+                for at in range(0, len(own), SLICE):
+                    part = slice(at, at + SLICE)
+                    for _, p, way in _choices(vocabulary, weights, features, own, part):
+                        logs[part] += np.log(np.maximum(p[np.arange(len(way)), way], 1e-30))
+                logs[words] += np.where(count > 0, np.log(np.maximum(count, 1) / np.maximum(vocabulary.mass[cells], 1)), 0.0)[codes]
+                base = np.full(len(own), math.log10((vocabulary.ends + 1) / total))
                 base[words] = np.log10((count + 1) / total)[codes]
                 known = np.full(len(own), int(vocabulary.ends > 0))
                 known[words] = (count > 0)[codes]
-                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("ids"))[i].values, pa.array(held), pa.array(lengths + 1), pa.array(np.add.reduceat(known, starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logs, starts) * log10)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("ids"))[i].values, pa.array(held), pa.array(lengths + 1), pa.array(np.add.reduceat(known, starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logs, starts) * log10)], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", modulus: int = 7, rest: int = 2) -> DataFrame:
-    """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
+def _by_cell(words: DataFrame, count: Column, weight: Column) -> list:
+    """(log, steps, tokens, words) of words with a count: a few thousand rows."""
+    steps = F.col("topic") * WAYS + F.when(count < FREQUENT, F.col("ending")).otherwise(F.pmod("word", F.lit(WAYS)))
+    rows = words.filter(count > 0).groupBy(F.floor(F.log2(count.cast("double"))).cast("int").alias("log"), steps.cast("int").alias("steps"))
+    return rows.agg(F.sum(weight).alias("tokens"), F.count("*").alias("words")).collect()
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, rest: int = 2, steps: int = STEPS) -> DataFrame:
+    """Per row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Rows whose crc32 of the id as text has remainder rest are held out; those of a null id aren't. Null texts are empty: one
     token, the end. Repeated rows count each. Without training texts all tokens are new; an empty table gives an empty one.
-    lang_col: words are told apart by it in classes (nulls are a language of their own); None for no such column.
+    Ids may be of any type; other columns of docs, of any name, are not read.
     """
-    lang = F.lower(F.col(lang_col).cast("string")) if lang_col else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang"))
-    langs = {r["lang"]: i for i, r in enumerate(rows.filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS - 1).collect())} if lang_col else {}
+    spark = docs.sparkSession
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    schema = _coded_schema(rows.schema["id"].dataType)
     # Texts and dictionaries go to folders of their own, so that the dictionaries can go first.
-    path = C.scratch_path(docs.sparkSession, "coded")
-    coded = rows.mapInArrow(_code_blocks(langs, modulus, rest), _BLOCKS).withColumn("part", F.when(F.col("word").isNull(), "texts").otherwise("words"))
+    path = C.scratch_path(spark, "coded")
+    coded = rows.mapInArrow(_code_blocks(modulus, rest), schema).withColumn("part", F.when(F.col("word").isNull(), "texts").otherwise("words"))
     coded.write.partitionBy("part").option("compression", "zstd").parquet(path)
-    coded = docs.sparkSession.read.schema(coded.schema).parquet(path)
+    coded = spark.read.schema(coded.schema).parquet(path)
     texts = coded.filter("part = 'texts'")
-    # Each word's rows, one a block at most, meet once: its exchange serves the sums and their way back.
-    words = coded.filter("part = 'words'").filter("word is not null and code is not null and n is not null and lang is not null").select("word", "block", "code", "n", "lang").repartition(C.shuffle_partitions(docs.sparkSession), "word")
-    sums = words.groupBy("word").agg(F.sum("n").alias("c"), F.max(F.col("n") * LANGS + F.col("lang")).alias("most"), F.count("*").alias("blocks"), F.min("block").alias("first"), F.min("code").alias("least"))
-    met = words.join(sums.hint("shuffle_hash"), "word")
-    # Always true; with the filter it keeps both sides' columns and filters equal, without which there would be two exchanges.
-    met = met.filter(F.col("most") + F.col("code") >= F.col("n") * LANGS + F.col("lang") + F.col("least"))
-    met = met.select("block", "code", "c", (F.col("most") % LANGS).cast("int").alias("lang"), (F.col("blocks") > 1).alias("shared"), (F.col("block") == F.col("first")).alias("first"))
-    entries = C.materialize(met, "entries")
-    per_block = entries.filter("shared").groupBy("block").agg(F.collect_list(F.struct("code", "c", "lang")).alias("words"))
-    C.drop_path(docs.sparkSession, f"{path}/part=words")
-    blocks = C.materialize(texts.select("block", "ids", "held", "lengths", "codes", "counts", "langs").join(per_block, "block", "left"), "blocks")
-    ends = texts.select(F.explode("held").alias("held")).filter("not held").count()
-    C.drop_path(docs.sparkSession, path)
-    logs = F.floor(F.log2(F.col("c").cast("double"))).cast("int")
-    shape = entries.filter("first and c > 0").groupBy(logs.alias("log"), "lang").agg(F.sum("c").alias("tokens"), F.count("*").alias("words")).collect()  # 64 x LANGS rows at most
+    # The rows of a word in a group of blocks meet once: that exchange serves the sums and their way back.
+    words = coded.filter("part = 'words'").filter("word is not null and code is not null and n is not null and topic is not null and ending is not null").select("word", F.floor(F.col("block") / GROUP).cast("long").alias("group"), "block", "code", "n", "topic", "ending").repartition(C.shuffle_partitions(spark), "word", "group")
+    vote = F.col("n").cast("long") * WAYS + F.col("topic")
+    in_group = words.groupBy("word", "group").agg(F.sum("n").alias("c"), F.max(vote).alias("most"), F.count("*").alias("blocks"), F.min("block").alias("first"), F.min("ending").alias("least"), F.min("code").alias("code_least"))
+    in_all = in_group.groupBy("word").agg(F.sum("c").alias("c"), F.max("most").alias("most"), F.sum("blocks").alias("blocks"), F.min("first").alias("first"), F.min("least").alias("least"), F.min("code_least").alias("code_least"))
+    sums = in_group.select("word", "group").join(in_all, "word")
+    met = words.join(sums.hint("shuffle_hash"), ["word", "group"])
+    # Always true; with the filter it keeps the sides' columns and filters equal, without which there would be more exchanges.
+    met = met.filter((vote <= F.col("most")) & (F.col("ending") >= F.col("least")) & (F.col("code") >= F.col("code_least")))
+    entries = C.materialize(met.select("block", "code", "word", "c", (F.col("most") % WAYS).cast("int").alias("topic"), "ending", (F.col("blocks") > 1).alias("shared"), (F.col("block") == F.col("first")).alias("first")), "entries")
+    per_block = entries.filter("shared").groupBy("block").agg(F.collect_list(F.struct("code", "c", "topic")).alias("words"))
+    C.drop_path(spark, f"{path}/part=words")
+    many = texts.count()
+    dealt = texts.select("block", "ids", "held", "lengths", "codes", "counts", "steps", "marks").repartition(task_number(spark, many), "block")
+    blocks = C.materialize(dealt.join(per_block, "block", "left"), "blocks")
+    sizes = blocks.select(F.explode("held").alias("held")).groupBy("held").count().collect()
+    ends = sum(r["count"] for r in sizes if not r["held"])
+    C.drop_path(spark, path)
+    once = entries.filter("first")
+    shape = _by_cell(once, F.col("c"), F.col("c"))
+    left = _by_cell(once, F.col("c") - 1, F.col("c"))
+    single = once.filter("c = 1").count()
     C.release(entries)
     by_log: dict[int, int] = {}
     for r in shape:
         by_log[r["log"]] = by_log.get(r["log"], 0) + r["tokens"]
-    vocabulary = Vocabulary(sum(r["tokens"] for r in shape) + ends, sum(r["words"] for r in shape) + (ends > 0), ends, _bins(by_log), np.zeros(CLASSES))
-    for r in shape:
-        vocabulary.mass[r["lang"] * BINS + vocabulary.bin_of_log[r["log"]]] += r["tokens"]
-    counts = blocks.mapInArrow(_history_counts(vocabulary), "history int, class int, n long").groupBy("history", "class").agg(F.sum("n").alias("n"))
-    histories = C.materialize(counts.groupBy("history").agg(F.collect_list(F.struct("class", "n")).alias("classes")).repartition(PARTS, "history"), "histories")
-    weights = train(histories)
-    table = _log_softmax(weights[feature_ids(np.arange(CLASSES**2))].sum(axis=0)).astype(np.float32)
-    out = blocks.mapInArrow(_score(vocabulary, table), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    bins = _bins(by_log)
+
+    def cells(found: list) -> np.ndarray:
+        out = np.zeros(WAYS**3)
+        for r in found:
+            out[bins[min(r["log"], len(bins) - 1)] * WAYS**2 + r["steps"]] += r["tokens"]
+        return out
+
+    trained = cells(left)
+    trained[NEW * WAYS**2], trained[END * WAYS**2] = single + 1, ends + 1
+    vocabulary = Vocabulary(sum(r["tokens"] for r in shape) + ends, sum(r["words"] for r in shape) + (ends > 0), ends, bins, cells(shape), *_shares(trained + 0.1 * (cells(shape) > 0)))
+    weights = train(blocks, many, vocabulary, steps) if ends else np.zeros((ROWS, WAYS), np.float32)
+    fields = T.StructType().add("id", rows.schema["id"].dataType).add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
+    out = blocks.mapInArrow(_score(vocabulary, weights), fields)
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -358,8 +358,8 @@ def test_quality_rules(spark, docs, rows, empty):
     assert all(r["d2"] is None and r["kept"] for r in few)
 
 
-def test_language_model_counts(docs, rows, empty):
-    got = lm.score_texts(docs, lang_col="fp").collect()
+def test_language_model_counts(spark, docs, rows, empty):
+    got = lm.score_texts(docs).collect()
     tokens = [[*(r[1] or "").encode().lower().split(), None] for r in rows]
     out = [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2 for r in rows]
     c = collections.Counter(t for ts, o in zip(tokens, out, strict=True) if not o for t in ts)
@@ -367,15 +367,104 @@ def test_language_model_counts(docs, rows, empty):
     want = collections.Counter((r[0], o, len(ts), sum(c[t] > 0 for t in ts), n, round(sum(math.log10((c[t] + 1) / (n + v + 1)) for t in ts), 6)) for r, ts, o in zip(rows, tokens, out, strict=True))
     assert collections.Counter((*tuple(r)[:5], round(r["base_score"], 6)) for r in got) == want
     assert all(math.isfinite(r["score"]) and r["score"] <= 0 for r in got)
-    assert lm.score_texts(empty, lang_col="fp").count() == 0
+    assert lm.score_texts(empty).count() == 0
+    named = lm.score_texts(docs.select(F.concat(F.lit("k"), "doc_id").alias("doc_id"), "text", F.lit(1).alias("word"), F.lit(2).alias("part"))).collect()
+    assert {r["doc_id"] for r in named if r["doc_id"]} == {f"k{r[0]}" for r in rows if r[0] is not None}
 
 
-def test_language_model_adds_up():
+def test_word_counts_over_groups_of_blocks(spark, docs, monkeypatch):
+    """Small blocks in groups of two: counts must not depend on either."""
+    want = sorted((r["doc_id"] or -1, r["n_known"], round(r["base_score"], 6)) for r in lm.score_texts(docs, steps=1).collect())
+    monkeypatch.setattr(lm, "GROUP", 2)
+    monkeypatch.setattr(lm, "BLOCK", 300)
+    coded = lm._code_blocks
+    monkeypatch.setattr(lm, "_code_blocks", lambda *a: with_block(coded(*a), 300))
+    assert sorted((r["doc_id"] or -1, r["n_known"], round(r["base_score"], 6)) for r in lm.score_texts(docs, steps=1).collect()) == want
+
+
+def with_block(step, size):
+    def run(batches):
+        from plinth.llm import lm as there
+
+        there.BLOCK = size
+        yield from step(batches)
+
+    return run
+
+
+def small_model(rng, words=300, n=4000):
+    codes = np.minimum(rng.zipf(1.3, n), words) - 1
+    lengths = np.full(n // 40, 40)
+    count, steps, marks = np.bincount(codes, minlength=words), rng.integers(0, 256, words), rng.integers(0, 65536, words)
+    bins = [min(i, lm.BINS - 1) for i in range(20)]
+    vocabulary = lm.Vocabulary(n, words, len(lengths), bins, np.zeros(lm.WAYS**3), *lm._shares(np.zeros(lm.WAYS**3)))
+    cells = vocabulary.ways(count, steps, marks)
+    vocabulary.mass = np.bincount(cells, count, minlength=lm.WAYS**3)
+    mass = vocabulary.mass + 0.0
+    mass[lm.NEW * lm.WAYS**2], mass[lm.END * lm.WAYS**2] = 5, len(lengths)
+    vocabulary.first, vocabulary.second, vocabulary.third = lm._shares(mass)
+    return vocabulary, lengths, codes, count, cells, marks
+
+
+def test_language_model_gradient():
+    """Seen less expected is the slope of the log likelihood by each weight, against differences."""
     rng = np.random.default_rng(1)
-    table = lm._log_softmax(rng.standard_normal((lm.CLASSES**2, lm.CLASSES)))
-    assert np.allclose(np.exp(table).sum(axis=1), 1)
-    ids = lm.feature_ids(np.arange(lm.CLASSES**2))
-    assert ids.shape == (3, lm.CLASSES**2) and ids.max() < lm.FEATURES
+    vocabulary, lengths, codes, _, cells, marks = small_model(rng)
+    own, last, before, _, _ = lm._token_arrays(lengths, codes, cells, marks)
+    weights = (0.1 * rng.standard_normal((lm.ROWS, lm.WAYS))).astype(np.float32)
+    sums, seen = np.zeros((lm.ROWS, lm.WAYS)), np.zeros((lm.ROWS, lm.WAYS))
+    lm.expected(vocabulary, weights, own, last, before, sums, seen)
+    slope = seen - sums
+    for f in range(len(lm.KINDS)):
+        part = np.abs(slope[lm._BASES[f] : lm._BASES[f + 1]])
+        row, way = np.unravel_index(int(part.argmax()), part.shape)
+        value = []
+        for step in (0.02, -0.02):
+            moved = weights.copy()
+            moved[lm._BASES[f] + row, way] += step
+            value.append(lm.expected(vocabulary, moved, own, last, before, np.zeros_like(sums), None))
+        got, want = slope[lm._BASES[f] + row, way], (value[0] - value[1]) / 0.04
+        assert abs(got - want) <= 0.02 * abs(want) + 0.05, lm.KINDS[f]
+
+
+def test_language_model_adds_up():
+    """Over all words, a new one and the end, probabilities after any history sum to one."""
+    rng = np.random.default_rng(2)
+    vocabulary, _, _, count, cells, marks = small_model(rng)
+    weights = (0.5 * rng.standard_normal((lm.ROWS, lm.WAYS))).astype(np.float32)
+    outcomes = np.r_[cells[count > 0], lm.NEW * lm.WAYS**2, lm.END * lm.WAYS**2]
+    within = np.r_[count[count > 0] / vocabulary.mass[cells[count > 0]], 1, 1]
+    history = [(cells[3], marks[3]), (cells[9], marks[9])]
+    total = 0.0
+    for cell, share in zip(outcomes, within, strict=True):
+        own = np.array([history[0][0], history[1][0], cell])
+        features = lm.history_features(np.array([0, history[0][1] + 1, history[1][1] + 1]), np.array([0, 0, history[0][1] + 1]), own)
+        p = 1.0
+        for _, x, way in lm._choices(vocabulary, weights, features, own, slice(2, 3)):
+            p *= x[0, way[0]]
+        total += p * share
+    assert abs(total - 1) < 1e-3
+
+
+def test_language_model_learns_the_order_of_words(spark):
+    """Texts whose words are permuted, and so have the same counts, score worse; held-out ones score better than by counts alone."""
+    rng = random.Random(3)
+    after = {f"w{i}": [f"w{rng.randrange(200)}" for _ in range(4)] for i in range(200)}
+    texts = []
+    for _ in range(700):
+        words_ = [f"w{rng.randrange(200)}"]
+        while len(words_) < 60:
+            words_.append(rng.choice(after[words_[-1]]))
+        texts.append(words_)
+    shuffled = [rng.sample(t, len(t)) for t in texts]
+    rows_ = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    held = [i for i in range(700) if zlib.crc32(str(i).encode()) % 7 == 2]
+    spare = [i for i in range(700, 9000) if zlib.crc32(str(i).encode()) % 7 == 2][: len(held)]
+    rows_ += [(j, " ".join(shuffled[i])) for i, j in zip(held, spare, strict=True)]
+    got = {r["doc_id"]: r for r in lm.score_texts(spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)).collect()}
+    own, mixed = sum(got[i]["score"] for i in held), sum(got[j]["score"] for j in spare)
+    assert own > mixed + 0.1 * 61 * len(held)
+    assert own > sum(got[i]["base_score"] for i in held) + 0.2 * 61 * len(held)
 
 
 def test_warc_round_trip(spark, tmp_path):
