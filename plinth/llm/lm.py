@@ -11,10 +11,12 @@ What shares all three choices is told apart by counts, which are exact, by 64-bi
 
 When training, a token's class is that of its word's count without the token itself, so that new words are met as they will be.
 
-Texts are coded once, in blocks of some MB, each with its own dictionary; only dictionaries are shuffled to count words over
-the corpus, summed by group of blocks and then over groups, so that no word has more rows in a task than blocks in a group
-or groups. Each gradient step runs over the blocks of all training texts on the executors; what leaves a task is one table
-of sums of features (9 MB at most), summed on executors before it comes to the driver. Scoring is look-ups on arrays.
+Texts are coded once, in blocks of some MB, each with its own dictionary. To count words over the corpus, a block's
+dictionary goes by buckets of the words' hashes as arrays, one row a block and bucket; a bucket's arrays meet in one task,
+which sends totals back to the blocks. The number of buckets grows with the dictionaries, so that a bucket stays small; a
+word that is in all blocks takes 13 bytes of each. Each gradient step runs over the blocks of all training texts on the
+executors; what leaves a task is one table of sums of features (9 MB at most), summed on executors before it comes to the
+driver. Scoring is look-ups on arrays.
 """
 
 from __future__ import annotations
@@ -27,15 +29,17 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_digest
 
 from . import common as C
 
-#: Text of a block, in bytes, about, and blocks of a group.
-BLOCK, GROUP = 5 << 20, 128
+#: Text of a block, in bytes, about.
+BLOCK = 5 << 20
+#: Buckets of a dictionary's hashes are 2 ** BUCKET_BITS, and each is split on so that its arrays take about BUCKET_BYTES.
+BUCKET_BITS, BUCKET_BYTES = 8, 32 << 20
 WAYS = 16
 NEW, END = WAYS - 2, WAYS - 1
 BINS = WAYS - 2
@@ -66,13 +70,13 @@ def spelling(word: bytes) -> int:
 
 def _coded_schema(id_type: T.DataType) -> T.StructType:
     schema = T.StructType().add("block", "long").add("ids", T.ArrayType(id_type)).add("held", T.ArrayType(T.BooleanType())).add("lengths", T.ArrayType(T.IntegerType()))
-    for c in ("codes", "counts", "steps", "marks"):
+    for c in ("codes", "order", "marks"):
         schema = schema.add(c, "binary")
-    return schema.add("word", "long").add("code", "integer").add("n", "integer").add("topic", "integer").add("ending", "integer")
+    return schema.add("bucket", "integer").add("hashes", "binary").add("n", "binary").add("steps", "binary")
 
 
-def _code_blocks(modulus: int, rest: int):
-    """Rows of texts (block, ids, held, lengths, codes, and by code: counts here, steps, marks of 16 bits) and of dictionaries (block, word, code, n, topic, ending)."""
+def _code_blocks(modulus: int, rest: int, size_of_block: int):
+    """Rows of texts (block, ids, held, lengths, codes; by code: marks of 16 bits; codes by hash: order) and of dictionaries (block, bucket, and by hash: hashes, n, steps: topic here * WAYS + ending)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
@@ -86,35 +90,36 @@ def _code_blocks(modulus: int, rest: int):
         def block() -> Iterator[pa.RecordBatch]:
             many = len(known)
             flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-            named = np.frombuffer(b"".join(map(xxh64_digest, known)), ">i8").astype(np.int64)
+            named = np.frombuffer(b"".join(map(xxh64_digest, known)), ">u8").astype(np.uint64)
             # Votes of training texts for their words' topics: the bucket of a text's most frequent word.
             votes = np.zeros((many, WAYS), np.int64)
             for own, out in zip(codes, held, strict=True):
                 if len(own) and not out:
                     seen, times = np.unique(own, return_counts=True)
                     most = seen[times == times.max()]
-                    votes[seen, named[most].min() & 15] += times
-            n, topic = votes.sum(axis=1), votes.argmax(axis=1)
-            ends = np.fromiter(map(spelling, known), np.uint8, many)
-            yield rows(1, block=[number], ids=[ids], held=[held], lengths=[lengths], codes=[_planes(flat)], counts=[n.astype("<i4").tobytes()], steps=[(topic * WAYS + ends).astype(np.uint8).tobytes()], marks=[(named & 0xFFFF).astype("<u2").tobytes()])
-            for at in range(0, many, 100_000):
-                to = min(at + 100_000, many)
-                yield rows(to - at, block=np.full(to - at, number), word=named[at:to], code=np.arange(at, to, dtype=np.int32), n=n[at:to].astype(np.int32), topic=topic[at:to].astype(np.int32), ending=ends[at:to].astype(np.int32))
-
-        for b in C.batches_of(batches, BLOCK):
-            types = types or {"block": pa.int64(), "ids": pa.list_(b.column(0).type), "held": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int32()), "codes": pa.binary(), "counts": pa.binary(), "steps": pa.binary(), "marks": pa.binary(), "word": pa.int64(), "code": pa.int32(), "n": pa.int32(), "topic": pa.int32(), "ending": pa.int32()}
+                    votes[seen, int(named[most].min()) % WAYS] += times
+            order = np.argsort(named)
+            n = votes.sum(axis=1)[order].astype("<i4")
+            steps = (votes.argmax(axis=1) * WAYS + np.fromiter(map(spelling, known), np.int64, many))[order].astype(np.uint8)
+            hashes = named[order]
+            yield rows(1, block=[number], ids=[ids], held=[held], lengths=[lengths], codes=[_planes(flat)], order=[_planes(order.astype(np.int32))], marks=[(named & np.uint64(0xFFFF)).astype("<u2").tobytes()])
+            bucket, at, wide = _slices(hashes, BUCKET_BITS)
+            parts = list(zip(at.tolist(), (at + wide).tolist(), strict=True))
+            if parts:
+                yield rows(len(parts), block=np.full(len(parts), number), bucket=bucket, hashes=[hashes[s:e].tobytes() for s, e in parts], n=[n[s:e].tobytes() for s, e in parts], steps=[steps[s:e].tobytes() for s, e in parts])
+
+        for b in C.batches_of(batches, size_of_block):
+            types = types or {"block": pa.int64(), "ids": pa.list_(b.column(0).type), "held": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int32()), "codes": pa.binary(), "order": pa.binary(), "marks": pa.binary(), "bucket": pa.int32(), "hashes": pa.binary(), "n": pa.binary(), "steps": pa.binary()}
             offsets, data = C.utf8_column(b.column(1))
             view, at = memoryview(data), offsets.tolist()
             for doc, s, e in zip(b.column(0).to_pylist(), at[:-1], at[1:], strict=True):
                 add = known.setdefault
-                own = np.array([add(w, len(known)) for w in bytes(view[s:e]).lower().split()], np.int32)
-                out = doc is not None and crc32(str(doc).encode()) % modulus == rest
                 ids.append(doc)
-                held.append(out)
-                lengths.append(len(own))
-                codes.append(own)
+                held.append(doc is not None and crc32(str(doc).encode()) % modulus == rest)
+                codes.append(np.array([add(w, len(known)) for w in bytes(view[s:e]).lower().split()], np.int32))
+                lengths.append(len(codes[-1]))
                 size += e - s
-                if size >= BLOCK:
+                if size >= size_of_block:
                     yield from block()
                     number += 1
                     known = {}
@@ -125,6 +130,76 @@ def _code_blocks(modulus: int, rest: int):
     return run
 
 
+def _slices(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, start, length) of the runs of sorted hashes with the same highest bits."""
+    high = (hashes >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(hashes), np.int32)
+    at, wide = C.runs(high)
+    return high[at], at, wide
+
+
+def _split_buckets(bits: int):
+    """Dictionary rows by the highest bits of their hashes, more than they come with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[], [], [], [], []]
+            for block, _, hashes, n, steps in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for bucket, s, k in zip(*_slices(np.frombuffer(hashes, np.uint64), bits), strict=True):
+                    for o, v in zip(out, (block, bucket, hashes[8 * s : 8 * (s + k)], n[4 * s : 4 * (s + k)], steps[s : s + k]), strict=True):
+                        o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(o, c.type) for o, c in zip(out, b.columns, strict=True)], schema=b.schema)
+
+    return run
+
+
+TOTALS = "block long, bucket int, counts binary, steps binary, kind int, key int, tokens long, words long"
+
+
+def _total_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket to rows of totals (block, bucket, counts, steps), and at the end those of the words by key, floor(log2(count)) * WAYS ** 2 + steps: kind 0 by count, kind 1 by count less one."""
+    names = ("block", "bucket", "counts", "steps", "kind", "key", "tokens", "words")
+    types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    shape = np.zeros((2, 2, 64 * WAYS**2), np.int64)
+    held: list[tuple] = []
+
+    def rows(many: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(many, t) for c, t in zip(names, types, strict=True)], names=list(names))
+
+    def flush() -> pa.RecordBatch:
+        blocks, buckets, hashes, n, steps = zip(*held, strict=True)
+        edges = np.cumsum([0, *(len(x) // 8 for x in hashes)])
+        whole = np.frombuffer(b"".join(hashes), np.uint64)
+        counts, steps = np.frombuffer(b"".join(n), "<i4").astype(np.int64), np.frombuffer(b"".join(steps), np.uint8).astype(np.int64)
+        order = np.argsort(whole, kind="stable")
+        at, wide = C.runs(whole[order])
+        total = np.add.reduceat(counts[order], at)
+        topic = np.maximum.reduceat((counts * WAYS + steps // WAYS)[order], at) % WAYS
+        ending, mark = steps[order][at] % WAYS, (whole[order][at] % np.uint64(WAYS)).astype(np.int64)
+        for kind in range(2):
+            c = total - kind
+            kept = c > 0
+            key = (np.frexp(np.maximum(c, 1).astype(np.float64))[1] - 1) * WAYS**2 + topic * WAYS + np.where(c < FREQUENT, ending, mark)
+            shape[kind, 0] += np.bincount(key[kept], total[kept], minlength=64 * WAYS**2).astype(np.int64)
+            shape[kind, 1] += np.bincount(key[kept], minlength=64 * WAYS**2)
+        back = np.empty(len(whole), np.int64)
+        back[order] = np.repeat(total, wide)
+        where = np.empty(len(whole), np.uint8)
+        where[order] = np.repeat(topic * WAYS + ending, wide)
+        parts = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+        return rows(len(parts), block=blocks, bucket=buckets, counts=[back[s:e].astype("<i8").tobytes() for s, e in parts], steps=[where[s:e].tobytes() for s, e in parts])
+
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and row[1] != held[-1][1]:
+                yield flush()
+                held = []
+            held.append(row)
+    if held:
+        yield flush()
+    kind, key = np.nonzero(shape[:, 1])
+    yield rows(len(key), kind=kind.astype(np.int32), key=key.astype(np.int32), tokens=shape[kind, 0, key], words=shape[kind, 1, key])
+
+
 @dataclass
 class Vocabulary:
     tokens: int  # N
@@ -227,22 +302,21 @@ def _token_arrays(lengths: np.ndarray, codes: np.ndarray, cells: np.ndarray, mar
 
 
 def _block_columns(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
+    """(held, lengths, codes, and by code: count, steps, marks)."""
+
     def column(name: str) -> pa.Array:
         return b.column(b.schema.get_field_index(name))
 
-    def raw(name: str, kind: str) -> np.ndarray:
-        return np.frombuffer(column(name)[i].as_buffer(), kind)
-
     held = column("held")[i].values.to_numpy(zero_copy_only=False).astype(bool)
     lengths = column("lengths")[i].values.to_numpy(zero_copy_only=False).astype(np.int64)
-    count, steps = raw("counts", "<i4").astype(np.int64), raw("steps", np.uint8).astype(np.int64)
+    codes, order = (_from_planes(np.frombuffer(column(c)[i].as_buffer(), np.uint8)) for c in ("codes", "order"))
+    count, steps = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
     words = column("words")[i]
-    if words.is_valid:  # words that other blocks have too
-        entries = words.values
-        at = entries.field("code").to_numpy(zero_copy_only=False)
-        count[at] = entries.field("c").to_numpy(zero_copy_only=False)
-        steps[at] = entries.field("topic").to_numpy(zero_copy_only=False) * WAYS + steps[at] % WAYS
-    return held, lengths, _from_planes(raw("codes", np.uint8)), count, steps, raw("marks", "<u2").astype(np.int64)
+    if words.is_valid:
+        parts = sorted(words.as_py(), key=lambda p: p["bucket"])
+        count[order] = np.frombuffer(b"".join(p["counts"] for p in parts), "<i8")
+        steps[order] = np.frombuffer(b"".join(p["steps"] for p in parts), np.uint8)
+    return held, lengths, codes, count, steps, np.frombuffer(column("marks")[i].as_buffer(), "<u2").astype(np.int64)
 
 
 def expected(vocabulary: Vocabulary, weights: np.ndarray, own: np.ndarray, last: np.ndarray, before: np.ndarray, sums: np.ndarray, seen: np.ndarray | None) -> float:
@@ -363,13 +437,6 @@ def _score(vocabulary: Vocabulary, weights: np.ndarray):
     return run
 
 
-def _by_cell(words: DataFrame, count: Column, weight: Column) -> list:
-    """(log, steps, tokens, words) of words with a count: a few thousand rows."""
-    steps = F.col("topic") * WAYS + F.when(count < FREQUENT, F.col("ending")).otherwise(F.pmod("word", F.lit(WAYS)))
-    rows = words.filter(count > 0).groupBy(F.floor(F.log2(count.cast("double"))).cast("int").alias("log"), steps.cast("int").alias("steps"))
-    return rows.agg(F.sum(weight).alias("tokens"), F.count("*").alias("words")).collect()
-
-
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, rest: int = 2, steps: int = STEPS) -> DataFrame:
     """Per row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
@@ -382,47 +449,45 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = _coded_schema(rows.schema["id"].dataType)
     # Texts and dictionaries go to folders of their own, so that the dictionaries can go first.
     path = C.scratch_path(spark, "coded")
-    coded = rows.mapInArrow(_code_blocks(modulus, rest), schema).withColumn("part", F.when(F.col("word").isNull(), "texts").otherwise("words"))
+    coded = rows.mapInArrow(_code_blocks(modulus, rest, BLOCK), schema).withColumn("part", F.when(F.col("bucket").isNull(), "texts").otherwise("words"))
     coded.write.partitionBy("part").option("compression", "zstd").parquet(path)
     coded = spark.read.schema(coded.schema).parquet(path)
-    texts = coded.filter("part = 'texts'")
-    # The rows of a word in a group of blocks meet once: that exchange serves the sums and their way back.
-    words = coded.filter("part = 'words'").filter("word is not null and code is not null and n is not null and topic is not null and ending is not null").select("word", F.floor(F.col("block") / GROUP).cast("long").alias("group"), "block", "code", "n", "topic", "ending").repartition(C.shuffle_partitions(spark), "word", "group")
-    vote = F.col("n").cast("long") * WAYS + F.col("topic")
-    in_group = words.groupBy("word", "group").agg(F.sum("n").alias("c"), F.max(vote).alias("most"), F.count("*").alias("blocks"), F.min("block").alias("first"), F.min("ending").alias("least"), F.min("code").alias("code_least"))
-    in_all = in_group.groupBy("word").agg(F.sum("c").alias("c"), F.max("most").alias("most"), F.sum("blocks").alias("blocks"), F.min("first").alias("first"), F.min("least").alias("least"), F.min("code_least").alias("code_least"))
-    sums = in_group.select("word", "group").join(in_all, "word")
-    met = words.join(sums.hint("shuffle_hash"), ["word", "group"])
-    # Always true; with the filter it keeps the sides' columns and filters equal, without which there would be more exchanges.
-    met = met.filter((vote <= F.col("most")) & (F.col("ending") >= F.col("least")) & (F.col("code") >= F.col("code_least")))
-    entries = C.materialize(met.select("block", "code", "word", "c", (F.col("most") % WAYS).cast("int").alias("topic"), "ending", (F.col("blocks") > 1).alias("shared"), (F.col("block") == F.col("first")).alias("first")), "entries")
-    per_block = entries.filter("shared").groupBy("block").agg(F.collect_list(F.struct("code", "c", "topic")).alias("words"))
+    texts = coded.filter("part = 'texts'").select("block", "ids", "held", "lengths", "codes", "order", "marks")
+    words = coded.filter("part = 'words'").select("block", "bucket", "hashes", "n", "steps")
+    entries = words.agg(F.sum(F.octet_length("steps"))).first()[0] or 0
+    bits = max(BUCKET_BITS, math.ceil(math.log2(max(13 * entries / BUCKET_BYTES, 1))))
+    if bits > BUCKET_BITS:
+        words = words.mapInArrow(_split_buckets(bits), words.schema)
+    dealt = words.repartition(max(C.shuffle_partitions(spark), 1 << (bits - 3)), "bucket").sortWithinPartitions("bucket")
+    totals = C.materialize(dealt.mapInArrow(_total_buckets, TOTALS), "totals")
     C.drop_path(spark, f"{path}/part=words")
+    per_block = totals.filter("block is not null").groupBy("block").agg(F.collect_list(F.struct("bucket", "counts", "steps")).alias("words"))
     many = texts.count()
-    dealt = texts.select("block", "ids", "held", "lengths", "codes", "counts", "steps", "marks").repartition(task_number(spark, many), "block")
-    blocks = C.materialize(dealt.join(per_block, "block", "left"), "blocks")
+    blocks = C.materialize(texts.repartition(task_number(spark, many), "block").join(per_block, "block", "left"), "blocks")
     sizes = blocks.select(F.explode("held").alias("held")).groupBy("held").count().collect()
     ends = sum(r["count"] for r in sizes if not r["held"])
     C.drop_path(spark, path)
-    once = entries.filter("first")
-    shape = _by_cell(once, F.col("c"), F.col("c"))
-    left = _by_cell(once, F.col("c") - 1, F.col("c"))
-    single = once.filter("c = 1").count()
-    C.release(entries)
+    shape = totals.filter("kind is not null").groupBy("kind", "key").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).collect()  # 2 * 64 * WAYS ** 2 rows at most
+    C.release(totals)
+    whole = [r for r in shape if not r["kind"]]
     by_log: dict[int, int] = {}
-    for r in shape:
-        by_log[r["log"]] = by_log.get(r["log"], 0) + r["tokens"]
+    for r in whole:
+        log = r["key"] // WAYS**2
+        by_log[log] = by_log.get(log, 0) + r["tokens"]
     bins = _bins(by_log)
 
-    def cells(found: list) -> np.ndarray:
+    def cells(kind: int) -> np.ndarray:
         out = np.zeros(WAYS**3)
-        for r in found:
-            out[bins[min(r["log"], len(bins) - 1)] * WAYS**2 + r["steps"]] += r["tokens"]
+        for r in shape:
+            if r["kind"] == kind:
+                out[bins[min(r["key"] // WAYS**2, len(bins) - 1)] * WAYS**2 + r["key"] % WAYS**2] += r["tokens"]
         return out
 
-    trained = cells(left)
-    trained[NEW * WAYS**2], trained[END * WAYS**2] = single + 1, ends + 1
-    vocabulary = Vocabulary(sum(r["tokens"] for r in shape) + ends, sum(r["words"] for r in shape) + (ends > 0), ends, bins, cells(shape), *_shares(trained + 0.1 * (cells(shape) > 0)))
+    mass, left = cells(0), cells(1)
+    # Words of one occurrence are new without it.
+    trained = left + 0.1 * (mass > 0)
+    trained[NEW * WAYS**2], trained[END * WAYS**2] = mass.sum() - left.sum() + 1, ends + 1
+    vocabulary = Vocabulary(sum(r["tokens"] for r in whole) + ends, sum(r["words"] for r in whole) + (ends > 0), ends, bins, mass, *_shares(trained))
     weights = train(blocks, many, vocabulary, steps) if ends else np.zeros((ROWS, WAYS), np.float32)
     fields = T.StructType().add("id", rows.schema["id"].dataType).add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
     out = blocks.mapInArrow(_score(vocabulary, weights), fields)

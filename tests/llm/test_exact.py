@@ -372,24 +372,16 @@ def test_language_model_counts(spark, docs, rows, empty):
     assert {r["doc_id"] for r in named if r["doc_id"]} == {f"k{r[0]}" for r in rows if r[0] is not None}
 
 
-def test_word_counts_over_groups_of_blocks(spark, docs, monkeypatch):
-    """Small blocks in groups of two: counts must not depend on either."""
-    want = sorted((r["doc_id"] or -1, r["n_known"], round(r["base_score"], 6)) for r in lm.score_texts(docs, steps=1).collect())
-    monkeypatch.setattr(lm, "GROUP", 2)
-    monkeypatch.setattr(lm, "BLOCK", 300)
-    coded = lm._code_blocks
-    monkeypatch.setattr(lm, "_code_blocks", lambda *a: with_block(coded(*a), 300))
-    assert sorted((r["doc_id"] or -1, r["n_known"], round(r["base_score"], 6)) for r in lm.score_texts(docs, steps=1).collect()) == want
-
+def test_word_counts_over_blocks_and_buckets(docs, monkeypatch):
+    """Small blocks and split buckets: counts depend on neither."""
 
-def with_block(step, size):
-    def run(batches):
-        from plinth.llm import lm as there
+    def counts():
+        return sorted((r["doc_id"] or -1, r["n_known"], round(r["base_score"], 6)) for r in lm.score_texts(docs, steps=1).collect())
 
-        there.BLOCK = size
-        yield from step(batches)
-
-    return run
+    want = counts()
+    monkeypatch.setattr(lm, "BLOCK", 300)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 40)
+    assert counts() == want
 
 
 def small_model(rng, words=300, n=4000):
