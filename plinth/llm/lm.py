@@ -14,9 +14,12 @@ When training, a token's class is that of its word's count without the token its
 Texts are coded once, in blocks of some MB, each with its own dictionary. To count words over the corpus, a block's
 dictionary goes by buckets of the words' hashes as arrays, one row a block and bucket; a bucket's arrays meet in one task,
 which sends totals back to the blocks. The number of buckets grows with the dictionaries, so that a bucket stays small; a
-word that is in all blocks takes 13 bytes of each. Each gradient step runs over the blocks of all training texts on the
-executors; what leaves a task is one table of sums of features (9 MB at most), summed on executors before it comes to the
+word that is in all blocks takes 13 bytes of each. Gradient steps run over the blocks of all training texts on the
+executors; what leaves a task is one table of sums of features (3 MB at most), summed on executors before it comes to the
 driver. Scoring is look-ups on arrays.
+
+The first step's expected counts follow from the features' counts; the next ones take a batch of the blocks each, so that
+training reads each text twice: once to count, once in a gradient step.
 """
 
 from __future__ import annotations
@@ -46,13 +49,14 @@ BINS = WAYS - 2
 #: Words of fewer occurrences are told apart by how they end.
 FREQUENT = 256
 #: Rows of the weights for each kind of feature, by choice.
-KINDS = (("last", 0, 14), ("last two", 0, 15), ("skip", 0, 14), ("classes", 0, 8), ("last", 1, 15), ("skip", 1, 14), ("topics", 1, 12), ("last", 2, 15))
+KINDS = (("last", 0, 13), ("last two", 0, 15), ("classes", 0, 8), ("last", 1, 14), ("skip", 1, 13), ("topics", 1, 12), ("last", 2, 14))
 ROWS = sum(1 << bits for _, _, bits in KINDS)
-STEPS = 4
-#: Tokens that are worked on at once, rows of a piece of the weights that travels, blocks of a task (more where that leaves fewer tasks than cores).
+#: Shares of a step that are taken: of the first, from counts, and of one for each batch of blocks.
+RATES = (0.6, 0.5, 0.4, 0.3)
+#: Pseudo-counts of a step, and the largest weight, by which sums of a few stay in single precision's range.
+SMOOTH, LARGEST = 2.0, 14.0
+#: Tokens that are worked on at once, rows of a piece of the weights that travels, blocks of a task (fewer where that leaves cores idle).
 SLICE, PIECE, TASK_BLOCKS = 1 << 14, 1024, 16
-#: Pseudo-counts of a step, the share of it that is taken at first, and the largest weight, by which sums of four stay in single precision's range.
-SMOOTH, RATE, LARGEST = 2.0, 0.6, 14.0
 
 
 def _planes(codes: np.ndarray) -> bytes:
@@ -319,32 +323,46 @@ def _block_columns(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
     return held, lengths, codes, count, steps, np.frombuffer(column("marks")[i].as_buffer(), "<u2").astype(np.int64)
 
 
-def expected(vocabulary: Vocabulary, weights: np.ndarray, own: np.ndarray, last: np.ndarray, before: np.ndarray, sums: np.ndarray, seen: np.ndarray | None) -> float:
-    """Adds each feature's expected ways to sums, and the ways taken to seen; the log likelihood of the choices."""
+def add_seen(own: np.ndarray, last: np.ndarray, before: np.ndarray, sums: np.ndarray) -> None:
+    """Adds the ways taken with each feature."""
+    ways = (own // WAYS**2, own // WAYS % WAYS, own % WAYS)
+    for f, (feature, (_, choice, bits)) in enumerate(zip(history_features(last, before, own), KINDS, strict=True)):
+        sums[_BASES[f] : _BASES[f + 1]] += np.bincount(feature.astype(np.int64) * WAYS + ways[choice], minlength=WAYS << bits).reshape(-1, WAYS)
+
+
+def add_slope(vocabulary: Vocabulary, weights: np.ndarray, own: np.ndarray, last: np.ndarray, before: np.ndarray, sums: np.ndarray) -> float:
+    """Adds the slope of the log likelihood by each weight, ways taken less expected; the log likelihood of the choices."""
     features = history_features(last, before, own)
     gain = 0.0
     for at in range(0, len(own), SLICE):
         part = slice(at, at + SLICE)
         for choice, p, way in _choices(vocabulary, weights, features, own, part):
-            gain += float(np.log(np.maximum(p[np.arange(len(way)), way], 1e-30)).sum(dtype=np.float64))
+            taken = np.arange(len(way)), way
+            gain += float(np.log(np.maximum(p[taken], 1e-30)).sum(dtype=np.float64))
+            p[taken] -= 1
             for f, (_, own_choice, _) in enumerate(KINDS):
                 if own_choice == choice:
                     order = np.argsort(features[f][part], kind="stable")  # 16 bits: by radix
                     row = features[f][part][order]
                     starts = np.r_[0, np.flatnonzero(row[1:] != row[:-1]) + 1]
-                    sums[_BASES[f] + row[starts]] += np.add.reduceat(np.take(p, order, axis=0), starts, axis=0)
-    if seen is not None:
-        ways = (own // WAYS**2, own // WAYS % WAYS, own % WAYS)
-        for f, (_, choice, bits) in enumerate(KINDS):
-            seen[_BASES[f] : _BASES[f + 1]] += np.bincount(features[f].astype(np.int64) * WAYS + ways[choice], minlength=WAYS << bits).reshape(-1, WAYS)
+                    sums[_BASES[f] + row[starts]] -= np.add.reduceat(np.take(p, order, axis=0), starts, axis=0)
     return gain
 
 
-def _sums(vocabulary: Vocabulary, weights: np.ndarray, first: bool):
-    """(piece, values, gain): sums over the training texts of a task's blocks, by pieces of the table; after the last piece come those of what was seen."""
+def _short(values: np.ndarray) -> bytes:
+    """The upper halves of single-precision numbers, rounded."""
+    return ((values.astype(np.float32).view(np.uint32) + np.uint32(0x8000)) >> np.uint32(16)).astype("<u2").tobytes()
+
+
+def _from_short(data) -> np.ndarray:
+    return (np.frombuffer(data, "<u2").astype(np.uint32) << np.uint32(16)).view(np.float32)
+
+
+def _sums(vocabulary: Vocabulary, weights: np.ndarray | None):
+    """(piece, values): sums over the training texts of a task's blocks, by pieces of the table: of ways seen, or with weights of the slope."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, seen, gain = np.zeros((ROWS, WAYS), np.float32), np.zeros((ROWS, WAYS), np.float32) if first else None, 0.0
+        sums = np.zeros((ROWS, WAYS), np.float32)
         for b in batches:
             for i in range(b.num_rows):
                 held, lengths, codes, count, steps, marks = _block_columns(b, i)
@@ -352,63 +370,64 @@ def _sums(vocabulary: Vocabulary, weights: np.ndarray, first: bool):
                     continue
                 kept = codes[np.repeat(~held, lengths)]
                 own, last, before, _, _ = _token_arrays(lengths[~held], kept, vocabulary.ways(count - 1, steps, marks), marks)
-                gain += expected(vocabulary, weights, own, last, before, sums, seen)
-        whole = sums if seen is None else np.concatenate([sums, seen])
-        for piece, at in enumerate(range(0, len(whole), PIECE)):
-            values = whole[at : at + PIECE]
-            if piece == 0 or values.any():
-                yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([values.tobytes()], pa.binary()), pa.array([gain if not piece else 0.0])], names=["piece", "v", "gain"])
+                if weights is None:
+                    add_seen(own, last, before, sums)
+                else:
+                    add_slope(vocabulary, weights, own, last, before, sums)
+        for piece, at in enumerate(range(0, ROWS, PIECE)):
+            values = sums[at : at + PIECE]
+            if values.any():
+                yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([_short(values)], pa.binary())], names=["piece", "v"])
 
     return run
 
 
 def _add_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
-    gains: dict[int, float] = {}
     for b in batches:
-        for piece, v, gain in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-            values = np.frombuffer(v.as_buffer(), np.float32)
+        for piece, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            values = _from_short(v.as_buffer())
             held[piece] = held[piece] + values if piece in held else values.astype(np.float64)
-            gains[piece] = gains.get(piece, 0.0) + gain
     for piece, values in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([values.astype(np.float32).tobytes()], pa.binary()), pa.array([gains[piece]])], names=["piece", "v", "gain"])
+        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([_short(values)], pa.binary())], names=["piece", "v"])
 
 
 def task_number(spark: SparkSession, many: int) -> int:
-    return max(1, min(many, max(2 * spark.sparkContext.defaultParallelism, many // TASK_BLOCKS)))
+    return max(1, min(many, max(spark.sparkContext.defaultParallelism, many // TASK_BLOCKS)))
 
 
-def train(blocks: DataFrame, many: int, vocabulary: Vocabulary, steps: int = STEPS) -> np.ndarray:
-    """Weights by feature and way, after steps over all training texts. A step is that of iterative scaling: the logarithm of seen over expected; one that loses likelihood is halved."""
+def train(blocks: DataFrame, many: int, vocabulary: Vocabulary, rates: tuple[float, ...] = RATES) -> np.ndarray:
+    """Weights by feature and way. Steps are those of iterative scaling, the logarithm of ways seen over ways expected: the first over all texts, each other one over a batch of the blocks, which together are all."""
     spark = blocks.sparkSession
     weights = np.zeros((ROWS, WAYS), np.float32)
-    seen: np.ndarray | None = None
-    best, kept, rate = -np.inf, weights, RATE
-    move = weights
     salts = max(1, task_number(spark, many) // 256)
-    fields = "piece int, v binary, gain double"
-    for _ in range(steps + 1):
-        parts = blocks.mapInArrow(_sums(vocabulary, weights, seen is None), fields)
+
+    def summed(rows: DataFrame, by: np.ndarray | None) -> np.ndarray:
+        parts = rows.mapInArrow(_sums(vocabulary, by), "piece int, v binary")
         if salts > 1:
-            parts = parts.repartition(F.col("piece"), F.pmod(F.xxhash64("v"), F.lit(salts))).mapInArrow(_add_pieces, fields)
-        got = parts.repartition("piece").mapInArrow(_add_pieces, fields).toArrow()  # the table of weights, twice at most
-        if not got.num_rows:
-            break
-        whole = np.zeros(((1 if seen is not None else 2) * ROWS, WAYS))
-        for piece, v in zip(got["piece"].to_pylist(), got["v"].combine_chunks(), strict=True):
-            values = np.frombuffer(v.as_buffer(), np.float32).reshape(-1, WAYS)
+            parts = parts.repartition(F.col("piece"), F.pmod(F.xxhash64("v"), F.lit(salts))).mapInArrow(_add_pieces, "piece int, v binary")
+        got = parts.repartition("piece").mapInArrow(_add_pieces, "piece int, v binary").toArrow()  # one table of weights
+        whole = np.zeros((ROWS, WAYS))
+        for piece, v in zip(got["piece"].to_pylist(), got["v"].to_pylist(), strict=True):
+            values = _from_short(v).reshape(-1, WAYS)
             whole[piece * PIECE : piece * PIECE + len(values)] = values
-        if seen is None:
-            seen = whole[ROWS:]
-        value = float(np.sum(got["gain"].to_numpy()))
-        if value < best:
-            rate /= 2
-            weights = np.clip(kept + rate * move, -LARGEST, LARGEST).astype(np.float32)
-            continue
-        best, kept = value, weights
-        move = np.log((seen + SMOOTH) / (whole[:ROWS] + SMOOTH))
-        weights = np.clip(kept + rate * move, -LARGEST, LARGEST).astype(np.float32)
-    return kept
+        return whole
+
+    seen = summed(blocks, None)
+    # Without weights a choice's ways go by their shares alone, and so a feature's expected ways by its count.
+    expected = np.zeros_like(seen)
+    for f, (_, choice, _) in enumerate(KINDS):
+        part = slice(_BASES[f], _BASES[f + 1])
+        share = np.exp(vocabulary.first) if not choice else seen[part].sum(axis=0) / max(seen[part].sum(), 1.0)
+        expected[part] = seen[part].sum(axis=1, keepdims=True) * share
+    weights = np.clip(rates[0] * np.log((seen + SMOOTH) / (expected + SMOOTH)), -LARGEST, LARGEST).astype(np.float32)
+    batches = len(rates) - 1
+    for number, rate in enumerate(rates[1:]):
+        slope = summed(blocks.filter(F.pmod(F.xxhash64("block"), F.lit(batches)) == number), weights)
+        own = seen / batches
+        move = np.log((own + SMOOTH) / (np.maximum(own - slope, 0) + SMOOTH))
+        weights = np.clip(weights + rate * move, -LARGEST, LARGEST).astype(np.float32)
+    return weights
 
 
 def _score(vocabulary: Vocabulary, weights: np.ndarray):
@@ -437,7 +456,7 @@ def _score(vocabulary: Vocabulary, weights: np.ndarray):
     return run
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, rest: int = 2, steps: int = STEPS) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, rest: int = 2, rates: tuple[float, ...] = RATES) -> DataFrame:
     """Per row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Rows whose crc32 of the id as text has remainder rest are held out; those of a null id aren't. Null texts are empty: one
@@ -488,7 +507,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     trained = left + 0.1 * (mass > 0)
     trained[NEW * WAYS**2], trained[END * WAYS**2] = mass.sum() - left.sum() + 1, ends + 1
     vocabulary = Vocabulary(sum(r["tokens"] for r in whole) + ends, sum(r["words"] for r in whole) + (ends > 0), ends, bins, mass, *_shares(trained))
-    weights = train(blocks, many, vocabulary, steps) if ends else np.zeros((ROWS, WAYS), np.float32)
+    weights = train(blocks, many, vocabulary, rates) if ends else np.zeros((ROWS, WAYS), np.float32)
     fields = T.StructType().add("id", rows.schema["id"].dataType).add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
     out = blocks.mapInArrow(_score(vocabulary, weights), fields)
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), "base_score", "score")

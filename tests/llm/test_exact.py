@@ -376,7 +376,7 @@ def test_word_counts_over_blocks_and_buckets(docs, monkeypatch):
     """Small blocks and split buckets: counts depend on neither."""
 
     def counts():
-        return sorted((r["doc_id"] or -1, r["n_known"], round(r["base_score"], 6)) for r in lm.score_texts(docs, steps=1).collect())
+        return sorted((r["doc_id"] or -1, r["n_known"], round(r["base_score"], 6)) for r in lm.score_texts(docs, rates=(0.6,)).collect())
 
     want = counts()
     monkeypatch.setattr(lm, "BLOCK", 300)
@@ -404,9 +404,10 @@ def test_language_model_gradient():
     vocabulary, lengths, codes, _, cells, marks = small_model(rng)
     own, last, before, _, _ = lm._token_arrays(lengths, codes, cells, marks)
     weights = (0.1 * rng.standard_normal((lm.ROWS, lm.WAYS))).astype(np.float32)
-    sums, seen = np.zeros((lm.ROWS, lm.WAYS)), np.zeros((lm.ROWS, lm.WAYS))
-    lm.expected(vocabulary, weights, own, last, before, sums, seen)
-    slope = seen - sums
+    slope, seen = np.zeros((lm.ROWS, lm.WAYS)), np.zeros((lm.ROWS, lm.WAYS))
+    lm.add_slope(vocabulary, weights, own, last, before, slope)
+    lm.add_seen(own, last, before, seen)
+    assert seen.sum() == len(lm.KINDS) * len(own) and (seen >= slope - 1e-3).all()
     for f in range(len(lm.KINDS)):
         part = np.abs(slope[lm._BASES[f] : lm._BASES[f + 1]])
         row, way = np.unravel_index(int(part.argmax()), part.shape)
@@ -414,7 +415,7 @@ def test_language_model_gradient():
         for step in (0.02, -0.02):
             moved = weights.copy()
             moved[lm._BASES[f] + row, way] += step
-            value.append(lm.expected(vocabulary, moved, own, last, before, np.zeros_like(sums), None))
+            value.append(lm.add_slope(vocabulary, moved, own, last, before, np.zeros_like(slope)))
         got, want = slope[lm._BASES[f] + row, way], (value[0] - value[1]) / 0.04
         assert abs(got - want) <= 0.02 * abs(want) + 0.05, lm.KINDS[f]
 
