@@ -13,53 +13,65 @@ from plinth.sources import files as S
 plans = Plans()
 QUERIES, SQL = plans.queries, plans.sql
 
-_FILES = [("src/a.py", 10), ("src/b.PY", 10), ("README.md", 5), ("data/x.bin", 7), ("docs/g.rst", 3), ("big.go", 20_000_000), ("lib/.hidden", 1), ("node_modules/m/i.js", 4), ("build/out.js", 4), ("keep/build/k.js", 4), ("notes.txt", 9), ("web/p.html", 8), ("conf.json", 2), ("a/b/c/d.rs", 6), ("noext", 1)]
-_IGNORE = [("", "build/"), ("", "*.bin"), ("", "# note"), ("", "!keep/build/"), ("", "!node_modules/"), ("lib", ".hid*")]
-_ROUTES = [("*.txt", "document"), ("docs/*", "vault")]
+_IGNORE = [("", "build/"), ("", "!keep/build/"), ("", "*.bin"), ("", "# note"), ("", "!node_modules/"), ("lib", ".hid*")]
+_ROUTES = [("src/*.txt", "document"), ("docs/*", "vault")]
+_FOLDERS = ["", "src/", "docs/", "node_modules/m/", "build/", "keep/build/", ".vault/p/", "w/.claude/worktrees/", "lib/.hid/", ".claude/worktrees/w/"]
+_SUFFIXES = [".py", ".rs", ".md", ".js", ".jsx", ".ts", ".tsx", ".go", ".java", ".c", ".h", ".cpp", ".hpp", ".cc", ".cs", ".rb", ".sh", ".bash", ".yaml", ".yml", ".toml", ".json", ".html", ".css", ".kt", ".txt", ".properties", ".xml", ".xsd", ".bin", ".PY", "", ".rst"]
 
+# Fixed values, suffix by suffix: language, grammar, whether the conventional profile takes it.
+_SUFFIX_SQL = """(values ('.py', 'python', 'python', true), ('.rs', 'rust', 'rust', true), ('.md', 'markdown', null, false), ('.js', 'javascript', 'javascript', true), ('.jsx', 'javascript', 'javascript', true),
+  ('.ts', 'typescript', 'typescript', true), ('.tsx', 'typescript', 'tsx', true), ('.go', 'go', 'go', true), ('.java', 'java', 'java', true), ('.c', 'c', 'c', true), ('.h', 'c', 'c', true), ('.cpp', 'cpp', 'cpp', true),
+  ('.hpp', 'cpp', 'cpp', true), ('.cc', 'cpp', 'cpp', true), ('.cs', 'csharp', 'csharp', true), ('.rb', 'ruby', 'ruby', true), ('.sh', 'shell', 'bash', true), ('.bash', 'shell', 'bash', true), ('.yaml', 'yaml', null, false),
+  ('.yml', 'yaml', null, false), ('.toml', 'toml', null, false), ('.json', 'json', null, false), ('.html', 'html', null, false), ('.css', 'css', null, true), ('.kt', 'kotlin', 'kotlin', true), ('.txt', 'text', null, false),
+  ('.properties', 'text', null, false), ('.xml', 'xml', null, false), ('.xsd', 'xml', null, false)) as k(known, language, grammar, code)"""
+_PATHS_SQL = f"(select ({_FOLDERS})[doc_id % {len(_FOLDERS)} + 1] as folder, ({_SUFFIXES})[(doc_id // {len(_FOLDERS)}) % {len(_SUFFIXES)} + 1] as suffix, folder || 'f' || doc_id || suffix as path from documents)"
+_KIND_SQL = f"""(select path, suffix, case when folder in ('node_modules/m/', 'build/', '.vault/p/', '.claude/worktrees/w/', 'lib/.hid/') or suffix = '.bin' then 'ignored' when folder = 'docs/' then 'vault' when folder = 'src/' and suffix = '.txt' then 'document' when coalesce(code, false) then 'code' else 'none' end as found
+  from {_PATHS_SQL} left join {_SUFFIX_SQL} on known = lower(suffix))"""
+_ADMITTED_SQL = f"select path, case found when 'ignored' then null when 'none' then 'code' else found end as kind, found not in ('ignored', 'none') as admitted, case found when 'ignored' then 'ignored' when 'none' then 'source_profile_excluded' when 'code' then 'source_profile' else 'explicit_route' end as reason from {_KIND_SQL}"
 
-def listing(spark):
-    return literal(spark, "path string, length long", _FILES)
 
+def listing(spark, sf_dir):
+    """A path for each document, over folders and suffixes."""
 
-_ANSWERS = [
-    ("src/a.py", "code", True, "source_profile"), ("src/b.PY", "code", True, "source_profile"), ("README.md", "code", False, "source_profile_excluded"), ("data/x.bin", None, False, "ignored"), ("docs/g.rst", "vault", True, "explicit_route"),
-    ("big.go", "code", True, "source_profile"), ("lib/.hidden", None, False, "ignored"), ("node_modules/m/i.js", None, False, "ignored"), ("build/out.js", None, False, "ignored"), ("keep/build/k.js", "code", True, "source_profile"),
-    ("notes.txt", "document", True, "explicit_route"), ("web/p.html", "code", True, "source_profile"), ("conf.json", "code", False, "source_profile_excluded"), ("a/b/c/d.rs", "code", True, "source_profile"), ("noext", "code", False, "source_profile_excluded"),
-]
+    def nth(values, i):
+        return F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int"))
 
+    i = F.col("doc_id")
+    path = F.concat(nth(_FOLDERS, i), F.lit("f"), i.cast("string"), nth(_SUFFIXES, F.floor(i / len(_FOLDERS))))
+    return table(spark, sf_dir, "documents").select(path.alias("path"), F.lit(100).cast("long").alias("length"))
 
-def classified(spark):
+
+def classified(spark, sf_dir):
     ignored = S.is_ignored(F.col("path"), S.ignore_rules(_IGNORE))
-    return listing(spark).select("path", "length", S.classify(F.col("path"), ignored, _ROUTES).alias("c")).select("path", "length", "c.*")
+    return listing(spark, sf_dir).select("path", "length", S.classify(F.col("path"), ignored, _ROUTES).alias("c")).select("path", "length", "c.*")
 
 
-@plans.add("a08_a10_a11_a13_classify_content", literal_sql(["path", "kind", "admitted", "reason"], _ANSWERS))
+@plans.add("a08_a10_a11_a13_classify_content", _ADMITTED_SQL)
 def admission(spark, sf_dir):
-    return classified(spark).select("path", "kind", "admitted", "reason")
+    return classified(spark, sf_dir).select("path", "kind", "admitted", "reason")
 
 
-@plans.add("a04_a05_n12_scan_dispositions", f"select kind, admitted, reason, count(*) as n from {literal_sql(['path', 'kind', 'admitted', 'reason'], _ANSWERS)} group by all")
+@plans.add("a04_a05_n12_scan_dispositions", f"select kind, admitted, reason, count(*) as n from ({_ADMITTED_SQL}) group by all")
 def scanned(spark, sf_dir):
-    return S.dispositions(classified(spark))
+    return S.dispositions(classified(spark, sf_dir))
 
 
-@plans.add("a06_a07_raw_code_refusal", "select case when doc_id % 3 = 0 then 'source_too_large' when doc_id % 3 = 1 then 'source_binary' end as refusal, count(*) as n from documents group by all")
+@plans.add("a06_a07_raw_code_refusal", "select case when doc_id % 3 = 0 then 'source_too_large' when doc_id % 3 = 1 and strlen(text) < 8192 then 'source_binary' end as refusal, count(*) as n from documents group by all")
 def refused(spark, sf_dir):
     i = F.col("doc_id") % 3
-    content = F.concat(F.encode(F.substring("text", 1, 50), "UTF-8"), F.when(i == 1, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("20"))))
+    content = F.concat(F.encode("text", "UTF-8"), F.when(i == 1, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("20"))))
     length = F.when(i == 0, F.lit(S.MAX_SOURCE_BYTES + 1)).otherwise(100)
     return table(spark, sf_dir, "documents").filter("text is not null").groupBy(S.code_refusal(length, content).alias("refusal")).agg(F.count("*").alias("n"))
 
 
-@plans.add("a09_route_owner", literal_sql(["path", "kind"], [(p, "document" if p.endswith(".txt") else "vault" if p.startswith("docs/") else None) for p, _ in _FILES]))
+@plans.add("a09_route_owner", f"select path, case when folder = 'docs/' then 'vault' when suffix = '.txt' and folder = 'src/' then 'document' end as kind from {_PATHS_SQL}")
 def owners(spark, sf_dir):
-    return listing(spark).select("path", S.routed_kind(F.col("path"), [*_ROUTES, ("notes*", "document")]).alias("kind"))
+    return listing(spark, sf_dir).select("path", S.routed_kind(F.col("path"), [*_ROUTES, ("src/f*.txt", "document")]).alias("kind"))
 
 
-@plans.add("h05_select_parser", literal_sql(["path", "language", "grammar"], [(p, *{".py": ("python", "python"), ".md": ("markdown", None), ".go": ("go", "go"), ".js": ("javascript", "javascript"), ".html": ("html", None), ".json": ("json", None), ".rs": ("rust", "rust")}.get("." + p.lower().rsplit(".", 1)[-1] if "." in p.rsplit("/", 1)[-1][1:] else "", ("text", None))) for p, _ in _FILES]))
+@plans.add("h05_select_parser", f"select path, coalesce(language, 'text') as language, grammar from {_PATHS_SQL} left join {_SUFFIX_SQL} on known = lower(suffix)")
 def parsers(spark, sf_dir):
-    return listing(spark).select("path", S.parser(F.col("path")).alias("p")).select("path", "p.*")
+    return listing(spark, sf_dir).select("path", S.parser(F.col("path")).alias("p")).select("path", "p.*")
 
 
 @plans.add("a21_match_rule", "select page_id, case when url glob '*/fr/*' then 'french' when url glob 'https*' then 'secure' when url glob '*' then 'any' end as rule from pages")

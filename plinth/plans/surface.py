@@ -168,9 +168,21 @@ def weights(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", M.chunk_bytes(["text", "source"], 64).alias("weight"))
 
 
-@plans.add("h43_query_clauses", literal_sql(["query", "parts"], [("Find the cache. Explain the index.", 3), ("one thing", 1), ("x = {1}", 1)]))
+_ASKED = {
+    "Find the cache. Explain the index.": ["the cache", "the index"],
+    "explain the cache and how it evicts": ["the cache", "how it evicts"],
+    "Please show me both the parser;describe why it fails but where is the test?": ["the parser", "why it fails", "where is the test"],
+    "whether retries stop and verify the limit": ["retries stop", "verify the limit"],
+    "cats and dogs": [],
+    "one thing": [],
+    "x = {1}": [],
+    "a. b. c. d. e. f": [],
+}
+
+
+@plans.add("h43_query_clauses", literal_sql(["query", "parts"], [(q, "|".join([q, *p])) for q, p in _ASKED.items()]))
 def clauses(spark, sf_dir):
-    return literal(spark, "query string, parts int", [(q, len(J.query_clauses(q))) for q in ("Find the cache. Explain the index.", "one thing", "x = {1}")])
+    return literal(spark, "query string, parts string", [(q, "|".join(J.query_clauses(q))) for q in _ASKED])
 
 
 @plans.add("i22_i23_i24_judgment", "select event_id, value <= 50 and event_id % 2 = 0 as dropped, round(case when value > 50 then 0.95 else 0.05 end, 6) as score, case when event_id % 3 = 0 and event_id % 2 = 0 then 'debugging' end as intent from events")

@@ -13,14 +13,42 @@ from plinth.functions.paths import glob_regex
 MAX_SOURCE_BYTES = 10 << 20
 SNIFFED_BYTES = 8192
 BATCH_FILES = 64
-#: Excluded always, after all ignore files, so that no negation brings them back.
-ALWAYS_IGNORED = (".git/", "__pycache__/", "node_modules/", ".venv/")
-#: Suffix, language and grammar (empty: none), and the suffixes that the conventional profile takes.
+# Excluded always, after all ignore files, so that no negation brings them back; the last is the folder of the index's own data.
+ALWAYS_IGNORED = (".venv/", ".git/", ".vault/", ".vaultspec/", "node_modules/", "__pycache__/", ".claude/worktrees/", ".vault/data/search-data/")
+# Language and grammar (empty: none) by suffix.
 PARSERS = {
-    ".py": ("python", "python"), ".rs": ("rust", "rust"), ".js": ("javascript", "javascript"), ".ts": ("typescript", "typescript"), ".go": ("go", "go"), ".java": ("java", "java"), ".c": ("c", "c"), ".cpp": ("cpp", "cpp"),
-    ".rb": ("ruby", "ruby"), ".md": ("markdown", ""), ".html": ("html", ""), ".json": ("json", ""), ".toml": ("toml", ""), ".yml": ("yaml", ""), ".yaml": ("yaml", ""), ".sh": ("bash", "bash"),
-}
-CONVENTIONAL = (".py", ".rs", ".js", ".ts", ".go", ".java", ".c", ".cpp", ".rb", ".sh", ".html")
+    ".py": ("python", "python"),
+    ".rs": ("rust", "rust"),
+    ".md": ("markdown", ""),
+    ".js": ("javascript", "javascript"),
+    ".jsx": ("javascript", "javascript"),
+    ".ts": ("typescript", "typescript"),
+    ".tsx": ("typescript", "tsx"),
+    ".go": ("go", "go"),
+    ".java": ("java", "java"),
+    ".c": ("c", "c"),
+    ".h": ("c", "c"),
+    ".cpp": ("cpp", "cpp"),
+    ".hpp": ("cpp", "cpp"),
+    ".cc": ("cpp", "cpp"),
+    ".cs": ("csharp", "csharp"),
+    ".rb": ("ruby", "ruby"),
+    ".sh": ("shell", "bash"),
+    ".bash": ("shell", "bash"),
+    ".yaml": ("yaml", ""),
+    ".yml": ("yaml", ""),
+    ".toml": ("toml", ""),
+    ".json": ("json", ""),
+    ".html": ("html", ""),
+    ".css": ("css", ""),
+    ".kt": ("kotlin", "kotlin"),
+    ".txt": ("text", ""),
+    ".properties": ("text", ""),
+    ".xml": ("xml", ""),
+    ".xsd": ("xml", ""),
+}
+# Suffixes that the conventional profile takes as code.
+CONVENTIONAL = (".bash", ".c", ".cc", ".cpp", ".cs", ".css", ".go", ".h", ".hpp", ".java", ".js", ".jsx", ".kt", ".py", ".rb", ".rs", ".sh", ".ts", ".tsx")
 
 
 def scratch(spark: SparkSession) -> str:

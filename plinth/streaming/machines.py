@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 from plinth.operators import progress as G
 
 OPEN_AFTER, RETRY_BASE, RETRY_CAP, RETRY_JITTER = 3, 30.0, 1800.0, 0.1
-ESCALATE_SAMPLES, RELEASE_SECONDS, STALE_SECONDS = 3, 60.0, 15.0
+ESCALATE_SAMPLES, RELEASE_SECONDS, SAMPLE_SECONDS, STALE_SECONDS = 3, 60.0, 5.0, 15.0
 
 
 def wait_of(exponent: int, unit: float = 0.5, base: float = RETRY_BASE, cap: float = RETRY_CAP, fraction: float = RETRY_JITTER) -> float:
@@ -42,7 +42,11 @@ class Retry:
 
 @dataclass(frozen=True)
 class Pressure:
-    """Tier with hysteresis: it rises to the least of ESCALATE_SAMPLES samples above it, and falls by one after RELEASE_SECONDS below it."""
+    """Tier with hysteresis: it rises to the least of ESCALATE_SAMPLES samples above it, and falls by one after RELEASE_SECONDS below it.
+
+    It lapses to none before a sample that comes STALE_SECONDS or more after the last one, or before it by the clock; a
+    sample within SAMPLE_SECONDS of the last one doesn't count.
+    """
 
     tier: int = 0
     above: tuple[int, ...] = ()
@@ -50,6 +54,13 @@ class Pressure:
     seen_at: float | None = None
 
     def sample(self, raw: int, now: float) -> Pressure:
+        if self.seen_at is not None and now >= self.seen_at and now - self.seen_at < SAMPLE_SECONDS:
+            return self
+        if self.stale(now):
+            return Pressure()._taken(raw, now)
+        return self._taken(raw, now)
+
+    def _taken(self, raw: int, now: float) -> Pressure:
         if raw > self.tier:
             above = (*self.above, raw)
             if len(above) >= ESCALATE_SAMPLES:
@@ -63,7 +74,7 @@ class Pressure:
         return replace(self, above=(), quiet_since=since, seen_at=now)
 
     def stale(self, now: float) -> bool:
-        return self.seen_at is None or now - self.seen_at > STALE_SECONDS
+        return self.seen_at is None or now < self.seen_at or now - self.seen_at >= STALE_SECONDS
 
 
 @dataclass(frozen=True)

@@ -41,7 +41,52 @@ def test_markdown_sections_and_passages():
     assert K.split_record("")[0]["content"] == ""
 
 
+def sections_by_hand(text):
+    """The section of each character of a body without fences and underlined headings."""
+    out, path, first = [], [], True
+    for line in text.split("\n"):
+        name = " > ".join(t for _, t in path)
+        if line.startswith("#"):
+            level = len(line) - len(line.lstrip("#"))
+            if not (first and level == 1):
+                path = [x for x in path if x[0] < level] + [(level, line.strip("# "))]
+            first = False
+        out += [name] + [" > ".join(t for _, t in path)] * len(line)
+    return out
+
+
+def test_markdown_on_random_bodies():
+    """Passages cover the words outside headings and breaks, once, in order, within bounds and sections."""
+    r = random.Random(12)
+    for _ in range(300):
+        lines = [r.choice(["word here. More of it", "- item one", "2) second", "", "", "## H" + r.choice("ab"), "### Deep ##", "# Top", "***", "x" * 30, "a b c! d? e"]) for _ in range(r.randint(1, 25))]
+        text = "\n".join(lines)
+        m = K.Markdown(text, 1, most=40, merge_below=12)
+        covered = "".join("".join(text[p.start : p.end].split()) for p in m.passages)
+        assert covered == "".join("".join(x.split()) for x in lines if not x.startswith("#") and x != "***")
+        want = sections_by_hand(text)
+        for p in m.passages:
+            assert p.end - p.start <= 40 and text[p.start : p.end] == text[p.start : p.end].strip()
+            assert p.section == want[p.start] and p.line_start == 1 + text.count("\n", 0, p.start) and p.line_end == 1 + text.count("\n", 0, p.end)
+            assert m.section_at(p.start) == p.section
+        for a, b in zip(m.passages, m.passages[1:], strict=False):
+            assert a.end <= b.start
+
+
+def test_markdown_lines():
+    from plinth.functions import markdown as M
+
+    assert [M.name_line(x).kind for x in ("", "  ", "- - -", "--", "***", "# a", "#a", "    # a", "```py", "~~", "####### x")] == ["blank", "blank", "break", "text", "break", "heading", "text", "text", "fence", "text", "text"]
+    assert [M.name_line(x).value for x in ("# a #", "## a#", "# #", "#", "### b ## ")] == ["a", "a#", "", "", "b"]
+    assert [M.is_item(x) for x in ("- a", "-", "1. a", "1234567890. a", "    - a", "+a", "12) x")] == [True, True, True, False, False, False, True]
+    assert [M.underline(x) for x in ("===", "--", "=-", "    ---", "- -")] == [1, 2, 0, 0, 0]
+    body = "Sub\n---\na\nb\n---\nc\n===\n- i\n---\n````\n```\n````\nend"
+    m = K.Markdown(body, most=1000, merge_below=0)
+    assert [(p.section, body[p.start : p.end]) for p in m.passages] == [("Sub", "a\nb"), ("c", "- i"), ("c", "````\n```\n````"), ("c", "end")]
+
+
 def test_html():
+    assert K.html_text("<template><p>x</template>a<br/>b<script>1 < 2</script></style>c<ul><li>d<li> e </ul>") == "a\n\nbc\n\nd\ne"
     assert K.html_text("<html><head><title>x</title></head><body><p>a &amp; b</p><script>z</script><div>c</div></body>") == "a & b\n\nc"
     assert K.html_text("") == ""
 
@@ -86,11 +131,15 @@ def test_retry_and_circuit():
 def test_pressure_hysteresis():
     p = S.Pressure()
     for t, raw in enumerate((2, 1, 2)):
-        p = p.sample(raw, float(t))
-    assert p.tier == 1
-    p = p.sample(0, 10.0).sample(0, 69.0)
+        p = p.sample(raw, 5.0 * t)
     assert p.tier == 1
-    assert p.sample(0, 70.0).tier == 0 and p.stale(100.0)
+    for t in range(3, 14):
+        p = p.sample(0, 5.0 * t)
+        assert p.tier == 1
+    assert p.sample(0, 70.0).tier == 1 and p.sample(0, 75.0).tier == 0
+    assert p.sample(2, 66.0) == p  # too soon after the last one
+    assert p.stale(80.0) and not p.stale(79.0) and p.stale(60.0)
+    assert p.sample(1, 80.0).tier == 0  # lapsed
 
 
 def test_scope():
@@ -110,6 +159,10 @@ def test_scope():
 def test_clauses_and_cache():
     assert J.query_clauses("Find the parser. Explain the cache.") == ("Find the parser. Explain the cache.", "the parser", "the cache")
     assert J.query_clauses("x = 1") == ("x = 1",)
+    assert J.query_clauses("explain the cache and how it evicts") == ("explain the cache and how it evicts", "the cache", "how it evicts")
+    assert J.query_clauses("find a;b")[1:] == ("a", "b") and J.query_clauses("Foo. and how bar")[1:] == ("Foo", "and how bar")
+    assert J.query_clauses("cats and dogs but no birds") == ("cats and dogs but no birds",)
+    assert J.query_clauses("Please locate: both x. show mean values. trace, y?")[1:] == ("x", "mean values", "y")
     now = [0.0]
     c = J.Answers(seconds=10, most=2, clock=lambda: now[0])
     for k in "abc":
