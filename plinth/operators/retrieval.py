@@ -7,13 +7,24 @@ Ranks start at 1; ties go by id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RRF_K = 60
 LEG_FACTOR = 4
 #: Queries and their terms are broadcast up to so many rows; more go by an ordinary join, or block by block.
 MOST_BROADCAST = 100_000
+#: Dense queries that a pass over the rows takes at once, and buckets of stored postings.
+QUERY_BLOCK, POSTING_BUCKETS = 4096, 32
 
 
 def checked_broadcast(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
@@ -21,6 +32,11 @@ def checked_broadcast(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def leg_side(leg: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """A leg as a join's side: it has limit rows a query at most, so the queries tell whether it is broadcast, without running it first."""
+    return F.broadcast(leg) if queries.select("qid").distinct().count() * limit <= MOST_BROADCAST else leg
+
+
 def dot(a: Column, b: Column) -> Column:
     """Of two arrays, in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -42,19 +58,93 @@ def ranked(scores: DataFrame, limit: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= limit)
 
 
+def _block_scores(matrix: np.ndarray, qids: pa.Array, limit: int, places: int | None):
+    """Rows of a block of queries: of each batch the best rows of each query, ties of the last one included."""
+    scale = np.linalg.norm(matrix, axis=1)
+    width = matrix.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            rows = np.flatnonzero(sizes == width)
+            if not len(rows):
+                continue
+            values = b.column(1).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+            with np.errstate(all="ignore"):
+                scores = (values @ matrix.T) / (np.linalg.norm(values, axis=1)[:, None] * scale)
+            if places is not None:
+                scores = np.round(scores, places)
+            scores = np.where(np.isfinite(scores), scores, -np.inf)
+            least = -np.partition(-scores, limit - 1, axis=0)[limit - 1] if len(scores) > limit else np.full(len(scale), -np.inf)
+            row, query = np.nonzero((scores >= least) & (scores > -np.inf))
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(query)), b.column(0).take(pa.array(rows[row])), pa.array(scores[row, query])], names=["qid", "id", "score"])
+
+    return run
+
+
 def dense_leg(table: DataFrame, queries: DataFrame, limit: int, places: int | None = None) -> DataFrame:
-    """By cosine. table: (id, vector), queries: (qid, query), a bounded set that meets all rows. Null vectors are left out."""
-    pairs = table.filter("vector is not null").crossJoin(checked_broadcast(queries))
-    score = dot(F.col("vector"), F.col("query")) / (norm(F.col("vector")) * norm(F.col("query")))
-    return ranked(pairs.select("qid", "id", (F.round(score, places) if places is not None else score).alias("score")).filter("score is not null and not isnan(score)"), limit)
+    """By cosine. table: (id, vector), queries: (qid, query). Null vectors and those of another width are left out.
+
+    Queries go in blocks of QUERY_BLOCK at most, each a matrix that all rows meet in one pass; a task passes on its best
+    rows of each query only.
+    """
+    given = queries.filter("query is not null").withColumn("query", F.col("query").cast("array<double>"))
+    blocks = max(1, math.ceil(given.count() / QUERY_BLOCK))
+    fields = f"qid {queries.schema['qid'].dataType.simpleString()}, id {table.schema['id'].dataType.simpleString()}, score double"
+    rows = table.filter("vector is not null").select("id", "vector")
+    legs = []
+    for block in range(blocks):
+        own = given.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).select("qid", "query").toArrow() if blocks > 1 else given.select("qid", "query").toArrow()
+        ids, vectors = own.column("qid").combine_chunks(), own.column("query").combine_chunks()
+        widths = vectors.value_lengths().to_numpy(zero_copy_only=False) if own.num_rows else np.zeros(0, int)
+        for width in np.unique(widths[widths > 0]).tolist():
+            at = pa.array(np.flatnonzero(widths == width))
+            matrix = vectors.take(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            legs.append(rows.mapInArrow(_block_scores(matrix, ids.take(at), limit, places), fields))
+    if not legs:
+        return ranked(rows.sparkSession.createDataFrame([], fields), limit)
+    return ranked(reduce(DataFrame.unionByName, legs), limit)
 
 
 def term_weights(texts: DataFrame, pattern: str = r"[a-z0-9]+", wanted: DataFrame | None = None) -> DataFrame:
-    """(id, term, weight): 1 + ln(count) of each term of (id, text). wanted: (term); others are left out before they are counted and shuffled."""
-    terms = texts.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({pattern})"), 1)).alias("term"))
-    if wanted is not None:
-        terms = terms.join(checked_broadcast(wanted.select("term").distinct()), "term", "left_semi")
-    return terms.groupBy("id", "term").agg((1 + F.log(F.count("*"))).alias("weight"))
+    """(id, term, weight, and texts' other columns): 1 + ln(count) of each term of (id, text), counted text by text, so nothing is shuffled; rows of an id that repeats each have their own. wanted: (term); others are left out. Null texts have none."""
+    rest = [c for c in texts.columns if c not in ("id", "text")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(pattern).findall
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                counts = [Counter(find(text.lower())) if text else {} for text in part.column(1).to_pylist()]
+                rows = pa.array(np.repeat(np.arange(part.num_rows), [len(c) for c in counts]))
+                n = np.fromiter((k for c in counts for k in c.values()), np.float64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array([t for c in counts for t in c], pa.string()), pa.array(1 + np.log(n)), *(part.column(i + 2).take(rows) for i in range(len(rest)))], names=["id", "term", "weight", *rest])
+
+    schema = T.StructType([texts.schema["id"]]).add("term", "string").add("weight", "double")
+    for c in rest:
+        schema = schema.add(texts.schema[c])
+    out = texts.select("id", "text", *rest).mapInArrow(run, schema)
+    return out if wanted is None else out.join(checked_broadcast(wanted.select("term").distinct()), "term", "left_semi").select(schema.names)
+
+
+def term_bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(POSTING_BUCKETS)).cast("int")
+
+
+def store_postings(postings: DataFrame, path: str) -> str:
+    """Writes postings (id, term, weight and payload) by bucket of the term, in its order: a search reads the buckets of its terms, and in them the row groups that may hold these."""
+    rows = postings.withColumn("bucket", term_bucket(F.col("term")))
+    rows.repartition(POSTING_BUCKETS, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").option("compression", "zstd").parquet(path)
+    return path
+
+
+def stored_postings(spark: SparkSession, path: str, terms: list[str] | None = None) -> DataFrame:
+    """The postings of a path; terms: a few, of which only the buckets and row groups are read."""
+    rows = spark.read.parquet(path)
+    if terms is None:
+        return rows.drop("bucket")
+    known = spark.createDataFrame([(t,) for t in terms], "term string").select(term_bucket(F.col("term")).alias("b")).distinct().collect()
+    return rows.filter(F.col("bucket").isin([r["b"] for r in known]) & F.col("term").isin(terms)).drop("bucket")
 
 
 def sparse_leg(postings: DataFrame, query_terms: DataFrame, limit: int, places: int | None = None) -> DataFrame:

@@ -31,6 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again, so that what reads it more than once doesn't run it again."""
+    from plinth.sources.files import scratch
+
+    path = f"{scratch(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def literal_sql(columns: list[str], rows: list[tuple]) -> str:
     """A parenthesised VALUES query for DuckDB."""
 

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from plinth.operators import ranking as K
 from plinth.operators import retrieval as R
-from plinth.plans.base import VAULT_SQL, Plans, literal, literal_sql, table, vault
+from plinth.plans.base import VAULT_SQL, Plans, literal, literal_sql, table, vault, written
+from plinth.sources import files as S
 
 plans = Plans()
 QUERIES, SQL = plans.queries, plans.sql
 
-QUERY_ROWS = 5
+#: Each vector whose id is divisible by this is a query; of the benchmark all items are.
+EVERY = 100
 
 
 def vectors(spark, sf_dir):
@@ -19,7 +21,7 @@ def vectors(spark, sf_dir):
 
 
 def query_vectors(spark, sf_dir):
-    return vectors(spark, sf_dir).filter(F.col("id") < QUERY_ROWS).select(F.col("id").alias("qid"), F.col("vector").alias("query"))
+    return vectors(spark, sf_dir).filter(F.col("id") % EVERY == 0).select(F.col("id").alias("qid"), F.col("vector").alias("query"))
 
 
 def texts(spark, sf_dir):
@@ -27,20 +29,37 @@ def texts(spark, sf_dir):
 
 
 def query_terms(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").filter(F.col("item_id") < QUERY_ROWS).select(F.col("item_id").alias("id"), "text")
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
     return R.term_weights(b).select(F.col("id").alias("qid"), "term", F.col("weight").alias("q"))
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored(spark, sf_dir) -> str:
+    """Where the documents' postings lie, with the language as payload; written once a session and folder, as an index is."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        _stored[key] = R.store_postings(R.term_weights(texts(spark, sf_dir)), f"{S.scratch(spark)}/postings")
+    return _stored[key]
+
+
 def postings(spark, sf_dir, where="true"):
-    """The postings that the queries can meet."""
-    return R.term_weights(texts(spark, sf_dir).filter(where), wanted=query_terms(spark, sf_dir))
+    return R.stored_postings(spark, stored(spark, sf_dir)).filter(where)
+
+
+@plans.add("index_postings", "select term, count(*) as texts, round(sum(weight), 6) as weight from (select doc_id, term, 1 + ln(count(*)) as weight from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents) group by doc_id, term) group by term")
+def indexed(spark, sf_dir):
+    """The stored postings, written anew, by term."""
+    _stored.pop((spark.sparkContext.applicationId, sf_dir), None)
+    return postings(spark, sf_dir).groupBy("term").agg(F.count("*").alias("texts"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
 _COS = "round(list_dot_product(v.embedding::double[], q.embedding::double[]) / (sqrt(list_dot_product(v.embedding::double[], v.embedding::double[])) * sqrt(list_dot_product(q.embedding::double[], q.embedding::double[]))), 6)"
 
 
 def dense_sql(limit: int, where: str = "true") -> str:
-    return f"(select * from (select q.vec_id as qid, v.vec_id as id, {_COS} as score, row_number() over (partition by q.vec_id order by {_COS} desc, v.vec_id) as rank from embeddings v, embeddings q where q.vec_id < {QUERY_ROWS} and {where}) where rank <= {limit})"
+    return f"(select * from (select q.vec_id as qid, v.vec_id as id, {_COS} as score, row_number() over (partition by q.vec_id order by {_COS} desc, v.vec_id) as rank from embeddings v, embeddings q where q.vec_id % {EVERY} = 0 and {where}) where rank <= {limit})"
 
 
 def terms_sql(source: str, key: str) -> str:
@@ -48,7 +67,7 @@ def terms_sql(source: str, key: str) -> str:
 
 
 def sparse_sql(limit: int, where: str = "true") -> str:
-    q = f"(select * from {terms_sql('benchmark', 'item_id')} where id < {QUERY_ROWS})"
+    q = terms_sql("benchmark", "item_id")
     return f"(select *, row_number() over (partition by qid order by score desc, id) as rank from (select q.id as qid, p.id as id, round(sum(p.weight * q.weight), 6) as score from {terms_sql(f'(select * from documents where {where})', 'doc_id')} p join {q} q on p.term = q.term group by q.id, p.id) qualify rank <= {limit})"
 
 
@@ -88,20 +107,20 @@ def single(spark, sf_dir):
 
 
 _MEAN = "(select qid, list(x order by i) as m from (select qid, i, avg(x) as x from (select qid, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from {}) group by qid, i) group by qid)"
-_POS = "(select vec_id % 5 as qid, embedding from embeddings where vec_id < 15)"
-_NEG = "(select vec_id % 5 as qid, embedding from embeddings where vec_id between 15 and 18)"
+_POS = "(select vec_id // 100 as qid, embedding from embeddings where vec_id % 4 < 3)"
+_NEG = "(select vec_id // 100 as qid, embedding from embeddings where vec_id % 4 = 3 and vec_id % 200 < 100)"
 
 
 @plans.add("i09_recommend_vector", f"select p.qid, list_transform(list_zip(p.m, n.m), lambda z: round(case when n.m is null then z[1] else 2 * z[1] - z[2] end, 6)) as query from {_MEAN.format(_POS)} p left join {_MEAN.format(_NEG)} n on p.qid = n.qid")
 def recommended(spark, sf_dir):
-    v = vectors(spark, sf_dir).select((F.col("id") % 5).alias("qid"), "vector", "id")
-    out = R.recommend(v.filter("id < 15"), v.filter("id between 15 and 18"))
+    v = vectors(spark, sf_dir).select(F.floor(F.col("id") / 100).alias("qid"), "vector", "id")
+    out = R.recommend(v.filter("id % 4 < 3"), v.filter("id % 4 = 3 and id % 200 < 100"))
     return out.select("qid", F.transform("query", lambda x: F.round(x, 6)).alias("query"))
 
 
-@plans.add("i10_live_anchors", "select q.vec_id as qid, a.id from embeddings q, (select unnest([1, 7, 100000000]) as id) a where q.vec_id < 3 and a.id in (select vec_id from embeddings)")
+@plans.add("i10_live_anchors", "select q.vec_id as qid, a.id from embeddings q, (select unnest([1, 7, 100000000]) as id) a where a.id in (select vec_id from embeddings)")
 def anchors(spark, sf_dir):
-    q = vectors(spark, sf_dir).filter("id < 3").select(F.col("id").alias("qid"), F.explode(F.array(*(F.lit(x).cast("long") for x in (1, 7, 100000000)))).alias("id"))
+    q = vectors(spark, sf_dir).select(F.col("id").alias("qid"), F.explode(F.array(*(F.lit(x).cast("long") for x in (1, 7, 100000000)))).alias("id"))
     return R.live_anchors(q, vectors(spark, sf_dir)).select("qid", "id")
 
 
@@ -114,8 +133,8 @@ def heads(spark, sf_dir):
 
 @plans.add("i14_points_to_rows", f"select l.qid, d.doc_id as id, d.source, l.score from {sparse_sql(10)} l join documents d on d.doc_id = l.id")
 def rows_of_points(spark, sf_dir):
-    leg = sparse_topk(spark, sf_dir)
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source").join(R.checked_broadcast(leg), "id").select("qid", "id", "source", "score")
+    leg = R.leg_side(sparse_topk(spark, sf_dir), query_terms(spark, sf_dir), 10)
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source").join(leg, "id").select("qid", "id", "source", "score")
 
 
 @plans.add("f08_f09_windows", literal_sql(["k", "window_", "candidates", "code"], [(5, 20, 32, 50), (10, 40, 60, 100), (3, 20, 32, 50), (20, 80, 80, 200)]))
@@ -125,11 +144,11 @@ def windows(spark, sf_dir):
 
 def vault_page(spark, sf_dir, limit: int = 40):
     """The sparse leg over records as a page: two chunks for each document (even and odd ids are one)."""
-    leg = sparse_leg_of(spark, sf_dir, limit)
-    v = vault(spark, sf_dir)
-    page = v.join(R.checked_broadcast(leg), "id")
+    leg = R.leg_side(sparse_leg_of(spark, sf_dir, limit), query_terms(spark, sf_dir), limit)
+    page = vault(spark, sf_dir).join(leg, "id")
     pieces = F.transform(F.sequence(F.lit(1), (F.col("id") % 4 + 1).cast("int")), lambda i: F.concat(F.lit("p"), F.col("id").cast("string"), F.lit("-"), i.cast("string")))
-    return page.select("qid", "id", F.floor(F.col("id") / 2).alias("doc"), F.round(F.col("score") / 100, 4).alias("score"), F.col("rank").alias("pos"), "doc_type", "status", "path", "tags", F.substring("content", 1, 20).alias("snippet"), pieces.alias("passages"))
+    # A page has limit rows a query; the steps after it read it more than once.
+    return written(page.select("qid", "id", F.floor(F.col("id") / 2).alias("doc"), F.round(F.col("score") / 100, 4).alias("score"), F.col("rank").alias("pos"), "doc_type", "status", "path", "tags", F.substring("content", 1, 20).alias("snippet"), pieces.alias("passages")), "page")
 
 
 def sparse_leg_of(spark, sf_dir, limit):
@@ -232,10 +251,10 @@ def navigational(spark, sf_dir):
 _CODE_PATH = "['src/a', 'tests/a', 'docs/a', 'vendor/a', 'locales/en/m', 'i18n/de/m', 'i18n/fr/m', 'lang/es'][(id % 8 + 1)::int] || (case when id % 8 >= 4 then '.po' else id || '.py' end)"
 
 
-def code_page(spark, sf_dir):
+def code_page(spark, sf_dir, page=None):
     names = F.array(*map(F.lit, ("src/a", "tests/a", "docs/a", "vendor/a", "locales/en/m", "i18n/de/m", "i18n/fr/m", "lang/es")))
     tail = F.when(F.col("id") % 8 >= 4, ".po").otherwise(F.concat(F.col("id").cast("string"), F.lit(".py")))
-    return vault_page(spark, sf_dir).withColumn("path", F.concat(F.element_at(names, (F.col("id") % 8 + 1).cast("int")), tail))
+    return (page if page is not None else vault_page(spark, sf_dir)).withColumn("path", F.concat(F.element_at(names, (F.col("id") % 8 + 1).cast("int")), tail))
 
 
 CODE_SQL = f"(select * exclude (path), {_CODE_PATH} as path from {PAGE_SQL})"
@@ -282,13 +301,14 @@ _DOCS = f"(select qid, id, score, path from {PAGE_SQL} where id % 3 = 0)"
   select qid, 'vault' as source, id::varchar as id, score, path from {PAGE_SQL} union all select qid, 'codebase', id::varchar, score, path from {CODE_SQL} union all select qid, 'document', id::varchar, score, path from {_DOCS})) where pos <= 15""")
 def combined(spark, sf_dir):
     page = vault_page(spark, sf_dir)
-    return K.combine(15, vault=page, codebase=code_page(spark, sf_dir), document=page.filter("id % 3 = 0")).select("qid", "source", "id", "score", "pos")
+    return K.combine(15, vault=page, codebase=code_page(spark, sf_dir, page), document=page.filter("id % 3 = 0")).select("qid", "source", "id", "score", "pos")
 
 
 @plans.add("g06_combined_reranked", f"""select qid, source, id, pos from (select *, row_number() over (partition by qid order by r desc, pos) as pos2 from (select *, length(path)::double as r from (select *, row_number() over (partition by qid order by score desc, list_position(['vault','codebase','document'], source), path, id) as pos from (
   select qid, 'vault' as source, id::varchar as id, score, path from {PAGE_SQL} union all select qid, 'codebase', id::varchar, score, path from {CODE_SQL})) where pos <= 20)) t(qid, source, id, score, path, pos0, r, pos) where pos <= 10""")
 def combined_again(spark, sf_dir):
-    union = K.combine(20, vault=vault_page(spark, sf_dir), codebase=code_page(spark, sf_dir))
+    page = vault_page(spark, sf_dir)
+    union = K.combine(20, vault=page, codebase=code_page(spark, sf_dir, page))
     return K.rerank(union, F.length("path").cast("double"), 10).select("qid", "source", "id", "pos")
 
 
