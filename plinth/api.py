@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import re
+import uuid
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -52,12 +56,12 @@ def validated(source: str, filters: dict) -> dict:
 
 @dataclass
 class Engine:
-    """Tables below base, one folder a source. encoder: texts to vectors of length one."""
+    """Tables below base, one folder a source, with the postings of their contents. encoder: texts to vectors of length one. feedback: by source, ids that are liked and unliked, in every search of it."""
 
     spark: SparkSession
     base: str
     encoder: E.Encoder = E.hashed_encoder
-    feedback: dict = field(default_factory=dict)
+    feedback: dict[str, tuple[list[str], list[str]]] = field(default_factory=dict)
 
     def _at(self, source: str) -> str:
         return f"{self.base}/{source}"
@@ -79,9 +83,7 @@ class Engine:
                 rows = C.without_keys(now, changed, "path").unionByName(rows.select(now.columns))
         else:
             rows = E.encode_table(rows, "embed_text", self.encoder)
-        import uuid
-
-        path = C.publish(rows, self._at(source), uuid.uuid4().hex[:12])
+        path = C.publish(rows, self._at(source), uuid.uuid4().hex[:12], beside=lambda version, token: V.store_postings(V.term_weights(version.select("id", F.col("content").alias("text"))), f"{self._at(source)}/p_{token}"))
         return {"source": source, "chunks": self.spark.read.parquet(path).count()}
 
     def index(self, records: DataFrame, clean: bool = False, changed: DataFrame | None = None) -> dict:
@@ -159,16 +161,31 @@ class Engine:
         if rows is None:
             return None, wanted
         window = V.window_size(k, True, source == "codebase" and bool({"include_paths", "exclude_paths"} & set(wanted)), source == "codebase")
-        qv = [float(x) for x in self.encoder([text])[0]]
-        queries = self.spark.createDataFrame([(0, qv)], "qid int, query array<double>")
-        terms = V.term_weights(self.spark.createDataFrame([(0, text)], "id int, text string")).select(F.col("id").alias("qid"), "term", F.col("weight").alias("q"))
-        base = rows.select("id", F.col("dense").alias("vector"), "content")
-        leg = V.hybrid(base.select("id", "vector"), queries, V.term_weights(base.select("id", F.col("content").alias("text")), wanted=terms), terms, window)
-        page = rows.join(V.checked_broadcast(leg), "id").withColumn("pos", F.col("rank"))
+        counts = Counter(re.findall(r"[a-z0-9]+", text.lower()))
+        terms = self.spark.createDataFrame([(0, t, 1 + math.log(n)) for t, n in counts.items()], "qid int, term string, q double")
+        postings = V.stored_postings(self.spark, f"{self._at(source)}/p_{C.served_token(self.spark, self._at(source))}", list(counts))
+        if wanted or source == "codebase":
+            postings = postings.join(rows.select("id"), "id", "left_semi")
+        leg = V.hybrid(rows.select("id", F.col("dense").alias("vector")), self._dense_query(source, text), postings, terms, window)
+        page = rows.join(F.broadcast(leg), "id").withColumn("pos", F.col("rank"))
         scores = R.lexical_score(terms, page.select("qid", "id", F.col("content").alias("text")))
         page = R.rerank(page.join(scores, ["qid", "id"], "left").withColumn("score", F.coalesce("rerank", F.lit(0.0))).drop("rerank"), F.col("score"), window)
         return page, wanted
 
+    def _dense_query(self, source: str, text: str) -> DataFrame:
+        """The query's vector, moved to what is liked and away from what isn't; ids that are gone don't count."""
+        own = self.spark.createDataFrame([(0, [float(x) for x in self.encoder([text])[0]])], "qid int, vector array<double>")
+        like, unlike = self.feedback.get(source, ((), ()))
+        if not like and not unlike:
+            return own.withColumnRenamed("vector", "query")
+        rows = self.table(source)
+
+        def vectors(ids) -> DataFrame:
+            head = (F.col("doc").isin(list(ids)) & (F.col("ordinal") == 0)) if "doc" in rows.columns else F.lit(False)
+            return rows.filter(F.col("id").isin(list(ids)) | head).select(F.lit(0).alias("qid"), F.col("dense").cast("array<double>").alias("vector"))
+
+        return V.recommend(own.unionByName(vectors(like)), vectors(unlike))
+
     def search_vault(self, query: str, k: int = 5, **filters) -> DataFrame | None:
         """Drop navigation, group, links, intent, cap, status, limit, passages: in this order."""
         page, used = self._page("vault", query, k, filters)
@@ -183,7 +200,11 @@ class Engine:
         page = R.status_filter(R.type_cap(R.intent_prior(page, R.intent_profile(used.get("intent")))), used.get("status", ""))
         page = page.filter(F.col("pos") <= k)
         texts = page.withColumns({"passages": F.transform("passages", lambda p: F.substring(F.col("content"), p["start"] + 1, p["end"] - p["start"])), "snippet": F.trim(F.substring("content", 1, 1200))})
-        return R.select_passages(texts, R.passage_pairs(texts).withColumn("passage_score", F.lit(0.0)))
+        pairs = R.passage_pairs(texts).withColumn("_pair", F.concat_ws("\n", "id", F.col("ordinal").cast("string")))
+        words = self.spark.createDataFrame([(0, t) for t in dict.fromkeys(re.findall(r"[a-z0-9]+", query.lower()))], "qid int, term string")
+        scores = R.lexical_score(words, pairs.select("qid", F.col("_pair").alias("id"), F.col("passage").alias("text")))
+        scored = pairs.join(scores.withColumnsRenamed({"id": "_pair", "rerank": "passage_score"}), ["qid", "_pair"]).drop("_pair")
+        return R.select_passages(texts, scored)
 
     def search_codebase(self, query: str, k: int = 5, **filters) -> DataFrame | None:
         page, used = self._page("codebase", query, k, filters)

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plinth.api import Engine, FilterError, validated
+from plinth.operators import catalog as C
 from plinth.operators import schema as M
 from plinth.sources import preprocess as X
 from plinth.streaming import watch as W
@@ -35,6 +36,26 @@ def test_search_end_to_end(spark, tmp_path):
     assert e.clean("document") == ["document"] and e.status()["document"] == 0
 
 
+def test_feedback_passages_and_versions(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/tables")
+    long = "\n\n".join(["Filler words about nothing at all. " * 20, "The quokka valve opens here. " * 12, "More filler text to end with. " * 20])
+    records = spark.createDataFrame([(f"plan/{n}", f"---\ntype: plan\n---\n# {n}\n{body}") for n, body in (("a", long), ("b", "red green blue"), ("c", "red green yellow"), ("d", "other words"))], "key string, content string")
+    e.index(records)
+    first = e.search_vault("quokka valve").orderBy("pos").first()
+    assert first["id"] == "plan/a" and "quokka" in first["snippet"]
+    before = {r["id"]: r["rank"] for r in e._page("vault", "red", 4, {})[0].collect()}
+    e.feedback["vault"] = (["plan/c", "gone"], ["plan/b"])
+    after = e._dense_query("vault", "red").first()["query"]
+    e.feedback.clear()
+    assert set(before) >= {"plan/b#c0", "plan/c#c0"} and list(after) != list(e._dense_query("vault", "red").first()["query"])
+    token = C.served_token(spark, e._at("vault"))
+    with pytest.raises(ValueError):
+        C.publish(e.table("vault"), e._at("vault"), "bad", expected=-1)
+    assert C.served_token(spark, e._at("vault")) == token
+    e.index(records.limit(0), changed=records.limit(1).select(F.col("key").alias("path")))
+    assert C.served_token(spark, e._at("vault")) != token and e.search_vault("red green") is not None
+
+
 def test_filters():
     with pytest.raises(FilterError):
         validated("vault", {"language": "python"})
