@@ -477,10 +477,29 @@ def test_warc_round_trip(spark, tmp_path):
         own = first[html or ""]
         want[(i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if own == i else "revisit", None if own == i else own, data)] += 1
     assert collections.Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], bytes(r["payload"])) for r in got) == want
+    data = b"".join(p.read_bytes() for p in tmp_path.glob("warc/*.warc.gz"))
+    ids, at = [], 0
+    while at < len(data):  # one gzip member a record
+        reader = zlib.decompressobj(31)
+        record = reader.decompress(data[at:])
+        assert reader.eof and record.startswith(b"WARC/1.1") and len(list(warc.parse_archive(record))) == 1
+        ids.append(re.search(rb"WARC-Record-ID: (.*)", record)[1])
+        at = len(data) - len(reader.unused_data)
+    assert len(ids) == len(set(ids)) and len(ids) == len(rows) + len(list(tmp_path.glob("warc/*.warc.gz")))
+    named = pages.select("page_id", "html", F.col("url"), F.lit(1).alias("first"), F.lit(2).alias("digest"), F.lit(3).alias("id"))
+    warc.write_archives(named, path + "1")
+    assert warc.read_archives(spark, path + "1").count() == len(rows)
     warc.write_archives(pages.limit(0), path + "0")
     assert warc.read_archives(spark, path + "0").count() == 0
 
 
+def test_large_records_end_with_a_zero():
+    big = warc.member([("WARC-Type", "response")], bytes(17 << 20)) + b"\0"
+    import gzip
+
+    assert gzip.decompress(big + big).count(b"WARC/1.1") == 2 and gzip.decompress(warc.member([], b"x") + b"\0").endswith(b"x\r\n\r\n")
+
+
 def test_empty_tables(empty):
     assert suffix_dedup.suffix_array_dedup(empty).count() == 0
     assert simhash.simhash_components(empty).count() == 0
