@@ -12,6 +12,7 @@ suffix, up to a constant.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,11 +28,10 @@ from . import common as C
 SAMPLE = 6_000
 BITS = 16
 GRAMS = (1, 2, 3, 4)
-#: Share of an n-gram's log likelihood that counts, and the most that a text's evidence can be.
-TEMPER = 0.1
+#: Share of an n-gram's log likelihood that counts, and the n-grams of a text beyond which further ones count less and less.
+TEMPER, FULL = 0.1, 4000
 #: Pseudo-counts with which a host is shrunk to its site, a site to all pages, and evidence tables to even rates.
 SHRINK = 20.0
-LANGUAGES = 64
 
 _DROPPED = re.compile(rb"<!--.*?-->|<(script|style|noscript|template|nav|footer)\b.*?</\1\s*>|<head\b.*?</head\s*>|<[^>]*>", re.S | re.I)
 _SPACE = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
@@ -65,19 +65,18 @@ class TextModel:
         ids = gram_ids(text)
         if len(ids) <= 2 * len(GRAMS):
             return np.zeros(len(self.languages))
-        # Evidence of a long text is that of its mean n-gram over a bounded number of them.
-        return TEMPER * self.rates[:, ids].mean(axis=1) * min(len(ids), 4000)
+        # Evidence grows with a text, but slowly for a long one, whose n-grams are of few kinds.
+        return TEMPER * self.rates[:, ids].mean(axis=1) * FULL * math.log1p(len(ids) / FULL)
 
 
 def fit_text_model(texts: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows: int = SAMPLE) -> TextModel:
-    """Counts n-grams of at most rows texts, those of the smallest hashes of their ids, by language; counts are merged by the executors' tasks."""
+    """Counts n-grams of at most rows texts, those of the smallest hashes of their ids, by language, of which none is left out; counts are merged by the executors' tasks."""
     known = texts.filter(F.col(lang_col).isNotNull() & (F.trim(lang_col) != "")).select(F.lower(F.trim(lang_col)).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
-    names = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    names.sort()
+    names = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     if not names:
         return TextModel([], np.zeros((0, 1 << BITS)))
     edge = known.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    sample = known.filter(F.col("h") <= edge).filter(F.col("lang").isin(names))
+    sample = known.filter(F.col("h") <= edge)
     at = {n: i for i, n in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +121,8 @@ def identify_languages(pages: DataFrame, model: TextModel, id_col: str = "page_i
     """Per row of pages: id_col, lang, probability, text_lang, declared, host and posterior (array, in model.languages' order).
 
     Null addresses and pages are empty and give no evidence: such a row gets the prior. Without languages, lang is null.
-    Ties go to the first language by name. Repeated rows count each in the priors and get equal results.
+    Ties go to the first language by name. Repeated rows count each in the priors and get equal results. Pages of any
+    length are read whole; other columns of pages, of any name, are not read.
     """
     spark, k = pages.sparkSession, len(model.languages)
     ready = evidence_columns(pages.select(id_col, url_col, html_col), url_col, html_col)
