@@ -31,8 +31,18 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds, -40, 40)))
 
 
+def ordinal_slopes(score: np.ndarray, cuts: np.ndarray, grades: np.ndarray, row_weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(slope of the log likelihood by each row's score, of its negative by each threshold, the log likelihood)."""
+    edges = np.r_[-np.inf, cuts, np.inf]
+    a, b = _sigmoid(edges[grades] - score), _sigmoid(edges[grades + 1] - score)
+    da, db = a * (1 - a), b * (1 - b)
+    p = np.maximum(b - a, 1e-9)
+    by_cut = np.array([-(row_weight * np.where(grades == k, db, np.where(grades == k + 1, -da, 0)) / p).sum() for k in range(len(cuts))])
+    return row_weight * (da - db) / p, by_cut, float((row_weight * np.log(p)).sum())
+
+
 def fit_ordinal(grades: np.ndarray, ids: np.ndarray, starts: np.ndarray, levels: int, bits: int = BITS, rounds: int = 400, rate: float = 0.08, ridge: float = 1e-4, evidence: float = 25.0, lift: float = 4.0) -> OrdinalModel:
-    """By gradient steps with momentum and per-weight scaling. Rare grades count more. 
+    """By gradient steps with momentum and per-weight scaling. Rare grades count more.
 
     A word counts against a text only, as long texts hold many words: it has a weight if some grade under the highest is
     lift times as frequent with it as in the sample, by a chi-squared of evidence or more. Weights of shapes are free.
@@ -55,25 +65,19 @@ def fit_ordinal(grades: np.ndarray, ids: np.ndarray, starts: np.ndarray, levels:
     first = np.cumsum(share)[:-1].clip(1e-3, 1 - 1e-3)
     cuts = np.log(first / (1 - first))
     m, v, mc, vc = np.zeros_like(w), np.zeros_like(w), np.zeros_like(cuts), np.zeros_like(cuts)
-    low, high = np.full(n, -np.inf), np.full(n, np.inf)
     for t in range(1, rounds + 1):
         score = row_sums(w[ids], starts)
-        edges = np.r_[-np.inf, cuts, np.inf]
-        low, high = edges[grades] - score, edges[grades + 1] - score
-        a, b = _sigmoid(low), _sigmoid(high)
-        da, db = a * (1 - a), b * (1 - b)
-        p = np.maximum(b - a, 1e-9)
-        slope = row_weight * (da - db) / p  # of log likelihood by score, negated twice
+        slope, grad_cuts, _ = ordinal_slopes(score, cuts, grades, row_weight)
         grad = -np.bincount(ids, slope[rows], minlength=len(w)) + ridge * w
-        grad_cuts = np.zeros_like(cuts)
-        for k in range(len(cuts)):
-            grad_cuts[k] = -(row_weight * np.where(grades == k, db, np.where(grades == k + 1, -da, 0)) / p).sum()
         for x, g, mm, vv in ((w, grad, m, v), (cuts, grad_cuts, mc, vc)):
             mm += 0.1 * (g - mm)
             vv += 0.01 * (g * g - vv)
             x -= rate * (mm / (1 - 0.9**t)) / (np.sqrt(vv / (1 - 0.99**t)) + 1e-8) * (0.1 ** (t / rounds))
         np.minimum(w, 0, out=w, where=words)
-        cuts.sort()
+        # Thresholds stay in order; one that would pass another stops there.
+        ordered = np.maximum.accumulate(cuts)
+        mc[ordered != cuts] = 0
+        cuts[:] = ordered
     return OrdinalModel(np.where(keep, w, 0).astype(np.float32), cuts)
 
 
