@@ -4,7 +4,7 @@ A fingerprint's 32 segments of two bits are mapped to their bit counts. The Manh
 most the Hamming distance of the fingerprints. The vectors' coordinates are cut into groups; within a distance of d at
 least (groups - d) of them are equal, so each choice of that many groups is a grid whose cell a vector falls in, and
 close vectors share a cell of one of these grids. Within a cell the Manhattan distance rules pairs out, and the rest is
-verified exactly. More groups make cells finer: SimHash over more documents wants a few more (the number of grids grows).
+verified exactly. More groups make cells finer; their number follows that of the points and doesn't change the result.
 
 Copies share a fingerprint and are one point. A cell's links are returned as a forest, not as all its pairs.
 """
@@ -27,6 +27,8 @@ from .graph import components
 ODD = 0x5555555555555555
 #: Cells with more points are searched from point to point instead of pair by pair.
 SMALL_CELL = 8
+#: Points of a cell, on average, beyond which finer grids are taken.
+CELL = 2
 
 
 def fingerprint(text: bytes, words_per_shingle: int = 4, seed: int = 42) -> bytes:
@@ -124,25 +126,20 @@ def _cell_links(keys: np.ndarray, points: np.ndarray, most: int) -> tuple[np.nda
 def _links(most: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def batch(keys: np.ndarray, points: np.ndarray) -> pa.RecordBatch:
-        a, b = _cell_links(keys, points.view(np.uint64), most)
+    def of(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b = _cell_links(rows[0], rows[1].view(np.uint64), most)
         pairs = np.unique(np.stack([a, b]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key; a cell that a batch may not hold whole waits for the next."""
-        keys, points = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in batches:
-            keys = np.r_[keys, b.column(0).to_numpy(zero_copy_only=False)]
-            points = np.r_[points, b.column(1).to_numpy(zero_copy_only=False)]
-            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            if whole > 20_000:
-                yield batch(keys[:whole], points[:whole])
-                keys, points = keys[whole:], points[whole:]
-        if len(keys):
-            yield batch(keys, points)
+    return _buckets(of)
 
-    return run
+
+def groups_for(points: int, most_bits: int = 4) -> int:
+    """The fewest groups for which a cell has about CELL points at most, as a segment's count has an entropy of 1.5 bits. The result is the same for any number."""
+    for groups in range(2 * most_bits, 33, 2):
+        if points <= CELL * 2 ** (1.5 * 32 * (groups - most_bits) / groups):
+            return groups
+    return 32
 
 
 def fingerprint_links(points: DataFrame, most_bits: int = 4, groups: int = 8) -> DataFrame:
@@ -160,15 +157,15 @@ def fingerprint_links(points: DataFrame, most_bits: int = 4, groups: int = 8) ->
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_links(most_bits), "a long, b long").distinct()
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, seed: int = 42, most_bits: int = 4, groups: int = 8) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, seed: int = 42, most_bits: int = 4, groups: int | None = None) -> DataFrame:
     """Per row of docs: id_col, fp and component_id, the smallest id that links of most_bits or fewer reach, itself included.
 
     Null and wordless texts have fingerprint zero and link like any other. Rows with a null id get the smallest other id
     of their set (null if there is none). Repeated rows are one point. An empty table gives an empty one.
     """
     prints = C.materialize(fingerprints(docs.select(id_col, text_col), text_col, words_per_shingle, seed), "fingerprints")
-    points = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
-    found = components(fingerprint_links(points, most_bits, groups))
+    points = C.materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "points")
+    found = components(fingerprint_links(points, most_bits, groups or groups_for(points.count(), most_bits)))
     owned = points.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = owned.groupBy("component").agg(F.min("least").alias("component_id"))
     by_print = owned.join(named, "component").select("fp", "component_id")
@@ -281,7 +278,7 @@ def _buckets(of):
         for b in batches:
             new.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]))
             waiting += b.num_rows
-            if waiting < 20_000:
+            if waiting < max(20_000, held.shape[1] if held is not None else 0):  # a large bucket is copied a few times only
                 continue
             held = np.concatenate(([held] if held is not None else []) + new, axis=1)
             new, waiting = [], 0
