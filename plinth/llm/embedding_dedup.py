@@ -69,6 +69,24 @@ def _project(passes: int, seed: int):
     return run
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node) of the linked sets of links: as many pairs as nodes, however dense the links are."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[i], root[j])
+        after = root.copy()
+        for x in (i, j, root[i], root[j]):
+            np.minimum.at(after, x, least)
+        after = after[after]
+        if (after == root).all():
+            break
+        root = after
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[moved], nodes[root[moved]]
+
+
 def _window_pairs(window: int, least: float):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -96,9 +114,8 @@ def _window_pairs(window: int, least: float):
                     right.append(ids[at + j[good]])
                 held = (name, x[-window:].copy(), ids[-window:].copy())
             if left:
-                a, c = np.concatenate(left), np.concatenate(right)
-                pairs = np.unique(np.stack([np.maximum(a, c), np.minimum(a, c)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
+                a, c = _stars(np.concatenate(left), np.concatenate(right))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], schema=schema)
 
     return run
 
