@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a local one is set only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset a local one is set in local mode alone, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")

@@ -178,6 +178,22 @@ def test_simhash(docs, rows, bits, groups):
     assert collections.Counter((r["doc_id"], r["fp"] & (2**64 - 1), r["component_id"]) for r in got) == want
 
 
+def test_number_of_groups():
+    assert simhash.groups_for(0) == 8 and simhash.groups_for(10**6) == 8
+    assert simhash.groups_for(10**9) > 8 and simhash.groups_for(10**20) == 32
+
+
+def test_stars_keep_linked_sets():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        a, b = rng.integers(0, 60, 40), rng.integers(0, 60, 40)
+        x, y = embedding_dedup._stars(a, b)
+        both = set(zip(a.tolist(), b.tolist(), strict=True))
+        stars = set(zip(x.tolist(), y.tolist(), strict=True))
+        assert sets_by_hand(60, lambda i, j: (i, j) in both or (j, i) in both) == sets_by_hand(60, lambda i, j: (i, j) in stars or (j, i) in stars)
+        assert len(stars) <= 59
+
+
 def test_simhash_large_cells():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 3, np.uint64)
@@ -227,6 +243,9 @@ def test_combinations_are_tight():
                 used[n] += times * k
         assert dict(used) == hist
         assert bins <= math.ceil(sum(n * c for n, c in hist.items()) / cap * 1.25) + 2
+    for _ in range(5):  # as many short pieces as texts have: within one of the bound
+        hist = {rng.randint(1, 400) if rng.random() < 0.8 else rng.randint(400, 2048): rng.randint(1, 30) for _ in range(300)}
+        assert sum(t for t, _ in packing.combinations(hist, 2048)) <= math.ceil(sum(n * c for n, c in hist.items()) / 2048) + 1
     assert packing.combinations({6: 2, 4: 2}, 10) == [(2, {6: 1, 4: 1})]
 
 

@@ -61,6 +61,56 @@ def test_thresholds_are_ordered():
     assert (over[:, 0] >= over[:, 1]).all() and (np.diff(over, axis=0) >= 0).all()
 
 
+def test_ordinal_slopes_against_differences():
+    rng = np.random.default_rng(5)
+    score, cuts, grades, weight = rng.normal(0, 2, 50), np.array([-0.7, 1.1]), rng.integers(0, 3, 50), rng.random(50)
+    slope, by_cut, _ = quality_classifier.ordinal_slopes(score, cuts, grades, weight)
+
+    def value(s, c):
+        return quality_classifier.ordinal_slopes(s, c, grades, weight)[2]
+
+    for i in range(50):
+        step = np.eye(1, 50, i)[0] * 1e-5
+        assert abs((value(score + step, cuts) - value(score - step, cuts)) / 2e-5 - slope[i]) < 1e-5
+    for k in range(2):
+        step = np.eye(1, 2, k)[0] * 1e-5
+        assert abs((value(score, cuts + step) - value(score, cuts - step)) / 2e-5 + by_cut[k]) < 1e-5
+
+
+def test_language_id_against_a_plain_sum(spark, corpus):
+    """The posterior by loops over rows: text, host within site within all, declaration and suffix, each without the row itself."""
+    docs, _ = corpus
+    model = language_id.fit_text_model(docs)
+    rng = random.Random(13)
+    rows = []
+    for i in range(40):
+        lang, base = ("en", EN) if rng.random() < 0.6 else ("fr", FR)
+        declared = rng.choice([lang, "", "de"])
+        tag = f"<html lang='{declared}'>" if declared else "<html>"
+        rows.append((i, rng.choice([f"https://h{i % 3}.site.org/{lang}/x", "http://solo.fr/", None]), f"{tag}<p>{text(rng, base, rng.choice((0, 6, 30)))}</p>"))
+    got = {r["page_id"]: r["posterior"] for r in language_id.identify_languages(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()}
+    ready = language_id.evidence_columns(spark.createDataFrame(rows, "page_id long, url string, html string"), "url", "html")
+    facts = {r["page_id"]: (r["_host"], r["_site"], r["_declared"], r["_suffix"]) for r in ready.collect()}
+    score = {i: model.scores(language_id.visible_text(h.encode())) for i, _, h in rows}
+    p = {i: np.exp(s - s.max()) / np.exp(s - s.max()).sum() for i, s in score.items()}
+    n, shrink = len(rows), language_id.SHRINK
+    prior = (sum(p.values()) + 1) / (n + 2)
+    for i, *_ in rows:
+        host, site, *said = facts[i]
+        others = [j for j, *_ in rows if j != i]
+        near = [p[j] for j in others if facts[j][1] == site]
+        own = [p[j] for j in others if facts[j][0] == host]
+        by_site = (sum(near, np.zeros(2)) + shrink * prior) / (len(near) + shrink)
+        total = np.log((sum(own, np.zeros(2)) + shrink * by_site) / (len(own) + shrink)) + score[i]
+        for at, value in zip((2, 3), said, strict=True):
+            same = [p[j] for j in others if facts[j][at] == value]
+            if value not in ("", ".") and same:
+                share = len(same) / n
+                total = total + np.log((sum(same) + shrink * share * prior) / (n * prior + shrink * prior)) - np.log(share)
+        want = np.exp(total - total.max())
+        assert np.allclose(got[i], want / want.sum(), atol=1e-6), i
+
+
 def test_language_id(spark, corpus):
     docs, _ = corpus
     model = language_id.fit_text_model(docs)
@@ -161,6 +211,22 @@ def test_rates_reach_the_optimum(spark, least, weights, scale):
     assert mine <= 1.01 * want + 1e-7 * (goal**2).sum()
 
 
+def test_stages_on_empty_and_odd_tables(spark, sf_dir):
+    """No rows, and rows of nulls, empty texts and extra columns with names that operators use: each stage returns its columns."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    clashing = {c: F.lit(1) for c in ("starts", "_id", "_row", "fp", "component", "id", "key", "posterior", "rate", "copies", "kept", "length", "value")}
+    odd_rows = docs.limit(30).unionByName(docs.limit(2)).withColumns(clashing)
+    empty_texts = odd_rows.limit(3).withColumns({"doc_id": F.lit(None).cast(docs.schema["doc_id"].dataType), "text": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")})
+    for rows in (docs.limit(0), odd_rows.unionByName(empty_texts).withColumn("text", F.when(F.col("doc_id") == 3, "").otherwise(F.col("text")))):
+        for name, stage in p.STAGES[:-1]:
+            out = stage(spark, rows, sf_dir)
+            assert out.columns == rows.columns, name
+            assert out.count() >= (rows.count() > 0)
+        assert p.STAGES[-1][1](spark, rows, sf_dir).count() >= rows.count()
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as p
 
