@@ -40,7 +40,7 @@ _tables: dict[str, np.ndarray] = {}
 
 def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = PIECE + 1
-    if len(_tables.get("up", ())) != n:
+    if len(_tables.get("prime_up", ())) != n:
         inverse = pow(_BASE, -1, 1 << 64)
         _tables["up"], _tables["down"] = (np.r_[np.ones(1, np.uint64), np.multiply.accumulate(np.full(n, b, np.uint64))] for b in (_BASE, inverse))
         _tables["byte"] = _mix(np.arange(1, 257, dtype=np.uint64))
