@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 import math
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -16,7 +15,8 @@ from pyspark.sql.types import IntegralType
 
 WORD = r"[^\x20\x09-\x0D]+"
 _SERIAL = itertools.count()
-_cleaned = 0.0
+#: Whether Spark drops a plan's shuffle files at its end; else they stay until the driver's next full collection, and disks may fill first.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,23 +49,20 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, which cuts its lineage; lost executors don't lose it."""
+    """Writes df as a table in the shared folder and reads it back, which cuts its lineage; lost executors don't lose it. Its shuffle files go when it is written."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    _clean(df.sparkSession)
+    conf = df.sparkSession.conf
+    before = conf.get(DROP_SHUFFLES, "false")
+    conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(DROP_SHUFFLES, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._plinth_path = path
     return out
 
 
-def _clean(spark: SparkSession, least_seconds: float = 2.0) -> None:
-    """Lets Spark drop the shuffle files of plans that are done: its cleaner waits for the driver's next full collection, and disks may fill first."""
-    global _cleaned
-    if time.monotonic() - _cleaned >= least_seconds:
-        spark.sparkContext._jvm.System.gc()
-        _cleaned = time.monotonic()
-
-
 def release(df: DataFrame) -> None:
     """Drops a table of materialize() which nothing reads any more."""
     if path := getattr(df, "_plinth_path", None):
