@@ -22,28 +22,35 @@ def _place(sa: np.ndarray, into: np.ndarray, symbols: np.ndarray, entries: np.nd
     """Appends entries to the buckets of their symbols in the given order; into: each bucket's next place, which goes by step."""
     order = np.argsort(symbols, kind="stable")
     s = symbols[order]
-    starts = np.r_[0, np.flatnonzero(s[1:] != s[:-1]) + 1]
-    counts = np.diff(np.r_[starts, len(s)])
+    new = np.empty(len(s), bool)
+    new[0] = True
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    starts = np.flatnonzero(new)
+    counts = np.diff(starts, append=len(s))
     heads = s[starts]
-    within = np.arange(len(s)) - np.repeat(starts, counts)
-    sa[np.repeat(into[heads], counts) + step * within] = entries[order]
+    at = np.repeat(into[heads] - step * starts, counts)
+    at += np.arange(0, step * len(s), step)
+    sa[at] = entries[order]
     into[heads] += step * counts
 
 
-def _bucket_runs(count: np.ndarray) -> list[tuple[int, int]]:
-    """[from, to) in symbols, of buckets that are scanned together."""
-    most = max(LEAST_RUN, int(count.sum()) // RUNS)
-    out: list[tuple[int, int]] = []
-    held = most + 1
-    for c in np.flatnonzero(count).tolist():
-        n = int(count[c])
-        if held + n > most:
-            out.append((c, c + 1))
-            held = n
-        else:
-            out[-1] = (out[-1][0], c + 1)
-            held += n
-    return out
+class _Buckets:
+    """Where the buckets of a string's symbols lie, and which are scanned together: [from, to) in symbols, with the entries' places."""
+
+    def __init__(self, t: np.ndarray, sigma: int) -> None:
+        self.count = np.bincount(t, minlength=sigma)
+        self.first = np.zeros(sigma + 1, np.int64)
+        np.cumsum(self.count, out=self.first[1:])
+        most = max(LEAST_RUN, len(t) // RUNS)
+        used = np.flatnonzero(self.count)
+        large = self.count[used] > most
+        # A run ends where its entries fill a share, and on both sides of a large bucket.
+        share = self.first[used] // most
+        new = np.ones(len(used), bool)
+        new[1:] = (share[1:] != share[:-1]) | large[1:] | large[:-1]
+        begin = used[new]
+        end = np.append(begin[1:], sigma)
+        self.runs = list(zip(begin.tolist(), end.tolist(), self.first[begin].tolist(), self.first[end].tolist(), np.add.reduceat(np.ones(len(used), np.int64), np.flatnonzero(new)).tolist() if len(used) else [], strict=True))
 
 
 def _within(t: np.ndarray, sa: np.ndarray, into: np.ndarray, inside, places: np.ndarray, step: int) -> None:
@@ -60,22 +67,19 @@ def _within(t: np.ndarray, sa: np.ndarray, into: np.ndarray, inside, places: np.
             heappush(waiting, at * step)
 
 
-def _induce(t: np.ndarray, sigma: int, lms: np.ndarray) -> np.ndarray:
+def _induce(t: np.ndarray, buckets: _Buckets, lms: np.ndarray) -> np.ndarray:
     """The order of all suffixes from that of the leftmost-smaller ones (those of equal first symbols in their order)."""
     n = len(t)
-    count = np.bincount(t, minlength=sigma)
-    first = np.r_[0, np.cumsum(count)].astype(np.int64)
+    count, first = buckets.count, buckets.first
     sa = np.full(n, -1, np.int32)
     head, tail = first[:-1].copy(), first[1:] - 1
     # For the first scan the leftmost-smaller entries wait at the ends of their buckets.
     ends = first[1:].copy()
-    by, many = np.unique(t[lms], return_counts=True)
-    ends[by] -= many
-    sa[ranges(ends[by], many)] = lms
-    runs = _bucket_runs(count)
-    for c, to in runs:
-        lo, hi = first[c], first[to]
-        if to == c + 1:
+    many = np.bincount(t[lms], minlength=len(count))
+    ends -= many
+    sa[ranges(ends, many)] = lms
+    for c, to, lo, hi, number in buckets.runs:
+        if number == 1:
             at = lo
             while at < head[c]:
                 upto = head[c]
@@ -92,9 +96,8 @@ def _induce(t: np.ndarray, sigma: int, lms: np.ndarray) -> np.ndarray:
         if len(beyond):
             _place(sa, head, t[beyond], beyond, 1)
     sa[np.arange(n) >= np.repeat(head, count)] = -1
-    for c, to in runs[::-1]:
-        lo, hi = first[c], first[to]
-        if to == c + 1:
+    for c, _, lo, hi, number in buckets.runs[::-1]:
+        if number == 1:
             at = hi - 1
             while at > tail[c]:
                 upto = tail[c]
@@ -134,25 +137,53 @@ def _smaller(t: np.ndarray, sa: np.ndarray, tail: np.ndarray, entries: np.ndarra
 def _types(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the one after it; the last, of the sentinel, is."""
     n = len(t)
-    differ = np.flatnonzero(t[1:] != t[:-1])
+    changes = t[1:] != t[:-1]
+    differ = np.flatnonzero(changes)
     smaller = np.zeros(n, bool)
     smaller[differ] = t[differ + 1] > t[differ]
-    up_to = np.searchsorted(differ, np.arange(n - 1))
+    up_to = np.cumsum(changes) - changes
     smaller[: n - 1] = smaller[differ[np.minimum(up_to, len(differ) - 1)]] if len(differ) else False
     smaller[n - 1] = True
     return smaller
 
 
-def _equal_pieces(t: np.ndarray, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    same = na == nb
-    left = np.flatnonzero(same)
-    k = 0
-    while len(left):
-        good = t[a[left] + k] == t[b[left] + k]
-        same[left[~good]] = False
-        k += 1
-        left = left[good & (na[left] > k)]
-    return same
+def _names(t: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, int]:
+    """(number of each substring in their order, how many differ). As many symbols as fit a key are compared at once, first of all substrings, then of those that are equal so far.
+
+    A substring that ends where another goes on is the larger one: there it goes down to a smaller suffix.
+    """
+    width = max(int(t.max()).bit_length() + 1, 2)
+    per = 63 // width
+    top = np.uint64((1 << width) - 1)
+    padded = np.concatenate([t, np.zeros(per, t.dtype)]).astype(np.uint64)
+
+    def keys(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(at), np.uint64)
+        for j in range(per):
+            out = (out << np.uint64(width)) | np.where(left > j, padded[np.minimum(at + j, len(padded) - 1)], top)
+        return out
+
+    key = keys(starts, lengths)
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    done = per
+    while True:
+        group = np.cumsum(new) - 1
+        longest = np.maximum.reduceat(lengths[order], np.flatnonzero(new))
+        alone = np.bincount(group) == 1
+        places = np.flatnonzero(((longest > done) & ~alone)[group])
+        if not len(places):
+            break
+        entries, own = order[places], group[places]
+        key = keys(starts[entries] + done, lengths[entries] - done)
+        by = np.lexsort((key, own))
+        order[places] = entries[by]
+        new[places[1:]] |= (key[by[1:]] != key[by[:-1]]) & (own[1:] == own[:-1])
+        done += per
+    names = np.empty(len(order), np.int32)
+    names[order] = np.cumsum(new) - 1
+    return names, int(new.sum())
 
 
 def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
@@ -162,23 +193,9 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
         return np.arange(n - 1, -1, -1, dtype=np.int32)
     smaller = _types(t)
     lms = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
-    order = lms[np.argsort(t[lms], kind="stable")]
-    sa = _induce(t, sigma, order)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    sorted_lms = sa[is_lms[sa]]
-    length = np.zeros(n, np.int32)
-    length[lms] = np.diff(np.r_[lms, n - 1]) + 1
-    length[n - 1] = 1
-    a, b = sorted_lms[:-1], sorted_lms[1:]
-    same = _equal_pieces(t, a, b, length[a], length[b])
-    name_of = np.empty(n, np.int32)
-    name_of[sorted_lms] = np.cumsum(np.r_[0, ~same])
-    names = name_of[lms]
-    most = int(names.max()) + 1
-    if most == len(lms):
-        return _induce(t, sigma, sorted_lms)
-    return _induce(t, sigma, lms[suffix_array(names, most)])
+    names, many = _names(t, lms, np.diff(lms, append=n) + (lms < n - 1))
+    ranked = np.argsort(names, kind="stable") if many == len(lms) else suffix_array(names, many)
+    return _induce(t, _Buckets(t, sigma), lms[ranked])
 
 
 def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
