@@ -119,15 +119,14 @@ def records(spark, sf_dir):
 
 @plans.add("a01_a02_read_records", literal_sql(["key", "lines"], [("plan/one", 2), ("two", 1)]))
 def read_back(spark, sf_dir):
-    import os
-    import tempfile
-
-    top = tempfile.mkdtemp()
-    os.makedirs(f"{top}/plan")
+    top = f"{S.scratch(spark)}/records"
+    jvm = spark.sparkContext._jvm
     for name, text in (("plan/one.md", "# One\nbody"), ("two.md", "# Two"), ("skip.txt", "x")):
-        with open(f"{top}/{name}", "w", encoding="utf-8") as f:
-            f.write(text)
-    rows = [(r["key"], r["content"]) for r in S.read_records(spark, f"file://{top}").collect()]
+        where = jvm.org.apache.hadoop.fs.Path(f"{top}/{name}")
+        out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+        out.write(bytearray(text.encode()))
+        out.close()
+    rows = [(r["key"], r["content"]) for r in S.read_records(spark, top).collect()]
     return literal(spark, "key string, content string", rows).select("key", F.size(F.split("content", "\n")).alias("lines"))
 
 

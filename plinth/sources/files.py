@@ -52,8 +52,11 @@ CONVENTIONAL = (".bash", ".c", ".cc", ".cpp", ".cs", ".css", ".go", ".h", ".hpp"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all machines share; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+    """A new folder below spark.checkpoint.dir, which all machines share; a local one only where that is unset in local mode, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    base = base or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
     return f"{base.rstrip('/')}/plinth-{uuid.uuid4().hex[:12]}"
 
 
