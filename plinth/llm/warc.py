@@ -14,6 +14,7 @@ import binascii
 import gzip
 import hashlib
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -133,6 +134,20 @@ def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 8 + n
 
 
+def members(data: bytes, step: int = 1 << 14) -> Iterator[bytes]:
+    """The members of a gzip file, one by one, in time that is linear in its size."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        reader, parts = zlib.decompressobj(31), []
+        while not reader.eof:
+            if at >= len(view):
+                raise ValueError("the last member is cut off")
+            parts.append(reader.decompress(view[at : at + step]))
+            at = min(at + step, len(view))
+        at -= len(reader.unused_data)
+        yield b"".join(parts)
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Per record: page_id, url, record_type, refers_to, payload_digest, payload_bytes and payload (null for revisits until resolve_payloads)."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
@@ -145,7 +160,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 data = content.as_py()
                 rows, size = [], 0
-                for head, block in parse_archive(gzip.decompress(data) if name.endswith(".gz") else data):
+                for head, block in (r for part in (members(data) if name.endswith(".gz") else (data,)) for r in parse_archive(part)):
                     if head["warc-type"] not in ("response", "revisit"):
                         continue
                     digest = head["warc-payload-digest"].removeprefix("sha1:")

@@ -516,6 +516,10 @@ def test_large_records_end_with_a_zero():
     big = warc.member([("WARC-Type", "response")], bytes(17 << 20)) + b"\0"
     import gzip
 
+    small = [warc.member([], str(i).encode()) + b"\0" for i in range(50)]
+    assert [m.split(b"\r\n\r\n")[1] for m in warc.members(b"".join(small), 7)] == [str(i).encode() for i in range(50)]
+    with pytest.raises(ValueError):
+        list(warc.members(small[0][:-3]))
     assert gzip.decompress(big + big).count(b"WARC/1.1") == 2 and gzip.decompress(warc.member([], b"x") + b"\0").endswith(b"x\r\n\r\n")
 
 
