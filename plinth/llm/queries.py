@@ -11,6 +11,7 @@ from .quality_classifier import op8_quality_classifier
 from .quality_rules import op9_quality_rules
 from .simhash import op4_simhash_near_dedup
 from .suffix_dedup import op1_suffix_array_dedup
+from .token_files import op13_token_files
 from .warc import op10_warc_revisits
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc_revisits": op10_warc_revisits,
+    "op13_token_files": op13_token_files,
 }
 #: Bits of the hex digest, five by five, are the letters of base32.
 _BITS = "array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(strpos('0123456789abcdef', substr(hexed, i, 1)) - 1), 4, '0')), '')"
