@@ -29,7 +29,7 @@ from . import common as C
 END_ID = 2
 STRIPE_BYTES, ROW_INDEX, BLOOM_FPP = 16 << 20, 1000, 0.01
 #: Words whose ids a worker remembers; when there are more it begins anew.
-MOST_WORDS = 1 << 20
+MOST_WORDS = 1 << 19
 #: Fixed values of the tokenizer files whose words can be taken apart: the normalisers, and the pattern that finds words.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -172,7 +172,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
-        for b in C.batches_of(batches, 16 << 20):
+        for b in C.batches_of(batches, 6 << 20):
             ids, counts = encoder(file).many(*C.utf8_column(b.column(1)))
             ends = np.cumsum(counts + 1)
             out = np.full(len(ids) + len(counts), end_id, np.int32)
