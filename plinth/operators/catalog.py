@@ -36,10 +36,14 @@ def upsert(df: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     return df.join(rows.select(*key), key, "left_anti").unionByName(rows.select(df.columns))
 
 
+def fresh_payload(df: DataFrame, payload: DataFrame, key: str, kept: list[str]) -> DataFrame:
+    """Rows of new payload columns with the old kept ones (vectors); payload rows without an old row are left out."""
+    return payload.join(df.select(key, *kept), key).select(df.columns)
+
+
 def replace_payload(df: DataFrame, payload: DataFrame, key: str, kept: list[str]) -> DataFrame:
-    """New payload columns with the old kept ones (vectors); payload rows without an old row are left out, old rows without new payload stay."""
-    fresh = payload.join(df.select(key, *kept), key).select(df.columns)
-    return df.join(payload.select(key), key, "left_anti").unionByName(fresh)
+    """df with fresh_payload() in place of the rows of its keys; old rows without new payload stay."""
+    return df.join(payload.select(key), key, "left_anti").unionByName(fresh_payload(df, payload, key, kept))
 
 
 def page_after(df: DataFrame, key: list[str], last: list | None, limit: int) -> DataFrame:

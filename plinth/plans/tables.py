@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plinth.operators import catalog as C
 from plinth.operators import ledger as L
+from plinth.operators import versioned as V
 from plinth.plans.base import Plans, literal, literal_sql, table
 
 plans = Plans()
@@ -80,11 +81,29 @@ def orders(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state"), F.col("o_totalprice").alias("price"))
 
 
-@plans.add("a36_a37_a38_upsert", "select o_orderkey as id, case when o_orderkey % 3 = 0 then 'X' else o_orderstatus end as state, case when o_orderkey % 3 = 0 then 1.5 else o_totalprice end as price from orders union all select -o_orderkey, 'X', 1.5 from orders where o_orderkey % 3 = 1 and o_orderkey % 2 = 0")
+def versioned(spark, rows, key, buckets=8):
+    """rows as a versioned table in a new folder."""
+    from plinth.sources.files import scratch
+
+    made = V.VersionedTable(spark, f"{scratch(spark)}/table")
+    made.upsert(rows, key, buckets)
+    return made
+
+
+@plans.add("a36_a37_a38_upsert", "select o_orderkey as id, case when o_orderkey % 30 < 10 then 'X' || (o_orderkey % 30) when o_orderkey % 30 < 20 then 'Y' else o_orderstatus end as state, case when o_orderkey % 30 < 10 then o_totalprice + 1 when o_orderkey % 30 < 20 then 1.5 else o_totalprice end as price from orders union all select -o_orderkey, 'N', 0.5 from orders where o_orderkey % 30 in (3, 17)")
 def upserted(spark, sf_dir):
+    """Ten batches of upserts, of which the later ones write some rows again, and a compaction among them."""
     o = orders(spark, sf_dir)
-    fresh = o.filter("id % 3 = 0").select("id").unionByName(o.filter("id % 3 = 1 and id % 2 = 0").select((-F.col("id")).alias("id")))
-    return C.upsert(o, fresh.select("id", F.lit("X").alias("state"), F.lit(1.5).alias("price")), ["id"])
+    made = versioned(spark, o, ["id"])
+    made.upsert(o.filter("id % 30 < 20").select("id", F.lit("Y").alias("state"), F.lit(1.5).alias("price")))
+    for i in range(10):
+        rows = o.filter(F.col("id") % 30 == i).select("id", F.lit(f"X{i}").alias("state"), (F.col("price") + 1).alias("price"))
+        if i == 3:
+            rows = rows.unionByName(o.filter("id % 30 in (3, 17)").select((-F.col("id")).alias("id"), F.lit("N").alias("state"), F.lit(0.5).alias("price")))
+        made.upsert(rows)
+        if i == 5:
+            made.compact(most_deltas=4)
+    return made.read()
 
 
 @plans.add("a36_last_write_wins", "select o_custkey as id, max(o_orderkey) as seq from orders group by o_custkey")
@@ -95,22 +114,30 @@ def last_write(spark, sf_dir):
 
 @plans.add("a39_overwrite_payload", "select o_orderkey as id, case when o_orderkey % 5 = 0 then 'new' else o_orderstatus end as state, o_totalprice as price from orders")
 def payload(spark, sf_dir):
+    """New payload for stored rows, which keep their other columns; made again if its buckets change meanwhile."""
     o = orders(spark, sf_dir)
     new = o.filter("id % 5 = 0").select("id", F.lit("new").alias("state")).unionByName(o.limit(1).select(F.lit(-1).cast("long").alias("id"), F.lit("none").alias("state")))
-    return C.replace_payload(o, new, "id", ["price"])
+    made = versioned(spark, o, ["id"])
+    made.change(lambda now: (C.fresh_payload(now, new, "id", ["price"]), None), depends="own")
+    return made.read()
 
 
 @plans.add("a40_a41_delete_by_keys", "select o_orderkey as id from orders where o_orderstatus <> 'F' and o_orderkey % 4 <> 0")
 def deleted(spark, sf_dir):
     o = orders(spark, sf_dir)
-    left = C.without_keys(o, literal(spark, "state string", [("F",)]), "state")
-    return C.without_keys(left, o.filter("id % 4 = 0").select("id"), "id").select("id")
+    made = versioned(spark, o, ["id"])
+    made.change(lambda now: (None, C.by_keys(now, literal(spark, "state string", [("F",)]), "state")))
+    made.delete(o.filter("id % 4 = 0").select("id"))
+    return made.read().select("id")
 
 
 @plans.add("a42_l13_delete_tail", f"select id from {CHUNKS} where ordinal is null or ordinal < doc % 3 + 1 or doc % 2 = 0")
 def tail(spark, sf_dir):
     c = chunks(spark, sf_dir)
-    return C.delete_tail(c, c.filter("doc % 2 = 1").select("doc", (F.col("doc") % 3 + 1).alias("chunks")).distinct()).select("id")
+    keep = c.filter("doc % 2 = 1").select("doc", (F.col("doc") % 3 + 1).alias("chunks")).distinct()
+    made = versioned(spark, c, ["id"])
+    made.change(lambda now: (None, now.join(C.delete_tail(now, keep).select("id"), "id", "left_anti")))
+    return made.read().select("id")
 
 
 @plans.add("a43_delete_unnumbered", f"select count(*) filter (where ordinal is not null) as kept, count(*) filter (where ordinal is null) as deleted from {CHUNKS}")
@@ -127,26 +154,24 @@ def copied(spark, sf_dir):
     return spark.read.parquet(path).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("total"))
 
 
-@plans.add("a44_a46_a48_a49_j25_j26_publish", "select count(*) as served, count(*) as restored, false as after_reset from orders where o_orderkey % 2 = 0")
+@plans.add("a44_a46_a48_a49_j25_j26_publish", "select count(*) as served, count(*) as restored, 0::bigint as after_reset, true as conflict, count(*) as first_version from orders where o_orderkey % 2 = 0")
 def published(spark, sf_dir):
-    from plinth.sources.files import scratch
-
-    base = f"{scratch(spark)}/table"
-    rows = orders(spark, sf_dir)
-    C.publish(rows, base, "1")
-    even = rows.filter("id % 2 = 0")
-    n = even.count()
-    try:  # a version that lacks rows isn't served
-        C.publish(even.limit(0), base, "2", expected=n)
-        raise AssertionError("a short version was published")
-    except ValueError:
-        pass
-    C.publish(even, base, "3", expected=n)
-    now = C.served(spark, base).count()
-    C.archive(C.served(spark, base), f"{base}-archive", now)
-    back = C.restore(spark, f"{base}-archive").count()
-    C.reset(spark, base)
-    return literal(spark, "served long, restored long, after_reset boolean", [(now, back, C.served(spark, base) is not None)])
+    """A version that lacks rows, and one made from an older version, aren't served; archives are checked; older versions stay readable until they expire."""
+    even = orders(spark, sf_dir).filter("id % 2 = 0")
+    made, n, conflict = versioned(spark, even, ["id"]), even.count(), False
+    for rows, made_from, expected in ((even.limit(0), None, n), (even, 1, n), (even, 1, n)):
+        try:
+            made.replace(rows, made_from=made_from, expected=expected)
+        except V.Conflict:
+            conflict = True
+        except ValueError:
+            pass
+    served = made.read().count()
+    C.archive(made.read(), f"{made.base}-archive", served)
+    back = C.restore(spark, f"{made.base}-archive").count()
+    first = made.read(version=1).count()
+    made.reset()
+    return literal(spark, "served long, restored long, after_reset long, conflict boolean, first_version long", [(served, back, made.read().count(), conflict, first)])
 
 
 @plans.add("c02_c03_c18_adopt_vectors", """select s.s_suppkey as id, case when s.s_suppkey % 5 = 0 then null when s.s_suppkey % 3 = 0 then 1 when s.s_suppkey % 2 = 0 then 2 end as donor from supplier s""")

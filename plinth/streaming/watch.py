@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plinth.operators import catalog as C
+from plinth.operators import versioned as V
 from plinth.streaming.machines import Pressure, Retry
 
 LATE = "1 hour"
@@ -93,7 +94,7 @@ def fold_pressure(key: str, at: str, raw: str) -> Callable[[pd.DataFrame], pd.Da
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Runs a stream over all that is there and ends. Complete and update results replace the table batch by batch."""
+    """Runs a stream over all that is there and ends. Complete results replace the table batch by batch; update results are added to it."""
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     else:
@@ -101,13 +102,17 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     query.awaitTermination()
 
 
-def upsert_stream(stream: DataFrame, base: str, checkpoint: str, key: list[str], order: list) -> None:
-    """Micro-batches as upserts: each one's latest rows by key are published as a new version, whose name is the batch's, so a batch that is run again does no harm."""
-    spark = stream.sparkSession
+def upsert_stream(stream: DataFrame, base: str, checkpoint: str, key: list[str], order: list) -> V.VersionedTable:
+    """Micro-batches as upserts of a versioned table: each one's latest rows by key, in files of their own.
+
+    A commit carries the stream's name (its checkpoint) and the batch's number, so a batch that is run again after a crash,
+    whether that came before or after its commit, is there once. Buckets that have gathered many deltas are compacted.
+    """
+    table = V.VersionedTable(stream.sparkSession, base)
 
     def batch(df: DataFrame, n: int) -> None:
-        rows = C.latest(df, key, order)
-        now = C.served(spark, base)
-        C.publish(C.upsert(now, rows, key) if now is not None else rows, base, f"b{n}")
+        table.upsert(C.latest(df, key, order), key, stream=(checkpoint, n))
+        table.compact()
 
     stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start().awaitTermination()
+    return table
