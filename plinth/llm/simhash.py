@@ -425,12 +425,18 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each set stays, that with the smallest doc_id, and of repeated rows one. Rows without a doc_id can't be named and stay.
+    """One document of each set stays, that with the smallest doc_id, of any kind; rows equal in doc_id and text are one. Rows without a doc_id can't be named and stay.
 
-    Sets are those of op4's links (four words, four bits) and of texts whose five-word shingles have a similarity of 0.8 or more.
+    Sets are those of op4's links (four words, four bits) and of texts whose five-word shingles have a similarity of 0.8 or
+    more. Rows that share a doc_id but not the text are documents of their own: they go by a hash of both.
     """
-    exact = simhash_components(docs).filter("doc_id is not null").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    sets = components(exact.unionByName(similar_links(docs)))
-    gone = sets.filter("node <> component").select(F.col("node").alias("doc_id"))
-    kept = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    node = F.xxhash64("doc_id", "text")
+    named = docs.filter("doc_id is not null").select(node.alias("node"), F.col("doc_id").alias("own"), "text")
+    texts = named.select(F.col("node").alias("doc_id"), "text")
+    exact = simhash_components(texts).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    sets = components(exact.unionByName(similar_links(texts)))
+    members = sets.join(named.select("node", "own").distinct(), "node")
+    first = members.groupBy("component").agg(F.min(F.struct("own", "node")).alias("first")).select("component", F.col("first.node").alias("first"))
+    gone = members.join(first, "component").filter("node <> first").select(F.col("node").alias("_node"))
+    kept = docs.filter("doc_id is not null").withColumn("_node", node).join(gone, "_node", "left_anti").dropDuplicates(["_node"])
     return kept.select(docs.columns).unionByName(docs.filter("doc_id is null"))

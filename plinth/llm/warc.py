@@ -148,12 +148,9 @@ def members(data: bytes, step: int = 1 << 14) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Per record: page_id, url, record_type, refers_to, payload_digest, payload_bytes and payload (null for revisits until resolve_payloads)."""
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
-
-    def number(value: str | None) -> int | None:
-        return int(value) if value else None
+def read_archives(spark: SparkSession, path: str, id_kind: str = "long") -> DataFrame:
+    """Per record: page_id, url, record_type, refers_to, payload_digest, payload_bytes and payload (null for revisits until resolve_payloads). id_kind: what page_id and refers_to are read as; an empty text is read as null."""
+    schema = pa.schema([("page_id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,7 +164,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     again = head["warc-type"] == "revisit"
                     if not again and base64.b32encode(hashlib.sha1(block).digest()).decode() != digest:
                         raise ValueError(f"{name}: a payload doesn't have its digest")
-                    rows.append((number(head["page-id"]), head["warc-target-uri"], head["warc-type"], number(head.get("refers-to-page-id")), digest, None if again else len(block), None if again else block))
+                    rows.append((head["page-id"] or None, head["warc-target-uri"], head["warc-type"], head.get("refers-to-page-id") or None, digest, None if again else len(block), None if again else block))
                     size += len(block)
                     if len(rows) == 500 or size > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -176,7 +173,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
+    rows = files.mapInArrow(run, "page_id string, url string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary")
+    return rows.withColumns({c: F.col(c).cast(id_kind) for c in ("page_id", "refers_to")})
 
 
 def resolve_payloads(records: DataFrame, payload: bool = False) -> DataFrame:
@@ -196,5 +194,6 @@ def resolve_payloads(records: DataFrame, payload: bool = False) -> DataFrame:
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page, from the archives as read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     path = C.scratch_path(spark, "warc")
-    write_archives(C.table(spark, sf_dir, "pages"), path)
-    return resolve_payloads(read_archives(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = C.table(spark, sf_dir, "pages")
+    write_archives(pages, path)
+    return resolve_payloads(read_archives(spark, path, pages.schema["page_id"].dataType.simpleString())).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -75,3 +75,22 @@ def test_pairs_just_over_the_similarity(spark):
         texts += [a, b]
     got = found(spark, texts)
     assert got == {j: i for i in over for j in (i, i + 1)}
+
+
+def test_no_text_is_lost(spark):
+    """Rows that share an id but not the text stay each; rows that repeat are one; of copies the smallest id stays; rows without an id stay."""
+    rng = random.Random(12)
+    a, b, c, d = (" ".join(f"w{rng.random()}" for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (1, b), (1, b), (2, c), (3, a), (4, None), (5, ""), (0, d + " end"), (9, d), (None, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in simhash.near_dedup_stage(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (1, b), (2, c), (4, None), (0, d + " end"), (None, a), (None, a)], key=str)
+
+
+def test_text_ids(spark):
+    rng = random.Random(13)
+    a, b = (" ".join(f"w{rng.random()}" for _ in range(60)) for _ in range(2))
+    docs = spark.createDataFrame([("x", a), ("y", a + " tail"), ("z", b), ("a", b)], "doc_id string, text string")
+    assert sorted(r["doc_id"] for r in simhash.near_dedup_stage(spark, docs, "").collect()) == ["a", "x"]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(docs).collect()}
+    assert got["z"] == got["a"] == "a"
