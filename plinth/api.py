@@ -9,7 +9,7 @@ from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.functions import chunk as K
@@ -17,8 +17,10 @@ from plinth.functions import encode as E
 from plinth.functions import paths as P
 from plinth.functions import text as T
 from plinth.operators import catalog as C
+from plinth.operators import postings as I
 from plinth.operators import ranking as R
 from plinth.operators import retrieval as V
+from plinth.operators import versioned as W
 from plinth.sources import files as S
 
 SOURCES = ("vault", "codebase", "document")
@@ -54,6 +56,14 @@ def validated(source: str, filters: dict) -> dict:
     return used
 
 
+def filter_fits(source: Column, name: Column, value: Column) -> Column:
+    """Whether validated() takes a filter, row by row."""
+    names = F.create_map(*(x for s, ns in FILTERS.items() for x in (F.lit(s), F.array(*map(F.lit, ns)))))
+    given = F.filter(F.split(value, ","), lambda v: v != "")
+    known = F.when(name == "doc_type", F.array(*map(F.lit, T.DOC_TYPES))).when(name.isin("exclude_domain", "only_domain", "include_domain"), F.array(*map(F.lit, P.DOMAINS))).when(name == "prefer", F.array(*map(F.lit, ("prod", "tests", "docs"))))
+    return (F.coalesce(value, F.lit("")) == "") | (F.coalesce(F.array_contains(names[source], name), F.lit(False)) & (known.isNull() | (F.size(F.array_except(given, known)) == 0)))
+
+
 @dataclass
 class Engine:
     """Tables below base, one folder a source, with the postings of their contents. encoder: texts to vectors of length one. feedback: by source, ids that are liked and unliked, in every search of it."""
@@ -66,25 +76,53 @@ class Engine:
     def _at(self, source: str) -> str:
         return f"{self.base}/{source}"
 
+    def versions(self, source: str) -> W.VersionedTable:
+        return W.VersionedTable(self.spark, self._at(source))
+
     def table(self, source: str) -> DataFrame | None:
-        return C.served(self.spark, self._at(source))
+        return self.versions(source).read()
 
     def _publish(self, source: str, rows: DataFrame, key: list[str], clean: bool, changed: DataFrame | None = None) -> dict:
-        """changed: keys (path) whose old chunks go; rows replace them. Vectors of unchanged chunks are kept."""
-        now = None if clean else self.table(source)
-        if now is not None:
-            same = now.select(*key, F.col("content").alias("_c"), F.col("dense").alias("_d"), F.col("sparse").alias("_s"))
-            met = rows.join(same, key, "left")
-            reuse = F.col("_c").eqNullSafe(F.col("content")) & F.col("_d").isNotNull()
-            old = met.filter(reuse).withColumns({"dense": F.col("_d"), "sparse": F.col("_s")}).drop("_c", "_d", "_s")
-            new = E.encode_table(met.filter(~reuse).drop("_c", "_d", "_s"), "embed_text", self.encoder)
-            rows = old.unionByName(new)
-            if changed is not None:
-                rows = C.without_keys(now, changed, "path").unionByName(rows.select(now.columns))
-        else:
-            rows = E.encode_table(rows, "embed_text", self.encoder)
-        path = C.publish(rows, self._at(source), uuid.uuid4().hex[:12], beside=lambda version, token: V.store_postings(V.term_weights(version.select("id", F.col("content").alias("text"))), f"{self._at(source)}/p_{token}"))
-        return {"source": source, "chunks": self.spark.read.parquet(path).count()}
+        """changed: keys (path) whose old chunks go; rows replace them. Vectors of unchanged chunks are kept.
+
+        The new version is committed with its postings, unless another one came meanwhile: then it is made anew from that.
+        """
+        made = self.versions(source)
+        for _ in range(W.MOST_TRIES):
+            state = made.state()
+            now = None if clean or state.schema is None else made.merged(state)
+            try:
+                after = made.replace(self._current(rows, now, key, changed), key, made_from=state.version, beside=lambda written: self._store(source, written))
+            except W.Conflict:
+                continue
+            self._expire(source, made)
+            return {"source": source, "chunks": made.merged(after).count()}
+        raise W.Conflict(f"{source} changed {W.MOST_TRIES} times while it was indexed")
+
+    def _current(self, rows: DataFrame, now: DataFrame | None, key: list[str], changed: DataFrame | None) -> DataFrame:
+        """rows with vectors, those of equal content from now; and now's other rows if only some were changed."""
+        if now is None:
+            return E.encode_table(rows, "embed_text", self.encoder)
+        same = now.select(*key, F.col("content").alias("_c"), F.col("dense").alias("_d"), F.col("sparse").alias("_s"))
+        met = rows.join(same, key, "left")
+        reuse = F.col("_c").eqNullSafe(F.col("content")) & F.col("_d").isNotNull()
+        old = met.filter(reuse).withColumns({"dense": F.col("_d"), "sparse": F.col("_s")}).drop("_c", "_d", "_s")
+        new = E.encode_table(met.filter(~reuse).drop("_c", "_d", "_s"), "embed_text", self.encoder)
+        rows = old.unionByName(new)
+        return rows if changed is None else C.without_keys(now, changed, "path").unionByName(rows.select(now.columns))
+
+    def _store(self, source: str, written: DataFrame) -> dict:
+        name = f"p_{uuid.uuid4().hex[:12]}"
+        I.store(V.term_weights(written.select("id", F.col("content").alias("text"))), f"{self._at(source)}/{name}")
+        return {"postings": name}
+
+    def _expire(self, source: str, made: W.VersionedTable, keep: int = 2) -> None:
+        """Versions before the last keep go, with their postings."""
+        there = made.versions()
+        old = {made.state(v).note.get("postings") for v in there[-keep - 2 : -keep]} - {made.state(v).note.get("postings") for v in there[-keep:]}
+        for name in old - {None}:
+            C.remove(self.spark, f"{self._at(source)}/{name}")
+        made.expire(keep)
 
     def index(self, records: DataFrame, clean: bool = False, changed: DataFrame | None = None) -> dict:
         """Records (key, content with front matter) as chunks of vault records."""
@@ -163,10 +201,8 @@ class Engine:
         window = V.window_size(k, True, source == "codebase" and bool({"include_paths", "exclude_paths"} & set(wanted)), source == "codebase")
         counts = Counter(re.findall(r"[a-z0-9]+", text.lower()))
         terms = self.spark.createDataFrame([(0, t, 1 + math.log(n)) for t, n in counts.items()], "qid int, term string, q double")
-        postings = V.stored_postings(self.spark, f"{self._at(source)}/p_{C.served_token(self.spark, self._at(source))}", list(counts))
-        if wanted or source == "codebase":
-            postings = postings.join(rows.select("id"), "id", "left_semi")
-        leg = V.hybrid(rows.select("id", F.col("dense").alias("vector")), self._dense_query(source, text), postings, terms, window)
+        index = I.Index(self.spark, f"{self._at(source)}/{self.versions(source).state().note['postings']}")
+        leg = V.hybrid(rows.select("id", F.col("dense").alias("vector")), self._dense_query(source, text), index, terms, window, filtered=bool(wanted) or source == "codebase")
         page = rows.join(F.broadcast(leg), "id").withColumn("pos", F.col("rank"))
         scores = R.lexical_score(terms, page.select("qid", "id", F.col("content").alias("text")))
         page = R.rerank(page.join(scores, ["qid", "id"], "left").withColumn("score", F.coalesce("rerank", F.lit(0.0))).drop("rerank"), F.col("score"), window)
@@ -237,5 +273,5 @@ class Engine:
     def clean(self, source: str = "all") -> list[str]:
         gone = [s for s in SOURCES if source in ("all", s)]
         for s in gone:
-            C.reset(self.spark, self._at(s))
+            C.remove(self.spark, self._at(s))
         return gone

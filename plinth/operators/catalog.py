@@ -1,13 +1,11 @@
-"""Chunk tables: reads, versioned writes, and the joins that keep them current.
+"""Chunk tables: reads, writes as new rows, and the joins that keep them current.
 
-A table is a DataFrame with a key. Writes give the new version's rows; publish() puts them in a new folder and moves a
-pointer to it, so that readers see one whole version or the other.
+A table is a DataFrame with a key. Writes here give the new rows; versioned.VersionedTable commits them.
 """
 
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -156,59 +154,10 @@ def _fs(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def _replace_file(spark: SparkSession, path: str, text: str) -> None:
-    """Writes a new file beside path and renames it over path, which readers see as one step."""
+def remove(spark: SparkSession, path: str) -> None:
+    """A folder with all that is in it."""
     fs, where = _fs(spark, path)
-    _, fresh = _fs(spark, f"{path}.{uuid.uuid4().hex[:12]}")
-    fs.mkdirs(where.getParent())
-    out = fs.create(fresh)
-    out.write(bytearray(text.encode()))
-    out.close()
-    jvm = spark.sparkContext._jvm
-    kind = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
-    overwrite = next(k for k in kind.getEnumConstants() if k.toString() == "OVERWRITE")
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = overwrite
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    context.rename(context.makeQualified(fresh), context.makeQualified(where), options)
-
-
-def publish(df: DataFrame, base: str, token: str, expected: int | None = None, record=None, beside=None) -> str:
-    """Writes a version, checks its row count, records breadth, and only then moves the pointer; returns the version's path.
-
-    A failed check leaves the served version as it was. The pointer is a file that is renamed into place, so that a reader
-    finds the old version or the new one. beside: called with the written rows and token, for what is served along with them.
-    """
-    spark, path = df.sparkSession, f"{base}/g_{token}"
-    df.write.mode("overwrite").parquet(path)
-    rows = spark.read.parquet(path)
-    count = rows.count()
-    if expected is not None and count != expected:
-        raise ValueError(f"{path} has {count} rows, not {expected}")
-    if beside:
-        beside(rows, token)
-    if record:
-        record(count)
-    _replace_file(spark, f"{base}/pointer", json.dumps({"served": path, "token": token, "rows": count}))
-    return path
-
-
-def served_token(spark: SparkSession, base: str) -> str | None:
-    fs, pointer = _fs(spark, f"{base}/pointer")
-    return json.loads(spark.read.text(f"{base}/pointer").first()[0])["token"] if fs.exists(pointer) else None
-
-
-def served(spark: SparkSession, base: str) -> DataFrame | None:
-    """The served version; None where there is none."""
-    fs, pointer = _fs(spark, f"{base}/pointer")
-    return spark.read.parquet(json.loads(spark.read.text(f"{base}/pointer").first()[0])["served"]) if fs.exists(pointer) else None
-
-
-def reset(spark: SparkSession, base: str) -> None:
-    """The pointer goes first, so that no reader finds half a table; then the versions."""
-    for part in (f"{base}/pointer", base):
-        fs, path = _fs(spark, part)
-        fs.delete(path, True)
+    fs.delete(where, True)
 
 
 def archive(df: DataFrame, path: str, proven_rows: int) -> dict:

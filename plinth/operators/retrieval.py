@@ -23,8 +23,8 @@ RRF_K = 60
 LEG_FACTOR = 4
 #: Queries and their terms are broadcast up to so many rows; more go by an ordinary join, or block by block.
 MOST_BROADCAST = 100_000
-#: Dense queries that a pass over the rows takes at once, and buckets of stored postings.
-QUERY_BLOCK, POSTING_BUCKETS = 4096, 32
+#: Dense queries that a pass over the rows takes at once.
+QUERY_BLOCK = 4096
 
 
 def checked_broadcast(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
@@ -127,26 +127,6 @@ def term_weights(texts: DataFrame, pattern: str = r"[a-z0-9]+", wanted: DataFram
     return out if wanted is None else out.join(checked_broadcast(wanted.select("term").distinct()), "term", "left_semi").select(schema.names)
 
 
-def term_bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(POSTING_BUCKETS)).cast("int")
-
-
-def store_postings(postings: DataFrame, path: str) -> str:
-    """Writes postings (id, term, weight and payload) by bucket of the term, in its order: a search reads the buckets of its terms, and in them the row groups that may hold these."""
-    rows = postings.withColumn("bucket", term_bucket(F.col("term")))
-    rows.repartition(POSTING_BUCKETS, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").option("compression", "zstd").parquet(path)
-    return path
-
-
-def stored_postings(spark: SparkSession, path: str, terms: list[str] | None = None) -> DataFrame:
-    """The postings of a path; terms: a few, of which only the buckets and row groups are read."""
-    rows = spark.read.parquet(path)
-    if terms is None:
-        return rows.drop("bucket")
-    known = spark.createDataFrame([(t,) for t in terms], "term string").select(term_bucket(F.col("term")).alias("b")).distinct().collect()
-    return rows.filter(F.col("bucket").isin([r["b"] for r in known]) & F.col("term").isin(terms)).drop("bucket")
-
-
 def sparse_leg(postings: DataFrame, query_terms: DataFrame, limit: int, places: int | None = None) -> DataFrame:
     """By dot product over shared terms. postings: (id, term, weight); query_terms: (qid, term, q). Only rows that share a term appear."""
     hits = postings.join(checked_broadcast(query_terms), "term").groupBy("qid", "id").agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
@@ -164,14 +144,14 @@ def fuse(*legs: DataFrame, limit: int, k: int = RRF_K, places: int | None = None
     return ranked(both.groupBy("qid", "id").agg((F.round(total, places) if places is not None else total).alias("score")), limit)
 
 
-def hybrid(table: DataFrame, queries: DataFrame, postings: DataFrame | None, query_terms: DataFrame | None, limit: int, keep: Column | None = None, places: int | None = None) -> DataFrame:
-    """Both legs of LEG_FACTOR * limit rows over the rows of table that keep holds for, fused. Without postings: the dense leg alone."""
+def hybrid(table: DataFrame, queries: DataFrame, index, query_terms: DataFrame | None, limit: int, keep: Column | None = None, places: int | None = None, filtered: bool = False) -> DataFrame:
+    """Both legs of LEG_FACTOR * limit rows over the rows of table that keep holds for, fused. index: stored postings (postings.Index), which hold other rows too where keep is given or table is filtered; without them the dense leg alone."""
     rows = table.filter(keep) if keep is not None else table
     dense = dense_leg(rows.select("id", "vector"), queries, LEG_FACTOR * limit, places)
-    if postings is None or query_terms is None:
+    if index is None or query_terms is None:
         return fuse(dense, limit=limit)
-    kept = postings.join(rows.select("id"), "id", "left_semi") if keep is not None else postings
-    return fuse(dense, sparse_leg(kept, query_terms, LEG_FACTOR * limit, places), limit=limit, places=places and places + 4)
+    sparse = index.top(query_terms, LEG_FACTOR * limit, places, ids=rows.select("id") if filtered or keep is not None else None)
+    return fuse(dense, sparse, limit=limit, places=places and places + 4)
 
 
 def mean_vector(vectors: DataFrame, by: str = "qid") -> DataFrame:
@@ -199,20 +179,27 @@ def head_point(documents: DataFrame, points: DataFrame) -> DataFrame:
     return documents.withColumn("head", F.concat("doc", F.lit("#c0"))).join(head, "head", "left").join(bare, "doc", "left").select("doc", F.coalesce("p0", "p1").alias("point"))
 
 
-def window_size(k: int, reranked: bool, globs: bool = False, code: bool = False) -> int:
-    """Rows that a search takes from its legs before its later steps."""
+def _most(*values):
+    """The largest, of numbers or of columns."""
+    return F.greatest(*(v if isinstance(v, Column) else F.lit(v) for v in values)) if any(isinstance(v, Column) for v in values) else max(values)
+
+
+def window_size(k, reranked: bool, globs: bool = False, code: bool = False):
+    """Rows that a search takes from its legs before its later steps; k is a number or a column."""
     if code and globs:
-        return max(10 * k, 50)
-    return max(4 * k, 20) if reranked else 2 * k
+        return _most(10 * k, 50)
+    return _most(4 * k, 20) if reranked else 2 * k
 
 
-def candidate_limit(k: int, legacy: int) -> int:
-    return max(legacy, min(64, max(legacy, 6 * k, 32)))
+def candidate_limit(k, legacy):
+    capped = _most(legacy, 6 * k, 32)
+    return _most(legacy, F.least(F.lit(64), capped) if isinstance(capped, Column) else min(64, capped))
 
 
-def grown_window(base: int, found, wanted: int, there: int) -> int:
-    """The rows that a doubling search has when its page is full, the table ends, or the window reaches max(4 * base, 500). found: rows left of a window."""
-    window, most = base, max(4 * base, 500)
-    while found(window) < wanted and window < min(there, most):
-        window = min(2 * window, most, there)
-    return window
+def grown_windows(page: DataFrame, base: int, wanted: int) -> DataFrame:
+    """(qid, taken) of (qid, rank, fits): the window that a search has doubled to when wanted rows in it fit, the page ends, or it reaches max(4 * base, 500)."""
+    most = max(4 * base, 500)
+    each = page.groupBy("qid").agg(F.count("*").alias("there"), F.collect_list(F.when(F.col("fits"), F.col("rank"))).alias("found"))  # a page's rows
+    doubled = F.array(F.lit(base), *(F.least(F.lit(base << i), F.lit(most), F.greatest("there", F.lit(base))) for i in range(1, math.ceil(math.log2(most / base)) + 1)))
+    enough = F.filter(doubled, lambda w: (F.size(F.filter("found", lambda r: r <= w)) >= wanted) | (w >= F.least("there", F.lit(most))))
+    return each.select("qid", F.element_at(enough, 1).cast("long").alias("taken"))

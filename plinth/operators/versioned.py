@@ -90,6 +90,7 @@ class State:
     deltas: dict[str, list[dict]] = field(default_factory=dict)
     streams: dict[str, int] = field(default_factory=dict)
     touched: dict[str, int] = field(default_factory=dict)  # the last version that changed a bucket's rows
+    note: dict = field(default_factory=dict)  # of the last replacement
 
     def after(self, record: dict) -> State:
         """The state that a commit's record leads to."""
@@ -115,6 +116,7 @@ class State:
         if record["kind"] == "replace":
             s.bases = {b: f for b, f in s.bases.items() if b in record["files"]}
             s.deltas, s.touched = {}, {str(b): s.version for b in range(s.buckets)}
+            s.note = record.get("note", {})
         s.streams |= record.get("streams", {})
         return s
 
@@ -129,8 +131,9 @@ class State:
 class VersionedTable:
     """A table below base. Its first write sets columns, key and buckets. Keys are not null; columns that begin with _ are the table's own."""
 
-    def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base = spark, base.rstrip("/")
+    def __init__(self, spark: SparkSession, base: str, indexed: list[str] | None = None):
+        """indexed: fields (texts, or lists of texts) whose values each commit of this writer lists by file, for reads that hold some of them."""
+        self.spark, self.base, self.indexed = spark, base.rstrip("/"), list(indexed or [])
 
     # Versions
 
@@ -199,8 +202,37 @@ class VersionedTable:
                 own = out.setdefault(f.getPath().getParent().getName().removeprefix("_b="), {"folder": folder, "files": [], "bytes": 0})
                 own["files"].append(name)
                 own["bytes"] += f.getLen()
+        if self.indexed:
+            self._index(path, StructType([f for f in rows.schema.fields if f.name in self.indexed]))
+            for own in out.values():
+                own["indexed"] = self.indexed
         return out
 
+    def _index(self, path: str, fields: StructType) -> None:
+        """(field, value, file) of a folder, sorted, so that a reader of a few values skips the row groups of others. Nulls have no entry."""
+        rows = self.spark.read.parquet(f"{path}/_b=*")
+        each = [F.explode(F.filter(F.array(f.name) if f.dataType.simpleString() == "string" else F.col(f.name), lambda v: v.isNotNull())) for f in fields]
+        parts = [rows.select(F.lit(f.name).alias("field"), e.alias("value"), F.col("_metadata.file_name").alias("file")).distinct() for f, e in zip(fields, each, strict=True)]
+        both = parts[0]
+        for p in parts[1:]:
+            both = both.unionByName(p)
+        files = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+        both.repartitionByRange(files, "field", "value").sortWithinPartitions("field", "value").write.option("compression", "zstd").parquet(f"{path}/index")
+
+    def _holding(self, state: State, holding: dict[str, list[str]]) -> set[tuple[str, str]]:
+        """(folder, file) of the base files that hold a value of each field."""
+        folders = {f["folder"] for f in state.bases.values() if f["files"]}
+        plain = {f["folder"] for f in state.bases.values() if f["files"] and not set(holding) <= set(f.get("indexed", []))}
+        if not folders - plain:
+            return {(f["folder"], n) for f in state.bases.values() for n in f["files"]}
+        index = self.spark.read.parquet(*(f"{self.base}/data/{f}/index" for f in sorted(folders - plain)))
+        found: set[tuple[str, str]] | None = None
+        for name, values in holding.items():
+            hit = index.filter((F.col("field") == name) & F.col("value").isin(values)).select(F.regexp_extract("_metadata.file_path", "/data/([0-9a-f]{32})/", 1).alias("folder"), "file").distinct()
+            own = {(r["folder"], r["file"]) for r in hit.collect()}  # of files, not of rows
+            found = own if found is None else found & own
+        return (found or set()) | {(f["folder"], n) for f in state.bases.values() if f["folder"] in plain for n in f["files"]}
+
     def _paths(self, bucket: str, files: dict) -> list[str]:
         return [f"{self.base}/data/{files['folder']}/_b={bucket}/{n}" for n in files["files"]]
 
@@ -212,8 +244,8 @@ class VersionedTable:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
-    def read(self, version: int | None = None, keys: list[tuple] | None = None, where: Column | None = None) -> DataFrame | None:
-        """The rows of a version; None where there is no table. keys: a few, of which only the buckets are read."""
+    def read(self, version: int | None = None, keys: list[tuple] | None = None, where: Column | None = None, holding: dict[str, list[str]] | None = None) -> DataFrame | None:
+        """The rows of a version; None where there is no table. keys: a few, of which only the buckets are read. holding: by field, values of which a row has one; of files that are indexed by the fields only those that hold one are read, with the deltas of their buckets."""
         state = self.state(version)
         if state.schema is None:
             return None
@@ -222,19 +254,27 @@ class VersionedTable:
             kinds = StructType([f for k in state.key for f in StructType.fromJson(state.schema).fields if f.name == k])
             wanted = self.spark.createDataFrame([tuple(k) for k in keys], kinds)
             only = {str(r[0]) for r in wanted.select(self._bucket(state.key, state.buckets)).distinct().collect()}
-        rows = self.merged(state, only)
+        rows = self.merged(state, only, self._holding(state, holding) if holding else None)
+        for name, values in (holding or {}).items():
+            listed = rows.schema[name].dataType.simpleString().startswith("array")
+            rows = rows.filter(F.arrays_overlap(F.col(name), F.array(*map(F.lit, values))) if listed else F.col(name).isin(values))
         if keys is not None:
             rows = rows.join(F.broadcast(wanted.distinct()), state.key, "left_semi")  # as many as the caller has named
         return rows if where is None else rows.filter(where)
 
-    def merged(self, state: State, only: set[str] | None = None) -> DataFrame:
-        """The rows of state (of some buckets). Buckets without deltas are scanned and no more; in the others the last commit with a key wins."""
+    def merged(self, state: State, only: set[str] | None = None, files: set[tuple[str, str]] | None = None) -> DataFrame:
+        """The rows of state (of some buckets, and of the base of some files). Buckets without deltas are scanned and no more; in the others the last commit with a key wins."""
         there = [b for b in sorted({*state.bases, *state.deltas}) if only is None or b in only]
-        plain = self._scan(state, [p for b in there if b in state.bases and b not in state.deltas for p in self._paths(b, state.bases[b])], False)
+
+        def base(b: str) -> list[str]:
+            own = state.bases[b]
+            return self._paths(b, {**own, "files": [n for n in own["files"] if files is None or (own["folder"], n) in files]})
+
+        plain = self._scan(state, [p for b in there if b in state.bases and b not in state.deltas for p in base(b)], False)
         touched = [b for b in there if b in state.deltas]
         if not touched:
             return plain
-        old = self._scan(state, [p for b in touched if b in state.bases for p in self._paths(b, state.bases[b])], False)
+        old = self._scan(state, [p for b in touched if b in state.bases for p in base(b)], False)
         order = {d["folder"]: d["version"] for b in touched for d in state.deltas[b]}
         delta = self._scan(state, [p for b in touched for d in state.deltas[b] for p in self._paths(b, d)], True)
         seq = F.create_map(*(F.lit(x) for pair in order.items() for x in pair))[F.regexp_extract("_metadata.file_path", "/data/([0-9a-f]{32})/", 1)]
@@ -301,21 +341,21 @@ class VersionedTable:
         """Without the rows of keys."""
         return self.change(lambda _: (None, keys), depends="none")
 
-    def replace(self, rows: DataFrame, key: list[str] | None = None, buckets: int | None = None, made_from: int | None = None, expected: int | None = None) -> State:
-        """rows as the whole table. made_from: the version that they were made from; Conflict if another has come since. expected: the number of rows; ValueError if others are written, and nothing shows."""
+    def replace(self, rows: DataFrame, key: list[str] | None = None, buckets: int | None = None, made_from: int | None = None, expected: int | None = None, beside: Callable[[DataFrame], dict] | None = None) -> State:
+        """rows as the whole table. made_from: the version that they were made from; Conflict if another has come since. expected: the number of rows; ValueError if others are written, and nothing shows. beside: called with the written rows, for what is kept along with them; what it gives is the version's note."""
         state = self.state()
         first, own_key, n = self._ready(state, rows, key, buckets)
         if not first:
             first = {"schema": json.loads(rows.schema.json())}
         files = self._write(rows, own_key, n)
-        if expected is not None:
-            paths = [p for b, f in files.items() for p in self._paths(b, f)]
-            count = self.spark.read.parquet(*paths).count() if paths else 0
-            if count != expected:
-                self._drop({f["folder"] for f in files.values()})
-                raise ValueError(f"{self.base}: {count} rows are written, not {expected}")
+        written = self._scan(State(schema=first["schema"]), [p for b, f in files.items() for p in self._paths(b, f)], False)
+        count = written.count() if expected is not None else None
+        if count != expected:
+            self._drop({f["folder"] for f in files.values()})
+            raise ValueError(f"{self.base}: {count} rows are written, not {expected}")
+        note = beside(written) if beside else {}
         base = state if made_from is None else self.state(made_from) if made_from else State()
-        after = self._commit(base, {"kind": "replace", "files": files, **first}, set() if made_from is None else None)
+        after = self._commit(base, {"kind": "replace", "files": files, "note": note, **first}, set() if made_from is None else None)
         if after is None:
             self._drop({f["folder"] for f in files.values()})
             raise Conflict(f"{self.base}: version {base.version} isn't the newest")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plinth.operators import codes as Q
+from plinth.operators import postings as P
 from plinth.operators import ranking as K
 from plinth.operators import retrieval as R
 from plinth.plans.base import VAULT_SQL, Plans, literal, literal_sql, table, vault, written
@@ -33,26 +35,24 @@ def query_terms(spark, sf_dir):
     return R.term_weights(b).select(F.col("id").alias("qid"), "term", F.col("weight").alias("q"))
 
 
-_stored: dict[tuple[str, str], str] = {}
+_stored: dict[tuple, P.Index] = {}
 
 
-def stored(spark, sf_dir) -> str:
-    """Where the documents' postings lie, with the language as payload; written once a session and folder, as an index is."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _stored:
-        _stored[key] = R.store_postings(R.term_weights(texts(spark, sf_dir)), f"{S.scratch(spark)}/postings")
+def index(spark, sf_dir, anew: bool = False) -> P.Index:
+    """The documents' stored postings, with the language as payload; written once a session and state of the files, as an index is."""
+    source = table(spark, sf_dir, "documents")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    changed = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).getModificationTime()
+    key = (spark.sparkContext.applicationId, sf_dir, changed, tuple(sorted(source.inputFiles())))
+    if anew or key not in _stored:
+        _stored[key] = P.store(R.term_weights(texts(spark, sf_dir)), f"{S.scratch(spark)}/postings")
     return _stored[key]
 
 
-def postings(spark, sf_dir, where="true"):
-    return R.stored_postings(spark, stored(spark, sf_dir)).filter(where)
-
-
 @plans.add("index_postings", "select term, count(*) as texts, round(sum(weight), 6) as weight from (select doc_id, term, 1 + ln(count(*)) as weight from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents) group by doc_id, term) group by term")
 def indexed(spark, sf_dir):
     """The stored postings, written anew, by term."""
-    _stored.pop((spark.sparkContext.applicationId, sf_dir), None)
-    return postings(spark, sf_dir).groupBy("term").agg(F.count("*").alias("texts"), F.round(F.sum("weight"), 6).alias("weight"))
+    return index(spark, sf_dir, anew=True).postings().groupBy("term").agg(F.count("*").alias("texts"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
 _COS = "round(list_dot_product(v.embedding::double[], q.embedding::double[]) / (sqrt(list_dot_product(v.embedding::double[], v.embedding::double[])) * sqrt(list_dot_product(q.embedding::double[], q.embedding::double[]))), 6)"
@@ -73,7 +73,7 @@ def sparse_sql(limit: int, where: str = "true") -> str:
 
 @plans.add("retrieve_sparse_topk", f"select qid, id, score, rank from {sparse_sql(10)}")
 def sparse_topk(spark, sf_dir):
-    return R.sparse_leg(postings(spark, sf_dir), query_terms(spark, sf_dir), 10, 6)
+    return index(spark, sf_dir).top(query_terms(spark, sf_dir), 10, 6)
 
 
 @plans.add("i06_dense_knn", f"select qid, id, score, rank from {dense_sql(20)}")
@@ -81,9 +81,16 @@ def dense(spark, sf_dir):
     return R.dense_leg(vectors(spark, sf_dir), query_vectors(spark, sf_dir), 20, 6)
 
 
+@plans.add("a24_i06_coded_knn")
+def coded(spark, sf_dir):
+    """i06's neighbours by an index of codes: not all of them (tests measure how many), with i06's own scores."""
+    made = Q.build(vectors(spark, sf_dir).select("id", "vector"), f"{S.scratch(spark)}/codes")
+    return made.search(vectors(spark, sf_dir).select("id", "vector"), query_vectors(spark, sf_dir), 20, 6)
+
+
 @plans.add("i07_sparse_dot_filtered", f"select qid, id, score, rank from {sparse_sql(20, chr(39) + 'fr' + chr(39) + ' = lang')}")
 def sparse(spark, sf_dir):
-    return R.sparse_leg(postings(spark, sf_dir, "lang = 'fr'"), query_terms(spark, sf_dir), 20, 6)
+    return index(spark, sf_dir).top(query_terms(spark, sf_dir), 20, 6, where=F.col("lang") == "fr")
 
 
 def fused_sql(limit: int, dense_where: str = "true", sparse_where: str = "true") -> str:
@@ -93,12 +100,12 @@ def fused_sql(limit: int, dense_where: str = "true", sparse_where: str = "true")
 
 @plans.add("c01_d01_i08_hybrid_rrf", f"select qid, id, score, rank from {fused_sql(10)}")
 def fused(spark, sf_dir):
-    return R.hybrid(vectors(spark, sf_dir), query_vectors(spark, sf_dir), postings(spark, sf_dir), query_terms(spark, sf_dir), 10, places=6)
+    return R.hybrid(vectors(spark, sf_dir), query_vectors(spark, sf_dir), index(spark, sf_dir), query_terms(spark, sf_dir), 10, places=6)
 
 
 @plans.add("b02_i12_i13_filtered_hybrid", f"select qid, id, score, rank from {fused_sql(8, 'v.label in (1, 3)', 'doc_id in (select vec_id from embeddings where label in (1, 3))')}")
 def filtered(spark, sf_dir):
-    return R.hybrid(vectors(spark, sf_dir), query_vectors(spark, sf_dir), postings(spark, sf_dir), query_terms(spark, sf_dir), 8, keep=F.col("label").isin(1, 3), places=6)
+    return R.hybrid(vectors(spark, sf_dir), query_vectors(spark, sf_dir), index(spark, sf_dir), query_terms(spark, sf_dir), 8, keep=F.col("label").isin(1, 3), places=6)
 
 
 @plans.add("d01_single_leg", f"select qid, id, score, rank from {dense_sql(5, 'v.label = 2')}")
@@ -137,9 +144,20 @@ def rows_of_points(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source").join(leg, "id").select("qid", "id", "source", "score")
 
 
-@plans.add("f08_f09_windows", literal_sql(["k", "window_", "candidates", "code"], [(5, 20, 32, 50), (10, 40, 60, 100), (3, 20, 32, 50), (20, 80, 80, 200)]))
+@plans.add("f08_f09_windows", "select distinct k, greatest(4 * k, 20) as window_, greatest(4 * k, least(64, greatest(4 * k, 6 * k, 32)), 20) as candidates, greatest(10 * k, 50) as code from (select l_linenumber * l_quantity::int as k from lineitem)")
 def windows(spark, sf_dir):
-    return literal(spark, "k int, window_ int, candidates int, code int", [(k, R.window_size(k, True), R.candidate_limit(k, R.window_size(k, True)) if k >= 10 else R.candidate_limit(k, 2 * k), R.window_size(k, True, True, True)) for k in (5, 10, 3, 20)])
+    k = F.col("k")
+    sizes = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") * F.col("l_quantity").cast("int")).alias("k")).distinct()
+    return sizes.select("k", R.window_size(k, True).alias("window_"), R.candidate_limit(k, R.window_size(k, True)).alias("candidates"), R.window_size(k, True, True, True).alias("code"))
+
+
+@plans.add("f01_growing_window", f"""select qid, min(w) as taken from (select qid, w, there, count(*) filter (where lang = 'fr' and rank <= w) as found from (select *, count(*) over (partition by qid) as there from (select l.*, d.lang from {sparse_sql(200)} l join documents d on d.doc_id = l.id)),
+  lateral (select unnest([10, least(20, greatest(there, 10)), least(40, greatest(there, 10)), least(80, greatest(there, 10)), least(160, greatest(there, 10)), least(320, greatest(there, 10)), least(500, greatest(there, 10))]) as w) group by qid, w, there) where found >= 5 or w >= there group by qid""")
+def growing(spark, sf_dir):
+    """How far each item's window grows until five French texts are in it."""
+    leg = index(spark, sf_dir).top(query_terms(spark, sf_dir), 200, 6)
+    page = texts(spark, sf_dir).select("id", "lang").join(leg, "id")
+    return R.grown_windows(page.select("qid", "rank", (F.col("lang") == "fr").alias("fits")), 10, 5)
 
 
 def vault_page(spark, sf_dir, limit: int = 40):
@@ -152,7 +170,7 @@ def vault_page(spark, sf_dir, limit: int = 40):
 
 
 def sparse_leg_of(spark, sf_dir, limit):
-    return R.sparse_leg(postings(spark, sf_dir), query_terms(spark, sf_dir), limit, 6)
+    return index(spark, sf_dir).top(query_terms(spark, sf_dir), limit, 6)
 
 
 PAGE_SQL = f"""(select l.qid, v.id, v.id // 2 as doc, round(l.score / 100, 4) as score, l.rank as pos, v.doc_type, v.status, v.path, v.tags, substr(v.content, 1, 20) as snippet,

@@ -2,7 +2,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from plinth.api import Engine, FilterError, validated
-from plinth.operators import catalog as C
 from plinth.operators import schema as M
 from plinth.sources import preprocess as X
 from plinth.streaming import watch as W
@@ -48,12 +47,34 @@ def test_feedback_passages_and_versions(spark, tmp_path):
     after = e._dense_query("vault", "red").first()["query"]
     e.feedback.clear()
     assert set(before) >= {"plan/b#c0", "plan/c#c0"} and list(after) != list(e._dense_query("vault", "red").first()["query"])
-    token = C.served_token(spark, e._at("vault"))
+    version = e.versions("vault").state().version
     with pytest.raises(ValueError):
-        C.publish(e.table("vault"), e._at("vault"), "bad", expected=-1)
-    assert C.served_token(spark, e._at("vault")) == token
+        e.versions("vault").replace(e.table("vault"), expected=-1)
+    assert e.versions("vault").state().version == version
     e.index(records.limit(0), changed=records.limit(1).select(F.col("key").alias("path")))
-    assert C.served_token(spark, e._at("vault")) != token and e.search_vault("red green") is not None
+    assert e.versions("vault").state().version == version + 1 and e.search_vault("red green") is not None
+    for _ in range(3):
+        e.index(records)
+    names = {p.name for p in (tmp_path / "tables" / "vault").glob("p_*")}
+    assert names == {e.versions("vault").state(v).note["postings"] for v in e.versions("vault").versions()[-2:]}
+
+
+def test_two_indexers_at_once_lose_nothing(spark, tmp_path):
+    """One indexes while another has read the table already: its rows are made anew."""
+    e = Engine(spark, f"file://{tmp_path}/tables")
+    record = lambda name: spark.createDataFrame([(name, f"---\ntype: plan\n---\n# {name}\nbody of {name}")], "key string, content string")
+    e.index(record("plan/one"))
+    current, other = e._current, Engine(spark, f"file://{tmp_path}/tables")
+
+    def late(*given):
+        e._current = current
+        other.index(record("plan/two"), changed=spark.createDataFrame([("plan/two",)], "path string"))
+        return current(*given)
+
+    e._current = late
+    e.index(record("plan/three"), changed=spark.createDataFrame([("plan/three",)], "path string"))
+    assert {r["doc"] for r in e.table("vault").collect()} == {"plan/one", "plan/two", "plan/three"}
+    assert {r["id"] for r in e.search_vault("body", 5).collect()} == {"plan/one", "plan/two", "plan/three"}
 
 
 def test_filters():

@@ -169,3 +169,23 @@ def test_a_batch_that_runs_again_is_there_once(spark, sf_dir, tmp_path):
         f.unlink(missing_ok=True)
     again = W.upsert_stream(rows_of(), base, state, ["user_id"], [F.desc("event_id")])
     assert sorted(map(tuple, again.read().collect())) == want and again.versions() == versions
+
+
+def test_filters_read_the_files_that_hold_them(spark, tmp_path):
+    docs = spark.range(4000).select("id", F.concat(F.lit("p"), F.floor(F.col("id") / 20).cast("string")).alias("path"), F.array(F.concat(F.lit("t"), F.floor(F.col("id") / 40).cast("string")), F.lit("all")).alias("tags"))
+    t = V.VersionedTable(spark, f"file://{tmp_path}/i", ["path", "tags"])
+    t.upsert(docs, ["path", "id"], 64)
+    read = lambda df: {r[0] for r in df.select(F.input_file_name()).distinct().collect()}
+    one = t.read(holding={"path": ["p7"]})
+    assert sorted(r["id"] for r in one.collect()) == list(range(140, 160))
+    assert len(one.inputFiles()) < 25 < len(t.read().inputFiles()) == 64 and read(one) <= set(one.inputFiles())
+    both = t.read(holding={"path": ["p7", "p100"], "tags": ["t3"]})
+    assert sorted(r["id"] for r in both.collect()) == list(range(140, 160))
+    assert t.read(holding={"path": ["none"]}).collect() == []
+    t.upsert(docs.filter("id in (141, 999)").withColumn("tags", F.array(F.lit("t3"))))
+    t.upsert(docs.filter("id = 142").withColumn("tags", F.lit(None).cast("array<string>")))
+    assert sorted(r["id"] for r in t.read(holding={"tags": ["t3"]}).collect()) == sorted({*range(120, 160), 999} - {142})
+    t.compact(most_deltas=1)
+    assert sorted(r["id"] for r in t.read(holding={"tags": ["t3"]}).collect()) == sorted({*range(120, 160), 999} - {142})
+    V.VersionedTable(spark, t.base).upsert(docs.filter("id = 0").withColumn("tags", F.array(F.lit("t3"))))  # a writer without indexes
+    assert 0 in {r["id"] for r in t.read(holding={"tags": ["t3"]}).collect()}
