@@ -172,3 +172,15 @@ def resolve_noise(hide: tuple[str, ...] = HIDDEN_DOMAINS, demote: tuple[str, ...
     back = known(include, noise)
     hidden = (frozenset(hide) | known(exclude, noise)) - back
     return {"hide": hidden, "only": known(only, DOMAINS), "demote": frozenset(demote) - back - hidden}
+
+
+def noise_sets(exclude: Column, only: Column, include: Column) -> dict[str, Column]:
+    """resolve_noise() of array columns, row by row."""
+
+    def known(names: Column, allowed: tuple[str, ...]) -> Column:
+        return F.array_intersect(F.transform(names, lambda n: F.lower(F.trim(n))), F.array(*map(F.lit, allowed)))
+
+    noise = DOMAINS[1:]
+    back = known(include, noise)
+    hide = F.array_except(F.array_union(F.array(*map(F.lit, HIDDEN_DOMAINS)), known(exclude, noise)), back)
+    return {"hide": hide, "only": known(only, DOMAINS), "demote": F.array_except(F.array_except(F.array(*map(F.lit, DEMOTED_DOMAINS)), back), hide)}
