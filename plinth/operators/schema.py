@@ -56,6 +56,29 @@ def epoch(**settings) -> str:
     return hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()
 
 
+_STAMP = "version int, width int, vector string, schema string"
+
+
+def stamp_fits(stamp: str) -> Column:
+    """compatible() of a column of stamps as JSON."""
+    s = F.from_json(stamp, _STAMP)
+    return F.when(F.col(stamp).isNull(), "unstamped").when(s["version"] > VERSION, "newer").when(~s["width"].eqNullSafe(F.lit(WIDTH)), "width").when(~s["vector"].eqNullSafe(F.lit(VECTOR)), "vector").otherwise("ok")
+
+
+def stamp_verdict(stamp: str, expected: dict, live_width: Column) -> Column:
+    """conformance() of a column of stamps as JSON, and of the width in use."""
+    s = F.from_json(stamp, _STAMP)
+    same = live_width == expected["width"]
+    for name, value in expected.items():
+        same = same & s[name].eqNullSafe(F.lit(value))
+    return F.when(F.col(stamp).isNull() | live_width.isNull(), "unverifiable").when(same, "conforming").otherwise("nonconforming")
+
+
+def kind_fingerprint(kind: Column, budget: Column) -> Column:
+    """Digest of the settings that decide a kind's chunks; the budget is one of documents alone."""
+    return F.sha2(F.when(kind == "document", F.to_json(F.struct(budget.alias("budget"), kind.alias("kind")))).otherwise(F.to_json(F.struct(kind.alias("kind")))), 256)
+
+
 def chunk_bytes(columns: list[str], width: int, sparse: str | None = None) -> Column:
     """What a chunk weighs: its texts, four bytes a dense component, sixteen a sparse entry."""
     total = F.lit(4 * width).cast("long")

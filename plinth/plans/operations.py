@@ -101,10 +101,16 @@ def cached(spark, sf_dir):
     return S.cached_outputs(s.select("key", F.lit("v1").alias("identity")), cache).select("key", "output")
 
 
-@plans.add("a52_split_batch_output", literal_sql(["batch", "path", "text", "failed"], [(1, "a", "A2", False), (1, "b", "B", False), (1, "c", None, True), (2, "d", None, True)]))
+@plans.add("a52_split_batch_output", "select conv_id as batch, turn::varchar as path, case when conv_id % 5 <> 0 and turn % 3 <> 2 then role end as text, conv_id % 5 = 0 or turn % 3 = 2 as failed from conversations where role is not null group by all")
 def batch_output(spark, sf_dir):
-    out = literal(spark, "batch int, json string", [(1, '[{"path":"a","text":"A"},{"path":"x","text":"X"},{"path":"b","text":"B"},{"path":"a","text":"A2"},{"path":"c"}]'), (2, "not json")])
-    return S.split_batch_output(out, literal(spark, "batch int, path string", [(1, "a"), (1, "b"), (1, "c"), (2, "d")]))
+    """Conversations as batches: one in five is unreadable, each third turn has no text, and each first one comes twice, with an element for no path."""
+    c = table(spark, sf_dir, "conversations").filter("role is not null").select("conv_id", "turn", "role").distinct()
+    element = F.struct(F.col("turn").cast("string").alias("path"), F.when(F.col("turn") % 3 != 2, F.col("role")).alias("text"))
+    made = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(element)).alias("e"))
+    first = F.struct(F.col("e")[0]["path"].alias("path"), F.lit("an earlier text").alias("text"))
+    other = F.struct(F.lit("no such path").alias("path"), F.lit("x").alias("text"))
+    out = made.select(F.col("conv_id").alias("batch"), F.when(F.col("conv_id") % 5 == 0, "not json").otherwise(F.to_json(F.concat(F.array(first, other), "e"))).alias("json"))
+    return S.split_batch_output(out, c.select(F.col("conv_id").alias("batch"), F.col("turn").cast("string").alias("path")))
 
 
 @plans.add("a03_vault_document", "select doc_id, source as feature, 'Title ' || doc_id as title, ['#plan', '#' || source] as tags, case when doc_id % 2 = 0 then '2024-01-' || lpad((doc_id % 28 + 1)::varchar, 2, '0') end as date from documents")
@@ -117,17 +123,19 @@ def records(spark, sf_dir):
     return r.select("doc_id", T.feature(tags).alias("feature"), T.title(F.col("body")).alias("title"), tags.alias("tags"), S.front_field(F.col("front"), "date").alias("date"))
 
 
-@plans.add("a01_a02_read_records", literal_sql(["key", "lines"], [("plan/one", 2), ("two", 1)]))
+@plans.add("a01_a02_read_records", "select 'item_id=' || item_id || '/record' as key, sha256(text || chr(10)) as digest from benchmark where text is not null")
 def read_back(spark, sf_dir):
+    """Items as Markdown files in folders of their own, among files that are no records."""
     top = f"{S.scratch(spark)}/records"
+    table(spark, sf_dir, "benchmark").filter("text is not null").select("item_id", F.replace("text", F.lit("\r"), F.lit("")).alias("value")).write.partitionBy("item_id").text(top)
     jvm = spark.sparkContext._jvm
-    for name, text in (("plan/one.md", "# One\nbody"), ("two.md", "# Two"), ("skip.txt", "x")):
-        where = jvm.org.apache.hadoop.fs.Path(f"{top}/{name}")
-        out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
-        out.write(bytearray(text.encode()))
-        out.close()
-    rows = [(r["key"], r["content"]) for r in S.read_records(spark, top).collect()]
-    return literal(spark, "key string, content string", rows).select("key", F.size(F.split("content", "\n")).alias("lines"))
+    where = jvm.org.apache.hadoop.fs.Path(top)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(where):
+        for f in fs.listStatus(folder.getPath()) if folder.isDirectory() else []:
+            if f.getPath().getName().startswith("part-"):
+                fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(folder.getPath(), "record.md"))
+    return S.read_records(spark, top).select("key", F.sha2("content", 256).alias("digest"))
 
 
 # Logs: events as lines
@@ -282,9 +290,10 @@ def generations(spark, sf_dir):
     return C.without_keys(there.filter(F.col("name").rlike("_g[0-9A-Za-z]+$")), used, "name")
 
 
-@plans.add("d18_readiness", literal_sql(["usable", "freshness", "authoritative"], [(True, "unverifiable", False)]))
+@plans.add("d18_readiness", "select count(*) filter (where value > 20) > 0 as usable, case when bool_or(event_id % 1000 = 7) then 'unverifiable' when bool_or(value > 50) then 'updating' else 'current' end as freshness, bool_and(value > 20 and value <= 50 and event_id % 1000 <> 7) as authoritative from events")
 def ready(spark, sf_dir):
-    return G.readiness(literal(spark, "usable boolean, freshness string", [(True, "current"), (False, "updating"), (True, "unverifiable")]))
+    e = table(spark, sf_dir, "events")
+    return G.readiness(e.select((F.col("value") > 20).alias("usable"), F.when(F.col("event_id") % 1000 == 7, "unverifiable").when(F.col("value") > 50, "updating").otherwise("current").alias("freshness")))
 
 
 @plans.add("d12_d19_claims", "select s_suppkey, case when s_suppkey % 4 = 0 then 'unverifiable' when s_suppkey % 10 >= 5 then 'consistent' else 'shrunken' end as verdict, case when s_suppkey % 4 <> 0 and s_suppkey % 10 < 5 then 5 - s_suppkey % 10 end as short from supplier")

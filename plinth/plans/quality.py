@@ -57,35 +57,39 @@ def grades(spark, sf_dir):
     return v.select("id", *(V.grade_for(i, F.col("doc_type"), F.col("status"), F.col("id") % 4 != 0).alias(i) for i in V.GRADES))
 
 
-@plans.add("m09_needle_probe", "select count(*) as needles, count(*) as found, 1.0::double as precision from documents where doc_id < 24")
+@plans.add("m09_needle_probe", "select count(*) as needles, count(*) as found, 1.0::double as precision from documents")
 def needles(spark, sf_dir):
-    """Unique needles put in texts are found first by their own query."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") < 24, F.concat_ws(" ", "text", F.concat(F.lit("needle"), F.col("doc_id").cast("string")))).otherwise(F.col("text")).alias("text"))
+    """A needle of its own is put in each text, and each is found first by its own query."""
+    needle = F.concat(F.lit("needle"), F.col("doc_id").cast("string"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(" ", "text", needle).alias("text"))
     from plinth.operators import retrieval as O
 
-    q = d.filter("id < 24").select(F.col("id").alias("qid"), F.concat(F.lit("needle"), F.col("id").cast("string")).alias("term"), F.lit(1.0).alias("q"))
+    q = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), needle.alias("term"), F.lit(1.0).alias("q"))
     top = O.sparse_leg(O.term_weights(d, wanted=q), q, 5)
     return q.join(top, "qid", "left").groupBy("qid").agg(F.max(F.coalesce(F.col("id") == F.col("qid"), F.lit(False))).alias("hit")).agg(F.count("*").alias("needles"), F.count_if("hit").alias("found"), F.avg(F.col("hit").cast("double")).alias("precision"))
 
 
-@plans.add("h01_h02_h04_split_text", "select doc_id, length(text) as chars, true as whole from documents")
-def split(spark, sf_dir):
-    """Chunks without overlap are parts of the text, in order, and hold all its words."""
+def _joined_sql(text: str, sep: str) -> str:
+    """The parts of text between sep, from the left joined while they fit into 512 characters."""
+    return f"list_reduce(list_transform(string_split({text}, {sep}), lambda x: [x]), lambda a, x: case when length(a[-1]) + length({sep}) + length(x[1]) <= 512 then list_append(list_slice(a, 1, len(a) - 1), a[-1] || {sep} || x[1]) else list_append(a, {sep} || x[1]) end)"
+
 
-    def run(batches):
-        import pyarrow as pa
+def _split_sql() -> str:
+    out = "select doc_id, [0::bigint] as place, text as piece from documents where text <> ''"
+    for depth, sep in enumerate(("chr(10) || chr(10)", "chr(10)", "' '")):
+        parts = _joined_sql("piece", sep)
+        out = f"select doc_id, list_append(place, i) as place, parts[i] as piece from (select doc_id, place, parts, unnest(range(1, len(parts) + 1)) as i from (select doc_id, place, case when length(piece) <= 512 then [piece] else {parts} end as parts from ({out}) d{depth}))"
+    return f"select doc_id, list_append(place, i) as place, substr(piece, i * 512 + 1, 512) as piece from (select *, unnest(range(0, greatest((length(piece) + 511) // 512, 1))) as i from ({out}))"
 
-        for b in batches:
-            chars, whole = [], []
-            for text in b.column(1).to_pylist():
-                pieces = K.split_text(text or "", 512)
-                at = K.offsets_of(text or "", pieces)
-                gaps = "".join((text or "")[x + len(p) : y] for x, p, y in zip(at, pieces, [*at[1:], len(text or "")], strict=bool(text)))
-                chars.append(len(text or ""))
-                whole.append(all(len(p) <= 512 for p in pieces) and not gaps.strip())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(chars, pa.int64()), pa.array(whole)], names=["doc_id", "chars", "whole"])
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, chars long, whole boolean")
+@plans.add("h01_h02_h04_split_text", f"select doc_id, (row_number() over (partition by doc_id order by place) - 1)::int as ordinal, length(piece)::int as chars, md5(piece) as digest from ({_split_sql()})")
+def split(spark, sf_dir):
+    """The chunks of every text, by the table function."""
+    from plinth.functions import tables
+
+    tables.register(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("plinth_split_documents")
+    return spark.sql("select d.doc_id, c.ordinal, length(c.content) as chars, md5(c.content) as digest from plinth_split_documents d, lateral split_text(d.text, 512, 'text') c")
 
 
 @plans.add("h10_h11_h12_h13_c11_c12_c13_records", "select doc_id as id, true as ordered, true as bounded from documents")
@@ -116,12 +120,28 @@ def line_of(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(F.length("text") > 200).select("doc_id", line_at(F.col("text"), F.lit(200)).cast("long").alias("line"))
 
 
-@plans.add("e12_e13_greedy_segments")
+_SEGMENTS_SQL = """with recursive d as (select source, doc_id, strlen(coalesce(text, ''))::bigint as bytes, row_number() over (partition by source order by doc_id) as at from documents),
+  s as (select source, doc_id, bytes, at, 1 as n, bytes as total, 0 as segment from d where at = 1 union all
+    select d.source, d.doc_id, d.bytes, d.at, case when s.n = 8 or s.total + d.bytes > 20000 then 1 else s.n + 1 end, case when s.n = 8 or s.total + d.bytes > 20000 then d.bytes else s.total + d.bytes end, case when s.n = 8 or s.total + d.bytes > 20000 then s.segment + 1 else s.segment end
+    from s join d on d.source = s.source and d.at = s.at + 1)"""
+
+
+@plans.add("e12_e13_greedy_segments", f"{_SEGMENTS_SQL} select source, doc_id, bytes, segment, segment = max(segment) over (partition by source) as last from s")
 def segments(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("bytes"))
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
     return K.packed(rows, "source", "doc_id", "bytes", 8, 20_000)
 
 
+@plans.add("e12_table_function", f"{_SEGMENTS_SQL} select source as grp, doc_id::varchar as item, bytes as size, segment from s")
+def segments_by_sql(spark, sf_dir):
+    """The same by a table function over a partitioned and ordered table."""
+    from plinth.functions import tables
+
+    tables.register(spark)
+    table(spark, sf_dir, "documents").select("source", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"), "doc_id").createOrReplaceTempView("plinth_files")
+    return spark.sql("select grp, item, size, segment from greedy_segments(8, 20000, table(plinth_files) partition by source order by doc_id)")
+
+
 @plans.add("i01_i03_i05_k06_encode")
 def encoded(spark, sf_dir):
     e = E.encode_table(table(spark, sf_dir, "benchmark").select("item_id", "text"), "text")

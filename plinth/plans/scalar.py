@@ -105,10 +105,19 @@ def hard_domains(spark, sf_dir):
     return d.groupBy("domain").agg(F.count("*").alias("n"), F.count_if(gone).alias("dropped"))
 
 
-@plans.add("b10_resolve_noise_policy", literal_sql(["case_no", "hide", "only_", "demote"], [(0, "generated,worktree", "", "docs,locale,tests,vendored"), (1, "docs,generated", "prod,tests", "locale,tests,vendored"), (2, "generated,tests,worktree", "", "locale,vendored")]))
+_SET = "list_sort(list_filter(['docs', 'generated', 'locale', 'prod', 'tests', 'vendored', 'worktree'], lambda x: {}))"
+_EXCLUDED, _ONLY, _BACK = "(event_id % 2 = 0 and x = 'docs' or event_id % 3 = 0 and x = 'tests')", "(event_id % 5 = 0 and x in ('prod', 'tests'))", "(event_id % 7 = 0 and x in ('worktree', 'docs'))"
+_HIDE = f"(x in ('worktree', 'generated') or {_EXCLUDED}) and not {_BACK}"
+_DEMOTE = f"x in ('tests', 'docs', 'locale', 'vendored') and not {_BACK} and not ({_HIDE})"
+
+
+@plans.add("b10_resolve_noise_policy", f"select event_id, {_SET.format(_HIDE)} as hide, {_SET.format(_ONLY)} as only_, {_SET.format(_DEMOTE)} as demote from events")
 def noise_policy(spark, sf_dir):
-    cases = [P.resolve_noise(), P.resolve_noise(exclude=["docs"], include=["worktree"], only=["prod", "TESTS", "x"]), P.resolve_noise(exclude=["tests", "prod"], include=["docs"])]
-    return literal(spark, "case_no int, hide string, only_ string, demote string", [(i, *(",".join(sorted(c[k])) for k in ("hide", "only", "demote"))) for i, c in enumerate(cases)])
+    """Each event asks for a policy of its own; unknown names and prod can't be hidden."""
+    i = F.col("event_id")
+    some = lambda on, *names: F.when(on, F.array(*map(F.lit, names))).otherwise(F.array().cast("array<string>"))
+    policy = P.noise_sets(F.concat(some(i % 2 == 0, "docs", "prod"), some(i % 3 == 0, " Tests")), some(i % 5 == 0, "prod", "TESTS", "x"), some(i % 7 == 0, "worktree", "docs"))
+    return table(spark, sf_dir, "events").select("event_id", *(F.sort_array(policy[k]).alias("only_" if k == "only" else k) for k in ("hide", "only", "demote")))
 
 
 def _start(x: str) -> str:
@@ -141,12 +150,15 @@ def prefixes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("source").distinct().select("source", P.root_prefix(F.concat(F.lit("\\data//"), F.col("source"), F.lit("/"))).alias("prefix"))
 
 
-_ODD = ["a/b.pdf", "./a//b.pdf", "a\\b\\c.docx", "/etc/x", "../x", "a/../b", "C:\\x", "", "  ", ".", "a/./b/", "ok/file.txt"]
+_ODD = ["a/{}.pdf", "./a//{}.pdf", "a\\{}\\c.docx", "/etc/{}", "../{}", "a/../{}", "C:\\{}", "", "  ", ".", "a/./{}/", "ok/{}.txt"]
+_PLAIN = ["a/{}.pdf", "a/{}.pdf", "a/{}/c.docx", None, None, None, None, None, None, None, "a/{}", "ok/{}.txt"]
 
 
-@plans.add("h27_source_path", literal_sql(["path", "plain"], [("a/b.pdf", "a/b.pdf"), ("./a//b.pdf", "a/b.pdf"), ("a\\b\\c.docx", "a/b/c.docx"), ("/etc/x", None), ("../x", None), ("a/../b", None), ("C:\\x", None), ("", None), ("  ", None), (".", None), ("a/./b/", "a/b"), ("ok/file.txt", "ok/file.txt")]))
+@plans.add("h27_source_path", f"select doc_id, replace([{', '.join('NULL' if p is None else repr(p) for p in _PLAIN)}][(doc_id % 12 + 1)::int], '{{}}', doc_id::varchar) as plain from documents")
 def source_paths(spark, sf_dir):
-    return literal(spark, "path string", [(p,) for p in _ODD]).select("path", P.checked_source_path(F.col("path")).alias("plain"))
+    """Documents under paths with doubled, other and last slashes, dots, drives and ways up."""
+    path = F.replace(F.element_at(F.array(*map(F.lit, _ODD)), (F.col("doc_id") % 12 + 1).cast("int")), F.lit("{}"), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", P.checked_source_path(path).alias("plain"))
 
 
 @plans.add("b24_join_doc_path", f"select id, case when id % 2 = 0 then '.vault/' || path else '.vault/' || path end as path from {VAULT_SQL}")

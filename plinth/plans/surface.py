@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -21,11 +23,13 @@ plans = Plans()
 QUERIES, SQL = plans.queries, plans.sql
 
 
-@plans.add("a12_extra_ignores", literal_sql(["path", "ignored"], [("a/x.tmp", True), ("a/keep.tmp", False), ("drafts/b.md", True), ("docs/drafts/b.md", True), ("src/a.py", False), (".git/config", True)]))
+@plans.add("a12_extra_ignores", "select doc_id, doc_id % 6 in (0, 2, 3, 5) as ignored from documents")
 def ignores(spark, sf_dir):
+    """Own rules come after those of the folders, for the documents as files of several places."""
     rules = S.ignore_rules([("", "*.tmp"), ("a", "!keep.tmp")], ["drafts/"])
-    paths = [(p,) for p in ("a/x.tmp", "a/keep.tmp", "drafts/b.md", "docs/drafts/b.md", "src/a.py", ".git/config")]
-    return literal(spark, "path string", paths).select("path", S.is_ignored(F.col("path"), rules).alias("ignored"))
+    i = F.col("doc_id").cast("string")
+    place = F.element_at(F.array(F.concat(F.lit("a/"), i, F.lit(".tmp")), F.concat(F.lit("a/"), i, F.lit("/keep.tmp")), F.concat(F.lit("drafts/"), i, F.lit(".md")), F.concat("source", F.lit("/drafts/"), i), F.concat(F.lit("src/"), i, F.lit(".py")), F.concat(F.lit(".git/"), i)), (F.col("doc_id") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.is_ignored(place, rules).alias("ignored"))
 
 
 @plans.add("a14_content_hash", "select doc_id, sha256(text) as digest, strlen(text) > 10485760 as over from documents")
@@ -42,7 +46,7 @@ def document_chunks(spark, sf_dir):
 
 def _code(spark, sf_dir):
     """Documents as source files: every third is Python, every ninth of these broken."""
-    body = F.concat(F.lit("import os\n\n\ndef f"), F.col("doc_id").cast("string"), F.lit("(x):\n    return '"), F.regexp_replace(F.substring("text", 1, 900), r"[\n'\\]", " "), F.lit("'\n\n\nclass A:\n    def m(self):\n        return 1\n"), F.when(F.col("doc_id") % 9 == 0, "def (:\n").otherwise(""))
+    body = F.concat(F.lit("import os\n\n\ndef f"), F.col("doc_id").cast("string"), F.lit("(x):\n    return '"), F.regexp_replace("text", r"[\n'\\]", " "), F.lit("'\n\n\nclass A:\n    def m(self):\n        return 1\n"), F.when(F.col("doc_id") % 9 == 0, "def (:\n").otherwise(""))
     return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, body).otherwise(F.col("text")).alias("content"), F.when(F.col("doc_id") % 3 == 0, "python").otherwise("text").alias("language"))
 
 
@@ -69,11 +73,11 @@ def head_units(path, content):
 RULES = [X.Rule("*", "upper", entry_point="plinth.plans.surface:head_units"), X.Rule("*", "cat", command=("cat",), on_error="passthrough")]
 
 
-@plans.add("a18_a19_k01_k02_k03_k04_k05_extract", "select doc_id::varchar as path, 'ok' as state, 0 as ordinal, length(substr(text, 1, 40)) as n from documents where doc_id % 10 = 0 union all select doc_id::varchar, 'ok', 1, 3 from documents where doc_id % 10 = 0 union all select doc_id::varchar, 'passthrough', 0, null from documents where doc_id % 100 = 1")
+@plans.add("a18_a19_k01_k02_k03_k04_k05_extract", "select doc_id::varchar as path, 'ok' as state, 0 as ordinal, length(substr(coalesce(text, ''), 1, 40)) as n from documents where doc_id % 100 <> 1 union all select doc_id::varchar, 'ok', 1, 3 from documents where doc_id % 100 <> 1 union all select doc_id::varchar, 'passthrough', 0, null from documents where doc_id % 100 = 1")
 def extracted(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    files = d.filter("doc_id % 10 = 0").withColumn("rule", F.lit("upper")).unionByName(d.filter("doc_id % 100 = 1").withColumn("rule", F.lit("cat")))
-    out = X.extract(files.select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"), "rule"), RULES, {X.policy_digest(RULES)})
+    """All documents by the function, but for those that go to a program of their own, which costs a process each."""
+    d = table(spark, sf_dir, "documents").withColumn("rule", F.when(F.col("doc_id") % 100 == 1, "cat").otherwise("upper"))
+    out = X.extract(d.select(F.col("doc_id").cast("string").alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"), "rule"), RULES, {X.policy_digest(RULES)})
     return out.select("path", "state", "ordinal", F.when(F.col("state") == "ok", F.length("text")).alias("n"))
 
 
@@ -104,18 +108,15 @@ def stored_filters(spark, sf_dir):
     return v.filter((F.col("lang") == (explicit.get("language") or q["language"])) & (F.col("source") == explicit["source"]) & P.matches_any(F.col("path"), [q["path_scope"]]) & F.col("doc_type").isin(*q["doc_type"].split(","))).select("id")
 
 
-@plans.add("b19_validate_filters", literal_sql(["source", "filter_", "fits"], [("vault", "doc_type=plan", True), ("vault", "language=py", False), ("vault", "doc_type=nope", False), ("codebase", "prefer=tests", True), ("codebase", "prefer=x", False), ("codebase", "only_domain=prod,docs", True), ("codebase", "only_domain=what", False), ("document", "title=a", True), ("document", "status=a", False)]))
+@plans.add("b19_validate_filters", f"""select id, case id % 7 when 0 then true when 1 then false when 2 then doc_type in ('plan', 'adr', 'exec', 'audit', 'reference', 'research') when 3 then lang in ('prod', 'tests', 'docs') when 4 then true when 5 then false else true end as fits from {VAULT_SQL}""")
 def filters(spark, sf_dir):
-    from plinth.api import FilterError, validated
+    """Filters with values from the records: a kind, a language where none is taken, a preference that is none, domains, a title, a status."""
+    from plinth.api import filter_fits
 
-    out = []
-    for source, text in (("vault", "doc_type=plan"), ("vault", "language=py"), ("vault", "doc_type=nope"), ("codebase", "prefer=tests"), ("codebase", "prefer=x"), ("codebase", "only_domain=prod,docs"), ("codebase", "only_domain=what"), ("document", "title=a"), ("document", "status=a")):
-        try:
-            validated(source, dict([text.split("=")]))
-            out.append((source, text, True))
-        except FilterError:
-            out.append((source, text, False))
-    return literal(spark, "source string, filter_ string, fits boolean", out)
+    i = F.col("id") % 7
+    cases = [("vault", "tag", F.col("source")), ("vault", "language", F.col("lang")), ("vault", "doc_type", F.concat_ws(",", "doc_type", F.lit("plan"))), ("codebase", "prefer", F.col("lang")), ("codebase", "only_domain", F.lit("prod,docs")), ("codebase", "only_domain", F.col("source")), ("document", "title", F.col("source"))]
+    pick = lambda k: F.element_at(F.array(*(c if isinstance(c, F.Column) else F.lit(c) for c in (x[k] for x in cases))), (i + 1).cast("int"))
+    return vault(spark, sf_dir).select("id", filter_fits(pick(0), pick(1), pick(2)).alias("fits"))
 
 
 @plans.add("c19_i02_i04_vectors_stay_with_rows", "select item_id, true as same from benchmark")
@@ -152,12 +153,6 @@ def buckets(spark, sf_dir):
     return d.mapInArrow(run, "n long, fits boolean").agg(F.sum("n").alias("n"), F.bool_and("fits").alias("fits"))
 
 
-@plans.add("f01_growing_window", literal_sql(["base", "wanted", "there", "taken"], [(50, 5, 1000, 50), (50, 60, 1000, 100), (50, 400, 1000, 400), (20, 600, 10_000, 500), (20, 600, 300, 300)]))
-def growing(spark, sf_dir):
-    rows = [(50, 5, 1000), (50, 60, 1000), (50, 400, 1000), (20, 600, 10_000), (20, 600, 300)]
-    return literal(spark, "base int, wanted int, there int, taken int", [(*r, R.grown_window(r[0], lambda n, r=r: min(n, r[1], r[2]), r[1], r[2])) for r in rows])
-
-
 @plans.add("h30_canonical_json", """select s_suppkey, '{"balance":' || (s_suppkey * 2) || ',"name":"' || s_name || '","none":null}' as j from supplier""")
 def canonical(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", T.canonical_json((F.col("s_suppkey") * 2).alias("balance"), F.col("s_name").alias("name"), F.lit(None).cast("string").alias("none")).alias("j"))
@@ -168,21 +163,18 @@ def weights(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", M.chunk_bytes(["text", "source"], 64).alias("weight"))
 
 
-_ASKED = {
-    "Find the cache. Explain the index.": ["the cache", "the index"],
-    "explain the cache and how it evicts": ["the cache", "how it evicts"],
-    "Please show me both the parser;describe why it fails but where is the test?": ["the parser", "why it fails", "where is the test"],
-    "whether retries stop and verify the limit": ["retries stop", "verify the limit"],
-    "cats and dogs": [],
-    "one thing": [],
-    "x = {1}": [],
-    "a. b. c. d. e. f": [],
-}
+_ASKED = "'Find the ' || event_type || '. Explain user ' || user_id || ' and how it ' || event_type || 's'"
 
 
-@plans.add("h43_query_clauses", literal_sql(["query", "parts"], [(q, "|".join([q, *p])) for q, p in _ASKED.items()]))
+@plans.add("h43_query_clauses", f"select event_id, {_ASKED} || '|the ' || event_type || '|user ' || user_id || '|how it ' || event_type || 's' as parts from events")
 def clauses(spark, sf_dir):
-    return literal(spark, "query string, parts string", [(q, "|".join(J.query_clauses(q))) for q in _ASKED])
+    asked = F.concat(F.lit("Find the "), "event_type", F.lit(". Explain user "), F.col("user_id").cast("string"), F.lit(" and how it "), "event_type", F.lit("s"))
+
+    @F.pandas_udf("string")
+    def parts(queries: pd.Series) -> pd.Series:
+        return queries.map(lambda q: "|".join(J.query_clauses(q)))
+
+    return table(spark, sf_dir, "events").select("event_id", parts(asked).alias("parts"))
 
 
 @plans.add("i22_i23_i24_judgment", "select event_id, value <= 50 and event_id % 2 = 0 as dropped, round(case when value > 50 then 0.95 else 0.05 end, 6) as score, case when event_id % 3 = 0 and event_id % 2 = 0 then 'debugging' end as intent from events")
@@ -194,15 +186,20 @@ def judged(spark, sf_dir):
     return e.select("event_id", verdict["drop"].alias("dropped"), F.round(verdict["score"], 6).alias("score"), wish["intent"].alias("intent"))
 
 
-@plans.add("i25_i28_answer_cache", literal_sql(["hits", "held"], [(2, 128)]))
+@plans.add("i25_i28_answer_cache", "select user_id, count(*) - count(distinct event_type) as hits, count(distinct event_type) as held from events group by user_id")
 def cached(spark, sf_dir):
-    c = J.Answers()
-    for i in range(200):
-        c.put(str(i), "x")
-    E.query_vector.cache_clear()
-    E.query_vector("a")
-    E.query_vector("a")
-    return literal(spark, "hits int, held int", [(E.query_vector.cache_info().hits + (c.get("199") is not None), len(c._held))])
+    """Answers by kind of event, for each user's requests in their order."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        answers, hits = J.Answers(), 0
+        for kind in rows.sort_values("event_id")["event_type"]:
+            if answers.get(kind) is None:
+                answers.put(kind, kind)
+            else:
+                hits += 1
+        return pd.DataFrame({"user_id": rows["user_id"].iloc[:1], "hits": [hits], "held": [len(answers._held)]})
+
+    return table(spark, sf_dir, "events").groupBy("user_id").applyInPandas(run, "user_id long, hits long, held long")
 
 
 @plans.add("i26_link_graph", "select dst::varchar as id, count(distinct src) as in_links from (select conv_id as src, unnest([turn, turn + 1]) as dst from conversations) group by dst")
@@ -256,21 +253,25 @@ def activity(spark, sf_dir):
     return e.groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("first_end"))
 
 
-@plans.add("k07_pandas_reranker", "select doc_id as id, length(text)::double as score from documents where doc_id < 50")
+@plans.add("k07_pandas_reranker", "select doc_id as id, length(text)::double as score from documents")
 def reranker(spark, sf_dir):
-    """Any scorer of batches of texts, as a pandas UDF."""
+    """A reranker is any function of batches of texts, as a pandas UDF."""
+
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return texts.str.len().astype(float)
 
-    return table(spark, sf_dir, "documents").filter("doc_id < 50").select(F.col("doc_id").alias("id"), score("text").alias("score"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), score("text").alias("score"))
 
 
-@plans.add("l01_l02_l16_stamps", literal_sql(["case_", "answer"], [("ok", "ok"), ("newer", "newer"), ("unstamped", "unstamped"), ("conforming", "conforming"), ("other", "nonconforming"), ("unknown", "unverifiable")]))
+@plans.add("l01_l02_l16_stamps", "select s_suppkey, ['unstamped', 'ok', 'newer', 'width', 'vector'][(s_suppkey % 5 + 1)::int] as fits, case when s_suppkey % 5 = 0 or s_suppkey % 7 = 0 then 'unverifiable' when s_suppkey % 5 = 1 then 'conforming' else 'nonconforming' end as verdict from supplier")
 def stamps(spark, sf_dir):
-    s = M.stamp("vault_docs")
-    rows = [("ok", M.compatible(s)), ("newer", M.compatible({**s, "version": 99})), ("unstamped", M.compatible(None)), ("conforming", M.conformance(s, s, s["width"])), ("other", M.conformance(s, {**s, "schema": M.epoch(chars=1)}, s["width"])), ("unknown", M.conformance(s, s, None))]
-    return literal(spark, "case_ string, answer string", rows)
+    """Stamps stored with each supplier: none, ours, a newer one's, another width's or vector's. Where the width in use isn't known, conformance can't be told."""
+    own = M.stamp("vault_docs")
+    stored = [None, own, {**own, "version": 99}, {**own, "width": 7}, {**own, "vector": "other"}]
+    s = table(spark, sf_dir, "supplier").withColumn("stamp", F.element_at(F.array(*(F.lit(json.dumps(x) if x else None) for x in stored)), (F.col("s_suppkey") % 5 + 1).cast("int")))
+    live = F.when(F.col("s_suppkey") % 7 != 0, F.lit(own["width"]))
+    return s.select("s_suppkey", M.stamp_fits("stamp").alias("fits"), M.stamp_verdict("stamp", own, live).alias("verdict"))
 
 
 @plans.add("l04_payload_schema", "select 'doc_id' as column_, 'is bigint' as problem union all select 'source_path', 'missing'")
@@ -292,46 +293,50 @@ def migrated(spark, sf_dir):
     return there.agg(F.count("*").alias("destination")).crossJoin(o.agg(F.count("*").alias("origin")))
 
 
-@plans.add("l15_kind_fingerprints", literal_sql(["kind", "changed"], [("code", False), ("document", True), ("vault", False)]))
+@plans.add("l15_kind_fingerprints", """select p_partkey, kind, sha256(case when kind = 'document' then '{"budget":' || p_size || ',"kind":"document"}' else '{"kind":"' || kind || '"}' end) as fingerprint from part, (select unnest(['code', 'document', 'vault']) as kind)""")
 def kinds(spark, sf_dir):
-    """The document budget counts for documents alone."""
-
-    def prints(budget: int) -> dict[str, str]:
-        return {k: M.epoch(kind=k, **({"budget": budget} if k == "document" else {})) for k in ("code", "document", "vault")}
+    """A part's size as the budget, which counts for documents alone."""
+    kind = F.explode(F.array(*map(F.lit, ("code", "document", "vault"))))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", kind.alias("kind"))
+    return p.select("p_partkey", "kind", M.kind_fingerprint(F.col("kind"), F.col("p_size")).alias("fingerprint"))
 
-    a, b = prints(1), prints(2)
-    return literal(spark, "kind string, changed boolean", [(k, a[k] != b[k]) for k in a])
 
-
-@plans.add("m10_synthetic_vault", "select ['adr','audit','exec','plan','reference','research'][(i % 6 + 1)::int] as doc_type, count(*) as n, count(distinct i) as needles from (select unnest(range(0, 24)) as i) group by 1")
+@plans.add("m10_synthetic_vault", "select ['adr','audit','exec','plan','reference','research'][(i % 6 + 1)::int] as doc_type, count(*) as n, count(distinct i) as needles from (select unnest(range(0, (select count(*) from documents))) as i) group by 1")
 def synthetic(spark, sf_dir):
+    """A corpus as large as the documents table."""
     from plinth.sources.synthetic import vault_corpus
 
-    return vault_corpus(spark, 24).groupBy("doc_type").agg(F.count("*").alias("n"), F.countDistinct("needle").alias("needles"))
+    return vault_corpus(spark, table(spark, sf_dir, "documents").count()).groupBy("doc_type").agg(F.count("*").alias("n"), F.countDistinct("needle").alias("needles"))
 
 
-@plans.add("n01_n02_n03_n04_n08_n10_engine", "select 24::bigint as vault, 2::bigint as codebase, 3::bigint as document, 24::bigint as found, 0::bigint as after_clean")
+@plans.add("n01_n02_n03_n04_n08_n10_engine", f"""select (select count(*) from documents) as vault, (select count(*) from benchmark) as codebase, (select count(*) from conversations) as document,
+  (select count(*) from documents) as found, true as combined, 0::bigint as after_clean""")
 def engine(spark, sf_dir):
-    """Indexes a synthetic corpus and finds each record by its needle."""
+    """Indexes all documents' first lines as records, items as code and turns as document units; each record is found by the word that it alone has."""
     from plinth.api import Engine
-    from plinth.sources.synthetic import vault_corpus
 
     e = Engine(spark, f"{S.scratch(spark)}/engine")
-    corpus = vault_corpus(spark, 24)
-    files = literal(spark, "path string, content string", [("src/a.py", "def alpha():\n    return 1\n"), ("docs/b.md", "beta")])
-    units = literal(spark, "path string, ordinal int, text string, title string, section string", [("m.pdf", i, f"gamma {i}", "M", None) for i in range(3)])
-    out = e.index_all(vault=corpus.select("key", "content"), codebase=files, document=units)
+    i = F.col("doc_id").cast("string")
+    records = table(spark, sf_dir, "documents").select(F.concat(F.lit("plan/"), i).alias("key"), F.concat(F.lit("---\ntype: plan\ntags: ['#plan', '#"), "source", F.lit("']\n---\n# "), "source", F.lit(" needle"), i, F.lit("\n"), F.substring(F.regexp_extract(F.coalesce("text", F.lit("")), "^[^\n]*", 0), 1, 200)).alias("content"))
+    files = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("src/f"), F.col("item_id").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("def f"), F.col("item_id").cast("string"), F.lit("():\n    return 1\n")).alias("content"))
+    turns = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".txt")).alias("path"), F.col("turn").cast("int").alias("ordinal"), F.coalesce("text", F.lit("")).alias("text"), F.col("role").alias("title"), F.lit(None).cast("string").alias("section"))
+    out = e.index_all(vault=records, codebase=files, document=turns)
     t = e.table("vault")
-    wanted = corpus.select(F.col("key").alias("qid"), F.lower("needle").alias("term"), F.lit(1.0).alias("q"))
-    hits = R.sparse_leg(R.term_weights(t.select("id", F.col("content").alias("text")), r"[a-z0-9_]+", wanted), wanted, 1)
-    found = hits.filter(F.col("id").startswith(F.col("qid"))).count()
+    wanted = records.select(F.col("key").alias("qid"), F.concat(F.lit("needle"), F.regexp_extract("key", "[0-9]+", 0)).alias("term"), F.lit(1.0).alias("q"))
+    hits = R.sparse_leg(R.term_weights(t.select("id", F.col("content").alias("text")), wanted=wanted), wanted, 1)
+    found = hits.filter(F.regexp_replace("id", "#c0$", "") == F.col("qid")).count()
+    combined = e.search_combined("return needle0", 5)
+    combined = combined is not None and combined.count() > 0
     e.clean()
-    return literal(spark, "vault long, codebase long, document long, found long, after_clean long", [(out["vault"]["chunks"], out["codebase"]["chunks"], out["document"]["chunks"], found, sum(e.status().values()))])
+    return literal(spark, "vault long, codebase long, document long, found long, combined boolean, after_clean long", [(out["vault"]["chunks"], out["codebase"]["chunks"], out["document"]["chunks"], found, combined, sum(e.status().values()))])
 
 
-@plans.add("h41_classify_root", literal_sql(["root", "status"], [("/", "live"), ("/no/such/place", "orphaned"), ("", "unverifiable")]))
+@plans.add("h41_classify_root", "select source, case when source is null or source = '' then 'unverifiable' when source like '%1%' then 'orphaned' else 'live' end as status from (select distinct source from documents)")
 def roots(spark, sf_dir):
+    """Folders of the sources, of which those with a 1 in their name aren't there."""
     from plinth.sources.synthetic import root_status
 
-    return literal(spark, "root string, status string", [(r, root_status(r)) for r in ("/", "/no/such/place", "")])
-
+    top = f"{S.scratch(spark)}/roots"
+    d = table(spark, sf_dir, "documents").select("source", "doc_id")
+    d.filter("source not like '%1%'").repartition("source").write.partitionBy("source").parquet(top)
+    return root_status(d.select("source").distinct().withColumn("root", F.concat(F.lit(f"{top}/source="), "source")), top).select("source", "status")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,14 +28,11 @@ def vault_corpus(spark: SparkSession, n: int = 24, density: float = 0.3, seed: i
     return base.select("key", "doc_type", "feature", "needle", "status", F.col("near").alias("related"), content.alias("content"))
 
 
-def root_status(root: str) -> str:
-    """live, orphaned or unverifiable: whether a root's folder is there, as far as it can be told."""
-    if not root:
-        return "unverifiable"
-    try:
-        os.stat(root)
-    except FileNotFoundError:
-        return "orphaned"
-    except OSError:
-        return "unverifiable"
-    return "live"
+def root_status(roots: DataFrame, top: str) -> DataFrame:
+    """roots (root, a folder below top) with status: live, orphaned, or unverifiable for none. Folders are listed once, by the file system of top."""
+    spark = roots.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = spark.createDataFrame([(f"{top}/{s.getPath().getName()}", True) for s in (fs.listStatus(folder) if fs.exists(folder) else []) if s.isDirectory()], "root string, _there boolean")
+    status = F.when(F.coalesce("root", F.lit("")) == "", "unverifiable").when(F.col("_there"), "live").otherwise("orphaned")
+    return roots.join(there, "root", "left").withColumn("status", status).drop("_there")

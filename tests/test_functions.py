@@ -194,3 +194,10 @@ def test_stamps():
 
 def test_headroom():
     assert X.headroom(1, 2 << 30) and not X.headroom(1, 1 << 30)
+
+
+def test_queries_without_words():
+    from plinth.operators.judge import query_clauses
+
+    for blank in ("", " ", "\n\t"):
+        assert query_clauses(blank) == (blank,)
