@@ -25,6 +25,8 @@ LEG_FACTOR = 4
 MOST_BROADCAST = 100_000
 #: Dense queries that a pass over the rows takes at once.
 QUERY_BLOCK = 4096
+#: Rows that meet a block of queries in one task, where there are several.
+PART_ROWS = 100_000
 
 
 def checked_broadcast(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
@@ -58,26 +60,48 @@ def ranked(scores: DataFrame, limit: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= limit)
 
 
-def _block_scores(matrix: np.ndarray, qids: pa.Array, limit: int, places: int | None):
-    """Rows of a block of queries: of each batch the best rows of each query, ties of the last one included."""
-    scale = np.linalg.norm(matrix, axis=1)
-    width = matrix.shape[1]
+def _best(values: np.ndarray, matrix: np.ndarray, limit: int, places: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, query, cosine) of the best rows of each query of a matrix, ties of the last one included."""
+    with np.errstate(all="ignore"):
+        scores = (values @ matrix.T) / (np.linalg.norm(values, axis=1)[:, None] * np.linalg.norm(matrix, axis=1))
+    if places is not None:
+        scores = np.round(scores, places)
+    scores = np.where(np.isfinite(scores), scores, -np.inf)
+    least = -np.partition(-scores, limit - 1, axis=0)[limit - 1] if len(scores) > limit else np.full(len(matrix), -np.inf)
+    row, query = np.nonzero((scores >= least) & (scores > -np.inf))
+    return row, query, scores[row, query]
+
+
+def _of_width(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, vectors) of those of a width."""
+    at = np.flatnonzero(vectors.value_lengths().to_numpy(zero_copy_only=False) == width)
+    return at, vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
+
+def _against_matrix(matrix: np.ndarray, qids: pa.Array, limit: int, places: int | None):
+    """The best rows of each batch for the queries of a matrix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
-            rows = np.flatnonzero(sizes == width)
-            if not len(rows):
-                continue
-            values = b.column(1).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-            with np.errstate(all="ignore"):
-                scores = (values @ matrix.T) / (np.linalg.norm(values, axis=1)[:, None] * scale)
-            if places is not None:
-                scores = np.round(scores, places)
-            scores = np.where(np.isfinite(scores), scores, -np.inf)
-            least = -np.partition(-scores, limit - 1, axis=0)[limit - 1] if len(scores) > limit else np.full(len(scale), -np.inf)
-            row, query = np.nonzero((scores >= least) & (scores > -np.inf))
-            yield pa.RecordBatch.from_arrays([qids.take(pa.array(query)), b.column(0).take(pa.array(rows[row])), pa.array(scores[row, query])], names=["qid", "id", "score"])
+            at, values = _of_width(b.column(1), matrix.shape[1])
+            if len(at):
+                row, query, score = _best(values, matrix, limit, places)
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(query)), b.column(0).take(pa.array(at[row])), pa.array(score)], names=["qid", "id", "score"])
+
+    return run
+
+
+def _part_against_block(limit: int, places: int | None):
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        found = [pa.table({"qid": queries.column("qid").slice(0, 0), "id": rows.column("id").slice(0, 0), "score": pa.array([], pa.float64())})]
+        if rows.num_rows and queries.num_rows:
+            vectors, asked = rows.column("vector").combine_chunks(), queries.column("query").combine_chunks()
+            for width in np.unique(asked.value_lengths().to_numpy(zero_copy_only=False)).tolist():
+                (at, values), (own, matrix) = _of_width(vectors, width), _of_width(asked, width)
+                if width and len(at):
+                    row, query, score = _best(values, matrix, limit, places)
+                    found.append(pa.table({"qid": queries.column("qid").take(pa.array(own[query])), "id": rows.column("id").take(pa.array(at[row])), "score": pa.array(score)}))
+        return pa.concat_tables(found)
 
     return run
 
@@ -85,22 +109,26 @@ def _block_scores(matrix: np.ndarray, qids: pa.Array, limit: int, places: int |
 def dense_leg(table: DataFrame, queries: DataFrame, limit: int, places: int | None = None) -> DataFrame:
     """By cosine. table: (id, vector), queries: (qid, query). Null vectors and those of another width are left out.
 
-    Queries go in blocks of QUERY_BLOCK at most, each a matrix that all rows meet in one pass; a task passes on its best
-    rows of each query only.
+    QUERY_BLOCK queries at most are a matrix that all rows meet in one pass; a task passes on its best rows of each query
+    only. More are dealt to blocks, and rows to parts of PART_ROWS, each pair of which meets in a task; no query goes
+    through the driver then.
     """
-    given = queries.filter("query is not null").withColumn("query", F.col("query").cast("array<double>"))
-    blocks = max(1, math.ceil(given.count() / QUERY_BLOCK))
+    given = queries.filter("query is not null").select("qid", F.col("query").cast("array<double>").alias("query"))
+    count = given.count()
     fields = f"qid {queries.schema['qid'].dataType.simpleString()}, id {table.schema['id'].dataType.simpleString()}, score double"
     rows = table.filter("vector is not null").select("id", "vector")
+    if count > QUERY_BLOCK:
+        blocks, parts = math.ceil(count / QUERY_BLOCK), max(1, math.ceil(rows.count() / PART_ROWS))
+        left = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        right = given.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
+        return ranked(left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(_part_against_block(limit, places), fields), limit)
+    own = given.toArrow()
+    ids, vectors = own.column("qid").combine_chunks(), own.column("query").combine_chunks()
+    widths = vectors.value_lengths().to_numpy(zero_copy_only=False) if own.num_rows else np.zeros(0, int)
     legs = []
-    for block in range(blocks):
-        own = given.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).select("qid", "query").toArrow() if blocks > 1 else given.select("qid", "query").toArrow()
-        ids, vectors = own.column("qid").combine_chunks(), own.column("query").combine_chunks()
-        widths = vectors.value_lengths().to_numpy(zero_copy_only=False) if own.num_rows else np.zeros(0, int)
-        for width in np.unique(widths[widths > 0]).tolist():
-            at = pa.array(np.flatnonzero(widths == width))
-            matrix = vectors.take(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            legs.append(rows.mapInArrow(_block_scores(matrix, ids.take(at), limit, places), fields))
+    for width in np.unique(widths[widths > 0]).tolist():
+        at, matrix = _of_width(vectors, width)
+        legs.append(rows.mapInArrow(_against_matrix(matrix, ids.take(pa.array(at)), limit, places), fields))
     if not legs:
         return ranked(rows.sparkSession.createDataFrame([], fields), limit)
     return ranked(reduce(DataFrame.unionByName, legs), limit)

@@ -120,10 +120,10 @@ def line_of(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(F.length("text") > 200).select("doc_id", line_at(F.col("text"), F.lit(200)).cast("long").alias("line"))
 
 
-_SEGMENTS_SQL = """with recursive d as (select source, doc_id, strlen(coalesce(text, ''))::bigint as bytes, row_number() over (partition by source order by doc_id) as at from documents),
-  s as (select source, doc_id, bytes, at, 1 as n, bytes as total, 0 as segment from d where at = 1 union all
-    select d.source, d.doc_id, d.bytes, d.at, case when s.n = 8 or s.total + d.bytes > 20000 then 1 else s.n + 1 end, case when s.n = 8 or s.total + d.bytes > 20000 then d.bytes else s.total + d.bytes end, case when s.n = 8 or s.total + d.bytes > 20000 then s.segment + 1 else s.segment end
-    from s join d on d.source = s.source and d.at = s.at + 1)"""
+_SEGMENTS_SQL = """with recursive d as (select source, doc_id, strlen(coalesce(text, ''))::bigint as bytes, row_number() over (partition by source order by doc_id) as nth from documents),
+  s as (select source, doc_id, bytes, nth, 1 as n, bytes as total, 0 as segment from d where nth = 1 union all
+    select d.source, d.doc_id, d.bytes, d.nth, case when s.n = 8 or s.total + d.bytes > 20000 then 1 else s.n + 1 end, case when s.n = 8 or s.total + d.bytes > 20000 then d.bytes else s.total + d.bytes end, case when s.n = 8 or s.total + d.bytes > 20000 then s.segment + 1 else s.segment end
+    from s join d on d.source = s.source and d.nth = s.nth + 1)"""
 
 
 @plans.add("e12_e13_greedy_segments", f"{_SEGMENTS_SQL} select source, doc_id, bytes, segment, segment = max(segment) over (partition by source) as last from s")

@@ -60,12 +60,12 @@ def upserts(spark, sf_dir):
     return made.read()
 
 
-_PENDING_SQL = """with recursive e as (select user_id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) as at from events),
-  s as (select user_id, at, t as first_us, t as latest_us, 1::bigint as n, null::bigint as f, null::bigint as l, null::bigint as m from e where at = 1 union all
-    select e.user_id, e.at, case when over then e.t else s.first_us end, e.t, case when over then 1 else s.n + 1 end, case when over then s.first_us end, case when over then s.latest_us end, case when over then s.n end
-    from (select *, least(latest_us + 21600000000, first_us + 86400000000) as due from s) s join e on e.user_id = s.user_id and e.at = s.at + 1, lateral (select e.t >= s.due as over)),
+_PENDING_SQL = """with recursive e as (select user_id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) as nth from events),
+  s as (select user_id, nth, t as first_us, t as latest_us, 1::bigint as n, null::bigint as f, null::bigint as l, null::bigint as m from e where nth = 1 union all
+    select e.user_id, e.nth, case when late then e.t else s.first_us end, e.t, case when late then 1 else s.n + 1 end, case when late then s.first_us end, case when late then s.latest_us end, case when late then s.n end
+    from (select *, least(latest_us + 21600000000, first_us + 86400000000) as due from s) s join e on e.user_id = s.user_id and e.nth = s.nth + 1, lateral (select e.t >= s.due as late)),
   done as (select user_id, f as first_us, l as latest_us, m as n from s where m is not null union all
-    select user_id, first_us, latest_us, n from s qualify row_number() over (partition by user_id order by at desc) = 1 and ceil(least(latest_us + 21600000000, first_us + 86400000000) / 1000) <= (select max(epoch_us(ts)) // 1000 from events))"""
+    select user_id, first_us, latest_us, n from s qualify row_number() over (partition by user_id order by nth desc) = 1 and ceil(least(latest_us + 21600000000, first_us + 86400000000) / 1000) <= (select max(epoch_us(ts)) // 1000 from events))"""
 
 
 @plans.add("j06_j08_timers", f"{_PENDING_SQL} select user_id, first_us, latest_us, n, least(latest_us + 21600000000, first_us + 86400000000) as fired_us from done")

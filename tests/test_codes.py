@@ -75,3 +75,13 @@ def test_odd_rows(spark, tmp_path):
     assert [(r["qid"], r["id"]) for r in index.search(table, queries, 5).orderBy("rank").collect()] == [(1, 1), (1, 6)]
     empty = table.limit(0)
     assert Q.build(empty, f"file://{tmp_path}/e").search(empty, queries, 5).collect() == []
+
+
+def test_many_exact_queries_meet_parts(spark, made, monkeypatch):
+    table, _, queries = made
+    table = table.unionByName(spark.createDataFrame([(-1, [1.0]), (-2, None), (-3, [0.0] * 32)], "id long, vector array<double>"))
+    queries = queries.unionByName(spark.createDataFrame([(-1, [2.0]), (-2, None)], "qid long, query array<double>"))
+    want = sorted(map(tuple, R.dense_leg(table, queries, 7, 6).collect()))
+    monkeypatch.setattr(R, "QUERY_BLOCK", 9)
+    monkeypatch.setattr(R, "PART_ROWS", 700)
+    assert sorted(map(tuple, R.dense_leg(table, queries, 7, 6).collect())) == want and any(r[0] == -1 for r in want)
