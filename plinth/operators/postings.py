@@ -49,7 +49,7 @@ class Index:
 
         where: of rows and their payload; ids: (id), of which texts alone count. read: gets what each round reads, (qid, block, term, q, n).
         """
-        queries = query_terms.select("qid", "term", "q")
+        queries = _written(query_terms.select("qid", "term", "q"), "queries")
         few = [r["term"] for r in queries.select("term").distinct().limit(MOST_NAMED + 1).collect()]
         bounds = self.bounds()
         bounds = bounds.filter(F.col("term").isin(few)) if len(few) <= MOST_NAMED else bounds  # row groups of other terms aren't read

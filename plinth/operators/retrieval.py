@@ -119,8 +119,8 @@ def dense_leg(table: DataFrame, queries: DataFrame, limit: int, places: int | No
     rows = table.filter("vector is not null").select("id", "vector")
     if count > QUERY_BLOCK:
         blocks, parts = math.ceil(count / QUERY_BLOCK), max(1, math.ceil(rows.count() / PART_ROWS))
-        left = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        right = given.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
+        left = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        right = given.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
         return ranked(left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(_part_against_block(limit, places), fields), limit)
     own = given.toArrow()
     ids, vectors = own.column("qid").combine_chunks(), own.column("query").combine_chunks()
