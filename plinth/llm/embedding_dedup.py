@@ -32,7 +32,7 @@ from .graph import components
 ROUNDS = ((12, 32), (24, 128), (48, 512), (192, 512))
 RECALL = 0.99
 #: Vectors of each label whose links are looked for in the whole label, to measure recall: a bounded sample.
-PROBES = 400
+PROBES = 2000
 #: Points in one block; a component of over MANY blocks has larger ones, up to LARGEST, so that its points are copied less often.
 BLOCK, MANY, LARGEST = 1024, 64, 16384
 
