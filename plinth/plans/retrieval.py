@@ -122,7 +122,7 @@ _NEG = "(select vec_id // 100 as qid, embedding from embeddings where vec_id % 4
 def recommended(spark, sf_dir):
     v = vectors(spark, sf_dir).select(F.floor(F.col("id") / 100).alias("qid"), "vector", "id")
     out = R.recommend(v.filter("id % 4 < 3"), v.filter("id % 4 = 3 and id % 200 < 100"))
-    return out.select("qid", F.transform("query", lambda x: F.round(x, 6)).alias("query"))
+    return out.select("qid", F.transform("query", lambda x: R.rounded(x, 6)).alias("query"))
 
 
 @plans.add("i10_live_anchors", "select q.vec_id as qid, a.id from embeddings q, (select unnest([1, 7, 100000000]) as id) a where a.id in (select vec_id from embeddings)")
