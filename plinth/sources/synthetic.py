@@ -18,8 +18,9 @@ def vault_corpus(spark: SparkSession, n: int = 24, density: float = 0.3, seed: i
     feature = F.element_at(F.array(*map(F.lit, FEATURES)), (i % 4 + 1).cast("int"))
     nth = F.floor(i / 6)
     status = F.when(kind != "adr", "").when(nth == 0, "").otherwise(F.element_at(F.array(*map(F.lit, CYCLE)), ((nth - 1) % 4 + 1).cast("int")))
-    key = F.concat(kind, F.lit("/2026-01-"), F.lpad((i % 28 + 1).cast("string"), 2, "0"), F.lit("-"), feature, F.lit("-test-"), F.lpad(i.cast("string"), 3, "0"))
-    needle = F.concat(F.lit("NEEDLE_"), F.upper(kind), F.lit("_"), F.lpad(i.cast("string"), 3, "0"))
+    number = F.lpad(i.cast("string"), F.greatest(F.length(i.cast("string")), F.lit(3)), F.lit("0"))  # at least three digits, and all of them
+    key = F.concat(kind, F.lit("/2026-01-"), F.lpad((i % 28 + 1).cast("string"), 2, "0"), F.lit("-"), feature, F.lit("-test-"), number)
+    needle = F.concat(F.lit("NEEDLE_"), F.upper(kind), F.lit("_"), number)
     near = F.filter(F.sequence(F.greatest(i - 5, F.lit(0)), F.greatest(i - 1, F.lit(0))), lambda j: (j < i) & (F.pmod(F.xxhash64(i, j, F.lit(seed)), F.lit(1000)) < int(density * 1000)))
     base = spark.range(n).select("id", kind.alias("doc_type"), feature.alias("feature"), status.alias("status"), key.alias("key"), needle.alias("needle"), near.alias("near"))
     mark = F.when(F.col("status") != "", F.concat(F.lit(" | (**status:** `"), "status", F.lit("`)"))).otherwise("")

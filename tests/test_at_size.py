@@ -25,3 +25,12 @@ def test_a_small_negative_mean_keeps_its_sign(spark, tmp_path):
     got = [(r["qid"], list(r["query"])) for r in registry.queries()["i09_recommend_vector"](spark, sf_dir).collect()]
     want = by_sql(sf_dir, "i09_recommend_vector", "embeddings")
     assert sorted(map(repr, got)) == sorted(repr((q, list(v))) for q, v in want) and "-0.0," in repr(got)
+
+
+def test_needles_of_a_large_corpus_differ(spark):
+    from plinth.sources.synthetic import vault_corpus
+
+    made = vault_corpus(spark, 12_345)
+    assert made.select("needle").distinct().count() == made.select("key").distinct().count() == 12_345
+    ids = {r["needle"].rsplit("_", 1)[1] for r in made.select("needle").collect()}
+    assert {"007", "999", "1000", "12344"} <= ids
