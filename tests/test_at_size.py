@@ -34,3 +34,20 @@ def test_needles_of_a_large_corpus_differ(spark):
     assert made.select("needle").distinct().count() == made.select("key").distinct().count() == 12_345
     ids = {r["needle"].rsplit("_", 1)[1] for r in made.select("needle").collect()}
     assert {"007", "999", "1000", "12344"} <= ids
+
+
+def test_buckets_are_made_where_the_texts_are(spark, tmp_path):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), (F.col("id") % 50).cast("int")).alias("text"))
+    sf_dir = written(docs, tmp_path, "documents", 8)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        made = registry.queries()["e14_encode_buckets"](spark, sf_dir)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Coalesce 1" not in plan and [tuple(r) for r in made.collect()] == by_sql(sf_dir, "e14_encode_buckets", "documents")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_no_texts_have_no_buckets(spark, tmp_path):
+    sf_dir = written(spark.createDataFrame([], "doc_id long, text string"), tmp_path, "documents")
+    assert [tuple(r) for r in registry.queries()["e14_encode_buckets"](spark, sf_dir).collect()] == [(0, True)]
