@@ -33,11 +33,12 @@ def _gain(grade: Column, rank: Column) -> Column:
     return (F.pow(F.lit(2.0), grade) - 1) / F.log2(rank + 1.0)
 
 
-def ndcg(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
-    """(qid, ndcg) of all queries in gold; 0 without a positive grade."""
-    got = graded(ranked, gold).filter(F.col("rank") <= k).groupBy("qid").agg(F.sum(_gain(F.col("grade"), F.col("rank"))).alias("dcg"))
-    top = F.slice(F.reverse(F.array_sort(F.collect_list("grade"))), 1, k)
-    best = gold.groupBy("qid").agg(F.aggregate(F.transform(top, lambda g, i: _gain(g, i + 1)), F.lit(0.0), lambda a, x: a + x).alias("ideal"))
+def ndcg(ranked: DataFrame, gold: DataFrame, k: int, own: DataFrame | None = None) -> DataFrame:
+    """(qid, ndcg) of all queries in gold; 0 without a positive grade. own: gold's rows that are in ranked, where these are known without a join."""
+    got = graded(ranked.filter(F.col("rank") <= k), gold if own is None else own).groupBy("qid").agg(F.sum(_gain(F.col("grade"), F.col("rank"))).alias("dcg"))
+    counts = gold.groupBy("qid", "grade").agg(F.count("*").alias("n"))  # grades are few, rows of gold may be many
+    top = F.slice(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("grade", "n")), asc=False), lambda g: F.array_repeat(g["grade"], F.least(g["n"], F.lit(k)).cast("int")))), 1, k)
+    best = counts.groupBy("qid").agg(F.aggregate(F.transform(top, lambda g, i: _gain(g, i + 1)), F.lit(0.0), lambda a, x: a + x).alias("ideal"))
     return best.join(got, "qid", "left").select("qid", F.when(F.col("ideal") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).otherwise(0.0).alias("ndcg"))
 
 

@@ -51,3 +51,46 @@ def test_buckets_are_made_where_the_texts_are(spark, tmp_path):
 def test_no_texts_have_no_buckets(spark, tmp_path):
     sf_dir = written(spark.createDataFrame([], "doc_id long, text string"), tmp_path, "documents")
     assert [tuple(r) for r in registry.queries()["e14_encode_buckets"](spark, sf_dir).collect()] == [(0, True)]
+
+
+@pytest.mark.parametrize("block", [False, True])
+def test_many_queries_take_little_memory(block):
+    """10,000 rows against 4,000 queries: no array of all pairs, and from each task a query's best rows alone, the smaller id of equals first."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from plinth.operators import retrieval as R
+
+    rng = np.random.default_rng(3)
+    values, asked = rng.normal(size=(10_000, 8)), rng.normal(size=(4000, 8))
+    values[5000:] = values[:5000]
+    as_lists = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), 8).cast(pa.list_(pa.float64()))
+    rows = pa.table({"id": pa.array(np.arange(10_000)[::-1]), "vector": as_lists(values)})
+    queries = pa.table({"qid": pa.array(np.arange(4000)), "query": as_lists(asked)})
+    tracemalloc.start()
+    got = R._part_against_block(20, 6)(rows, queries) if block else pa.Table.from_batches(list(R._against_matrix(asked, queries["qid"].combine_chunks(), 20, 6)(iter(rows.combine_chunks().to_batches()))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and got.num_rows == 20 * 4000, (peak, got.num_rows)
+    scores = np.round(values @ asked[7] / np.linalg.norm(values, axis=1) / np.linalg.norm(asked[7]), 6)
+    ids = np.arange(10_000)[::-1]
+    assert sorted(got.filter(pa.compute.equal(got["qid"], 7))["id"].to_pylist()) == sorted(ids[np.lexsort((ids, -scores))[:20]].tolist())
+
+
+def test_grades_join_no_pair_that_is_not_ranked(spark, sf_dir):
+    """The queries' pairs with all rows are not joined; where all are needed, they are counted by grade."""
+    for name in ("m02_m03_first_rank", "m04_m05_at_k"):
+        assert "BroadcastNestedLoopJoin" not in registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ideal_of_many_grades(spark):
+    from plinth.operators import evaluation as V
+
+    gold = spark.range(1000).select(F.lit(1).alias("qid"), "id", (F.col("id") % 4).cast("int").alias("grade"))
+    ranked = spark.createDataFrame([(1, 3, 1), (1, 2, 2)], "qid int, id long, rank int")
+    import math
+
+    ideal = sum(7 / math.log2(n + 1) for n in range(1, 11))
+    assert abs(V.ndcg(ranked, gold, 10).first()["ndcg"] - (7 + 3 / math.log2(3)) / ideal) < 1e-9
