@@ -45,7 +45,7 @@ def index(spark, sf_dir, anew: bool = False) -> P.Index:
     changed = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).getModificationTime()
     key = (spark.sparkContext.applicationId, sf_dir, changed, tuple(sorted(source.inputFiles())))
     if anew or key not in _stored:
-        _stored[key] = P.store(R.term_weights(texts(spark, sf_dir)), f"{S.scratch(spark)}/postings")
+        _stored[key] = P.store(R.term_weights(texts(spark, sf_dir), totals=True), f"{S.scratch(spark)}/postings")
     return _stored[key]
 
 

@@ -55,3 +55,42 @@ def test_empty(spark, tmp_path):
     index = P.store(postings, f"file://{tmp_path}/e")
     terms = spark.createDataFrame([(1, "a", 1.0)], "qid int, term string, q double")
     assert index.top(terms, 5).collect() == []
+
+
+def test_a_large_search_shuffles_no_postings(spark, made, monkeypatch):
+    """Where more (query, block, term) rows are wanted than are broadcast, postings still stay in the tasks that read them."""
+    postings, index, terms = made
+    plans, rank = [], P.ranked
+    monkeypatch.setattr(P, "MOST_HELD", 10)
+    monkeypatch.setattr(P, "ranked", lambda df, n: plans.append(df._jdf.queryExecution().executedPlan().toString()) or rank(df, n))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = bag(index.top(terms, 10, 6))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == bag(R.sparse_leg(postings, terms, 10, 6))
+    assert plans and not any("hashpartitioning(block" in p for p in plans)
+
+
+def test_files_hold_whole_blocks_and_bounds_are_theirs(spark, made, tmp_path, monkeypatch):
+    """With small splits, batches that end within terms, and files of few rows."""
+    monkeypatch.setattr(P, "FILE_ROWS", 5000)
+    twice = spark.createDataFrame([(i, f"a b w{i} " * (1 + i % 40) + "c d e " * (i % 7)) for i in range(2000)], "id long, text string")
+    postings = R.term_weights(twice, totals=True)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        index = P.store(postings, f"file://{tmp_path}/i")
+        rows = index.rows()
+        assert rows.select("block", F.col("_metadata.file_name").alias("file")).distinct().groupBy("block").agg(F.count("*").alias("n")).filter("n > 1").count() == 0
+        assert rows.groupBy("id").agg(F.count_distinct("block").alias("n")).filter("n > 1").count() == 0
+        want = rows.groupBy("block", "term").agg(F.max("weight").alias("most"), F.count("*").alias("n"))
+        assert sorted(map(tuple, index.bounds().select("block", "term", "most", "n").collect())) == sorted(map(tuple, want.collect()))
+        terms = spark.createDataFrame([(q, t, 1.0 + q) for q in range(9) for t in ("a", "c", f"w{q * 7}", "w1")], "qid int, term string, q double")
+        assert bag(index.top(terms, 10, 6)) == bag(R.sparse_leg(postings, terms, 10, 6))
+        ids = spark.range(0, 2000, 3)
+        assert bag(index.top(terms, 10, 6, ids=ids)) == bag(R.sparse_leg(postings.filter("id % 3 = 0"), terms, 10, 6))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
