@@ -171,6 +171,28 @@ def test_a_batch_that_runs_again_is_there_once(spark, sf_dir, tmp_path):
     assert sorted(map(tuple, again.read().collect())) == want and again.versions() == versions
 
 
+def test_no_task_sorts_more_rows_as_the_table_grows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(V, "TASK_ROWS", 500, raising=False)
+    most = lambda df: df.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0]
+    for n in (2000, 8000):
+        t = V.VersionedTable(spark, f"file://{tmp_path}/g{n}")
+        t.upsert(rows(spark, 0, n, "old"), ["id"], 2)
+        files = t.read().groupBy(F.input_file_name()).count()
+        assert files.agg(F.max("count")).first()[0] < 900 and files.count() >= n // 500
+        t.upsert(rows(spark, 0, n, "a", 2))
+        t.upsert(rows(spark, 0, n, "b", 3))
+        t.delete(spark.range(0, n, 5).toDF("id"))
+        want = [(i, "b" if i % 3 == 0 else "a" if i % 2 == 0 else "old") for i in range(n) if i % 5]
+        assert most(t.read()) < 900 and bag(t.read()) == want
+        assert sum(f["rows"] for f in t.state().bases.values()) == n and sum(d["rows"] for ds in t.state().deltas.values() for d in ds) == n // 2 + len(range(0, n, 3)) + n // 5
+        t.compact(most_deltas=1)
+        assert t.read().groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < 900 and bag(t.read()) == want
+        kept = t.upsert(rows(spark, 0, 10, "new"))
+        assert bag(t.read(where=F.col("tag") == "new")) == [(i, "new") for i in range(10)] and kept.folders() == t.state().folders()
+        data = Path(tmp_path, f"g{n}", "data")
+        assert {f.name for f in data.iterdir()} >= kept.folders() and t.expire(grace_seconds=-5) and {f.name for f in data.iterdir()} == kept.folders()
+
+
 def test_filters_read_the_files_that_hold_them(spark, tmp_path):
     docs = spark.range(4000).select("id", F.concat(F.lit("p"), F.floor(F.col("id") / 20).cast("string")).alias("path"), F.array(F.concat(F.lit("t"), F.floor(F.col("id") / 40).cast("string")), F.lit("all")).alias("tags"))
     t = V.VersionedTable(spark, f"file://{tmp_path}/i", ["path", "tags"])
