@@ -94,3 +94,22 @@ def test_files_hold_whole_blocks_and_bounds_are_theirs(spark, made, tmp_path, mo
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_storing_reads_little_in_a_task(spark, tmp_path, monkeypatch):
+    """What a task deals out or gathers for bounds is of a small split, at any size, in a session whose settings are its own."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    postings = R.term_weights(spark.range(3000).select("id", F.concat_ws(" ", F.lit("a b"), F.concat(F.lit("w"), F.col("id") % 97), F.concat(F.lit("x"), "id")).alias("text")), totals=True)
+    grouped, dealt, group, deal = {}, [], DataFrame.groupBy, DataFrame.repartition
+    before = [spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")]
+    monkeypatch.setattr(P, "SPLIT", 4096, raising=False)
+    monkeypatch.setattr(P, "FILE_ROWS", 1000)
+    monkeypatch.setattr(DataFrame, "groupBy", lambda self, *cols: grouped.setdefault(cols, self.rdd.getNumPartitions()) and group(self, *cols))
+    monkeypatch.setattr(DataFrame, "repartition", lambda self, *to: dealt.append(self.rdd.getNumPartitions()) or deal(self, *to))
+    index = P.store(postings, f"file://{tmp_path}/s")
+    monkeypatch.undo()
+    assert grouped[("block", "term")] > 8 and dealt[0] > 8
+    assert before == [spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")]
+    want = index.rows().groupBy("block", "term").agg(F.max("weight").alias("most"), F.count("*").alias("n"))
+    assert sorted(map(tuple, index.bounds().select("block", "term", "most", "n").collect())) == sorted(map(tuple, want.collect()))
