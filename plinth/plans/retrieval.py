@@ -336,7 +336,7 @@ def collapse(spark, sf_dir):
     return K.collapse_report(page)
 
 
-@plans.add("i18_f02_lexical_rerank", f"""select qid, id, pos from (select p.qid, p.id, row_number() over (partition by p.qid order by len(list_intersect(list_distinct(regexp_extract_all(lower(substr(v.content, 1, 6144)), '[a-z0-9]+')), w.terms))::double / len(w.terms) desc, p.pos) as pos
+@plans.add("i18_f02_lexical_rerank", f"""select qid, id, pos from (select p.qid, p.id, row_number() over (partition by p.qid order by len(list_intersect(list_distinct(regexp_extract_all(lower(v.content), '[a-z0-9]+')), w.terms))::double / len(w.terms) desc, p.pos) as pos
   from {PAGE_SQL} p join {VAULT_SQL} v on v.id = p.id join (select item_id as qid, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as terms from benchmark) w on w.qid = p.qid) where pos <= 10""")
 def lexical(spark, sf_dir):
     page = vault_page(spark, sf_dir)

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from plinth.operators import ranking as K
 from plinth.plans import registry
 
 
@@ -94,3 +95,21 @@ def test_ideal_of_many_grades(spark):
 
     ideal = sum(7 / math.log2(n + 1) for n in range(1, 11))
     assert abs(V.ndcg(ranked, gold, 10).first()["ndcg"] - (7 + 3 / math.log2(3)) / ideal) < 1e-9
+
+
+def test_rerank_reads_whole_texts(spark, tmp_path):
+    """Terms after thousands of characters count, also as the only ones by which two texts differ."""
+    filler = "filler " * 1000
+    docs = [(0, "alpha " * 1000, "en", "s"), (1, f"alpha {filler}Beta gamma", "en", "s"), (2, f"{filler * 20}alpha gamma", "en", "s"), (3, "nothing", "en", "s")]
+    written(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), tmp_path, "documents")
+    sf_dir = written(spark.createDataFrame([(7, "alpha beta gamma")], "item_id long, text string"), tmp_path, "benchmark")
+    got = sorted(map(tuple, registry.queries()["i18_f02_lexical_rerank"](spark, sf_dir).select("qid", "id", "pos").collect()))
+    assert got == [(7, 0, 3), (7, 1, 1), (7, 2, 2)] == sorted(by_sql(sf_dir, "i18_f02_lexical_rerank", "documents", "benchmark"))
+
+
+def test_lexical_score_cuts_no_word(spark):
+    """A word over any number of characters is that word, not its beginning; repeats count once, and a text without words has no share."""
+    terms = spark.createDataFrame([(0, "beta"), (0, "gamma"), (0, "gamma")], "qid long, term string")
+    texts = [(0, 0, "x" * 6139 + " betamax"), (0, 1, "x" * 6144 + " gamma gamma"), (0, 2, "x " * 50_000 + "GAMMA beta beta"), (0, 3, "")]
+    got = K.lexical_score(terms, spark.createDataFrame(texts, "qid long, id long, text string"))
+    assert {r["id"]: r["rerank"] for r in got.collect()} == {0: 0.0, 1: 0.5, 2: 1.0, 3: 0.0}
